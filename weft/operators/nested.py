@@ -184,7 +184,7 @@ class MerkleStore:
         oid = blake2b(b"ring\x00" + struct.pack(f"<{len(numbers)}d", *numbers), digest_size=16).digest()
         n = len(numbers) // 2
         if oid not in self.seen:
-            self.put("ring", oid, None, None, None, [{"lon": a, "lat": b} for a, b in zip(numbers[::2], numbers[1::2])], n, None)
+            self.put("ring", oid, None, None, None, numbers, n, None)
         children.append({"role": "ring", "ordinal": 0, "oid": oid, "n_vertices": n, "id": None})
         return n
 
@@ -264,9 +264,8 @@ def _entry_type():
     """The entry schema without a session, so that executors can build it."""
     from pyspark.sql import types as T
 
-    vertex = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
     child = T.StructType([T.StructField("role", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("oid", T.BinaryType()), T.StructField("n_vertices", T.IntegerType()), T.StructField("id", T.StringType())])
-    kinds = [("kind", T.StringType()), ("oid", T.BinaryType()), ("id", T.StringType()), ("sg_idx", T.IntegerType()), ("attrs", T.StringType()), ("ring", T.ArrayType(vertex)), ("n_vertices", T.IntegerType()), ("children", T.ArrayType(child)), ("rec_id", T.LongType())]
+    kinds = [("kind", T.StringType()), ("oid", T.BinaryType()), ("id", T.StringType()), ("sg_idx", T.IntegerType()), ("attrs", T.StringType()), ("ring", T.ArrayType(T.DoubleType())), ("n_vertices", T.IntegerType()), ("children", T.ArrayType(child)), ("rec_id", T.LongType())]
     return T.StructType([T.StructField(a, b) for a, b in kinds])
 
 
@@ -307,7 +306,8 @@ class NestedTables:
     @property
     def vertices(self) -> DataFrame:
         """oid of the ring, vertex_no, lon, lat."""
-        return self._kind("ring").select("oid", F.posexplode("ring").alias("vertex_no", "v")).select("oid", "vertex_no", "v.lon", "v.lat")
+        at = F.explode(F.sequence(F.lit(0), F.col("n_vertices") - 1)).alias("vertex_no")
+        return self._kind("ring").select("oid", "ring", at).select("oid", "vertex_no", F.get("ring", F.col("vertex_no") * 2).alias("lon"), F.get("ring", F.col("vertex_no") * 2 + 1).alias("lat"))
 
     def bridge(self, parent: str) -> DataFrame:
         """parent_oid, role, ordinal, child_oid: every occurrence of a child in a distinct parent of the kind named."""

@@ -45,7 +45,7 @@ def keep(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weft-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite").option("compression", "snappy")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _KEPT.append((spark, path))
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
