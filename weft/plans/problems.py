@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.operators import nested
+from weft.operators import nested, spatial
 from weft.sources.tables import table
 
 
@@ -13,5 +14,29 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return nested.ring_vertices(nested.flatten_scenes(table(spark, root, "scene_raw")))
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Nodes within 30 m of each other, and the survey zones that hold a node."""
+    points = spatial.locate(table(spark, root, "scene_nodes"), "node_id", F.col("region.geo_bbox"), F.col("region.geo_polygon"))
+    return spatial.near_and_inside(points, spatial.zone_shapes(table(spark, root, "survey_zones")), 30.0)
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+SQL: dict[str, str] = {
+    "p3_found": """
+with b as (select node_id, region.geo_bbox g, region.geo_polygon p from scene_nodes),
+l0 as (select node_id,
+ case when g.west is not null and g.south is not null and g.east is not null and g.north is not null and not (g.west=0 and g.south=0 and g.east=0 and g.north=0) then (g.south+g.north)/2
+  when len(p)>0 then (list_min(list_transform(p, lambda v: v.lat))+list_max(list_transform(p, lambda v: v.lat)))/2 end lat,
+ case when g.west is not null and g.south is not null and g.east is not null and g.north is not null and not (g.west=0 and g.south=0 and g.east=0 and g.north=0) then (g.west+g.east)/2
+  when len(p)>0 then (list_min(list_transform(p, lambda v: v.lon))+list_max(list_transform(p, lambda v: v.lon)))/2 end lon from b),
+loc as (select distinct node_id, lat, lon, cast(floor(lat/0.0003) as bigint) r from l0 where lat is not null),
+c as (select node_id, lat, lon, r+d.d r from loc, (values (-1),(0),(1)) d(d)),
+near as (select a.node_id x, b.node_id y from loc a join c b on a.r=b.r and a.node_id<b.node_id and abs(a.lon-b.lon)<0.001
+  where 2*6371000*asin(sqrt(least(1.0, pow(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2)))) <= 30),
+z as (select distinct zone_id, geo_polygon p, geo_bbox g from survey_zones),
+e as (select zone_id, p[i].lon x1, p[i].lat y1, p[i % len(p) + 1].lon x2, p[i % len(p) + 1].lat y2 from (select zone_id, p, unnest(range(1, len(p)+1)) i from z where len(p)>=3)),
+poly as (select node_id, zone_id from loc join e on (y1>lat)<>(y2>lat) and lon < (x2-x1)*(lat-y1)/(y2-y1)+x1 group by all having count(*)%2=1),
+box as (select node_id, zone_id from loc, z where coalesce(len(p),0)<3 and not (g.west=0 and g.south=0 and g.east=0 and g.north=0) and lon between least(g.west,g.east) and greatest(g.west,g.east) and lat between least(g.south,g.north) and greatest(g.south,g.north))
+select distinct 'near' kind, x left_id, y right_id from near union all select distinct 'inside', node_id, zone_id from (select * from poly union select * from box)
+""",
+}
