@@ -27,7 +27,7 @@ COVER = 0.6
 #: Words up to which ranks are broadcast (about 60 MB); beyond, they are joined.
 VOCABULARY = 1_000_000
 #: What counts as running English text; see prose().
-LEAST_WORDS, LEAST_COMMON, LEAST_SENTENCE = 50, 0.15, 0.5
+LEAST_WORDS, LEAST_COMMON, LEAST_SENTENCE = 50, 0.12, 0.65
 
 # Frequent function words of the languages told apart.
 _COMMON = {
@@ -43,6 +43,8 @@ _COMMON_WORDS = {k: frozenset(v.split()) for k, v in _COMMON.items()}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _ANY_WORD = re.compile(r"\S*[^\W_]\S*")
+#: Rulers and figures say nothing of whether a line is a sentence.
+_RULER = re.compile(r"([^\w\s])\1{3,}|\d[\d.,:]*")
 _SENTENCE_END = re.compile(r"[.!?]+[\"”’)\]]*(?=\s|$)|\n")
 
 FEATURES = "doc_id long, n_words int, common double, foreign double, sentence_like double, sentence_words double, sentence_letters double, vocab_rank double, words array<string>, counts array<int>"
@@ -62,7 +64,7 @@ def features(text: str) -> dict:
     like = total = 0
     lengths, letters = [], []
     for line in plain.split("\n"):
-        line = line.strip()
+        line = _RULER.sub("", line).strip()
         if not line:
             continue
         k = len(_WORD.findall(line))
