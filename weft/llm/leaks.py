@@ -31,7 +31,7 @@ _LOOKS_LIKE = {
 }
 
 _INLINE = frozenset("a abbr b big bdi bdo cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var wbr".split())
-_TAG = re.compile(r"<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>|&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", re.S)
+_TAG = re.compile(r"<!--.{0,20000}?-->|</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>|&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", re.S)
 _INVISIBLE = "\\u00ad\\u034f\\u061c\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\u206a-\\u206f\\ufe00-\\ufe0f\\ufeff"
 #: A word: letters and digits with marks; invisible characters, apostrophes and hyphens within don't end it, nor does a hyphen at a line's end.
 _WORD = re.compile(

@@ -42,42 +42,47 @@ _COMMON = {
 _COMMON_WORDS = {k: frozenset(v.split()) for k, v in _COMMON.items()}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_ANY_WORD = re.compile(r"\S*[^\W_]\S*")
+_LETTER, _NO_LETTER = re.compile(r"[^\W_]"), re.compile(r"[^\w\s]+|[\d_]+")
 #: Rulers and figures say nothing of whether a line is a sentence.
 _RULER = re.compile(r"([^\w\s])\1{3,}|\d[\d.,:]*")
-_SENTENCE_END = re.compile(r"[.!?]+[\"”’)\]]*(?=\s|$)|\n")
+_SENTENCE_END = re.compile(r"[.!?]+[\"”’)\]]*(?=\s|$)")
 
 FEATURES = "doc_id long, n_words int, common double, foreign double, sentence_like double, sentence_words double, sentence_letters double, vocab_rank double, words array<string>, counts array<int>"
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
 
 
 def features(text: str) -> dict:
     """Everything about one text but its vocabulary rank."""
     plain = without_markup(text)[0]
-    words = words_of(plain)
-    n = len(words)
-    counts = Counter(words)
-    share = {k: sum(counts[w] for w in common) / n if n else 0.0 for k, common in _COMMON_WORDS.items()}
+    counts: Counter = Counter()
     like = total = 0
     lengths, letters = [], []
     for line in plain.split("\n"):
-        line = _RULER.sub("", line).strip()
+        line = line.strip()
         if not line:
             continue
-        k = len(_WORD.findall(line))
+        k = 0
+        for sentence in _SENTENCE_END.split(line):
+            found = _WORD.findall(sentence.lower())
+            if found:
+                counts.update(found)
+                n = len(found)
+                k += n
+                if n >= 3:
+                    lengths.append(n)
+                    letters.append(sum(map(len, found)) / n)
         total += k
-        if k >= 3 and sum(c.isalpha() or c.isspace() for c in line) >= 0.82 * len(line):
-            like += k
-    for sentence in _SENTENCE_END.split(plain):
-        found = _WORD.findall(sentence)
-        if len(found) >= 3:
-            lengths.append(len(found))
-            letters.append(sum(map(len, found)) / len(found))
+        if k >= 3:
+            said = _RULER.sub("", line)
+            if len(_NO_LETTER.sub("", said)) >= 0.82 * len(said):
+                like += k
+    share = {k: sum(counts[w] for w in common) / total if total else 0.0 for k, common in _COMMON_WORDS.items()}
+    n_words = sum(1 for t in plain.split() if _LETTER.search(t))
     middle = lambda v: float((sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2) if v else 0.0
-    return {"n_words": len(_ANY_WORD.findall(plain)), "common": share.pop("en"), "foreign": max(share.values()), "sentence_like": like / total if total else 0.0, "sentence_words": middle(lengths), "sentence_letters": middle(letters), "counts": counts}
+    return {"n_words": n_words, "common": share.pop("en"), "foreign": max(share.values()), "sentence_like": like / total if total else 0.0, "sentence_words": middle(lengths), "sentence_letters": middle(letters), "counts": counts}
 
 
 def covering_rank(counts: Counter, rank: dict[str, int], cover: float) -> float:
