@@ -70,19 +70,21 @@ def downstream(directed: DataFrame) -> DataFrame:
 def flow_accumulation(directed: DataFrame) -> DataFrame:
     """raster_id, r, c, accumulation: cells upstream, itself included.
 
-    What each cell passes on travels one cell a round; a round handles all cells of its front, so
-    rounds are as many as the longest path and the front shrinks as water reaches its pits.
+    By doubling: with a(v) the cells fewer than n steps upstream of v and each cell's n-th cell
+    downstream known, those fewer than 2n steps upstream are a(v) and the a(u) of all u whose n-th
+    cell is v. So rounds are the logarithm of the longest path, and each is an aggregation.
     """
-    to = keep(downstream(directed))
-    total = keep(directed.select("raster_id", "r", "c", F.lit(1).cast("long").alias("accumulation")))
-    front = total.select("raster_id", "r", "c", F.col("accumulation").alias("flow"))
+    cell = ["raster_id", "r", "c"]
+    state = keep(directed.select(*cell, F.lit(1).cast("long").alias("a")).join(downstream(directed), cell, "left"))
     while True:
-        front = keep(front.join(to, ["raster_id", "r", "c"]).groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.sum("flow").alias("flow")))
-        if front.isEmpty():
-            return total
-        now = keep(total.join(front, ["raster_id", "r", "c"], "left").select("raster_id", "r", "c", (F.col("accumulation") + F.coalesce("flow", F.lit(0).cast("long"))).alias("accumulation")))
-        forget(total)
-        total = now
+        moving = state.where("r2 is not null")
+        if moving.isEmpty():
+            return state.select(*cell, F.col("a").alias("accumulation"))
+        gained = moving.groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.sum("a").alias("more"))
+        further = state.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("r2").alias("r4"), F.col("c2").alias("c4"))
+        now = keep(state.join(gained, cell, "left").join(further, ["raster_id", "r2", "c2"], "left").select(*cell, (F.col("a") + F.coalesce("more", F.lit(0).cast("long"))).alias("a"), F.col("r4").alias("r2"), F.col("c4").alias("c2")))
+        forget(state)
+        state = now
 
 
 def channels(accumulated: DataFrame, least: int) -> DataFrame:
@@ -95,23 +97,28 @@ def drainage_edges(directed: DataFrame, channel: DataFrame) -> DataFrame:
     return downstream(directed).join(cells, ["raster_id", "r", "c"], "left_semi").join(cells.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2")), ["raster_id", "r2", "c2"], "left_semi").select("raster_id", "r", "c", "r2", "c2")
 
 
-def strahler(channel: DataFrame, edges: DataFrame) -> DataFrame:
-    """raster_id, r, c, strahler: 1 at heads; where the largest upstream order meets itself, one more, else the largest."""
+def strahler(channel: DataFrame, edges: DataFrame, layers: int = 4) -> DataFrame:
+    """raster_id, r, c, strahler: 1 at heads; where the largest upstream order meets itself, one more, else the largest.
+
+    A cell is settled once all its upstream cells are; some layers are settled between two writes.
+    """
+    cell = ["raster_id", "r", "c"]
     edges = keep(edges)
-    cells = channel.select("raster_id", "r", "c")
     ups = edges.groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.count("*").alias("ups"))
-    waiting = keep(cells.join(ups, ["raster_id", "r", "c"], "left").select("raster_id", "r", "c", F.coalesce("ups", F.lit(0).cast("long")).alias("ups")))
-    done = keep(waiting.where("ups = 0").select("raster_id", "r", "c", F.lit(1).alias("strahler")))
+    state = keep(channel.select(*cell).join(ups, cell, "left").select(*cell, F.coalesce("ups", F.lit(0).cast("long")).alias("ups"), F.when(F.col("ups").isNull(), 1).alias("strahler")))
     while True:
-        arrived = done.join(edges, ["raster_id", "r", "c"]).groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.count("*").alias("n"), F.max("strahler").alias("top"), F.collect_list("strahler").alias("all"))
-        ready = waiting.where("ups > 0").join(arrived, ["raster_id", "r", "c"]).where("n = ups").join(done.select("raster_id", "r", "c"), ["raster_id", "r", "c"], "left_anti")
-        order = F.when(F.size(F.filter("all", lambda x: x == F.col("top"))) >= 2, F.col("top") + 1).otherwise(F.col("top"))
-        new = keep(ready.select("raster_id", "r", "c", order.alias("strahler")))
-        if new.isEmpty():
-            return done
-        now = keep(done.unionByName(new))
-        forget(done), forget(new)
-        done = now
+        now = state
+        for _ in range(layers):
+            told = now.where("strahler is not null").join(edges, cell).groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c"), F.col("strahler").alias("s")).agg(F.count("*").alias("n"))
+            best = told.groupBy("raster_id", "r", "c").agg(F.sum("n").alias("heard"), F.max(F.struct("s", "n")).alias("top"))
+            order = F.when(F.col("heard") == F.col("ups"), F.col("top.s") + F.when(F.col("top.n") >= 2, 1).otherwise(0))
+            now = now.join(best, cell, "left").select(*cell, "ups", F.coalesce("strahler", order).alias("strahler"))
+        now = keep(now)
+        left, before = now.where("strahler is null").count(), state.where("strahler is null").count()
+        forget(state)
+        state = now
+        if left == 0 or left == before:
+            return state.select(*cell, "strahler")
 
 
 def coarsen(cells: DataFrame, bin_size: int) -> DataFrame:

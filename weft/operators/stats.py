@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,9 +109,6 @@ def autoregression(rows: DataFrame, key: str, t: str, values: list[str], dt: flo
 
     drift is an array of d*d numbers, null where the map isn't determined.
     """
-    import numpy as np
-    import pandas as pd
-
     d = len(values)
     w = Window.partitionBy(key).orderBy(t)
     ahead = rows.dropna(subset=[key, t, *values]).select(key, *(F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(values)), *(F.lead(F.col(v).cast("double")).over(w).alias(f"y{i}") for i, v in enumerate(values))).where("y0 is not null")
