@@ -338,13 +338,13 @@ def soft_or_novelty(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""with s as (select distinct state_id, abs(v) / v_max n, greatest(0, 1 - abs(omega) / omega_max) st, 2 + abs(omega) cx, cast(state_id % 4 as int) k, v_max from rover_states join rovers using (rover_id) where v is not null and omega is not null and not isnan(v) and not isnan(omega)),
 f as (select state_id, k, v_max, case when n <= 0.05 then 1.0 when n >= 0.8 then 0.1 else 0.1 + 0.9 * (1 - (n - 0.05) / 0.75) end fn, 0.25 + 0.75 * st fs, 0.15 + 0.85 * exp(-3 * greatest(cx - 2, 0) / (2 + 1e-9)) fc, case k when 2 then 1.0 when 1 then 0.3 when 3 then 0.0 else 0.1 end ft from s)
-select state_id, round(fn, 5) f_novelty, round(fs, 5) f_stability, round(fc, 5) f_complexity, round(case when k = 3 then 0 when k <> 2 then least(0.1 + fn * fs * fc * ft * (v_max - 0.1), 0.2) else 0.1 + fn * fs * fc * ft * (v_max - 0.1) end, 5) v_target from f""")
+select state_id, round(fn, 9) f_novelty, round(fs, 9) f_stability, round(fc, 9) f_complexity, round(case when k = 3 then 0 when k <> 2 then least(0.1 + fn * fs * fc * ft * (v_max - 0.1), 0.2) else 0.1 + fn * fs * fc * ft * (v_max - 0.1) end, 9) v_target from f""")
 def velocity_factors(spark: SparkSession, root: str) -> DataFrame:
     s = table(spark, root, "rover_states").join(table(spark, root, "rovers").select("rover_id", "v_max", "omega_max"), "rover_id").where("v is not null and omega is not null and not isnan(v) and not isnan(omega)")
     s = s.select("state_id", "v_max", (F.abs("v") / F.col("v_max")).alias("n"), F.greatest(F.lit(0.0), 1 - F.abs("omega") / F.col("omega_max")).alias("st"), (2 + F.abs("omega")).alias("cx"), (F.col("state_id") % 4).cast("int").alias("k")).distinct()
     fn, fs, fc, ft = motion.novelty_factor(F.col("n")), motion.stability_factor(F.col("st")), motion.complexity_factor(F.col("cx")), motion.tracking_factor(F.col("k"))
     v = motion.target_speed(F.lit(0.1), F.col("v_max"), F.lit(0.2), F.col("k"), fn, fs, fc, ft)
-    return rounded(s.select("state_id", fn.alias("f_novelty"), fs.alias("f_stability"), fc.alias("f_complexity"), v.alias("v_target")), 5, "f_novelty", "f_stability", "f_complexity", "v_target")
+    return rounded(s.select("state_id", fn.alias("f_novelty"), fs.alias("f_stability"), fc.alias("f_complexity"), v.alias("v_target")), 9, "f_novelty", "f_stability", "f_complexity", "v_target")
 
 
 @query("select p_partkey, round((p_retailprice - p_size) / (p_retailprice + p_size), 6) ndvi, round(2.5 * (p_retailprice - p_size) / (p_retailprice + 6.0 * p_size - 7.5 * 10 + 1), 5) + 0.0 evi from part")
