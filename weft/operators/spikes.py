@@ -32,8 +32,8 @@ SOURCE_ROWS = 200_000
 def usual_scatter(x: np.ndarray, run: np.ndarray, valid: np.ndarray) -> tuple[float, float]:
     """Robust scatter of a source from second differences, which level changes and ramps leave alone, and its usual step.
 
-    Readings out of range or repeated three times or more are left out. Coarse readings,
-    whose median difference is zero, get the root mean square of their clipped differences.
+    Readings out of range or repeated three times or more are left out. An instrument can't
+    scatter less than its resolution lets it: the smallest step between two readings over root 12.
     """
     y = x[valid & (run < 3)]
     if len(y) < 8:
@@ -42,10 +42,9 @@ def usual_scatter(x: np.ndarray, run: np.ndarray, valid: np.ndarray) -> tuple[fl
         return 0.0, 0.0
     d1, d2 = np.abs(np.diff(y)), np.abs(np.diff(y, 2))
     s = 1.4826 * float(np.median(d2)) / 6**0.5
-    if s == 0 and (d2 > 0).any():
-        low = np.quantile(d2[d2 > 0], 0.5)
-        s = float(np.sqrt(np.mean(np.minimum(d2, low) ** 2) / 6))
-    return s, float(np.quantile(d1, 0.9))
+    steps = np.diff(np.unique(x[valid]))
+    resolution = float(steps[steps > 1e-9 * max(1.0, float(np.abs(y).max()))].min(initial=np.inf))
+    return max(s, resolution / 12**0.5 if np.isfinite(resolution) else 0.0), float(np.quantile(d1, 0.9))
 
 
 def run_lengths(x: np.ndarray) -> np.ndarray:

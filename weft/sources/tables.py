@@ -48,7 +48,7 @@ def keep(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _KEPT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def release(count: int = 0) -> None:
