@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from weft.functions.shapes import box_iou
 from weft.sources.tables import forget, keep
 
-#: A box over more cells than this is filed under its centre's cell alone, as pathological boxes would fill the grid.
-MOST_CELLS = 512
-
 
 def claims_of(nodes: DataFrame, *keep_columns: str) -> DataFrame:
     """One row for each claim of each node, with its place in the node's list."""
@@ -55,28 +52,35 @@ def argmax(rows: DataFrame, keys: list[str], value: str, item: str) -> DataFrame
     return rows.withColumn("best", best).where("best = 1").select(*keys, item, value)
 
 
-def box_cells(box: Column, size: float, pad: float = 0.0) -> Column:
-    """Cells that a box with a margin touches; its centre's cell alone where they'd be too many."""
+def _cells(box: Column, size: Column, pad: float) -> Column:
+    """Cells of that size that a box with a margin touches."""
     low = lambda v: F.floor((v - pad) / size)
     high = lambda v: F.floor((v + pad) / size)
-    x1, x2, y1, y2 = low(box["x1"]), high(box["x2"]), low(box["y1"]), high(box["y2"])
-    middle = F.array(F.struct(F.floor((box["x1"] + box["x2"]) / 2 / size).alias("cx"), F.floor((box["y1"] + box["y2"]) / 2 / size).alias("cy")))
-    grid = F.flatten(F.transform(F.sequence(x1, x2), lambda i: F.transform(F.sequence(y1, y2), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
-    return F.when((x2 - x1 + 1) * (y2 - y1 + 1) > MOST_CELLS, middle).otherwise(grid)
+    return F.flatten(F.transform(F.sequence(low(box["x1"]), high(box["x2"])), lambda i: F.transform(F.sequence(low(box["y1"]), high(box["y2"])), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
 def box_pairs(boxes: DataFrame, frame: list[str], size: float, pad: float = 0.0) -> DataFrame:
     """frame, a, b, box_a, box_b: pairs a < b of boxes of one frame that touch a common cell, once each.
 
-    A pair is made only in the first cell that both touch, so pairs need no distinct afterwards.
+    Cells double in size from level to level. A box is filed at the level where it touches at
+    most nine cells, and looked up there and at every larger level in use, so that a box over the
+    whole frame costs no more than a small one and no pair is lost. A pair is made only in the
+    first cell that both touch, and needs no distinct afterwards.
     """
-    filed = boxes.select(*frame, "id", "box", F.explode(box_cells(F.col("box"), size, pad)).alias("cell")).select(*frame, "id", "box", "cell.cx", "cell.cy")
-    a = filed.select(*frame, "cx", "cy", F.col("id").alias("a"), F.col("box").alias("box_a"))
-    b = filed.select(*frame, "cx", "cy", F.col("id").alias("b"), F.col("box").alias("box_b"))
-    first = lambda p, q: F.floor((F.greatest(F.col(p)[q], F.col("box_b")[q]) - pad) / size)
-    owner = (F.col("cx") == first("box_a", "x1")) & (F.col("cy") == first("box_a", "y1"))
-    large = lambda c: (F.floor((F.col(c)["x2"] + pad) / size) - F.floor((F.col(c)["x1"] - pad) / size) + 1) * (F.floor((F.col(c)["y2"] + pad) / size) - F.floor((F.col(c)["y1"] - pad) / size) + 1) > MOST_CELLS
-    return a.join(b, [*frame, "cx", "cy"]).where(F.col("a") < F.col("b")).where(owner | large("box_a") | large("box_b")).select(*frame, "a", "b", "box_a", "box_b")
+    extent = F.greatest(F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1")) + 2 * pad
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(size)) / size))).cast("int")
+    levelled = boxes.select(*frame, "id", "box", level.alias("own"))
+    top = levelled.agg(F.max("own")).first()[0] or 0
+    width = lambda lv: F.lit(size) * F.pow(F.lit(2.0), lv)
+
+    filed = levelled.select(*frame, "id", "box", F.col("own").alias("level"), F.explode(_cells(F.col("box"), width(F.col("own")), pad)).alias("cell")).select(*frame, "level", "cell.cx", "cell.cy", F.col("id").alias("b"), F.col("box").alias("box_b"))
+    every = levelled.select(*frame, "id", "box", "own", F.explode(F.sequence(F.col("own"), F.lit(top))).alias("level"))
+    asked = every.select(*frame, "id", "box", "own", "level", F.explode(_cells(F.col("box"), width(F.col("level")), pad)).alias("cell")).select(*frame, "own", "level", "cell.cx", "cell.cy", F.col("id").alias("a"), F.col("box").alias("box_a"))
+    first = lambda side: F.floor((F.greatest(F.col("box_a")[side], F.col("box_b")[side]) - pad) / width(F.col("level")))
+    once = (F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))
+    met = asked.join(filed, [*frame, "level", "cx", "cy"]).where(once & (F.col("a") != F.col("b")) & (F.col("cx") == first("x1")) & (F.col("cy") == first("y1")))
+    swap = F.col("a") > F.col("b")
+    return met.select(*frame, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("box_b")).otherwise(F.col("box_a")).alias("box_a"), F.when(swap, F.col("box_a")).otherwise(F.col("box_b")).alias("box_b"))
 
 
 def iou_pairs(boxes: DataFrame, frame: list[str], least: float, size: float = 0.05) -> DataFrame:
