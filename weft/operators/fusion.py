@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.shapes import box_iou
 from weft.sources.tables import forget, keep
 
+#: States of a variable in belief propagation.
+MOST_STATES = 200
+
 
 def claims_of(nodes: DataFrame, *keep_columns: str) -> DataFrame:
     """One row for each claim of each node, with its place in the node's list."""
@@ -101,8 +106,6 @@ def cluster_claims(claims: DataFrame, frame: list[str], iou: float = 0.5) -> Dat
 
     The result depends on the order, so a frame (one tile or scene, of bounded size) is one worker's.
     """
-    import pandas as pd
-
     key_types = dict(claims.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,36 +157,64 @@ def capped_degree(edges: DataFrame, cap: int) -> DataFrame:
 def belief_propagation(unary: DataFrame, pairs: DataFrame, table: DataFrame, rounds: int = 30, damping: float = 0.5, tol: float = 1e-4) -> DataFrame:
     """var, state, p: marginals by loopy sum-product in logs, all messages at once, damped.
 
-    unary: var, state, x (log potentials, each state of each variable); pairs: a, b, weight (a < b);
-    table: s, t, cost, the pair potential being -weight * cost. Messages are a table, so a round
-    is two joins and two aggregations; rounds end when no message moves by more than tol.
+    unary: var, state, x (log potentials; a state that a variable lacks is impossible for it);
+    pairs: a, b, weight (a < b); table: s, t, cost, the pair potential being -weight * cost. A pair is
+    one row with its two messages as arrays over the states, which are a dimension of at most
+    MOST_STATES; a round is one aggregation by variable and a join for each end, and rounds end when
+    no message moves by more than tol.
     """
-    ways = keep(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")))
-    states = unary.select("var", "state").distinct()
-    n = states.groupBy("var").agg(F.count("*").alias("n"))
-    message = keep(ways.join(states.join(n, "var").select(F.col("var").alias("dst"), "state", "n"), "dst").select("src", "dst", "state", (-F.ln("n")).alias("m")))
+    states = sorted(r[0] for r in unary.select("state").distinct().limit(MOST_STATES + 1).collect())
+    if len(states) > MOST_STATES:
+        raise ValueError(f"more than {MOST_STATES} states")
+    k, at = len(states), {s: i for i, s in enumerate(states)}
+    cost = np.ones((k, k))
+    for r in table.collect():
+        if r.s in at and r.t in at:
+            cost[at[r.s], at[r.t]] = r.cost
+    own = keep(unary.groupBy("var").agg(F.array(*(F.coalesce(F.max(F.when(F.col("state") == s, F.col("x"))), F.lit(float("-inf"))) for s in states)).alias("x")))
+    flat = F.array(*(F.lit(-float(np.log(max(1, k)))) for _ in states))
+    message = keep(pairs.select("a", "b", F.col("weight").cast("double").alias("weight"), flat.alias("to_b"), flat.alias("to_a"), F.lit(0.0).alias("moved")))
+
+    @F.pandas_udf("struct<to_b:array<double>,to_a:array<double>,moved:double>")
+    def exchange(at_a: pd.Series, at_b: pd.Series, to_b: pd.Series, to_a: pd.Series, weight: pd.Series) -> pd.DataFrame:
+        a, b, mb, ma = (np.stack(c.to_list()) if len(c) else np.zeros((0, k)) for c in (at_a, at_b, to_b, to_a))
+        w = weight.to_numpy()
+        out, moved = [], np.zeros(len(w))
+        for belief, back, old, potential in ((a, ma, mb, cost), (b, mb, ma, cost.T)):
+            told = belief - back
+            new = np.empty_like(old)
+            for i in range(0, len(w), 4_096):
+                x = told[i : i + 4_096, :, None] - w[i : i + 4_096, None, None] * potential
+                top = x.max(1, keepdims=True)
+                y = np.log(np.exp(x - top).sum(1)) + top[:, 0]
+                y = damping * old[i : i + 4_096] + (1 - damping) * (y - _log_total(y))
+                new[i : i + 4_096] = y - _log_total(y)
+            moved = np.maximum(moved, np.abs(new - old).max(1, initial=0))
+            out.append(list(new))
+        return pd.DataFrame({"to_b": out[0], "to_a": out[1], "moved": moved})
+
+    def beliefs(m: DataFrame) -> DataFrame:
+        heard = m.select(F.col("b").alias("var"), F.col("to_b").alias("m")).unionByName(m.select(F.col("a").alias("var"), F.col("to_a").alias("m")))
+        sums = heard.groupBy("var").agg(F.array(*(F.sum(F.col("m")[i]) for i in range(k))).alias("m"))
+        return own.join(sums, "var", "left").select("var", F.when(F.col("m").isNull(), F.col("x")).otherwise(F.zip_with("x", "m", lambda x, y: x + y)).alias("x"))
+
     for _ in range(rounds):
-        belief = unary.join(message.groupBy(F.col("dst").alias("var"), "state").agg(F.sum("m").alias("s")), ["var", "state"], "left").select("var", "state", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("b"))
-        # What src tells dst leaves out what dst told src.
-        told = ways.join(belief.select(F.col("var").alias("src"), F.col("state").alias("s"), "b"), "src").join(message.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("state").alias("s"), "m"), ["src", "dst", "s"]).select("src", "dst", "weight", "s", (F.col("b") - F.col("m")).alias("x"))
-        each = told.join(F.broadcast(table.withColumnRenamed("t", "state")), "s").withColumn("x", F.col("x") - F.col("weight") * F.col("cost"))
-        top = each.withColumn("top", F.max("x").over(Window.partitionBy("src", "dst", "state")))
-        raw = top.groupBy("src", "dst", "state").agg((F.ln(F.sum(F.exp(F.col("x") - F.col("top")))) + F.first("top")).alias("x"))
-        w = Window.partitionBy("src", "dst")
-
-        def normal(df: DataFrame, x: str) -> DataFrame:
-            shifted = df.withColumn("hi", F.max(x).over(w))
-            return shifted.withColumn(x, F.col(x) - F.col("hi") - F.ln(F.sum(F.exp(F.col(x) - F.col("hi"))).over(w))).drop("hi")
-
-        mixed = normal(raw, "x").join(message, ["src", "dst", "state"]).withColumn("new", damping * F.col("m") + (1 - damping) * F.col("x"))
-        now = keep(normal(mixed, "new").select("src", "dst", "state", F.col("new").alias("m"), F.abs(F.col("new") - F.col("m")).alias("moved")))
-        delta = now.agg(F.max("moved")).first()[0]
+        now = beliefs(message)
+        a, b = (now.select(F.col("var").alias(s), F.col("x").alias(f"at_{s}")) for s in "ab")
+        told = message.join(a, "a").join(b, "b").select("a", "b", "weight", exchange("at_a", "at_b", "to_b", "to_a", "weight").alias("n"))
+        step = keep(told.select("a", "b", "weight", "n.to_b", "n.to_a", "n.moved"))
         forget(message)
-        message = now.drop("moved")
+        message = step
+        delta = message.agg(F.max("moved")).first()[0]
         if delta is None or delta < tol:
             break
-    final = unary.join(message.groupBy(F.col("dst").alias("var"), "state").agg(F.sum("m").alias("s")), ["var", "state"], "left").select("var", "state", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("x"))
-    return softmax(final, ["var"], "x").select("var", "state", "p")
+    each = beliefs(message).select("var", F.explode(F.arrays_zip(F.array(*map(F.lit, states)).alias("state"), F.col("x").alias("x"))).alias("e")).select("var", "e.state", "e.x")
+    return softmax(each.where(F.col("x") > float("-inf")), ["var"], "x").select("var", "state", "p")
+
+
+def _log_total(y: np.ndarray) -> np.ndarray:
+    top = y.max(1, keepdims=True)
+    return np.log(np.exp(y - top).sum(1, keepdims=True)) + top
 
 
 def fit_sources(claims: DataFrame, prior: DataFrame, categories: DataFrame, key: str, rounds: int = 10, alpha: float = 10.0, step: float = 0.5) -> tuple[dict[str, float], DataFrame]:
