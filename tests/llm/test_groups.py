@@ -41,6 +41,15 @@ def test_against_brute_force(spark, bound):
     assert groups(spark, pairs, partition_rows=bound) == brute(pairs)
 
 
+@pytest.mark.parametrize("parts", [2, 3, 9, 20])
+def test_many_small_groups_over_many_partitions(spark, parts):
+    pairs = [(f"a{i:04d}", f"b{i:04d}") for i in range(9000)] + [(f"b{i:04d}", f"c{i:04d}") for i in range(0, 9000, 2)] + [(f"c{i:04d}", f"c{i + 2:04d}") for i in range(0, 1000, 4)]
+    random.Random(parts).shuffle(pairs)
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(parts)
+    rows = linked_groups(df).collect()
+    assert len(rows) == len({r.node for r in rows}) and {r.node: r.group_id for r in rows} == brute(pairs)
+
+
 def test_defined_cases(spark):
     assert groups(spark, [(None, "a"), ("a", None), (None, None), ("b", "b")]) == {}
     assert groups(spark, []) == {}

@@ -123,8 +123,8 @@ def linked_groups(pairs: DataFrame, a: str = "a", b: str = "b", partition_rows:
             forest = _exchange(forest, least, _forest_of(4 * partition_rows))
             break
         parts = max(least, parts // FAN_IN)
-        # All of a partition's rows must meet, so its bound is the partition itself.
-        smaller = keep(forest.repartition(parts, "node").mapInArrow(_forest_of(rows + 1), _STAR))
+        # All of a partition's rows must meet: its bound is the two nodes that each row can bring.
+        smaller = keep(forest.repartition(parts, "node").mapInArrow(_forest_of(2 * rows), _STAR))
         forget(forest)
         forest, merged = smaller, parts == 1
     return forest.select("node", F.col("root").alias("group_id")).unionByName(forest.select(F.col("root").alias("node"), F.col("root").alias("group_id")).distinct())
