@@ -79,6 +79,12 @@ def test_very_long_payload_and_deep_nesting(spark):
     assert len(rows) == 50_000
 
 
+def test_odd_values(spark):
+    deep = '{"nodes": [{"id": "n1", "x": ' + "[" * 600 + "]" * 600 + "}]}"
+    _, rows = found(spark, '{"sg_idx": 99999999999, "nodes": [{"id": "\\ud800x", "region": {"id": 5, "area": 1e999, "score": ' + "9" * 400 + ', "geo_polygon": [[' + "9" * 400 + ', 1]]}}]}', '{"sg_idx": "4", "nodes": [{"id": "n", "region": {"id": "r", "geo_polygon": [[NaN, 1]]}}]}', deep, '{"nodes": ' + "[" * 1200 + "]" * 1200 + "}")
+    assert rows == {(None, "?x", "region", "5", -1), (4, "n", "region", "r", 0)}
+
+
 def test_several_values_in_a_payload():
     assert read_payload('{"a": 1}\n{"b": 2}') == [{"a": 1}, {"b": 2}]
     assert read_payload('{"a": 1}\n{"b": ') is None

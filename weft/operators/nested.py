@@ -139,23 +139,23 @@ def ring_of(value) -> list[float]:
     out: list[float] = []
     try:
         _flat(value, out)
-    except (TypeError, ValueError, IndexError):
+    except (TypeError, ValueError, IndexError, OverflowError):
         return []
     return out[: len(out) // 2 * 2]
 
 
 def _number(value):
     """Numbers written as text become numbers, so that both ways of writing hash alike."""
-    if isinstance(value, str):
+    if isinstance(value, str) or isinstance(value, int) and not isinstance(value, bool):
         try:
             return float(value)
-        except ValueError:
+        except (ValueError, OverflowError):
             return value
-    return float(value) if isinstance(value, int) and not isinstance(value, bool) else value
+    return value
 
 
-def _identity(kind: str, attrs: str, children) -> bytes:
-    h = blake2b(f"{kind}\x00{attrs}\x00".encode("utf-8", "surrogatepass"), digest_size=16)
+def _identity(kind: str, own: str | None, attrs: str, children) -> bytes:
+    h = blake2b(f"{kind}\x00{'' if own is None else '=' + own}\x00{attrs}\x00".encode("utf-8", "surrogatepass"), digest_size=16)
     for c in children:
         h.update(c["role"].encode())
         h.update(c["oid"])
@@ -193,9 +193,10 @@ class MerkleStore:
             if value.get(key) is not None:
                 own = str(value[key])
                 break
+        own = own if own is None else own.encode("utf-8", "replace").decode()  # half a surrogate pair is no text
         rest = {k: _number(v) if k in ("score", "area") else v for k, v in value.items() if k not in skip and v is not None}
-        attrs = json.dumps({"id": own, **rest} if own is not None else rest, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "replace").decode()
-        oid = _identity(kind, attrs, children)
+        attrs = json.dumps(rest, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "replace").decode()
+        oid = _identity(kind, own, attrs, children)
         self.put(kind, oid, own, sg_idx, attrs, None, n_vertices, children)
         return oid, own
 
@@ -220,8 +221,10 @@ class MerkleStore:
         given = value.get("sg_idx")
         try:
             sg_idx = int(given) if given is not None else sg_idx
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, OverflowError):
             pass
+        if sg_idx is not None and not -(2**31) <= sg_idx < 2**31:
+            sg_idx = None
         children: list = []
         for i, (key, node) in enumerate(members(value["nodes"], _ID_KEYS["node"])):
             oid, own = self.node(node, key)
@@ -252,8 +255,11 @@ def _batches(source, size: int = 20_000):
             if parsed is None:
                 continue
             kids = []
-            for i, scene in enumerate(scenes_in(parsed)):
-                kids.append({"role": "scene", "ordinal": i, "oid": store.scene(scene, idx), "n_vertices": None, "id": None})
+            try:
+                for i, scene in enumerate(scenes_in(parsed)):
+                    kids.append({"role": "scene", "ordinal": i, "oid": store.scene(scene, idx), "n_vertices": None, "id": None})
+            except RecursionError:  # nested beyond what can be walked: unreadable
+                continue
             store.rows.append(("root", None, None, None, None, None, None, kids, rec))
             if len(store.rows) >= size:
                 yield flush()
@@ -317,7 +323,8 @@ class NestedTables:
 def flatten_scenes(raw: DataFrame, rec: str = "rec_id", sg_idx: str = "sg_idx", payload: str = "payload") -> NestedTables:
     """Flat tables of the scene graphs in a column of JSON payloads.
 
-    Defined cases: a null, blank or cut-off payload gives no rows; an empty table gives
+    Defined cases: a null, blank, cut-off or endlessly nested payload gives no rows; a scene number
+    that is no 32-bit integer is null; an empty table gives
     empty tables; other columns are not read, so their names cannot clash; an object
     without an id keeps a null id; a region that is null, absent or empty is none; a
     repeated object is stored once and each occurrence stays in the bridge.
