@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from weft.operators.nested import flatten_scenes, members, read_payload, ring_of, ring_vertices
+from weft.operators.nested import flatten_scenes, in_steps, members, read_payload, ring_of, ring_vertices
 
 SCHEMA = "rec_id long, sg_idx int, payload string, attrs string"
 RING = [[1.5, 2.0], [3.0, 4.0], [5.0, 6.0], [1.5, 2.0]]
@@ -79,6 +79,14 @@ def test_very_long_payload_and_deep_nesting(spark):
     assert len(rows) == 50_000
 
 
+def test_rings_come_back_as_written(spark):
+    rings = [[[-33.4335322, 50.1234567], [179.9999999, -89.9999999]], [[1 / 3, 2 / 3], [1e-9, 5.0]], [[500.0, 1.0]]]
+    t, _ = found(spark, *(scene(region={"id": f"r{i}", "geo_polygon": r}) for i, r in enumerate(rings)))
+    got = {(r.lon, r.lat) for r in t.vertices.collect()}
+    assert got == {tuple(p) for r in rings for p in r}
+    assert in_steps([-33.4335322]) == [-334335322] and in_steps([1 / 3]) is None and in_steps([500.0]) is None and in_steps([float("nan")]) is None
+
+
 def test_odd_values(spark):
     deep = '{"nodes": [{"id": "n1", "x": ' + "[" * 600 + "]" * 600 + "}]}"
     _, rows = found(spark, '{"sg_idx": 99999999999, "nodes": [{"id": "\\ud800x", "region": {"id": 5, "area": 1e999, "score": ' + "9" * 400 + ', "geo_polygon": [[' + "9" * 400 + ', 1]]}}]}', '{"sg_idx": "4", "nodes": [{"id": "n", "region": {"id": "r", "geo_polygon": [[NaN, 1]]}}]}', deep, '{"nodes": ' + "[" * 1200 + "]" * 1200 + "}")

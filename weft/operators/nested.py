@@ -29,6 +29,8 @@ from weft.sources.tables import keep
 
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 _FIRST_RING = re.compile(r"\(\s*([^()]*?)\s*\)")
+#: Steps of a degree in which rings are stored where they are written so; others stay doubles.
+STEPS = 1e7
 _ID_KEYS = {"node": ("id", "node_id"), "region": ("id", "region_id"), "claim": ("id", "claim_id")}
 
 
@@ -162,6 +164,15 @@ def _identity(kind: str, own: str | None, attrs: str, children) -> bytes:
     return h.digest()
 
 
+def in_steps(numbers: list[float]) -> list[int] | None:
+    """Coordinates as whole steps of 1e-7 degrees, half the size of doubles, if that loses nothing; else None."""
+    try:
+        steps = [round(x * STEPS) for x in numbers]
+    except (ValueError, OverflowError):
+        return None
+    return steps if all(-(2**31) <= i < 2**31 and i / STEPS == x for i, x in zip(steps, numbers)) else None
+
+
 class MerkleStore:
     """Canonicalises and hashes payload objects bottom-up; hands out each object once per store."""
 
@@ -175,7 +186,7 @@ class MerkleStore:
             if len(self.seen) >= self.bound:  # repeats between two fillings are removed by the shuffle
                 self.seen.clear()
             self.seen.add(oid)
-            self.rows.append((kind, oid, *rest, None))
+            self.rows.append((kind, oid, *rest, None, None))
 
     def ring(self, value, children: list) -> int:
         numbers = ring_of(value)
@@ -184,7 +195,9 @@ class MerkleStore:
         oid = blake2b(b"ring\x00" + struct.pack(f"<{len(numbers)}d", *numbers), digest_size=16).digest()
         n = len(numbers) // 2
         if oid not in self.seen:
-            self.put("ring", oid, None, None, None, numbers, n, None)
+            steps = in_steps(numbers)
+            self.seen.add(oid)
+            self.rows.append(("ring", oid, None, None, None, numbers if steps is None else None, n, None, None, steps))
         children.append({"role": "ring", "ordinal": 0, "oid": oid, "n_vertices": n, "id": None})
         return n
 
@@ -260,7 +273,7 @@ def _batches(source, size: int = 20_000):
                     kids.append({"role": "scene", "ordinal": i, "oid": store.scene(scene, idx), "n_vertices": None, "id": None})
             except RecursionError:  # nested beyond what can be walked: unreadable
                 continue
-            store.rows.append(("root", None, None, None, None, None, None, kids, rec))
+            store.rows.append(("root", None, None, None, None, None, None, kids, rec, None))
             if len(store.rows) >= size:
                 yield flush()
     yield flush()
@@ -271,7 +284,7 @@ def _entry_type():
     from pyspark.sql import types as T
 
     child = T.StructType([T.StructField("role", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("oid", T.BinaryType()), T.StructField("n_vertices", T.IntegerType()), T.StructField("id", T.StringType())])
-    kinds = [("kind", T.StringType()), ("oid", T.BinaryType()), ("id", T.StringType()), ("sg_idx", T.IntegerType()), ("attrs", T.StringType()), ("ring", T.ArrayType(T.DoubleType())), ("n_vertices", T.IntegerType()), ("children", T.ArrayType(child)), ("rec_id", T.LongType())]
+    kinds = [("kind", T.StringType()), ("oid", T.BinaryType()), ("id", T.StringType()), ("sg_idx", T.IntegerType()), ("attrs", T.StringType()), ("ring", T.ArrayType(T.DoubleType())), ("n_vertices", T.IntegerType()), ("children", T.ArrayType(child)), ("rec_id", T.LongType()), ("steps", T.ArrayType(T.IntegerType()))]
     return T.StructType([T.StructField(a, b) for a, b in kinds])
 
 
@@ -313,7 +326,8 @@ class NestedTables:
     def vertices(self) -> DataFrame:
         """oid of the ring, vertex_no, lon, lat."""
         at = F.explode(F.sequence(F.lit(0), F.col("n_vertices") - 1)).alias("vertex_no")
-        return self._kind("ring").select("oid", "ring", at).select("oid", "vertex_no", F.get("ring", F.col("vertex_no") * 2).alias("lon"), F.get("ring", F.col("vertex_no") * 2 + 1).alias("lat"))
+        number = lambda k: F.coalesce(F.get("ring", k), F.get("steps", k) / STEPS)
+        return self._kind("ring").select("oid", "ring", "steps", at).select("oid", "vertex_no", number(F.col("vertex_no") * 2).alias("lon"), number(F.col("vertex_no") * 2 + 1).alias("lat"))
 
     def bridge(self, parent: str) -> DataFrame:
         """parent_oid, role, ordinal, child_oid: every occurrence of a child in a distinct parent of the kind named."""
