@@ -42,7 +42,9 @@ _COMMON = {
 _COMMON_WORDS = {k: frozenset(v.split()) for k, v in _COMMON.items()}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_LETTER, _NO_LETTER = re.compile(r"[^\W_]"), re.compile(r"[^\w\s]+|[\d_]+")
+_LETTER = re.compile(r"[^\W_]")
+#: Share of a line's characters that letters and blanks make up in a sentence.
+_MOSTLY = 0.82
 #: Rulers and figures say nothing of whether a line is a sentence.
 _RULER = re.compile(r"([^\w\s])\1{3,}|\d[\d.,:]*")
 _SENTENCE_END = re.compile(r"[.!?]+[\"”’)\]]*(?=\s|$)")
@@ -57,30 +59,33 @@ def words_of(text: str) -> list[str]:
 def features(text: str) -> dict:
     """Everything about one text but its vocabulary rank."""
     plain = without_markup(text)[0]
-    counts: Counter = Counter()
+    words: list[str] = []
     like = total = 0
     lengths, letters = [], []
     for line in plain.split("\n"):
         line = line.strip()
         if not line:
             continue
-        k = 0
-        for sentence in _SENTENCE_END.split(line):
-            found = _WORD.findall(sentence.lower())
-            if found:
-                counts.update(found)
-                n = len(found)
+        k = size = 0
+        for sentence in _SENTENCE_END.split(line.lower()):
+            found = _WORD.findall(sentence)
+            n = len(found)
+            if n:
+                words += found
                 k += n
+                chars = len("".join(found))
+                size += chars
                 if n >= 3:
                     lengths.append(n)
-                    letters.append(sum(map(len, found)) / n)
+                    letters.append(chars / n)
         total += k
-        if k >= 3:
-            said = _RULER.sub("", line)
-            if len(_NO_LETTER.sub("", said)) >= 0.82 * len(said):
-                like += k
-    share = {k: sum(counts[w] for w in common) / total if total else 0.0 for k, common in _COMMON_WORDS.items()}
-    n_words = sum(1 for t in plain.split() if _LETTER.search(t))
+        # Letters and blanks make up a sentence; only where they seem too few are rulers and figures taken off.
+        if k >= 3 and (size + line.count(" ") >= _MOSTLY * len(line) or size + line.count(" ") >= _MOSTLY * len(_RULER.sub("", line))):
+            like += k
+    counts = Counter(words)
+    share = {k: sum(counts[w] for w in common & counts.keys()) / total if total else 0.0 for k, common in _COMMON_WORDS.items()}
+    tokens = plain.split()
+    n_words = len(tokens) - sum(1 for t in [t for t in tokens if not t[0].isalnum()] if not _LETTER.search(t))
     middle = lambda v: float((sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2) if v else 0.0
     return {"n_words": n_words, "common": share.pop("en"), "foreign": max(share.values()), "sentence_like": like / total if total else 0.0, "sentence_words": middle(lengths), "sentence_letters": middle(letters), "counts": counts}
 
