@@ -163,28 +163,25 @@ def document_features(docs: DataFrame, ranks: DataFrame, cover: float = COVER, m
     return found.drop("words", "counts", "vocab_rank").join(ranked.select("doc_id", F.coalesce(reached, F.lit(0.0)).alias("vocab_rank")), "doc_id")
 
 
-_CALIBRATION = """
-with rated as (
-    select l.band, ln(f.vocab_rank + 1) as v, ln(f.sentence_words + 1) as w, ln(f.sentence_letters + 1) as c
-    from features f join ratings l on f.doc_id = l.doc_id
-    where l.band is not null
-), middle as (
-    select band, percentile_approx(v, 0.5, 10000) as v, percentile_approx(w, 0.5, 10000) as w, percentile_approx(c, 0.5, 10000) as c
-    from rated group by band
-), spread as (
-    select greatest(1.4826 * percentile_approx(abs(r.v - m.v), 0.5, 10000), 0.01) as v, greatest(1.4826 * percentile_approx(abs(r.w - m.w), 0.5, 10000), 0.01) as w, greatest(1.4826 * percentile_approx(abs(r.c - m.c), 0.5, 10000), 0.01) as c
-    from rated r join middle m on r.band = m.band
-)
-select m.band, m.v, m.w, m.c, s.v as sv, s.w as sw, s.c as sc from middle m cross join spread s
+_RATED = """
+select l.band, ln(f.vocab_rank + 1) as v, ln(f.sentence_words + 1) as w, ln(f.sentence_letters + 1) as c
+from {features} f join {ratings} l on f.doc_id = l.doc_id
+where l.band is not null
 """
 
-_BANDS = """
-select doc_id, min_by(band, struct(distance, band)) as band from (
-    select f.doc_id, b.band, pow((ln(f.vocab_rank + 1) - b.v) / b.sv, 2) * {v} + pow((ln(f.sentence_words + 1) - b.w) / b.sw, 2) * {w} + pow((ln(f.sentence_letters + 1) - b.c) / b.sc, 2) as distance
-    from features f cross join bands b
-) group by doc_id
+#: The middle of each feature in each band: one row for each band of the scale.
+_MIDDLE = "select band, percentile_approx(v, 0.5, 10000) as v, percentile_approx(w, 0.5, 10000) as w, percentile_approx(c, 0.5, 10000) as c from {rated} group by band order by band limit {most}"
+
+#: The usual distance from a band's middle, in one row.
+_SPREAD = """
+select greatest(1.4826 * percentile_approx(abs(r.v - m.v), 0.5, 10000), 0.01) as v, greatest(1.4826 * percentile_approx(abs(r.w - m.w), 0.5, 10000), 0.01) as w,
+       greatest(1.4826 * percentile_approx(abs(r.c - m.c), 0.5, 10000), 0.01) as c
+from {rated} r join {middle} m on r.band = m.band
 """
 
+#: Bands that a scale may have.
+MOST_BANDS = 100
+
 #: How much vocabulary rank and sentence length count beside letters a word, whose scale is the tightest.
 WEIGHT_RANK, WEIGHT_LENGTH = 0.1, 0.1
 
@@ -206,7 +203,15 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", t
     found = keep(document_features(source, vocabulary(source), cover, most))
     spark = docs.sparkSession
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("band").cast("int").alias("band"))
-    bands = spark.sql(_CALIBRATION.replace("features f", "{features} f").replace("ratings l", "{ratings} l"), features=found, ratings=rated)
-    # One row for each band of the scale.
-    per_doc = _BANDS.format(v=WEIGHT_RANK, w=WEIGHT_LENGTH).replace("features f", "{features} f").replace("bands b", "{bands} b")
-    return spark.sql(per_doc, features=prose(found).select("doc_id", "vocab_rank", "sentence_words", "sentence_letters"), bands=F.broadcast(keep(bands)))
+    told = keep(spark.sql(_RATED, features=found, ratings=rated))
+    middle = keep(spark.sql(_MIDDLE, rated=told, most=MOST_BANDS + 1))
+    bands, spread = middle.collect(), spark.sql(_SPREAD, rated=told, middle=middle).first()
+    if len(bands) > MOST_BANDS:
+        raise ValueError(f"more than {MOST_BANDS} bands")
+    texts = prose(found)
+    if not bands:
+        return texts.select("doc_id", F.lit(0).alias("band")).where(F.lit(False))
+    # The scale is a handful of numbers now, so each text is banded where it lies.
+    off = lambda column, at, scale: F.pow((F.ln(F.col(column) + 1) - F.lit(at)) / F.lit(scale), 2)
+    far = [F.struct((off("vocab_rank", b.v, spread.v) * WEIGHT_RANK + off("sentence_words", b.w, spread.w) * WEIGHT_LENGTH + off("sentence_letters", b.c, spread.c)).alias("distance"), F.lit(b.band).alias("band")) for b in bands]
+    return texts.select("doc_id", F.array_min(F.array(*far))["band"].alias("band"))
