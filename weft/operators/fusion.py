@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.shapes import box_iou
-from weft.sources.tables import forget, keep
+from weft.sources.tables import dimension, forget, keep
 
 #: States of a variable in belief propagation.
 MOST_STATES = 200
@@ -27,7 +27,7 @@ def filter_claims(claims: DataFrame, least: float = 0.0, sources: list[str] | No
 def confusion_prior(claims: DataFrame, categories: DataFrame, hit: float = 0.8) -> DataFrame:
     """source, label, cat, q: how likely a source says a label of a category; `hit` if it's the category's own name, the rest shared."""
     labels = claims.select(F.col("source_id").alias("source"), F.col("native_label").alias("label")).where("source is not null and label is not null").distinct()
-    raw = labels.crossJoin(F.broadcast(categories.select("cat"))).withColumn("raw", F.when(F.col("label") == F.col("cat"), hit).otherwise(1 - hit))
+    raw = labels.crossJoin(dimension(categories.select("cat"))).withColumn("raw", F.when(F.col("label") == F.col("cat"), hit).otherwise(1 - hit))
     return raw.select("source", "label", "cat", (F.col("raw") / F.sum("raw").over(Window.partitionBy("source", "cat"))).alias("q"))
 
 
@@ -37,7 +37,7 @@ def posteriors(claims: DataFrame, prior: DataFrame, weights: DataFrame | None, k
     Claims of unknown sources or labels say nothing; a group without evidence is uniform. A null
     table of weights counts every source with 1.
     """
-    groups = claims.select(*keys).distinct().crossJoin(F.broadcast(categories.select("cat")))
+    groups = claims.select(*keys).distinct().crossJoin(dimension(categories.select("cat")))
     said = claims.select(*keys, F.col("source_id").alias("source"), F.col("native_label").alias("label"), "score").join(prior, ["source", "label"])
     said = said.withColumn("lam", F.lit(1.0)) if weights is None else said.join(weights, "source")
     logs = said.groupBy(*keys, "cat").agg(F.sum(F.col("lam") * F.col("score") * F.ln(F.greatest(F.col("q"), F.lit(eps)))).alias("s"))
@@ -143,7 +143,7 @@ def category_distances(taxonomy: DataFrame) -> DataFrame:
     """a, b, d: 0 for the same category, 0.5 within a super-class, else 1. The taxonomy is a small dimension."""
     a, b = (taxonomy.select(F.col("cat").alias(s), F.col("super").alias(f"s{s}")) for s in "ab")
     d = F.when(F.col("a") == F.col("b"), 0.0).when(F.col("sa") == F.col("sb"), 0.5).otherwise(1.0)
-    return a.crossJoin(F.broadcast(b)).select("a", "b", d.alias("d"))
+    return a.crossJoin(dimension(b)).select("a", "b", d.alias("d"))
 
 
 def capped_degree(edges: DataFrame, cap: int) -> DataFrame:

@@ -98,7 +98,7 @@ def missing_cells(cells: DataFrame) -> DataFrame:
     """source, period_start, value, state: each empty period between a source's first and last, 'filled' or 'unsupported' (value null)."""
     spans = cells.groupBy("source", "interval").agg(F.min("k").alias("first"), F.max("k").alias("last"))
     blocks = spans.groupBy("interval").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("groups"))
-    spans = spans.join(F.broadcast(blocks), "interval").withColumn("bucket", F.pmod(F.xxhash64("source"), F.col("groups")).cast("int")).drop("groups")
+    spans = spans.join(blocks, "interval").withColumn("bucket", F.pmod(F.xxhash64("source"), F.col("groups")).cast("int")).drop("groups")
     # One marker row (k = -1) for each source and chunk, so that wholly empty chunks are there too.
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first")) / COLUMNS).cast("long"))
     marks = spans.select("source", "interval", "first", "last", "bucket", F.explode(chunks).alias("chunk"), F.lit(-1).cast("long").alias("k"), F.lit(0.0).alias("value"))

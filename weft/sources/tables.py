@@ -47,6 +47,9 @@ def keep(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_folder(spark)}/weft-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if not _KEPT:
+        atexit.unregister(release)
+        atexit.register(release)  # last registered runs first: the session is still there
     _KEPT.append((spark, path))
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
@@ -81,6 +84,10 @@ def forget(df: DataFrame) -> None:
             drop(e)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    """Tasks that a stage needs to fill the cluster, at least the shuffle partitions set."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def dimension(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df with a broadcast hint, after a check that it has at most `most` rows."""
+    from pyspark.sql import functions as F
+
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a dimension of more than {most} rows isn't broadcast")
+    return F.broadcast(df)
