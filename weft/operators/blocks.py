@@ -531,3 +531,87 @@ def cosine_code(rows: DataFrame, id_col: str, values: str, keep: int) -> DataFra
         return pd.DataFrame({"code": codes, "rebuilt": back})
 
     return rows.select(id_col, code(values).alias("c")).select(id_col, "c.code", "c.rebuilt")
+
+
+def persistence_1d(faces: DataFrame, key: str) -> DataFrame:
+    """key, birth, death: loops of each triangle mesh as edges and then faces come in by length; faces (a, b, c) with lengths ab, bc, ca.
+
+    Pairs of positive length only, by reduction of the boundary matrix; loops that no face fills have a null death.
+    """
+
+    def run(pdf):
+        length: dict[tuple[int, int], float] = {}
+        for r in pdf.itertuples(index=False):
+            for p, q, w in ((r.a, r.b, r.ab), (r.b, r.c, r.bc), (r.c, r.a, r.ca)):
+                length[min(p, q), max(p, q)] = float(w)
+        edges = sorted(length, key=lambda e: (length[e], e))
+        _check(len(edges))
+        at = {e: i for i, e in enumerate(edges)}
+        parent = {v: v for e in edges for v in e}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        loops = set()
+        for i, (p, q) in enumerate(edges):
+            x, y = find(p), find(q)
+            if x == y:
+                loops.add(i)
+            else:
+                parent[x] = y
+        triangles = sorted({tuple(sorted(t)) for t in pdf[["a", "b", "c"]].itertuples(index=False)}, key=lambda t: (max(length[t[0], t[1]], length[t[1], t[2]], length[t[0], t[2]]), t))
+        low: dict[int, set] = {}
+        pairs = []
+        for t in triangles:
+            column = {at[t[0], t[1]], at[t[1], t[2]], at[t[0], t[2]]}
+            while column and max(column) in low:
+                column ^= low[max(column)]
+            if column:
+                born = max(column)
+                low[born] = column
+                loops.discard(born)
+                death = max(length[t[0], t[1]], length[t[1], t[2]], length[t[0], t[2]])
+                if death > length[edges[born]]:
+                    pairs.append((length[edges[born]], death))
+        pairs += [(length[edges[i]], None) for i in sorted(loops)]
+        return pd.DataFrame({"birth": [p[0] for p in pairs], "death": pd.array([p[1] for p in pairs], dtype="Float64")})
+
+    return per_block(faces, key, run, "birth double, death double")
+
+
+def adapt_lengths(rows: DataFrame, key: str, steps: int = 20, rate: float = 0.05, penalty: float = 0.0) -> DataFrame:
+    """key, length_x, length_y, signal, noise, evidence: kernel parameters of each block's training rows (x, y, z) after some clipped ascent steps on the penalised log marginal likelihood."""
+
+    def run(pdf):
+        train = pdf[pdf.z.notna()]
+        p, z = train[["x", "y"]].to_numpy(float), train.z.to_numpy(float)
+        _check(len(p))
+        dx, dy = ((p[:, None, k] - p[None, :, k]) ** 2 for k in (0, 1))
+
+        def evidence(t):
+            lx, ly, s, n = np.exp(t)
+            cov = s**2 * np.exp(-0.5 * (dx / lx**2 + dy / ly**2)) + (n**2 + 1e-8) * np.eye(len(p))
+            root = np.linalg.cholesky(cov)
+            white = np.linalg.solve(root, z)
+            return -0.5 * white @ white - np.log(np.diag(root)).sum() - 0.5 * len(p) * math.log(2 * math.pi)
+
+        t = np.array([0.0, 0.0, 0.0, -1.0])
+        for _ in range(steps if len(p) > 1 else 0):
+            slope = np.array([(evidence(t + 1e-4 * e) - evidence(t - 1e-4 * e)) / 2e-4 for e in np.eye(4)]) - penalty * t
+            size = np.linalg.norm(slope)
+            t = np.clip(t + rate * slope * min(1.0, 3.0 / size if size else 1.0), -4, 2)
+        return pd.DataFrame([[*np.exp(t), float(evidence(t)) if len(p) else 0.0]], columns=["length_x", "length_y", "signal", "noise", "evidence"])
+
+    return per_block(rows, key, run, "length_x double, length_y double, signal double, noise double, evidence double")
+
+
+def weakening_sweep(edges: DataFrame, key: str, weak: str, factors: list[float]) -> DataFrame:
+    """key, factor, fiedler, entropy, gap of each graph as its weak edges (a boolean column) are scaled by each factor: one block for each graph and factor."""
+    scaled = edges.withColumn("factor", F.explode(F.array(*map(F.lit, factors)))).withColumn("w", F.when(F.col(weak), F.col("w") * F.col("factor")).otherwise(F.col("w"))).withColumn("block", F.concat_ws("\x1f", F.col(key).cast("string"), F.col("factor").cast("string")))
+    state = spectral_state(scaled.select("block", "src", "dst", "w"), "block")
+    names = scaled.select("block", key, "factor").distinct()
+    summary = state.groupBy("block").agg(F.max(F.when(F.col("mode") == 1, F.col("eigenvalue"))).alias("fiedler"), (F.ln(F.sum("h")) - F.sum(F.col("h") * F.ln("h")) / F.sum("h")).alias("entropy"), F.min(F.when(F.col("eigenvalue") > 1e-8, -F.col("curvature"))).alias("gap"))
+    return names.join(summary, "block").drop("block")

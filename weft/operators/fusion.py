@@ -247,3 +247,22 @@ def fit_sources(claims: DataFrame, prior: DataFrame, categories: DataFrame, key:
         if moved < 1e-5:
             break
     return lam, q
+
+
+def prompts_until_stable(start: DataFrame, detect, key: str, rounds: int = 10, tol: float = 1e-2) -> tuple[DataFrame, int]:
+    """Label shares of each key after repeating detection with the labels found last, until no key's shares move by more than tol.
+
+    start: key, label, p. detect takes such a table (what to look for) and returns key, label, confidence;
+    it's the caller's, usually a pandas UDF around a model. Returns the shares and the rounds made.
+    """
+    from weft.operators.stats import label_distribution
+
+    now = keep(start.select(key, "label", "p"))
+    for n in range(1, rounds + 1):
+        new = keep(label_distribution(detect(now), key, "label", F.col("confidence")))
+        moved = now.withColumnRenamed("p", "p0").join(new, [key, "label"], "full").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("p0", F.lit(0.0))))).first()[0]
+        forget(now)
+        now = new
+        if moved is None or moved <= tol:
+            return now, n
+    return now, rounds

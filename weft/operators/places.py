@@ -161,3 +161,14 @@ def required_modes(modes: DataFrame, key: str, mode: str, score: str, forced: Co
     """The k modes of each key: forced ones first, then the best scores."""
     w = Window.partitionBy(key).orderBy(F.when(forced, 0).otherwise(1), F.desc(score), mode)
     return modes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def solid_statistics(points: DataFrame, solids: list[dict]) -> DataFrame:
+    """solid, n, mean, std (0 for one), density of the intensity of the points in each solid; density is points over the closed-form volume."""
+    from weft.functions.shapes import solid_volume
+
+    volume = F.lit(None).cast("double")
+    for s in solids:
+        volume = F.when(F.col("solid") == str(s["id"]), float(solid_volume(s["scale"], s["shape"]))).otherwise(volume)
+    held = in_solids(points, solids).where("solid is not null")
+    return held.groupBy("solid").agg(F.count("*").alias("n"), F.avg("intensity").alias("mean"), F.coalesce(F.stddev_samp("intensity"), F.lit(0.0)).alias("std")).withColumn("density", F.col("n") / volume)

@@ -134,3 +134,30 @@ def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float, start:
 
     flat = rows.where(f"{key} is not null and {order} is not null and {value} is not null").select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
     return map_groups(flat, "k", ["o", "x"], run, f"k string, o {kind[order]}, x double, smooth double").select(F.col("k").cast(kind[key]).alias(key), F.col("o").alias(order), F.col("x").alias(value), "smooth")
+
+
+def largest_drop(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, at, drop: where a series falls most from one step to the next, the first of equals; series that never fall are left out."""
+    w = Window.partitionBy(key).orderBy(order)
+    falls = rows.where(f"{value} is not null").withColumn("drop", F.lag(value).over(w) - F.col(value)).where("drop > 0")
+    best = falls.groupBy(key).agg(F.max(F.struct(F.col("drop"), (-F.col(order).cast("double")).alias("first"), F.col(order).alias("at"))).alias("m"))
+    return best.select(key, "m.at", "m.drop")
+
+
+def stage_of(samples: DataFrame, stages: DataFrame, key: str, t: str, epoch: float) -> DataFrame:
+    """samples with the stage of the epoch that holds their time in seconds, null where none is given. stages: key, epoch number, stage."""
+    numbered = samples.withColumn("epoch", F.floor(F.col(t) / epoch).cast("long"))
+    return numbered.join(stages.select(key, F.col("epoch").cast("long").alias("epoch"), "stage"), [key, "epoch"], "left")
+
+
+def recent(rows: DataFrame, key: str, order: str, value: str, n: int = 60) -> DataFrame:
+    """rows with count, mean and largest of the last n values, the present one included."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(1 - n, 0)
+    return rows.withColumns({"recent_n": F.count(value).over(w), "recent_mean": F.avg(value).over(w), "recent_max": F.max(value).over(w)})
+
+
+def running_share(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """rows with the running sum of a value and its share of the key's total (0 without a total)."""
+    w = Window.partitionBy(key)
+    run, total = F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.sum(value).over(w)
+    return rows.withColumn("running", run).withColumn("share", F.when(total != 0, F.col("running") / total).otherwise(0.0))

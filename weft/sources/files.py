@@ -158,3 +158,18 @@ def city_fringe(spark: SparkSession, n: int, clusters: int, size: float, spread:
     c = F.col("id") % clusters
     angle, radius = 6.283185307179586 * u(F.col("id"), 3), spread * F.sqrt(-2 * F.ln(F.greatest(u(F.col("id"), 4), F.lit(1e-9))))
     return spark.range(n).select("id", (size * u(c, 1) + radius * F.cos(angle)).alias("x"), (size * u(c, 2) + radius * F.sin(angle)).alias("y"))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, height, width, channels and pixels (r, c, red, green, blue from 0 to 1) of images, decoded by Spark's own source; unreadable files are dropped."""
+    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                a = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)[:, :, ::-1][:, :, -3:] / 255.0
+                a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a
+                r, c = np.divmod(np.arange(row.height * row.width), row.width)
+                yield pd.DataFrame({"path": row.origin, "r": r, "c": c, "red": a[:, :, 0].ravel(), "green": a[:, :, 1].ravel(), "blue": a[:, :, 2].ravel()})
+
+    return raw.mapInPandas(run, "path string, r int, c int, red double, green double, blue double")
