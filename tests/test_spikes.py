@@ -44,6 +44,26 @@ def test_a_ramp_is_normal_but_a_spike_in_it_is_not():
     assert set(np.flatnonzero(judge(x, NAN, NAN, False))) == {80}
 
 
+@pytest.mark.parametrize("length", [1, 2, 3])
+@pytest.mark.parametrize("slope", [0.5, 1.0, 2.0, 5.0, -1.0])
+@pytest.mark.parametrize("depth", [12, 14, -12])
+def test_excursions_on_a_slope_are_found_wherever_the_chart_lags(slope, depth, length):
+    for seed in range(20):
+        x = series(seed=seed) + slope * np.arange(300)
+        around = x[149], x[150 + length]
+        x[150 : 150 + length] = min(around) - depth if depth > 0 else max(around) - depth
+        assert set(np.flatnonzero(judge(x, NAN, NAN, False) == 3)) == set(range(150, 150 + length))
+
+
+def test_turns_of_steep_ramps_and_readings_between_excursions_are_normal():
+    x = series()
+    x[100:109] += 20.0 * (4 - np.abs(np.arange(-4, 5)))
+    assert not judge(x, NAN, NAN, False).any()
+    x = series() + np.arange(300)
+    x[150] = x[152] = 30.0 + x[151]
+    assert set(np.flatnonzero(judge(x, NAN, NAN, False))) == {150, 152}
+
+
 def test_stuck_and_limits():
     x = series()
     x[20:35] = 101.0

@@ -5,6 +5,8 @@ and scale, whose updates use clipped residuals so that suspected values cannot d
 it along; a run-length counter for values that are stuck; and physical limits. Runs
 of at most three suspects are then checked exactly against the readings just before
 and just after. A run of more suspects is a change of level: the chart moves there.
+The chart lags on slopes, so every short run that steps off both its neighbours is
+checked too, whether the chart suspects it or not.
 
 Sources larger than a bound are cut along time into overlapping chunks, so that no
 task holds an unbounded source; a chunk's margin is far longer than the chart's
@@ -113,6 +115,49 @@ def excursions(x: np.ndarray, scatter: float, step: float, suspects: list[int])
     return out
 
 
+def stepped_off(x: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """First and last position of each run of at most three readings that all are off both their neighbours by more than limit, on one side; shorter runs first where they begin alike."""
+    found = []
+    for length in range(1, min(LONGEST, len(x) - 2) + 1):
+        before, after = x[: len(x) - length - 1], x[length + 1 :]
+        lowest = highest = x[1 : len(x) - length]
+        for k in range(1, length):
+            y = x[1 + k : len(x) - length + k]
+            lowest, highest = np.minimum(lowest, y), np.maximum(highest, y)
+        off = (lowest - np.maximum(before, after) > limit) | (np.minimum(before, after) - highest > limit)
+        found += [(i + 1, i + length) for i in np.flatnonzero(off).tolist()]
+    return sorted(found)
+
+
+def add_steps(x: np.ndarray, scatter: float, step: float, out: np.ndarray) -> None:
+    """Marks in out the runs of stepped_off that excursions() didn't get to see.
+
+    A reading between two excursions isn't one, so they are looked past; nor is the turn of a steep
+    ramp, which is reached from both sides by a step like the one before it.
+    """
+    n, limit, calm = len(x), EXCURSION * scatter, max(SUSPECT * scatter, 1.5 * step)
+    for i, j in stepped_off(x, limit):
+        if out[i : j + 1].any():
+            continue
+        a, b = i - 1, j + 1
+        while a >= 0 and out[a]:
+            a -= 1
+        while b < n and out[b]:
+            b += 1
+        if a < 0 or b >= n:
+            continue
+        side = 1.0 if x[i] > x[i - 1] else -1.0
+        run = side * x[i : j + 1]
+        if run.min() - max(side * x[a], side * x[b]) <= limit:
+            continue
+        turn = True
+        for end, near, far in ((i, a, a - 1), (j, b, b + 1)):
+            trend = side * (x[near] - x[far]) if 0 <= far < n and not out[far] else 0.0
+            turn &= trend > calm and side * (x[end] - x[near]) <= 2 * trend
+        if not turn:
+            out[i : j + 1] = True
+
+
 def judge(x: np.ndarray, low: float, high: float, zeros_rest: bool) -> np.ndarray:
     """Reason of each reading: 0 none, 1 out of range, 2 stuck, 3 excursion. An unknown limit is NaN."""
     with np.errstate(invalid="ignore"):
@@ -122,7 +167,9 @@ def judge(x: np.ndarray, low: float, high: float, zeros_rest: bool) -> np.ndarra
     scatter, step = usual_scatter(x, run, ~wrong)
     reason = np.zeros(len(x), dtype="int8")
     if scatter > 0:
-        reason[excursions(x, scatter, step, chart_suspects(x, scatter))] = 3
+        off = excursions(x, scatter, step, chart_suspects(x, scatter))
+        add_steps(x, scatter, step, off)
+        reason[off] = 3
     reason[stuck] = 2
     reason[wrong] = 1
     return reason
