@@ -1,6 +1,7 @@
 """Library operators against NumPy, closed forms and small fixtures."""
 
 import math
+import warnings
 
 import numpy as np
 import pytest
@@ -323,6 +324,27 @@ def test_belief_propagation_on_a_tree(spark):
         assert [got[n, k] for k in range(3)] == pytest.approx(v.tolist(), abs=1e-6)
 
 
+def test_rounds_that_end_before_the_tolerance_are_reported(spark):
+    u = spark.createDataFrame([(n, k, float(k * (n == "a"))) for n in "abc" for k in range(2)], "var string, state int, x double")
+    p = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "a string, b string, weight double")
+    t = spark.createDataFrame([(i, j, float(i != j)) for i in range(2) for j in range(2)], "s int, t int, cost double")
+    with pytest.warns(RuntimeWarning, match="after 4 rounds"):
+        fusion.belief_propagation(u, p, t, rounds=4)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        fusion.belief_propagation(u, p, t)
+
+
+@pytest.mark.parametrize("name, operator", [("loopy_bp", "belief_propagation"), ("source_weights", "fit_sources")])
+def test_registered_iterations_run_the_default_rounds(spark, data, monkeypatch, name, operator):
+    import __spark_entry__ as entry
+
+    real, given = getattr(fusion, operator), []
+    monkeypatch.setattr(fusion, operator, lambda *args, **named: given.append(named) or real(*args, **named))
+    entry.queries()[name](spark, data)
+    assert given == [{}]
+
+
 def test_posterior_without_evidence_is_uniform(spark):
     claims = spark.createDataFrame([("n", "nobody", "x", 1.0), ("m", "s", "a", 1.0)], "node_id string, source_id string, native_label string, score double")
     cats = spark.createDataFrame([("a",), ("b",)], "cat string")

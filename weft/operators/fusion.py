@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -161,7 +163,7 @@ def belief_propagation(unary: DataFrame, pairs: DataFrame, table: DataFrame, rou
     pairs: a, b, weight (a < b); table: s, t, cost, the pair potential being -weight * cost. A pair is
     one row with its two messages as arrays over the states, which are a dimension of at most
     MOST_STATES; a round is one aggregation by variable and a join for each end, and rounds end when
-    no message moves by more than tol.
+    no message moves by more than tol. It warns if they still do after the last.
     """
     states = sorted(r[0] for r in unary.select("state").distinct().limit(MOST_STATES + 1).collect())
     if len(states) > MOST_STATES:
@@ -198,6 +200,7 @@ def belief_propagation(unary: DataFrame, pairs: DataFrame, table: DataFrame, rou
         sums = heard.groupBy("var").agg(F.array(*(F.sum(F.col("m")[i]) for i in range(k))).alias("m"))
         return own.join(sums, "var", "left").select("var", F.when(F.col("m").isNull(), F.col("x")).otherwise(F.zip_with("x", "m", lambda x, y: x + y)).alias("x"))
 
+    delta = float("inf")
     for _ in range(rounds):
         now = beliefs(message)
         a, b = (now.select(F.col("var").alias(s), F.col("x").alias(f"at_{s}")) for s in "ab")
@@ -208,6 +211,8 @@ def belief_propagation(unary: DataFrame, pairs: DataFrame, table: DataFrame, rou
         delta = message.agg(F.max("moved")).first()[0]
         if delta is None or delta < tol:
             break
+    else:
+        warnings.warn(f"belief_propagation: messages still move by up to {delta:.1e} (tol {tol:.0e}) after {rounds} rounds", RuntimeWarning, stacklevel=2)
     each = beliefs(message).select("var", F.explode(F.arrays_zip(F.array(*map(F.lit, states)).alias("state"), F.col("x").alias("x"))).alias("e")).select("var", "e.state", "e.x")
     return softmax(each.where(F.col("x") > float("-inf")), ["var"], "x").select("var", "state", "p")
 
@@ -222,14 +227,15 @@ def fit_sources(claims: DataFrame, prior: DataFrame, categories: DataFrame, key:
 
     Each round: posteriors of every group under the present weights; the gradient of the expected
     log likelihood in each source's weight, one number for each source and so bounded, moved
-    multiplicatively (which stays on the simplex); confusion refitted from soft counts.
+    multiplicatively (which stays on the simplex); confusion refitted from soft counts. It warns if
+    weights still move by 1e-5 or more in the last round.
     """
     from weft.operators.stats import dirichlet_refit
 
     spark = claims.sparkSession
     sources = sorted(r[0] for r in prior.select("source").distinct().collect())
     lam = {s: 1.0 / len(sources) for s in sources}
-    q = prior
+    q, moved = prior, float("inf")
     for _ in range(rounds):
         weights = spark.createDataFrame(list(lam.items()), "source string, lam double")
         soft = keep(posteriors(claims, q, weights, [key], categories).select(key, "cat", "p"))
@@ -246,6 +252,8 @@ def fit_sources(claims: DataFrame, prior: DataFrame, categories: DataFrame, key:
         q = keep(dirichlet_refit(prior, counts, alpha))
         if moved < 1e-5:
             break
+    else:
+        warnings.warn(f"fit_sources: weights still move by up to {moved:.1e} (tol 1e-05) after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return lam, q
 
 

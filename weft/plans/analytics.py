@@ -465,7 +465,7 @@ def source_weights(spark: SparkSession, root: str) -> DataFrame:
     """Weights of sources by expectation maximisation; iterative, so without SQL."""
     c = keep(_claims(spark, root))
     cats = keep(_categories(c))
-    lam, _ = fusion.fit_sources(c, keep(fusion.confusion_prior(c, cats)), cats, "node_id", rounds=3)
+    lam, _ = fusion.fit_sources(c, keep(fusion.confusion_prior(c, cats)), cats, "node_id")
     return spark.createDataFrame(sorted(lam.items()), "source string, weight double")
 
 
@@ -522,7 +522,7 @@ def loopy_bp(spark: SparkSession, root: str) -> DataFrame:
     known = unary.select("var").distinct()
     pairs = keep(pairs.join(known.select(F.col("var").alias("a")), "a", "left_semi").join(known.select(F.col("var").alias("b")), "b", "left_semi"))
     d = fusion.category_distances(cats.select("cat", F.substring("cat", 1, 1).alias("super"))).select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("d").alias("cost"))
-    return rounded(fusion.argmax(fusion.belief_propagation(unary, pairs, keep(d), rounds=4), ["var"], "p", "state"), 5, "p")
+    return rounded(fusion.argmax(fusion.belief_propagation(unary, pairs, keep(d)), ["var"], "p", "state"), 5, "p")
 
 
 # ---- graphs ----
