@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from weft.operators.grouped import chunked
-from weft.operators.spikes import flag_spikes, judge, run_lengths
+from weft.operators.spikes import flag_spikes, judge, run_lengths, usual_of_sources, usual_scatter
 
 SCHEMA = "src string, field string, source string, row_id long, at double, x double, low double, high double, zeros_rest boolean, key string"
 NAN = float("nan")
@@ -124,6 +124,26 @@ def test_a_hot_source_in_chunks_is_judged_alike(spark):
     assert {tuple(r) for r in cut.collect()} == whole and cut.count() == len(whole) > 200
 
 
+def test_a_hot_source_whose_scatter_changes_is_judged_by_all_of_it(spark):
+    x = np.concatenate([series(15_000, seed=4), series(5_000, scatter=4.0, seed=5)])
+    for i in range(15_100, 19_900, 200):
+        x[i] = max(x[i - 1], x[i + 1]) + 25
+    rows = [("t", "f", "hot", i, float(i), float(v), None, None, False) for i, v in enumerate(x)]
+    df = frame(spark, rows).cache()
+    whole = {tuple(r) for r in flag_spikes(df).collect()}
+    assert {tuple(r) for r in flag_spikes(df, source_rows=2_000).collect()} == whole
+    assert {r[1] for r in whole} >= set(range(15_100, 19_900, 200))
+
+
+def test_usual_scatter_of_chunks_is_that_of_the_source(spark):
+    for x in (np.concatenate([series(9_000, seed=6), series(3_000, scatter=4.0, seed=7)]), np.round(series(8_000, 50, 0.2)), np.full(5_000, 7.0)):
+        rows = spark.createDataFrame([("s", f"s{i // 1000}", i, float(i), float(v), NAN, NAN, True) for i, v in enumerate(x)], "source string, key string, row_id long, at double, x double, low double, high double, core boolean")
+        margin = rows.selectExpr("source", "concat('s', cast(substr(key, 2) as int) + 1) key", "row_id", "at", "x", "low", "high", "false core").where("row_id % 1000 >= 900")
+        got = usual_of_sources(rows.unionByName(margin)).collect()
+        assert len(got) == 1
+        assert (got[0].scatter, got[0].step) == pytest.approx(usual_scatter(x, run_lengths(x), np.ones(len(x), bool)), rel=2e-3)
+
+
 def test_chunks_cover_every_row_once(spark):
     df = spark.range(5_000).selectExpr("'k' as key", "cast(id as double) as at", "id as row_id")
     cut = chunked(df, "key", "at", 500)

@@ -68,14 +68,20 @@ def map_groups(df: DataFrame, key: str, order: list[str], run: Callable, schema:
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(over, schema)
 
 
-def chunked(df: DataFrame, key: str, order: str, bound: int, pieces: int = 1024) -> DataFrame:
+def large_groups(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """Key and n, the number of rows, of groups of more than `bound` rows."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound)
+
+
+def chunked(df: DataFrame, key: str, order: str, bound: int, pieces: int = 1024, many: DataFrame | None = None) -> DataFrame:
     """df with chunk and core: groups of more than `bound` rows are cut along `order` into overlapping chunks.
 
     Cuts are quantiles of the group. Each chunk is eight pieces and also gets the piece
     before and the piece after it with core = false, as context. Groups up to the bound
-    stay chunk 0. The only extra cost without large groups is one count by key.
+    stay chunk 0. The only extra cost without large groups is one count by key; many, if given,
+    is its result, the larger groups' keys with n.
     """
-    many = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound)
+    many = large_groups(df, key, bound) if many is None else many
     if many.isEmpty():
         return df.withColumn("chunk", F.lit(0)).withColumn("core", F.lit(True))
     at = F.percentile_approx(F.col(order).cast("double"), [i / pieces for i in range(1, pieces)], 10_000)

@@ -10,16 +10,18 @@ checked too, whether the chart suspects it or not.
 
 Sources larger than a bound are cut along time into overlapping chunks, so that no
 task holds an unbounded source; a chunk's margin is far longer than the chart's
-memory and than the run lengths that matter.
+memory and than the run lengths that matter. What is usual is still the whole source's:
+the chunks' differences are gathered by source first, and every chunk is judged by that.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators.grouped import chunked, map_groups
+from weft.operators.grouped import chunked, large_groups, map_groups
+from weft.sources.tables import keep
 
 #: Weight of a new reading in the chart, and how many scales away it's suspected.
 WEIGHT, SUSPECT = 0.2, 6.0
@@ -29,6 +31,8 @@ EXCURSION, LONGEST = 10.0, 3
 STUCK = 15
 #: Readings of one source in one task.
 SOURCE_ROWS = 200_000
+#: Quantiles of a cut source's differences are off in rank by one part of so many.
+ACCURACY = 100_000
 
 
 def usual_scatter(x: np.ndarray, run: np.ndarray, valid: np.ndarray) -> tuple[float, float]:
@@ -158,13 +162,13 @@ def add_steps(x: np.ndarray, scatter: float, step: float, out: np.ndarray) -> No
             out[i : j + 1] = True
 
 
-def judge(x: np.ndarray, low: float, high: float, zeros_rest: bool) -> np.ndarray:
-    """Reason of each reading: 0 none, 1 out of range, 2 stuck, 3 excursion. An unknown limit is NaN."""
+def judge(x: np.ndarray, low: float, high: float, zeros_rest: bool, usual: tuple[float, float] | None = None) -> np.ndarray:
+    """Reason of each reading: 0 none, 1 out of range, 2 stuck, 3 excursion. An unknown limit is NaN; usual is the source's scatter and step if x is part of it."""
     with np.errstate(invalid="ignore"):
         wrong = (x < low) | (x > high)
     run = run_lengths(x)
     stuck = (run >= STUCK) & ~((x == 0) & zeros_rest)
-    scatter, step = usual_scatter(x, run, ~wrong)
+    scatter, step = usual or usual_scatter(x, run, ~wrong)
     reason = np.zeros(len(x), dtype="int8")
     if scatter > 0:
         off = excursions(x, scatter, step, chart_suspects(x, scatter))
@@ -178,12 +182,13 @@ def judge(x: np.ndarray, low: float, high: float, zeros_rest: bool) -> np.ndarra
 def _run(part, starts):
     cols = {c: part.column(c).to_numpy() for c in ("row_id", "x", "low", "high")}
     core, rest = part.column("core").to_numpy(), part.column("zeros_rest").to_numpy()
+    scatter, step = (part.column(c).to_numpy() for c in ("scatter", "step"))
     take, why = [], []
     for a, b in zip(starts[:-1], starts[1:]):
         ids, x = cols["row_id"][a:b], cols["x"][a:b]
         # Copies of a row stand side by side, as they agree in what is sorted by.
         once = a + np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        reason = judge(cols["x"][once], float(cols["low"][a]), float(cols["high"][a]), bool(rest[a]))
+        reason = judge(cols["x"][once], float(cols["low"][a]), float(cols["high"][a]), bool(rest[a]), None if np.isnan(scatter[a]) else (float(scatter[a]), float(step[a])))
         hit = np.flatnonzero((reason > 0) & core[once])
         take.append(once[hit])
         why.append(reason[hit])
@@ -193,6 +198,75 @@ def _run(part, starts):
     return {"src": picked.column("src").combine_chunks(), "row_id": cols["row_id"][take], "field": picked.column("field").combine_chunks(), "reason": names[np.concatenate(why)]}
 
 
+def _differences(part, starts):
+    """What usual_scatter takes quantiles of, for each core reading: d1, d2 without long runs, e1, e2 of all valid readings, NaN for none; and the reading, if valid."""
+    ids, x = part.column("row_id").to_numpy(), part.column("x").to_numpy()
+    low, high, core = (part.column(c).to_numpy() for c in ("low", "high", "core"))
+    take, found = [], []
+    for a, b in zip(starts[:-1], starts[1:]):
+        once = a + np.flatnonzero(np.concatenate([[True], ids[a + 1 : b] != ids[a : b - 1]]))
+        y = x[once]
+        with np.errstate(invalid="ignore"):
+            valid = ~((y < low[a]) | (y > high[a]))
+        short = valid & (run_lengths(y) < 3)
+        out = np.full((6, len(y)), np.nan)
+        for row, kept in ((0, np.flatnonzero(short)), (2, np.flatnonzero(valid))):
+            out[row, kept[1:]] = np.abs(np.diff(y[kept]))
+            if len(kept) > 2:
+                out[row + 1, kept[2:]] = np.abs(np.diff(y[kept], 2))
+        out[4, short], out[5, valid] = y[short], y[valid]
+        mine = core[once]
+        take.append(once[mine])
+        found.append(out[:, mine])
+    found = np.concatenate(found, axis=1)
+    return {"source": part.column("source").combine_chunks().take(np.concatenate(take))} | {c: found[k] for k, c in enumerate(("d1", "d2", "e1", "e2", "y", "x"))}
+
+
+def _gaps(part, starts):
+    """Least, greatest and smallest step above the floor of each source's sorted distinct readings, as far as they stand in this partition."""
+    x, floor = part.column("x").to_numpy(), part.column("floor").to_numpy()
+    least = []
+    for a, b in zip(starts[:-1], starts[1:]):
+        steps = np.diff(x[a:b])
+        least.append(steps[steps > floor[a]].min(initial=np.inf))
+    return {"source": part.column("source").combine_chunks().take(starts[:-1]), "floor": floor[starts[:-1]], "first": x[starts[:-1]], "last": x[starts[1:] - 1], "gap": np.array(least)}
+
+
+def usual_of_sources(grouped: DataFrame) -> DataFrame:
+    """source, scatter, step: usual_scatter of sources that are cut into chunks, of all their chunks together.
+
+    Quantiles come from a mergeable sketch (see ACCURACY); the resolution is exact, from the distinct
+    readings sorted over all partitions.
+    """
+    from weft.operators.grouped import bounds_of, groups_of
+
+    d = keep(map_groups(grouped, "key", ["at", "row_id"], _differences, "source string, d1 double, d2 double, e1 double, e2 double, y double, x double"))
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    half, most = (lambda c: F.percentile_approx(known(c), 0.5, ACCURACY)), (lambda c: F.percentile_approx(known(c), 0.9, ACCURACY))
+    few = F.count(known("y")) < 8
+    usual = d.groupBy("source").agg(
+        F.when(few, half("e2")).otherwise(half("d2")).alias("median"), F.when(few, most("e1")).otherwise(most("d1")).alias("step"),
+        (1e-9 * F.greatest(F.lit(1.0), F.when(few, F.max(F.abs(known("x")))).otherwise(F.max(F.abs(known("y")))))).alias("floor"),
+    )
+    usual = keep(usual)
+
+    def over(batches):
+        import pyarrow as pa
+
+        for part in groups_of(batches, "source"):
+            columns = _gaps(part, bounds_of(part.column("source")))
+            yield pa.RecordBatch.from_arrays([pa.array(columns["source"].to_pylist(), pa.string()), *(pa.array(columns[c], pa.float64()) for c in ("floor", "first", "last", "gap"))], ["source", "floor", "first", "last", "gap"])
+
+    values = d.where(~F.isnan("x")).select("source", "x").distinct().join(usual.select("source", "floor"), "source")
+    spans = values.repartitionByRange("source", "x").sortWithinPartitions("source", "x").mapInArrow(over, "source string, floor double, first double, last double, gap double")
+    # Spans of one source don't overlap: a step also lies between one's end and the next one's start.
+    across = F.col("first") - F.lag("last").over(Window.partitionBy("source").orderBy("first"))
+    gaps = spans.withColumn("across", across).groupBy("source").agg(F.least(F.min("gap"), F.coalesce(F.min(F.when(F.col("across") > F.col("floor"), F.col("across"))), F.lit(float("inf")))).alias("gap"))
+    resolution = F.when(F.col("gap") < float("inf"), F.col("gap") / 12**0.5).otherwise(0.0)
+    scatter = F.greatest(1.4826 * F.coalesce("median", F.lit(0.0)) / 6**0.5, F.coalesce(resolution, F.lit(0.0)))
+    return usual.join(gaps, "source", "left").select("source", scatter.alias("scatter"), F.coalesce("step", F.lit(0.0)).alias("step"))
+
+
 def flag_spikes(readings: DataFrame, source_rows: int = SOURCE_ROWS) -> DataFrame:
     """src, row_id, field, reason ('range', 'stuck', 'excursion') of each implausible reading.
 
@@ -207,6 +281,14 @@ def flag_spikes(readings: DataFrame, source_rows: int = SOURCE_ROWS) -> DataFram
         F.concat_ws("\x1f", "src", "field", "source").alias("key"), "src", "field", F.col("row_id").cast("long").alias("row_id"), F.col("at").cast("double").alias("at"), F.col("x").cast("double").alias("x"),
         F.coalesce(F.col("low").cast("double"), F.lit(float("nan"))).alias("low"), F.coalesce(F.col("high").cast("double"), F.lit(float("nan"))).alias("high"), "zeros_rest",
     )
-    cut = chunked(keyed, "key", "at", source_rows)
-    grouped = cut.withColumn("key", F.concat_ws("\x1f", "key", F.col("chunk").cast("string"))).drop("chunk")
+    many = large_groups(keyed, "key", source_rows)
+    hot = not many.isEmpty()
+    cut = chunked(keyed, "key", "at", source_rows, many=many) if hot else keyed.withColumn("chunk", F.lit(0)).withColumn("core", F.lit(True))
+    grouped = cut.withColumn("source", F.col("key")).withColumn("key", F.concat_ws("\x1f", "key", F.col("chunk").cast("string"))).drop("chunk")
+    if hot:
+        usual = usual_of_sources(grouped.join(many.select(F.col("key").alias("source")), "source", "left_semi"))
+        grouped = grouped.join(keep(usual), "source", "left")
+    else:
+        grouped = grouped.withColumn("scatter", F.lit(None).cast("double")).withColumn("step", F.lit(None).cast("double"))
+    grouped = grouped.drop("source").fillna(float("nan"), ["scatter", "step"])
     return map_groups(grouped, "key", ["at", "row_id"], _run, "src string, row_id long, field string, reason string")
