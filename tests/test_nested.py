@@ -101,3 +101,27 @@ def test_several_values_in_a_payload():
 def test_empty_table(spark):
     t, rows = found(spark)
     assert rows == set() and t.nodes.count() == 0 and t.roots.where(F.lit(True)).count() == 0
+
+
+def test_every_arrival_keeps_its_roots(spark):
+    text = json.dumps(scene(region={"id": "r1"}))
+    rows = [(0, None, text, "x"), (None, None, text, "x"), (None, None, text, "x"), (0, None, text, "x"), (1, None, "{", "x"), (2, None, json.dumps([scene(), scene()]), "x")]
+    t = flatten_scenes(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert sorted((r.rec_id is None, r.rec_id or 0, r.ordinal) for r in t.roots.collect()) == [(False, 0, 0), (False, 0, 0), (False, 2, 0), (False, 2, 1), (True, 0, 0), (True, 0, 0)]
+    assert t.scenes.count() == 2
+
+
+def test_numbers_written_as_text_hash_alike_at_any_depth(spark):
+    a = scene(region={"id": "r1", "geo_bbox": [1.5, 2, 3, 4], "name": "007"}, bbox={"x1": 0.1, "y1": 0.2})
+    b = scene(region={"id": "r1", "geo_bbox": ["1.50", "2", 3.0, "4"], "name": "007"}, bbox={"y1": "0.20", "x1": 0.1})
+    c = scene(region={"id": "r1", "geo_bbox": [1.5, 2, 3, 4], "name": "7"}, bbox={"x1": 0.1, "y1": 0.2})
+    t, _ = found(spark, a, b, c)
+    assert t.regions.count() == 2 and t.roots.count() == 3
+
+
+def test_vertices_and_bridge_lead_back_to_every_ring(spark):
+    t, rows = found(spark, scene(region={"id": "r1", "geo_polygon": RING}, claims=[{"id": "c1", "geo_polygon": RING[:3]}, {"id": "c2", "geo_polygon": [[0.123456789, 1.0]]}]))
+    kids = t.bridge("region").unionByName(t.bridge("claim")).where("role = 'ring'")
+    placed = kids.join(t.vertices.withColumnRenamed("oid", "child_oid"), "child_oid")
+    assert placed.count() == len(rows) == 8
+    assert {(r.vertex_no, r.lon, r.lat) for r in placed.collect()} == {(i, *map(float, p)) for i, p in enumerate(RING)} | {(0, 0.123456789, 1.0)}

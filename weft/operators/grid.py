@@ -1,16 +1,24 @@
 """Irregular readings onto a regular grid, gaps filled by low-rank factorisation.
 
 Readings are averaged per source and period. Sources and periods form matrices: the
-rows are sources with the same interval, the columns periods since each source's
-start. A matrix is cut into blocks of a bounded number of sources and periods, and
-alternating least squares with a ridge fits each block's observed cells by a row
-level plus a low-rank term. Observed cells stay exactly as they are; a missing cell
-gets the fit if its row and its column have enough observed cells, else it stays
-marked as unsupported.
+rows are sources with the same interval, the columns periods of the clock, so that
+sources recorded at the same time share their columns. A matrix is cut along the
+clock into chunks, and where a chunk has many sources into blocks of sources of
+like level. A cell is modelled as its row's local level (the middle of the observed
+cells around it) plus a low-rank term over all the block's sources, fitted by
+alternating least squares with a ridge to what the local level leaves of the observed
+cells. Observed cells stay exactly as they are; a missing cell gets the fit if its row
+has enough observed cells around it, or its row and its column have enough in the
+block, else it stays marked as unsupported.
+
+A chunk also sees the cells within reach of its ends, so local levels, and with them
+which rows support a cell, don't depend on where the clock is cut.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +28,12 @@ from weft.sources.tables import keep
 
 #: Periods and sources of one block, the rank, the ridge in units of the block's variance, and sweeps.
 COLUMNS, ROWS, RANK, RIDGE, SWEEPS = 256, 256, 2, 0.5, 8
-#: Observed cells that a row and a column need for their missing cells to be filled.
+#: Periods on either side whose observed cells make a cell's local level, and how many of them at most.
+REACH, NEAREST = 16, 6
+#: Observed cells within reach, or in the block's row and column, that a missing cell needs to be filled.
 ROW_SUPPORT, COLUMN_SUPPORT = 3, 2
+#: Cuts by level of a chunk with many sources.
+LEVELS = 64
 
 
 def cells_of(readings: DataFrame) -> DataFrame:
@@ -29,14 +41,15 @@ def cells_of(readings: DataFrame) -> DataFrame:
 
     readings: source, interval (seconds), reading_id, micros (since the epoch), x; period k
     covers [k*interval, (k+1)*interval) seconds. Copies of a reading_id count once; readings
-    without an id count once for each period.
+    without an id can't be told to be copies and count each.
     """
     width = F.col("interval").cast("long") * 1_000_000
     k = ((F.col("micros") - F.pmod(F.col("micros"), width)) / width).cast("long")
     placed = readings.where("source is not null and interval > 0 and micros is not null and x is not null and not isnan(x)").select("source", F.col("interval").cast("int").alias("interval"), k.alias("k"), "reading_id", "x")
-    # Both aggregations are satisfied by the one exchange on (source, interval, k).
-    once = placed.repartition("source", "interval", "k").groupBy("source", "interval", "k", "reading_id").agg(F.min("x").alias("x"))
-    return once.groupBy("source", "interval", "k").agg(F.avg("x").alias("value"))
+    # Both aggregations are satisfied by the one exchange on (source, interval, k). Without an id, readings are summed as they are.
+    known = F.col("reading_id").isNotNull()
+    once = placed.repartition("source", "interval", "k").groupBy("source", "interval", "k", "reading_id").agg(F.when(known, F.min("x")).otherwise(F.sum("x")).alias("x"), F.when(known, F.lit(1)).otherwise(F.count("*")).alias("n"))
+    return once.groupBy("source", "interval", "k").agg((F.sum("x") / F.sum("n")).alias("value"))
 
 
 def factorise(values: np.ndarray, seen: np.ndarray, rank: int = RANK, ridge: float = RIDGE, sweeps: int = SWEEPS) -> np.ndarray:
@@ -61,61 +74,121 @@ def factorise(values: np.ndarray, seen: np.ndarray, rank: int = RANK, ridge: flo
     return level[:, None] + (u @ v.T) * spread**0.5
 
 
+def local_levels(values: np.ndarray, seen: np.ndarray, reach: int = REACH, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    """Middle of up to `nearest` observed cells on each side within reach, the cell itself left out, and how many they are; NaN without any."""
+    n, m = values.shape
+    level, count = np.full((n, m), np.nan), np.zeros((n, m), int)
+    at, steps = np.arange(m), np.arange(nearest)
+    for i in range(n):
+        known = np.flatnonzero(seen[i])
+        if not len(known):
+            continue
+        before, after = np.searchsorted(known, at, side="left"), np.searchsorted(known, at, side="right")
+        picks = np.concatenate([before[:, None] - 1 - steps, after[:, None] + steps], axis=1)
+        inside = (picks >= 0) & (picks < len(known))
+        where = known[np.clip(picks, 0, len(known) - 1)]
+        inside &= np.abs(where - at[:, None]) <= reach
+        near = np.where(inside, values[i, where], np.nan)
+        some = inside.any(1)
+        count[i] = inside.sum(1)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            level[i, some] = np.nanmedian(near[some], axis=1)
+    return level, count
+
+
+def complete(values: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fit of every cell of a block, and which cells have enough support for it.
+
+    Near observed cells of its row a cell is their local level plus the low-rank term of what
+    that leaves; far from any it's the row's level plus the low-rank term of the row's whole course.
+    """
+    local, count = local_levels(values, seen)
+    shared, near = seen.sum(0) >= COLUMN_SUPPORT, count >= ROW_SUPPORT
+    far = ~near & (seen.sum(1) >= ROW_SUPPORT)[:, None] & shared[None, :]
+    fit = np.where(np.isnan(local), 0.0, local)
+    if shared.any():
+        rest = np.where(seen & near, values - fit, 0.0)
+        # A spike must not turn the factors: what is left of a cell counts up to three times the row's usual.
+        usual = np.array([1.4826 * np.median(np.abs(r[s])) if s.any() else 0.0 for r, s in zip(rest, seen)])[:, None]
+        fit = fit + np.where(shared[None, :], factorise(np.clip(rest, -3 * usual, 3 * usual), seen & shared[None, :]), 0.0)
+        if (far & ~seen).any():
+            fit = np.where(near, fit, factorise(values, seen))
+    return fit, near | far
+
+
 def _fill(part, starts):
-    source, k, first, last, value = (part.column(c) for c in ("source", "k", "first", "last", "value"))
+    source, k, first, last, value, real = (part.column(c) for c in ("source", "k", "first", "last", "value", "real"))
     interval, chunk = part.column("interval").to_numpy(), part.column("chunk").to_numpy()
     code = source.combine_chunks().dictionary_encode()
     names, codes = code.dictionary, code.indices.to_numpy()
-    k, first, last, value = k.to_numpy(), first.to_numpy(), last.to_numpy(), value.to_numpy()
+    k, first, last, value, real = k.to_numpy(), first.to_numpy(), last.to_numpy(), value.to_numpy(), real.to_numpy()
     who, when, fill, state = [], [], [], []
     for a, b in zip(starts[:-1], starts[1:]):
         rows, where = np.unique(codes[a:b], return_inverse=True)
-        start, end = np.zeros(len(rows), "int64"), np.zeros(len(rows), "int64")
-        start[where], end[where] = first[a:b], last[a:b]
-        base = start + chunk[a] * COLUMNS
-        wide = np.minimum(COLUMNS, end - base + 1)
-        m = int(wide.max())
+        start, end = np.ones(len(rows), "int64"), np.zeros(len(rows), "int64")  # a source known only from beyond the chunk's end has nothing to fill
+        mark = np.flatnonzero(~real[a:b])
+        start[where[mark]], end[where[mark]] = first[a + mark], last[a + mark]
+        base = chunk[a] * COLUMNS - REACH
+        m = COLUMNS + 2 * REACH
         values, seen = np.zeros((len(rows), m)), np.zeros((len(rows), m), dtype=bool)
-        cell = np.flatnonzero(k[a:b] >= 0)
-        values[where[cell], k[a + cell] - base[where[cell]]] = value[a + cell]
-        seen[where[cell], k[a + cell] - base[where[cell]]] = True
-        part_of = np.arange(m)[None, :] < wide[:, None]
-        i, j = np.nonzero(part_of & ~seen)
+        cell = np.flatnonzero(real[a:b])
+        values[where[cell], k[a + cell] - base] = value[a + cell]
+        seen[where[cell], k[a + cell] - base] = True
+        at = base + np.arange(m)
+        mine = (at[None, :] >= np.maximum(start, base + REACH)[:, None]) & (at[None, :] <= np.minimum(end, base + REACH + COLUMNS - 1)[:, None])
+        i, j = np.nonzero(mine & ~seen)
         if not len(i):
             continue
-        supported = (seen.sum(1)[i] >= ROW_SUPPORT) & (seen.sum(0)[j] >= COLUMN_SUPPORT)
-        fit = factorise(values, seen)[i, j] if supported.any() else np.zeros(len(i))
+        fit, enough = complete(values, seen)
+        supported = enough[i, j]
         who.append(rows[i])
-        when.append((base[i] + j) * int(interval[a]))
-        fill.append(np.where(supported, fit, np.nan))
+        when.append(at[j] * int(interval[a]))
+        fill.append(np.where(supported, fit[i, j], np.nan))
         state.append(np.where(supported, "filled", "unsupported"))
     if not who:
         return {"source": [], "period_start": [], "value": [], "state": []}
     return {"source": names.take(np.concatenate(who)), "period_start": np.concatenate(when), "value": np.concatenate(fill), "state": np.concatenate(state).astype(object)}
 
 
-def missing_cells(cells: DataFrame) -> DataFrame:
-    """source, period_start, value, state: each empty period between a source's first and last, 'filled' or 'unsupported' (value null)."""
-    spans = cells.groupBy("source", "interval").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    blocks = spans.groupBy("interval").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("groups"))
-    spans = spans.join(blocks, "interval").withColumn("bucket", F.pmod(F.xxhash64("source"), F.col("groups")).cast("int")).drop("groups")
-    # One marker row (k = -1) for each source and chunk, so that wholly empty chunks are there too.
-    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first")) / COLUMNS).cast("long"))
-    marks = spans.select("source", "interval", "first", "last", "bucket", F.explode(chunks).alias("chunk"), F.lit(-1).cast("long").alias("k"), F.lit(0.0).alias("value"))
-    chunk = F.floor((F.col("k") - F.col("first")) / COLUMNS).cast("long")
-    seen = cells.join(spans, ["source", "interval"]).select("source", "interval", "first", "last", "bucket", chunk.alias("chunk"), "k", "value")
-    both = marks.unionByName(seen).withColumn("block", F.concat_ws("/", F.col("interval").cast("string"), F.col("chunk").cast("string"), F.col("bucket").cast("string"))).drop("bucket")
-    return map_groups(both, "block", ["source"], _fill, "source string, period_start long, value double, state string")
+def missing_cells(cells: DataFrame, rows: int = ROWS) -> DataFrame:
+    """source, period_start, value, state: each empty period between a source's first and last, 'filled' or 'unsupported' (value null).
 
-
-def regular_grid(readings: DataFrame) -> DataFrame:
+    A block has about `rows` sources: a chunk of the clock with more is cut at quantiles of the
+    sources' levels, and beyond LEVELS times as many also by a hash of the source.
+    """
+    spans = cells.groupBy("source", "interval").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.avg("value").alias("level"))
+    chunk_of = lambda k: F.floor(k / COLUMNS).cast("long")
+    # A marker for each source and chunk, so that wholly empty chunks are there too.
+    marks = spans.select("source", "interval", "first", "last", "level", F.explode(F.sequence(chunk_of(F.col("first")), chunk_of(F.col("last")))).alias("chunk"))
+    crowds = marks.groupBy("interval", "chunk").agg(F.count("*").alias("n"), F.percentile_approx("level", [i / LEVELS for i in range(1, LEVELS)], 1_000).alias("q")).where(F.col("n") > rows)
+    step = F.greatest(F.lit(1), F.floor(F.lit(LEVELS * rows) / F.col("n"))).cast("int")
+    crowds = keep(crowds.select("interval", "chunk", F.filter("q", lambda c, i: (i + 1) % step == 0).alias("cuts"), F.ceil(F.col("n") / (LEVELS * rows)).alias("parts")))
+    # A cell within reach of a chunk's end is seen by the chunk beyond it too.
+    seen = cells.select("source", "interval", "k", "value", F.explode(F.sequence(chunk_of(F.col("k") - REACH), chunk_of(F.col("k") + REACH))).alias("chunk"))
+    nothing = F.lit(None).cast("long")
+    both = marks.select("source", "interval", "chunk", "first", "last", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("value"), F.lit(False).alias("real")).unionByName(
+        seen.select("source", "interval", "chunk", nothing.alias("first"), nothing.alias("last"), "k", "value", F.lit(True).alias("real"))
+    )
+    here = F.concat_ws("/", F.col("interval").cast("string"), F.col("chunk").cast("string"))
+    if crowds.isEmpty():
+        placed = both.withColumn("block", here)
+    else:
+        rung, part = F.size(F.filter("cuts", lambda c: c <= F.col("level"))), F.pmod(F.xxhash64("source"), F.col("parts"))
+        where = both.join(crowds, ["interval", "chunk"], "left").join(spans.select("source", "interval", "level"), ["source", "interval"])
+        placed = where.withColumn("block", F.when(F.col("cuts").isNull(), here).otherwise(F.concat_ws("/", here, rung.cast("string"), part.cast("string")))).drop("cuts", "parts", "level")
+    return map_groups(placed, "block", ["source"], _fill, "source string, period_start long, value double, state string")
+
+
+def regular_grid(readings: DataFrame, rows: int = ROWS) -> DataFrame:
     """source, period_start (epoch seconds), value, state of every period from each source's first reading to its last.
 
     Defined cases: a source with one reading has one period; a period is 'observed' with the
-    exact mean of its readings, 'filled' with the low-rank fit, or 'unsupported' with a null
+    exact mean of its readings, 'filled' with the fit, or 'unsupported' with a null
     value; readings that are null, NaN, without a stamp or a source, or with an interval that
-    is null or not positive, are left out; an empty table gives none; other columns aren't read.
+    is null or not positive, are left out; readings without an id count each; stamps before
+    1970 have negative periods; an empty table gives none; other columns aren't read.
     """
     cells = keep(cells_of(readings))
     seen = cells.select("source", (F.col("k") * F.col("interval")).alias("period_start"), "value", F.lit("observed").alias("state"))
-    return seen.unionByName(missing_cells(cells))
+    return seen.unionByName(missing_cells(cells, rows))

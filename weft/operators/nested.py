@@ -146,13 +146,22 @@ def ring_of(value) -> list[float]:
     return out[: len(out) // 2 * 2]
 
 
+#: Attributes that hold numbers, alone or within lists and objects. Others (names, references) stay as written: "007" is no 7.
+_NUMERIC = frozenset(("score", "area", "bbox", "geo_bbox", "viewport", "weight", "confidence", "iou"))
+
+
 def _number(value):
-    """Numbers written as text become numbers, so that both ways of writing hash alike."""
+    """Numbers written as text become numbers, at any depth, so that both ways of writing hash alike."""
     if isinstance(value, str) or isinstance(value, int) and not isinstance(value, bool):
         try:
             return float(value)
         except (ValueError, OverflowError):
-            return value
+            opened = _text_to_json(value)
+            return _number(opened) if isinstance(opened, (list, dict)) else value
+    if isinstance(value, list):
+        return [_number(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _number(v) for k, v in value.items()}
     return value
 
 
@@ -207,7 +216,7 @@ class MerkleStore:
                 own = str(value[key])
                 break
         own = own if own is None else own.encode("utf-8", "replace").decode()  # half a surrogate pair is no text
-        rest = {k: _number(v) if k in ("score", "area") else v for k, v in value.items() if k not in skip and v is not None}
+        rest = {k: _number(v) if k in _NUMERIC else v for k, v in value.items() if k not in skip and v is not None}
         attrs = json.dumps(rest, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "replace").decode()
         oid = _identity(kind, own, attrs, children)
         self.put(kind, oid, own, sg_idx, attrs, None, n_vertices, children)
@@ -341,12 +350,13 @@ def flatten_scenes(raw: DataFrame, rec: str = "rec_id", sg_idx: str = "sg_idx",
     that is no 32-bit integer is null; an empty table gives
     empty tables; other columns are not read, so their names cannot clash; an object
     without an id keeps a null id; a region that is null, absent or empty is none; a
-    repeated object is stored once and each occurrence stays in the bridge.
+    repeated object is stored once and each occurrence stays in the bridge; each row with a
+    readable payload is an arrival with its own roots, if its record id is null or repeated too.
     """
     source = raw.select(F.col(rec).cast("long").alias("rec_id"), F.col(sg_idx).cast("int").alias("sg_idx"), F.col(payload).cast("string").alias("payload"))
     parsed = source.mapInArrow(_batches, _entry_type())
-    # A root has no identity: its record id takes its place, so that it too is one row per record.
-    keyed = parsed.withColumn("oid", F.coalesce("oid", F.concat(F.lit("root"), F.coalesce(F.col("rec_id"), F.monotonically_increasing_id()).cast("string")).cast("binary")))
+    # A root has no identity, it is an arrival: a number of its own keeps it apart from all others, whatever its record id.
+    keyed = parsed.withColumn("oid", F.coalesce("oid", F.concat(F.lit("root"), F.monotonically_increasing_id().cast("string")).cast("binary")))
     return NestedTables(keep(keyed.dropDuplicates(["oid"]), "kind"))
 
 
