@@ -146,7 +146,43 @@ def test_usual_scatter_of_chunks_is_that_of_the_source(spark):
 
 def test_chunks_cover_every_row_once(spark):
     df = spark.range(5_000).selectExpr("'k' as key", "cast(id as double) as at", "id as row_id")
-    cut = chunked(df, "key", "at", 500)
+    cut = chunked(df, "key", ["at"], 500)
     assert cut.where("core").count() == 5_000 and cut.where("core").select("chunk").distinct().count() > 5
     sizes = [r["count"] for r in cut.groupBy("chunk").count().collect()]
     assert max(sizes) < 2_000
+
+
+def test_chunks_follow_the_size_and_cut_ties(spark):
+    df = spark.range(40_000).selectExpr("if(id < 39000, 'k', 'small') as key", "cast(if(id < 20000, 7, id) as double) as at", "id as row_id")
+    cut = chunked(df, "key", ["at", "row_id"], 100)
+    assert cut.where("core").count() == 40_000
+    sizes = cut.where("key = 'k'").groupBy("chunk").count().collect()
+    assert len(sizes) > 400 and max(r["count"] for r in sizes) <= 110
+
+
+@pytest.mark.parametrize("x", [[5.0] * 5 + [50.0] + [5.0] * 4, [5.0] * 30 + [50.0, 51.0] + [5.0] * 13])
+def test_a_spike_cannot_hide_itself_in_a_constant_source(x):
+    assert (np.array(x)[judge(np.array(x), NAN, NAN, False) == 3] >= 50).sum() == sum(v >= 50 for v in x) == (judge(np.array(x), NAN, NAN, False) == 3).sum()
+
+
+def test_a_coarse_instrument_may_flicker():
+    x = np.full(200, 5.0)
+    x[10::29] = 6.0
+    assert not (judge(x, NAN, NAN, False) == 3).any()
+    x[100] = 40.0
+    assert set(np.flatnonzero(judge(x, NAN, NAN, False) == 3)) == {100}
+
+
+@pytest.mark.parametrize("bound", [500, 5_000])
+def test_any_bound_gives_the_same_flags(spark, bound):
+    rnd = np.random.default_rng(11)
+    x = np.concatenate([series(6_000, seed=8), np.round(series(6_000, scatter=5.0, seed=9)), np.full(200, 80.0), series(2_000, scatter=0.3, seed=10)])
+    at = np.floor(np.arange(len(x)) / 3)  # ties, which go by row_id
+    for i in rnd.choice(len(x) - 20, 150, replace=False):
+        x[i] += rnd.choice([-1, 1]) * rnd.uniform(20, 90)
+    rows = [("t", "f", "hot", i, float(at[i]), float(v), None, None, False) for i, v in enumerate(x)]
+    rows += [rows[i] for i in rnd.choice(len(rows), 2_000)]
+    rows += [("t", "f", f"s{k}", 10**6 + k * 200 + i, float(i), float(v), None, None, False) for k in range(3) for i, v in enumerate(x[:140])]
+    df = frame(spark, rows).cache()
+    whole, cut = (sorted(tuple(r) for r in flag_spikes(df, source_rows=b).collect()) for b in (10**6, bound))
+    assert cut == whole and len(whole) == len(set(whole)) > 100

@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.sources.tables import keep
+
 
 def groups_of(batches, key: str) -> Iterator:
     """Arrow tables, each with whole groups of a key-sorted stream of record batches."""
@@ -73,35 +75,40 @@ def large_groups(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound)
 
 
-def chunked(df: DataFrame, key: str, order: str, bound: int, pieces: int = 1024, many: DataFrame | None = None) -> DataFrame:
-    """df with chunk and core: groups of more than `bound` rows are cut along `order` into overlapping chunks.
+def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """df with rn, each row's place in its key's order from 0, without gathering a key: a sort over ranges of (key, order), counts of each range, and offsets from those.
+
+    Only one row for each key and range meets in a window. The sorted table is kept, so that numbers don't change when a task is repeated.
+    """
+    at = F.monotonically_increasing_id()  # partition number above, place in the partition below
+    sorted_rows = keep(df.repartitionByRange(F.col(key), *map(F.col, order)).sortWithinPartitions(key, *order).withColumn("_at", at)).withColumn("_part", F.shiftright("_at", 33))
+    parts = sorted_rows.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(key, "_part", "_first", before.alias("_before"))
+    return sorted_rows.join(offsets, [key, "_part"]).withColumn("rn", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")
+
+
+def chunked(df: DataFrame, key: str, order: list[str], bound: int, many: DataFrame | None = None) -> DataFrame:
+    """df with chunk and core: groups of more than `bound` rows are cut along `order` into overlapping chunks of at most about `bound` rows.
 
-    Cuts are quantiles of the group. Each chunk is eight pieces and also gets the piece
-    before and the piece after it with core = false, as context. Groups up to the bound
-    stay chunk 0. The only extra cost without large groups is one count by key; many, if given,
-    is its result, the larger groups' keys with n.
+    Cuts are made by row number, so rows equal in `order` are cut too, and there are as many chunks
+    as a group's size asks for. A chunk is eight pieces and also gets the piece before and the piece
+    after it with core = false, as context. Groups up to the bound stay chunk 0. The only extra cost
+    without large groups is one count by key; many, if given, is its result, the larger groups' keys with n.
     """
-    many = large_groups(df, key, bound) if many is None else many
+    many = keep(large_groups(df, key, bound)) if many is None else many
     if many.isEmpty():
         return df.withColumn("chunk", F.lit(0)).withColumn("core", F.lit(True))
-    at = F.percentile_approx(F.col(order).cast("double"), [i / pieces for i in range(1, pieces)], 10_000)
-    # Only as many cuts as the group's size asks for.
-    step = F.greatest(F.lit(1), F.floor(F.lit(pieces) * bound / 8 / F.col("n")).cast("int"))
-    cuts = (
-        df.join(F.broadcast(many.select(key)) if many.count() < 10_000 else many.select(key), key)
-        .groupBy(key)
-        .agg(at.alias("all"), F.count("*").alias("n"))
-        .select(key, F.array_distinct(F.filter("all", lambda c, i: (i + 1) % step == 0)).alias("cuts"))
-    )
-    piece: Column = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col(order).cast("double"))), F.lit(0))
-    mine = F.floor(F.col("piece") / 8).cast("int")
-    copies = F.filter(
+    size = max(1, bound // 10)
+    small = df.join(many.select(key), key, "left_anti").select(*df.columns, F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("core"))
+    large = numbered(df.join(many.select(key, F.col("n").alias("_n_rows")), key), key, order)
+    piece, last = F.floor(F.col("rn") / size), F.floor((F.col("_n_rows") - 1) / size)
+    mine = F.floor(piece / 8)
+    copies = F.array_compact(
         F.array(
             F.struct(mine.alias("chunk"), F.lit(True).alias("core")),
-            F.when((F.col("piece") % 8 == 0) & (F.col("piece") > 0), F.struct((mine - 1).alias("chunk"), F.lit(False).alias("core"))),
-            F.when((F.col("piece") % 8 == 7) & (F.col("piece") < F.coalesce(F.size("cuts"), F.lit(0))), F.struct((mine + 1).alias("chunk"), F.lit(False).alias("core"))),
-        ),
-        lambda c: c.isNotNull(),
+            F.when((piece % 8 == 0) & (piece > 0), F.struct((mine - 1).alias("chunk"), F.lit(False).alias("core"))),
+            F.when((piece % 8 == 7) & (piece < last), F.struct((mine + 1).alias("chunk"), F.lit(False).alias("core"))),
+        )
     )
-    spread = df.join(cuts, key, "left").withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(piece))
-    return spread.withColumn("copy", F.explode(copies)).select(*df.columns, "copy.chunk", "copy.core")
+    return small.unionByName(large.withColumn("_copy", F.explode(copies)).select(*df.columns, "_copy.chunk", "_copy.core"))

@@ -29,6 +29,8 @@ WEIGHT, SUSPECT = 0.2, 6.0
 EXCURSION, LONGEST = 10.0, 3
 #: Equal readings in a row from which on a source is stuck.
 STUCK = 15
+#: Runs of a value from which on it shows a hardly changing instrument's resolution.
+RETURNS = 3
 #: Readings of one source in one task.
 SOURCE_ROWS = 200_000
 #: Quantiles of a cut source's differences are off in rank by one part of so many.
@@ -40,6 +42,8 @@ def usual_scatter(x: np.ndarray, run: np.ndarray, valid: np.ndarray) -> tuple[fl
 
     Readings out of range or repeated three times or more are left out. An instrument can't
     scatter less than its resolution lets it: the smallest step between two readings over root 12.
+    Where readings hardly change at all, a step shows the resolution only if it's between values that
+    come back (see RETURNS); a value met once or twice is an excursion's, not the instrument's.
     """
     y = x[valid & (run < 3)]
     if len(y) < 8:
@@ -48,7 +52,13 @@ def usual_scatter(x: np.ndarray, run: np.ndarray, valid: np.ndarray) -> tuple[fl
         return 0.0, 0.0
     d1, d2 = np.abs(np.diff(y)), np.abs(np.diff(y, 2))
     s = 1.4826 * float(np.median(d2)) / 6**0.5
-    steps = np.diff(np.unique(x[valid]))
+    values = np.unique(x[valid])
+    if s == 0:
+        z = x[valid]
+        starts = z[np.concatenate([[True], z[1:] != z[:-1]])]
+        values, times = np.unique(starts, return_counts=True)
+        values = values[times >= RETURNS]
+    steps = np.diff(values)
     resolution = float(steps[steps > 1e-9 * max(1.0, float(np.abs(y).max()))].min(initial=np.inf))
     return max(s, resolution / 12**0.5 if np.isfinite(resolution) else 0.0), float(np.quantile(d1, 0.9))
 
@@ -170,7 +180,7 @@ def judge(x: np.ndarray, low: float, high: float, zeros_rest: bool, usual: tuple
     stuck = (run >= STUCK) & ~((x == 0) & zeros_rest)
     scatter, step = usual or usual_scatter(x, run, ~wrong)
     reason = np.zeros(len(x), dtype="int8")
-    if scatter > 0:
+    if scatter > 0 or (~wrong).sum() >= 8:  # a source that never scatters has no chart: any short run off both its neighbours stands out
         off = excursions(x, scatter, step, chart_suspects(x, scatter))
         add_steps(x, scatter, step, off)
         reason[off] = 3
@@ -199,7 +209,7 @@ def _run(part, starts):
 
 
 def _differences(part, starts):
-    """What usual_scatter takes quantiles of, for each core reading: d1, d2 without long runs, e1, e2 of all valid readings, NaN for none; and the reading, if valid."""
+    """What usual_scatter takes quantiles of, for each core reading: d1, d2 without long runs, e1, e2 of all valid readings, NaN for none; the reading, if valid, and whether it begins a run of equal ones."""
     ids, x = part.column("row_id").to_numpy(), part.column("x").to_numpy()
     low, high, core = (part.column(c).to_numpy() for c in ("low", "high", "core"))
     take, found = [], []
@@ -209,17 +219,18 @@ def _differences(part, starts):
         with np.errstate(invalid="ignore"):
             valid = ~((y < low[a]) | (y > high[a]))
         short = valid & (run_lengths(y) < 3)
-        out = np.full((6, len(y)), np.nan)
+        out = np.full((7, len(y)), np.nan)
         for row, kept in ((0, np.flatnonzero(short)), (2, np.flatnonzero(valid))):
             out[row, kept[1:]] = np.abs(np.diff(y[kept]))
             if len(kept) > 2:
                 out[row + 1, kept[2:]] = np.abs(np.diff(y[kept], 2))
         out[4, short], out[5, valid] = y[short], y[valid]
+        out[6, valid] = np.diff(y[valid], prepend=np.nan) != 0
         mine = core[once]
         take.append(once[mine])
         found.append(out[:, mine])
     found = np.concatenate(found, axis=1)
-    return {"source": part.column("source").combine_chunks().take(np.concatenate(take))} | {c: found[k] for k, c in enumerate(("d1", "d2", "e1", "e2", "y", "x"))}
+    return {"source": part.column("source").combine_chunks().take(np.concatenate(take))} | {c: found[k] for k, c in enumerate(("d1", "d2", "e1", "e2", "y", "x", "begins"))}
 
 
 def _gaps(part, starts):
@@ -240,7 +251,7 @@ def usual_of_sources(grouped: DataFrame) -> DataFrame:
     """
     from weft.operators.grouped import bounds_of, groups_of
 
-    d = keep(map_groups(grouped, "key", ["at", "row_id"], _differences, "source string, d1 double, d2 double, e1 double, e2 double, y double, x double"))
+    d = keep(map_groups(grouped, "key", ["at", "row_id"], _differences, "source string, d1 double, d2 double, e1 double, e2 double, y double, x double, begins double"))
     known = lambda c: F.when(~F.isnan(c), F.col(c))
     half, most = (lambda c: F.percentile_approx(known(c), 0.5, ACCURACY)), (lambda c: F.percentile_approx(known(c), 0.9, ACCURACY))
     few = F.count(known("y")) < 8
@@ -257,7 +268,8 @@ def usual_of_sources(grouped: DataFrame) -> DataFrame:
             columns = _gaps(part, bounds_of(part.column("source")))
             yield pa.RecordBatch.from_arrays([pa.array(columns["source"].to_pylist(), pa.string()), *(pa.array(columns[c], pa.float64()) for c in ("floor", "first", "last", "gap"))], ["source", "floor", "first", "last", "gap"])
 
-    values = d.where(~F.isnan("x")).select("source", "x").distinct().join(usual.select("source", "floor"), "source")
+    times = d.where(~F.isnan("x")).groupBy("source", "x").agg(F.sum("begins").alias("times"))
+    values = times.join(usual.select("source", "floor", "median"), "source").where((F.col("median") > 0) | (F.col("times") >= RETURNS)).select("source", "x", "floor")
     spans = values.repartitionByRange("source", "x").sortWithinPartitions("source", "x").mapInArrow(over, "source string, floor double, first double, last double, gap double")
     # Spans of one source don't overlap: a step also lies between one's end and the next one's start.
     across = F.col("first") - F.lag("last").over(Window.partitionBy("source").orderBy("first"))
@@ -281,9 +293,14 @@ def flag_spikes(readings: DataFrame, source_rows: int = SOURCE_ROWS) -> DataFram
         F.concat_ws("\x1f", "src", "field", "source").alias("key"), "src", "field", F.col("row_id").cast("long").alias("row_id"), F.col("at").cast("double").alias("at"), F.col("x").cast("double").alias("x"),
         F.coalesce(F.col("low").cast("double"), F.lit(float("nan"))).alias("low"), F.coalesce(F.col("high").cast("double"), F.lit(float("nan"))).alias("high"), "zeros_rest",
     )
-    many = large_groups(keyed, "key", source_rows)
+    many = keep(large_groups(keyed, "key", source_rows))
     hot = not many.isEmpty()
-    cut = chunked(keyed, "key", "at", source_rows, many=many) if hot else keyed.withColumn("chunk", F.lit(0)).withColumn("core", F.lit(True))
+    if hot:
+        # Copies of a row must not fall to two chunks: in large sources they are dropped first, elsewhere where the source is judged.
+        rest = [c for c in keyed.columns if c not in ("key", "row_id")]
+        large = keyed.join(many.select("key"), "key").groupBy("key", "row_id").agg(F.min(F.struct("at", *(c for c in rest if c != "at"))).alias("r")).select("key", "row_id", *(f"r.{c}" for c in rest))
+        keyed = keyed.join(many.select("key"), "key", "left_anti").unionByName(large)
+    cut = chunked(keyed, "key", ["at", "row_id"], source_rows, many=many) if hot else keyed.withColumn("chunk", F.lit(0)).withColumn("core", F.lit(True))
     grouped = cut.withColumn("source", F.col("key")).withColumn("key", F.concat_ws("\x1f", "key", F.col("chunk").cast("string"))).drop("chunk")
     if hot:
         usual = usual_of_sources(grouped.join(many.select(F.col("key").alias("source")), "source", "left_semi"))
