@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weft.operators import spatial
 from weft.operators.spatial import distance_m, locate, lon_window, near_and_inside, points_in_ring, sweep_pairs, zone_shapes
 
 POINT = "id string, lat double, lon double"
@@ -103,3 +104,41 @@ def test_ray_casting_against_winding():
 def test_empty_tables(spark):
     assert near_and_inside(points(spark, []), zones(spark, []), 30.0).count() == 0
     assert near_and_inside(points(spark, [("a", 1.0, 1.0)]), zones(spark, []), 30.0).count() == 0
+
+
+def test_every_cell_is_cut_until_it_is_small(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MOST_CUTS", 8)
+    rnd = random.Random(6)
+    rows = [(f"p{i:04d}", 10 + rnd.random() * 0.02, rnd.random() * 0.02) for i in range(1_500)] + [(f"q{i:03d}", rnd.uniform(-60, 60), rnd.uniform(-180, 180)) for i in range(300)]
+    assert near(near_and_inside(points(spark, rows), zones(spark, []), 30.0, slab_locations=20)) == brute(rows, 30.0) != set()
+    d_lat = math.degrees(30 / spatial.EARTH_RADIUS_M)
+    tree = spatial.cut_tree(points(spark, rows), 20, d_lat, 30.0)
+    cells = tree.owner(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+    assert max(np.unique(cells, return_counts=True)[1]) <= 40
+
+
+def test_the_tree_finds_every_cell_that_a_box_meets():
+    rnd = np.random.default_rng(2)
+    tree = spatial.CutTree()
+    tree.cut(0, 1, [-10.0, 0.0, 20.0])
+    tree.cut(2, 2, [-50.0, 50.0])
+    tree.cut(6, 1, [-5.0])
+    lat, lon = rnd.uniform(-30, 30, 4_000), rnd.uniform(-100, 100, 4_000)
+    cell = tree.owner(lat, lon)
+    assert set(cell) == {1, 3, 4, 5, 7, 8, 9}
+    south, west = rnd.uniform(-30, 30, 50), rnd.uniform(-100, 100, 50)
+    box, met = tree.meet(south, south + 15, west, west + 40)
+    found = set(zip(box.tolist(), met.tolist()))
+    assert len(found) == len(box)
+    for i in range(50):
+        held = (lat >= south[i]) & (lat <= south[i] + 15) & (lon >= west[i]) & (lon <= west[i] + 40)
+        assert set(cell[held].tolist()) <= {c for j, c in found if j == i}
+
+
+def test_a_crowded_place_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PLACE_IDS", 3)
+    rows = [(f"p{i:02d}", 1.0, 2.0) for i in range(20)] + [(f"q{i}", 1.0001, 2.0) for i in range(7)] + [("r", 1.00005, 2.0)]
+    square = [{"lon": x, "lat": y} for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))]
+    got = near_and_inside(points(spark, rows), zones(spark, [("z", None, square)]), 30.0)
+    assert near(got) == brute(rows, 30.0) and got.count() == got.distinct().count()
+    assert {r.left_id for r in got.collect() if r.kind == "inside"} == {r[0] for r in rows}

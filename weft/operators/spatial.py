@@ -1,13 +1,14 @@
 """Points near other points, and regions that contain points, on the globe.
 
-Latitude is cut into strips at quantiles of the points. Each strip also gets the
-points of a band, as wide as the search radius, below it, and the regions whose
-latitude range meets it. A strip that holds far more points than the others is cut
-again into slabs of longitude with the same kind of overlap. Each strip-slab is one
-task's work: its points are sorted by latitude and swept upwards, with an active set
-ordered by longitude from which points that fell out of the radius are dropped; each
-new point looks up its longitude window and verifies distances. A pair is found where
-its upper point (by latitude, then key) is owned, so each pair has one owner.
+Latitude is cut into strips at quantiles of the points. A strip that still holds too
+many is cut into slabs of longitude at quantiles of its own, a slab that does into
+strips again, and so on until every cell is small: a tree of cuts, one cut for about
+every SLAB_LOCATIONS locations. Each cell also gets the points of a band, as wide as
+the search radius, below it and on both sides, and the regions whose box meets it. A
+cell is one task's work: its points are sorted by latitude and swept upwards, with an
+active set ordered by longitude from which points that fell out of the radius are
+dropped; each new point looks up its longitude window and verifies distances. A pair is
+found where its upper point (by latitude, then key) is owned, so each pair has one owner.
 
 Points at one and the same place are one location: the sweep sees locations, and
 pairs of ids are made by joins afterwards, so that copies never meet in one task.
@@ -19,19 +20,19 @@ import math
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.grouped import map_groups
 from weft.sources.tables import keep
 
 EARTH_RADIUS_M = 6_371_000.0
-#: Locations that one strip-slab is meant to hold; strips above twice this are cut by longitude.
+#: Locations that one cell is meant to hold; cells above twice this are cut again.
 SLAB_LOCATIONS = 20_000
-#: Cut points on the driver: at most this many doubles for latitude, and as many for longitude.
-MOST_CUTS = 4_000
-
-_POINT = "cell string, own boolean, loc string, lat double, lon double"
+#: Pieces that one cell is cut into at once; a larger cell is cut in several rounds.
+MOST_CUTS = 1_000
+#: Ids of one place that one task pairs with others; a place of more is spread over tasks.
+PLACE_IDS = 1_000
 
 
 def _known(*parts: Column) -> Column:
@@ -80,58 +81,104 @@ def zone_shapes(zones: DataFrame, id_col: str = "zone_id") -> DataFrame:
     return zones.select(F.col(id_col).cast("string").alias("zone_id"), area.alias("box"), xs.alias("xs"), ys.alias("ys")).where("zone_id is not null and box is not null").distinct()
 
 
-def _cuts(values: DataFrame, column: str, pieces: int) -> list[float]:
-    """Inner cut points at quantiles, without repeats."""
-    if pieces < 2:
-        return []
-    found = values.approxQuantile(column, [i / pieces for i in range(1, pieces)], 0.1 / pieces)
-    return sorted(set(found))
-
-
-def _piece(value: Column, cuts: list[float]) -> Column:
-    """Number of cut points at or below the value."""
-    return F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value)) if len(cuts) <= 8 else _bisect(value)(cuts)
-
-
-def _bisect(value: Column):
-    from pyspark.sql.functions import pandas_udf
-
-    def of(cuts: list[float]) -> Column:
-        at = np.array(cuts)
-
-        @pandas_udf("int")
-        def piece(v: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(at, v.to_numpy(), side="right").astype("int32"))
-
-        return piece(value)
-
-    return of
+class CutTree:
+    """Cells of the globe by cuts of latitude and longitude, searched for whole batches at once.
 
+    A node that is cut has an axis (1 latitude, 2 longitude), its cuts in one array from low to
+    high, and high - low + 1 children from `child` on; a node with axis 0 is a cell.
+    """
 
-def _assign(batches, lat_cuts, lon_cuts, d_lat, radius):
-    """Copies of each location for the strip-slabs that need it."""
-    lat_at, slabs = np.array(lat_cuts), {k: np.array(v) for k, v in lon_cuts.items()}
-    for pdf in batches:
-        lat, lon, loc = pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), pdf["loc"].to_numpy()
-        own = np.searchsorted(lat_at, lat, side="right")
-        top = np.searchsorted(lat_at, lat + d_lat, side="right")
-        cells, owns, index, lons = [], [], [], []
-        for i in range(len(lat)):
-            d_lon = lon_window(lat[i], radius)
-            for strip in range(own[i], top[i] + 1):
-                cuts = slabs.get(strip)
-                mine = int(np.searchsorted(cuts, lon[i], side="right")) if cuts is not None else 0
-                for turn in (0.0, 360.0, -360.0):
-                    x = lon[i] + turn
-                    if turn and not -180 - d_lon <= x <= 180 + d_lon:
-                        continue
-                    first, last = (int(np.searchsorted(cuts, x - d_lon, side="right")), int(np.searchsorted(cuts, x + d_lon, side="right"))) if cuts is not None else (0, 0)
-                    for slab in range(first, last + 1):
-                        cells.append(f"{strip}/{slab}")
-                        owns.append(strip == own[i] and not turn and slab == mine)
-                        index.append(i)
-                        lons.append(x)
-        yield pd.DataFrame({"cell": cells, "own": owns, "loc": loc[index] if index else [], "lat": lat[index] if index else [], "lon": lons})
+    def __init__(self):
+        self.axis, self.low, self.high, self.child, self.cuts = (np.zeros(1, k) for k in ("int8", "int64", "int64", "int64", "float64"))
+
+    def cut(self, node: int, axis: int, cuts: list[float]) -> None:
+        self.axis[node], self.low[node], self.high[node], self.child[node] = axis, len(self.cuts), len(self.cuts) + len(cuts), len(self.axis)
+        self.cuts = np.append(self.cuts, cuts)
+        self.axis, self.low, self.high, self.child = (np.append(a, np.zeros(len(cuts) + 1, a.dtype)) for a in (self.axis, self.low, self.high, self.child))
+
+    def _search(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Cuts at or below x of each node."""
+        low, high = self.low[node].copy(), self.high[node].copy()
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            right = open_ & (self.cuts[np.minimum(mid, len(self.cuts) - 1)] <= x)
+            low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
+        return low - self.low[node]
+
+    def owner(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        node = np.zeros(len(lat), "int64")
+        while len(at := np.flatnonzero(self.axis[node])):
+            n = node[at]
+            node[at] = self.child[n] + self._search(n, np.where(self.axis[n] == 1, lat[at], lon[at]))
+        return node
+
+    def meet(self, south, north, west, east) -> tuple[np.ndarray, np.ndarray]:
+        """Box number and cell of every cell that a box meets."""
+        index, node = np.arange(len(south)), np.zeros(len(south), "int64")
+        done_i, done_n = [], []
+        while len(index):
+            ends = self.axis[node] == 0
+            done_i.append(index[ends]), done_n.append(node[ends])
+            index, node = index[~ends], node[~ends]
+            upright = self.axis[node] == 1
+            first = self._search(node, np.where(upright, south[index], west[index]))
+            last = self._search(node, np.where(upright, north[index], east[index]))
+            many = last - first + 1
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            index, node = np.repeat(index, many), np.repeat(self.child[node] + first, many) + step
+        return np.concatenate(done_i), np.concatenate(done_n)
+
+
+def cut_tree(locations: DataFrame, slab_locations: int, d_lat: float, radius: float, parallel: int = 1) -> CutTree:
+    """Cuts until no cell holds more than twice slab_locations, unless its extent is within the radius, where its pairs are that many.
+
+    Each round counts the cells and takes quantiles of those that are too large; the driver gets
+    about one cut for every slab_locations locations in all.
+    """
+    tree, failed, first = CutTree(), set(), True
+
+    def celled(only: list[int] | None) -> DataFrame:
+        shape, wanted = tree, None if only is None else np.array(sorted(only))
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                lat, lon = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cell = shape.owner(lat, lon)
+                kept = slice(None) if wanted is None else np.isin(cell, wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in (cell, lat, lon)], names=["cell", "lat", "lon"])
+
+        return locations.select("lat", "lon").mapInArrow(run, "cell long, lat double, lon double")
+
+    while True:
+        ends = [f(c).alias(f"{k}_{c}") for c in ("lat", "lon") for k, f in (("low", F.min), ("high", F.max))]
+        heavy = celled(None).groupBy("cell").agg(F.count("*").alias("n"), *ends).where(F.col("n") > (0 if first else 2 * slab_locations)).collect()
+        plan: dict[int, tuple] = {}
+        for h in heavy:
+            width = 2 * lon_window(max(abs(h["low_lat"]), abs(h["high_lat"])), radius)
+            # Strips come first. Later the axis that has more room is cut, and none that a cut would only copy.
+            room = {1: (h["high_lat"] - h["low_lat"]) / (2 * d_lat), 2: (h["high_lon"] - h["low_lon"]) / width}
+            axes = [k for k in ((1, 2) if first else sorted(room, key=lambda k: (-room[k], k))) if (h["cell"], k) not in failed and (first or room[k] > 1)]
+            if axes:
+                plan[h["cell"]] = (axes[0], min(MOST_CUTS, -(-h["n"] // slab_locations) + (parallel if first else 0)), h["low_lat" if axes[0] == 1 else "low_lon"])
+        if not plan:
+            return tree
+        for axis, column in ((1, "lat"), (2, "lon")):
+            cells = [c for c in plan if plan[c][0] == axis]
+            if not cells:
+                continue
+            grid = F.percentile_approx(column, [i / MOST_CUTS for i in range(1, MOST_CUTS)], 10 * MOST_CUTS)
+            pieces = F.least(F.lit(MOST_CUTS), F.ceil(F.col("n") / slab_locations) + (parallel if first else 0))
+            chosen = F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.element_at("q", F.greatest(F.lit(1), F.round(i * MOST_CUTS / pieces)).cast("int")))
+            for r in celled(cells).groupBy("cell").agg(F.count("*").alias("n"), grid.alias("q")).where(pieces > 1).select("cell", chosen.alias("cuts")).collect():
+                cuts = sorted(set(r["cuts"]) - {plan[r["cell"]][2]})  # nothing lies below the lowest
+                if cuts:
+                    tree.cut(r["cell"], axis, cuts)
+                    plan.pop(r["cell"])
+        failed |= {(c, plan[c][0]) for c in plan}
+        first = False
 
 
 def lon_window(lat: float, radius: float) -> float:
@@ -193,24 +240,68 @@ def points_in_ring(lon: np.ndarray, lat: np.ndarray, xs: np.ndarray, ys: np.ndar
 
 
 def _work(radius: float):
-    def run(key, points: pd.DataFrame, zones: pd.DataFrame) -> pd.DataFrame:
+    def run(part, starts):
+        zone_of, loc, own = part.column("zone").combine_chunks(), part.column("loc").combine_chunks(), part.column("own").to_numpy()
+        lat, lon = part.column("lat").to_numpy(), part.column("lon").to_numpy()
+        zoned = zone_of.is_valid().to_numpy(zero_copy_only=False)
+        names = loc.to_numpy(zero_copy_only=False)
         kinds, left, right = [], [], []
-        if len(points):
-            lat, lon, own, loc = points["lat"].to_numpy(), points["lon"].to_numpy(), points["own"].to_numpy().astype(bool), points["loc"].to_numpy()
-            for a, b in sweep_pairs(lat, lon, own, loc, radius):
-                kinds.append("near"), left.append(a), right.append(b)
-            if len(zones) and own.any():
-                by_lat = np.flatnonzero(own)[np.argsort(lat[own], kind="stable")]
-                plat, plon, ploc = lat[by_lat], lon[by_lat], loc[by_lat]
-                for zone, west, south, east, north, xs, ys in zones[["zone_id", "west", "south", "east", "north", "xs", "ys"]].itertuples(index=False):
-                    a, b = np.searchsorted(plat, south, side="left"), np.searchsorted(plat, north, side="right")
-                    hit = a + np.flatnonzero((plon[a:b] >= west) & (plon[a:b] <= east))
-                    if xs is not None and len(hit):
-                        hit = hit[points_in_ring(plon[hit], plat[hit], np.asarray(xs), np.asarray(ys))]
-                    kinds += ["inside"] * len(hit)
-                    left += ploc[hit].tolist()
-                    right += [zone] * len(hit)
-        return pd.DataFrame({"kind": kinds, "a": left, "b": right}, dtype=object)
+        for a, b in zip(starts[:-1], starts[1:]):
+            at = a + np.flatnonzero(~zoned[a:b])
+            if not len(at):
+                continue
+            for one, two in sweep_pairs(lat[at], lon[at], own[at], names[at], radius):
+                kinds.append("near"), left.append(one), right.append(two)
+            mine = at[own[at]]
+            if not len(mine):
+                continue
+            mine = mine[np.argsort(lat[mine], kind="stable")]
+            plat, plon, ploc = lat[mine], lon[mine], names[mine]
+            for z in a + np.flatnonzero(zoned[a:b]):
+                west, south, east, north = (part.column(c)[int(z)].as_py() for c in ("west", "south", "east", "north"))
+                i, j = np.searchsorted(plat, south, side="left"), np.searchsorted(plat, north, side="right")
+                hit = i + np.flatnonzero((plon[i:j] >= west) & (plon[i:j] <= east))
+                xs = part.column("xs")[int(z)].as_py()
+                if xs is not None and len(hit):
+                    hit = hit[points_in_ring(plon[hit], plat[hit], np.asarray(xs), np.asarray(part.column("ys")[int(z)].as_py()))]
+                kinds += ["inside"] * len(hit)
+                left += ploc[hit].tolist()
+                right += [zone_of[int(z)].as_py()] * len(hit)
+        return {"kind": kinds, "a": left, "b": right}
+
+    return run
+
+
+def _placed_points(tree: CutTree, d_lat: float, radius: float):
+    """Copies of each location for the cells that need it: its own, those above it within the radius and those beside it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lat, lon = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            wide = np.array([lon_window(v, radius) for v in lat.tolist()])
+            index, x = [np.arange(len(lat))], [lon]
+            for turn in (360.0, -360.0):  # across the date line
+                over = np.flatnonzero((lon + turn >= -180 - wide) & (lon + turn <= 180 + wide))
+                index.append(over), x.append(lon[over] + turn)
+            index, x, turned = np.concatenate(index), np.concatenate(x), np.repeat([False, True], [len(lat), sum(map(len, index[1:]))])
+            box, cell = tree.meet(lat[index], lat[index] + d_lat, x - wide[index], x + wide[index])
+            own = ~turned[box] & (cell == tree.owner(lat, lon)[index[box]])
+            point = index[box]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(own), batch.column(0).take(pa.array(point)), pa.array(lat[point]), pa.array(x[box])], names=["cell", "own", "loc", "lat", "lon"])
+
+    return run
+
+
+def _placed_zones(tree: CutTree):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            west, south, east, north = (batch.column(k).to_numpy() for k in range(1, 5))
+            box, cell = tree.meet(south, north, west, east)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *(batch.column(k).take(pa.array(box)) for k in range(7))], names=["cell", "zone", "west", "south", "east", "north", "xs", "ys"])
 
     return run
 
@@ -226,41 +317,27 @@ def near_and_inside(points: DataFrame, zones: DataFrame, radius: float = 30.0, s
     spark = points.sparkSession
     points = keep(points)
     locations = keep(points.groupBy("lat", "lon").agg(F.min("id").alias("loc"), F.count("*").alias("n")))
-    total = locations.count()
     d_lat = math.degrees(radius / EARTH_RADIUS_M) * 1.000001
-    strips = max(1, min(MOST_CUTS, total // slab_locations + spark.sparkContext.defaultParallelism))
-    lat_cuts = _cuts(locations, "lat", strips)
-    strip_of = _piece(F.col("lat"), lat_cuts)
-    heavy = [r[0] for r in locations.groupBy(strip_of.alias("strip")).count().where(F.col("count") > 2 * slab_locations).collect()]
-    lon_cuts: dict[int, list[float]] = {}
-    if heavy:
-        pieces = max(2, min(MOST_CUTS // len(heavy), 64))
-        quantiles = F.percentile_approx("lon", [i / pieces for i in range(1, pieces)], 10_000)
-        rows = locations.withColumn("strip", strip_of).where(F.col("strip").isin(heavy)).groupBy("strip").agg(quantiles.alias("q")).collect()
-        lon_cuts = {r["strip"]: sorted(set(r["q"])) for r in rows}
-
-    placed = locations.select("loc", "lat", "lon").mapInPandas(lambda it: _assign(it, lat_cuts, lon_cuts, d_lat, radius), _POINT)
-    slabs = {k: len(v) + 1 for k, v in lon_cuts.items()}
-
-    def spread(batches):
-        at = np.array(lat_cuts)
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                for strip in range(int(np.searchsorted(at, row.south, side="right")), int(np.searchsorted(at, row.north, side="right")) + 1):
-                    out += [(f"{strip}/{slab}", *row) for slab in range(slabs.get(strip, 1))]
-            yield pd.DataFrame(out, columns=["cell", *pdf.columns])
-
+    tree = cut_tree(locations, slab_locations, d_lat, radius, spark.sparkContext.defaultParallelism)
+    placed = locations.select("loc", "lat", "lon").mapInArrow(_placed_points(tree, d_lat, radius), "cell long, own boolean, loc string, lat double, lon double")
     flat = zones.select("zone_id", "box.west", "box.south", "box.east", "box.north", "xs", "ys")
-    zoned = flat.mapInPandas(spread, "cell string, zone_id string, west double, south double, east double, north double, xs array<double>, ys array<double>")
-    hits = keep(placed.groupBy("cell").cogroup(zoned.groupBy("cell")).applyInPandas(_work(radius), "kind string, a string, b string").distinct())
-
-    # Back from locations to ids. Only places with several ids need the join.
-    many = locations.where("n > 1").select("loc", "lat", "lon").join(points, ["lat", "lon"]).select("loc", "id")
-    left = many.select(F.col("loc").alias("a"), F.col("id").alias("id_a"))
-    right = many.select(F.col("loc").alias("b"), F.col("id").alias("id_b"))
-    near = hits.where("kind = 'near'").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"))
-    same = many.select("loc", F.col("id").alias("x")).join(many.select("loc", F.col("id").alias("y")), "loc").where("x < y").select("x", "y")
+    zoned = flat.mapInArrow(_placed_zones(tree), "cell long, zone string, west double, south double, east double, north double, xs array<double>, ys array<double>")
+    both = placed.unionByName(zoned.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    hits = keep(map_groups(both, "cell", ["zone"], _work(radius), "kind string, a string, b string").distinct())
+
+    # Back from locations to ids. Only places with several ids need the join; a crowded place's ids are spread over several keys.
+    several = locations.where("n > 1").select("loc", "lat", "lon", F.ceil(F.col("n") / PLACE_IDS).cast("int").alias("shares"))
+    many = keep(several.join(points, ["lat", "lon"]).select("loc", "id", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share")))
+    shares = several.select("loc", "shares")
+
+    def with_ids(rows: DataFrame, side: str, name: str) -> DataFrame:
+        spread = rows.join(shares.withColumnRenamed("loc", side), side, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+        found = spread.join(many.select(F.col("loc").alias(side), "share", F.col("id").alias(name)), [side, "share"], "left")
+        return found.where(f"shares is null or {name} is not null").withColumn(name, F.coalesce(name, side)).drop("share", "shares")
+
+    near = with_ids(with_ids(hits.where("kind = 'near'"), "a", "x"), "b", "y").select("x", "y")
+    alike = many.select("loc", F.col("id").alias("x")).join(shares, "loc").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    same = alike.join(many.select("loc", "share", F.col("id").alias("y")), ["loc", "share"]).where("x < y").select("x", "y")
     pairs = near.unionByName(same).select(F.lit("near").alias("kind"), F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"))
-    held = hits.where("kind = 'inside'").join(left, "a", "left").select("kind", F.coalesce("id_a", "a").alias("left_id"), F.col("b").alias("right_id"))
+    held = with_ids(hits.where("kind = 'inside'"), "a", "x").select("kind", F.col("x").alias("left_id"), F.col("b").alias("right_id"))
     return pairs.unionByName(held)
