@@ -85,6 +85,30 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = [(k, "say " + t) for k, t in items]
     got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k in range(12)}
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one scan for all blocks
+    monkeypatch.setattr(leaks, "BLOCKS", 5)
+    more = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, more.collect())) == sorted(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize("size", [10, 2_400, 24_000, 3_000_000])
+def test_comments_of_any_length_are_no_text(size):
+    words = ITEM.split()
+    assert held(f"x {' '.join(words[:4])} <!-- {'note ' * (size // 5)} --> {' '.join(words[4:24])} y") == {1: 24}
+    assert held(f"x <!-- {ITEM} --> y") == {}
+
+
+def test_what_no_reader_sees():
+    words = ITEM.split()
+    for hidden in ("<style>p { color: red }</style>", "<SCRIPT type='x'>var a = 1 < 2;</SCRIPT >", "<script>" + ITEM[:50] + "</script>"):
+        assert held(f"x {' '.join(words[:4])} {hidden} {' '.join(words[4:24])} y") == {1: 24}
+    assert held(f"x <script>{ITEM}</script> y") == {}
+    assert held(f"x <script> {ITEM} y") == held(f"x <!-- {ITEM} y") == held(f"x <script/> {ITEM} y") == {1: 60}
+
+
+def test_unclosed_marks_are_quick():
+    for mark in ("<!-- ", "<script> ", "<style>", "<", "&", "<!-- x --> "):
+        assert held(mark * 100_000 + ITEM) == {1: 60}
 
 
 def test_empty_tables(spark):

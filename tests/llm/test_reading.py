@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 from weft.llm.queries import QUERIES
-from weft.llm.reading import covering_rank, document_features, features, prose, reading_bands, vocabulary
+from weft.llm.reading import covering_ranks, document_features, everyday_words, features, prose, reading_bands, vocabulary
 
 EASY = "The dog is in the park and it is big. We can see the sun. It was a hot day. "
 HARD = "The administrative considerations regarding environmental infrastructure demonstrate that the comprehensive evaluation of contemporary methodologies is fundamentally interdependent with the organisational responsibilities of the participating institutions. "
@@ -13,12 +13,19 @@ def docs(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, band string")
 
 
-def test_covering_rank():
+def test_covering_ranks():
     rank = {"the": 1, "dog": 5, "axiom": 90}
-    assert covering_rank(Counter(the=6, dog=3, axiom=1), rank, 0.6) == 1
-    assert covering_rank(Counter(the=6, dog=3, axiom=1), rank, 0.61) == 5
-    assert covering_rank(Counter(the=6, dog=3, axiom=1), rank, 1.0) == 90
-    assert covering_rank(Counter(), rank, 0.5) == 0
+    assert covering_ranks(Counter(the=6, dog=3, axiom=1), rank, (0.6, 0.61)) == [1, 5]
+    assert covering_ranks(Counter(the=6, dog=3, axiom=1), rank, (0.61, 1.0)) == [5, 90]
+    assert covering_ranks(Counter(the=6), rank, (0.1, 0.2, 1.0)) == [1, 1, 1]
+    assert covering_ranks(Counter(), rank, (0.5, 0.6)) == [0, 0]
+
+
+def test_everyday_words(spark):
+    d = docs(spark, [(1, "a b c"), (2, "a b"), (3, "a <i>d</i>"), (4, "z z z"), (5, None)]).select("doc_id", "text").where("text is not null")
+    ratings = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (3, 1), (4, None), (9, 1)], "doc_id long, band int")
+    assert everyday_words(d, ratings, 0.6) == {"a", "b"} and everyday_words(d, ratings, 0.3) == {"a", "b", "c", "d"}
+    assert everyday_words(d, ratings.where("band > 9")) == frozenset()
 
 
 def test_vocabulary_ranks_share_ties(spark):
@@ -38,8 +45,8 @@ def test_bands(spark):
 def test_joining_ranks_gives_the_same(spark):
     d = docs(spark, [(1, EASY * 4), (2, HARD * 2), (3, "!!!"), (4, EASY + HARD)]).select("doc_id", "text")
     ranks = vocabulary(d)
-    a, b = ({r.doc_id: r.asDict() for r in document_features(d, ranks, most=m).collect()} for m in (10**6, 0))
-    assert a == b and a[3]["vocab_rank"] == 0
+    a, b = ({r.doc_id: r.asDict() for r in document_features(d, ranks, frozenset(("the", "is")), most=m).collect()} for m in (10**6, 0))
+    assert a == b and a[3]["core_rank"] == a[3]["wide_rank"] == 0 and a[1]["common"] > a[2]["common"] > 0
 
 
 def test_features_of_odd_texts():
@@ -56,18 +63,19 @@ def test_empty_tables(spark):
 
 def test_prose_needs_words(spark):
     d = docs(spark, [(1, "the dog is in the park " * 8), (2, "the dog is in the park " * 9)]).select("doc_id", "text")
-    assert [r.doc_id for r in prose(document_features(d, vocabulary(d))).collect()] == [2]
+    assert [r.doc_id for r in prose(document_features(d, vocabulary(d), frozenset(("the", "in"))), 0.1).collect()] == [2]
 
 
 def test_held_out_agreement(spark):
-    """Bands placed by half of the raters' documents agree with the other half as far as raters agree with each other."""
+    """Bands placed by half of the raters' documents agree with the other half as far as raters agree with each other; rank and sentences do without letters too."""
     root = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{root}/reading_labels.parquet").toPandas()
     train, test = labels[labels.doc_id % 2 == 0], labels[labels.doc_id % 2 == 1]
-    got = reading_bands(spark.read.parquet(f"{root}/documents.parquet"), spark.createDataFrame(train[["doc_id", "band"]])).toPandas()
-    both = test.merge(got, on="doc_id", how="left", suffixes=("", "_found"))
-    assert both.band_found.notna().all()
-    assert (both.band == both.band_found).mean() > 0.9
+    for scale, least in ((("core", "wide", "length", "letters"), 0.9), (("core", "wide", "length"), 0.85)):
+        got = reading_bands(spark.read.parquet(f"{root}/documents.parquet"), spark.createDataFrame(train[["doc_id", "band"]]), scale=scale).toPandas()
+        both = test.merge(got, on="doc_id", how="left", suffixes=("", "_found"))
+        assert both.band_found.notna().all()
+        assert (both.band == both.band_found).mean() > least
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -2,12 +2,14 @@
 
 One pass counts the corpus's words; a word's rank is the number of words at least as
 frequent. A second pass reads each text's features: the smallest frequency-ranked
-vocabulary that covers a fixed share of its words, the complexity of its sentences
-(words, and letters a word, of the middle sentence), and what tells prose from logs,
-code, tables and other languages. Calibration and banding are SQL over these
-features: from the rated documents the middle of each feature in each band and the
-usual distance from it, robust against wrong ratings; a document gets the band that
-it is nearest to.
+vocabularies that cover fixed shares of its words, the complexity of its sentences
+(words, and letters a word, of the middle sentence), and what tells running English
+from logs, code, tables and other languages. What English looks like is learned from the
+rated texts, which are English prose: the words that stand in many of them, and how
+large a share these make up. Calibration and banding are SQL over the features: from
+the rated documents the middle of each feature in each band and the usual distance
+from it, robust against wrong ratings; a document gets the band that it is nearest to,
+every feature counting alike.
 """
 
 from __future__ import annotations
@@ -15,31 +17,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.leaks import without_markup
 from weft.sources.tables import keep
 
-#: Share of a document's words that the vocabulary must cover.
-COVER = 0.6
+#: Shares of a document's words that its vocabularies must cover: the core of the text, and nearly all of it.
+COVERS = (0.6, 0.8)
 #: Words up to which ranks are broadcast (about 60 MB); beyond, they are joined.
 VOCABULARY = 1_000_000
-#: What counts as running English text; see prose().
-LEAST_WORDS, LEAST_COMMON, LEAST_SENTENCE = 50, 0.12, 0.65
-
-# Frequent function words of the languages told apart.
-_COMMON = {
-    "en": "the of and to in is was it at we then were that so on with both not are you this but by for from be do can has had have when where which there its they our my as an or if",
-    "fr": "le la les des une un est et dans pour que qui sur avec cette ce pas a été plus du au aux il elle près de où en par",
-    "de": "der die das und ist ein eine nicht mit von den dem auf wurde im zu bei sich für als wie des war es am",
-    "es": "el la los las una un es y en para que con esta este no ha sido más del al cerca de dónde se por fue",
-    "it": "il lo la gli le un una di che è e in per con non del della sono nel da si più",
-    "pt": "o os as um uma de que é e em para com não do da no na foi mais dos das por",
-    "nl": "de het een en van is in op te dat niet met voor zijn aan bij werd ook naar er",
-}
-_COMMON_WORDS = {k: frozenset(v.split()) for k, v in _COMMON.items()}
+#: Rated texts at most that English is learned from, a sample by hash; words that stand in that share of them are everyday words.
+RATED_TEXTS, EVERYDAY = 20_000, 0.3
+#: What counts as running English text: words, share of everyday words against the rated texts' middle share, share of words in lines that read as sentences.
+LEAST_WORDS, LEAST_COMMON, LEAST_SENTENCE = 50, 0.4, 0.65
+#: Squared distance from a band, in usual ones, from which on a feature tells no more.
+FAR = 16.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LETTER = re.compile(r"[^\W_]")
@@ -49,15 +44,15 @@ _MOSTLY = 0.82
 _RULER = re.compile(r"([^\w\s])\1{3,}|\d[\d.,:]*")
 _SENTENCE_END = re.compile(r"[.!?]+[\"”’)\]]*(?=\s|$)")
 
-FEATURES = "doc_id long, n_words int, common double, foreign double, sentence_like double, sentence_words double, sentence_letters double, vocab_rank double, words array<string>, counts array<int>"
+FEATURES = "doc_id long, n_words int, common double, sentence_like double, sentence_words double, sentence_letters double, core_rank double, wide_rank double, words array<string>, counts array<int>"
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(text: str) -> dict:
-    """Everything about one text but its vocabulary rank."""
+def features(text: str, everyday: frozenset[str] = frozenset()) -> dict:
+    """Everything about one text but its vocabulary ranks."""
     plain = without_markup(text)[0]
     words: list[str] = []
     like = total = 0
@@ -83,22 +78,44 @@ def features(text: str) -> dict:
         if k >= 3 and (size + line.count(" ") >= _MOSTLY * len(line) or size + line.count(" ") >= _MOSTLY * len(_RULER.sub("", line))):
             like += k
     counts = Counter(words)
-    share = {k: sum(counts[w] for w in common & counts.keys()) / total if total else 0.0 for k, common in _COMMON_WORDS.items()}
+    common = sum(counts[w] for w in everyday & counts.keys()) / total if total else 0.0
     tokens = plain.split()
     n_words = len(tokens) - sum(1 for t in [t for t in tokens if not t[0].isalnum()] if not _LETTER.search(t))
     middle = lambda v: float((sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2) if v else 0.0
-    return {"n_words": n_words, "common": share.pop("en"), "foreign": max(share.values()), "sentence_like": like / total if total else 0.0, "sentence_words": middle(lengths), "sentence_letters": middle(letters), "counts": counts}
+    return {"n_words": n_words, "common": common, "sentence_like": like / total if total else 0.0, "sentence_words": middle(lengths), "sentence_letters": middle(letters), "counts": counts}
 
 
-def covering_rank(counts: Counter, rank: dict[str, int], cover: float) -> float:
-    """The smallest rank such that words up to it make up the share; 0 for a text without words."""
-    ranks = sorted((rank[w], c) for w, c in counts.items())
-    need = math.ceil(cover * sum(counts.values()) - 1e-9)
-    for r, c in ranks:
-        need -= c
-        if need <= 0:
-            return float(r)
-    return 0.0
+def covering_ranks(counts: Counter, rank: dict[str, int], covers: tuple[float, ...]) -> list[float]:
+    """For each share, ascending, the smallest rank such that words up to it make up the share; 0 for a text without words."""
+    total, seen, out = sum(counts.values()), 0, []
+    needs = [math.ceil(c * total - 1e-9) for c in covers]
+    for r, c in sorted((rank[w], c) for w, c in counts.items()):
+        seen += c
+        while len(out) < len(needs) and seen >= needs[len(out)]:
+            out.append(float(r))
+        if len(out) == len(needs):
+            return out
+    return [0.0] * len(covers)
+
+
+def everyday_words(docs: DataFrame, ratings: DataFrame, share: float = EVERYDAY, most: int = RATED_TEXTS) -> frozenset[str]:
+    """Words that stand in at least that share of the rated texts (docs: doc_id, text). At most 1 / share times a text's distinct words, so few."""
+    rated = ratings.where("band is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counts, n = Counter(), 0
+            for t in batch.column(1):
+                words = set(words_of(without_markup(t.as_py())[0]))
+                counts.update(words)
+                n += bool(words)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], names=["word", "n"])
+
+    found = keep(docs.join(F.broadcast(rated), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    texts = found.where("word is null").agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.word for r in found.where(F.col("word").isNotNull() & (F.col("n") >= share * texts)).collect())
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -130,8 +147,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return keep(words.join(ranks, "n").select("word", "n", "rank"))
 
 
-def document_features(docs: DataFrame, ranks: DataFrame, cover: float = COVER, most: int = VOCABULARY) -> DataFrame:
-    """doc_id and features of each text, vocabulary rank included."""
+def document_features(docs: DataFrame, ranks: DataFrame, everyday: frozenset[str], covers: tuple[float, float] = COVERS, most: int = VOCABULARY) -> DataFrame:
+    """doc_id and features of each text, vocabulary ranks included."""
     small = ranks.count() <= most
     shared = docs.sparkSession.sparkContext.broadcast({r.word: r["rank"] for r in ranks.select("word", "rank").toLocalIterator()}) if small else None
 
@@ -144,10 +161,10 @@ def document_features(docs: DataFrame, ranks: DataFrame, cover: float = COVER, m
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                f = features(t.as_py())
+                f = features(t.as_py(), everyday)
                 counts = f.pop("counts")
-                wide = {"vocab_rank": covering_rank(counts, rank, cover), "words": None, "counts": None} if small else {"vocab_rank": None, "words": list(counts), "counts": list(counts.values())}
-                rows.append({"doc_id": doc, **f, **wide})
+                core, wide = covering_ranks(counts, rank, covers) if small else (None, None)
+                rows.append({"doc_id": doc, **f, "core_rank": core, "wide_rank": wide, "words": None if small else list(counts), "counts": None if small else list(counts.values())})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     from pyspark.sql.types import _parse_datatype_string
@@ -159,59 +176,59 @@ def document_features(docs: DataFrame, ranks: DataFrame, cover: float = COVER, m
     found = keep(found)
     each = found.select("doc_id", F.explode_outer(F.arrays_zip("words", "counts")).alias("w")).select("doc_id", "w.words", "w.counts")
     ranked = each.join(ranks.select(F.col("word").alias("words"), "rank"), "words", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "counts"))).alias("r"), F.sum("counts").alias("n"))
-    reached = F.aggregate("r", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("rank")), lambda a, x: F.struct((a["seen"] + x["counts"]).alias("seen"), F.coalesce(a["rank"], F.when(a["seen"] + x["counts"] >= F.ceil(F.lit(cover) * F.col("n") - 1e-9), x["rank"].cast("double"))).alias("rank")))["rank"]
-    return found.drop("words", "counts", "vocab_rank").join(ranked.select("doc_id", F.coalesce(reached, F.lit(0.0)).alias("vocab_rank")), "doc_id")
+    def reached(cover: float) -> Column:
+        enough = F.ceil(F.lit(cover) * F.col("n") - 1e-9)
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("rank"))
+        step = lambda a, x: F.struct((a["seen"] + x["counts"]).alias("seen"), F.coalesce(a["rank"], F.when(a["seen"] + x["counts"] >= enough, x["rank"].cast("double"))).alias("rank"))
+        return F.coalesce(F.aggregate("r", start, step)["rank"], F.lit(0.0))
 
+    return found.drop("words", "counts", "core_rank", "wide_rank").join(ranked.select("doc_id", reached(covers[0]).alias("core_rank"), reached(covers[1]).alias("wide_rank")), "doc_id")
 
-_RATED = """
-select l.band, ln(f.vocab_rank + 1) as v, ln(f.sentence_words + 1) as w, ln(f.sentence_letters + 1) as c
-from {features} f join {ratings} l on f.doc_id = l.doc_id
-where l.band is not null
-"""
+
+#: The scale's features, as SQL over document_features.
+_SCALE = {"core": "ln(core_rank + 1)", "wide": "ln(wide_rank + 1)", "length": "ln(sentence_words + 1)", "letters": "ln(sentence_letters + 1)"}
+
+_RATED = f"select l.band, f.common, {', '.join(f'{x} as {k}' for k, x in _SCALE.items())} from {{features}} f join {{ratings}} l on f.doc_id = l.doc_id where l.band is not null"
 
 #: The middle of each feature in each band: one row for each band of the scale.
-_MIDDLE = "select band, percentile_approx(v, 0.5, 10000) as v, percentile_approx(w, 0.5, 10000) as w, percentile_approx(c, 0.5, 10000) as c from {rated} group by band order by band limit {most}"
+_MIDDLE = f"select band, {', '.join(f'percentile_approx({k}, 0.5, 10000) as {k}' for k in _SCALE)} from {{rated}} group by band order by band limit {{most}}"
 
-#: The usual distance from a band's middle, in one row.
-_SPREAD = """
-select greatest(1.4826 * percentile_approx(abs(r.v - m.v), 0.5, 10000), 0.01) as v, greatest(1.4826 * percentile_approx(abs(r.w - m.w), 0.5, 10000), 0.01) as w,
-       greatest(1.4826 * percentile_approx(abs(r.c - m.c), 0.5, 10000), 0.01) as c
-from {rated} r join {middle} m on r.band = m.band
+#: The usual distance from a band's middle, in one row, and the middle share of everyday words.
+_SPREAD = f"""
+select percentile_approx(r.common, 0.5, 10000) as common, {', '.join(f'greatest(1.4826 * percentile_approx(abs(r.{k} - m.{k}), 0.5, 10000), 0.01) as {k}' for k in _SCALE)}
+from {{rated}} r join {{middle}} m on r.band = m.band
 """
 
 #: Bands that a scale may have.
 MOST_BANDS = 100
 
-#: How much vocabulary rank and sentence length count beside letters a word, whose scale is the tightest.
-WEIGHT_RANK, WEIGHT_LENGTH = 0.1, 0.1
 
+def prose(found: DataFrame, least_common: float) -> DataFrame:
+    """Documents that are mainly running English text: enough words, enough of them everyday words, and lines that read as sentences."""
+    return found.where((F.col("n_words") >= LEAST_WORDS) & (F.col("common") >= least_common) & (F.col("sentence_like") >= LEAST_SENTENCE))
 
-def prose(found: DataFrame) -> DataFrame:
-    """Documents that are mainly running English text: enough words, English function words, and lines that read as sentences."""
-    return found.where((F.col("n_words") >= LEAST_WORDS) & (F.col("common") >= LEAST_COMMON) & (F.col("common") > F.col("foreign")) & (F.col("sentence_like") >= LEAST_SENTENCE))
 
-
-def reading_bands(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", cover: float = COVER, most: int = VOCABULARY) -> DataFrame:
+def reading_bands(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", covers: tuple[float, float] = COVERS, most: int = VOCABULARY, scale: tuple[str, ...] = tuple(_SCALE)) -> DataFrame:
     """doc_id, band of each document that is mainly running English text.
 
-    The vocabulary and every feature come from whole texts of all documents; ratings only place
-    the bands. Defined cases: null, blank and short texts have no band; repeated documents count
+    The vocabulary and every feature come from whole texts of all documents; ratings place the
+    bands and teach what English looks like. scale names the features that decide, all alike.
+    Defined cases: null, blank and short texts have no band; repeated documents count
     each; several ratings of a document count each; ratings with a null band or of unknown
     documents don't count; without any rating there are no rows; other columns aren't read.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    found = keep(document_features(source, vocabulary(source), cover, most))
-    spark = docs.sparkSession
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("band").cast("int").alias("band"))
+    found = keep(document_features(source, vocabulary(source), everyday_words(source, rated), covers, most))
+    spark = docs.sparkSession
     told = keep(spark.sql(_RATED, features=found, ratings=rated))
     middle = keep(spark.sql(_MIDDLE, rated=told, most=MOST_BANDS + 1))
     bands, spread = middle.collect(), spark.sql(_SPREAD, rated=told, middle=middle).first()
     if len(bands) > MOST_BANDS:
         raise ValueError(f"more than {MOST_BANDS} bands")
-    texts = prose(found)
     if not bands:
-        return texts.select("doc_id", F.lit(0).alias("band")).where(F.lit(False))
+        return found.select("doc_id", F.lit(0).alias("band")).where(F.lit(False))
     # The scale is a handful of numbers now, so each text is banded where it lies.
-    off = lambda column, at, scale: F.pow((F.ln(F.col(column) + 1) - F.lit(at)) / F.lit(scale), 2)
-    far = [F.struct((off("vocab_rank", b.v, spread.v) * WEIGHT_RANK + off("sentence_words", b.w, spread.w) * WEIGHT_LENGTH + off("sentence_letters", b.c, spread.c)).alias("distance"), F.lit(b.band).alias("band")) for b in bands]
-    return texts.select("doc_id", F.array_min(F.array(*far))["band"].alias("band"))
+    off = lambda b, k: F.least(F.lit(FAR), F.pow((F.expr(_SCALE[k]) - F.lit(b[k])) / F.lit(spread[k]), 2))
+    far = [F.struct(reduce(lambda x, y: x + y, (off(b, k) for k in scale)).alias("distance"), F.lit(b.band).alias("band")) for b in bands]
+    return prose(found, LEAST_COMMON * spread.common).select("doc_id", F.array_min(F.array(*far))["band"].alias("band"))
