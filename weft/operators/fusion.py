@@ -95,6 +95,40 @@ def iou_pairs(boxes: DataFrame, frame: list[str], least: float, size: float = 0.
     return box_pairs(boxes, frame, size).select(*frame, "a", "b", box_iou(F.col("box_a"), F.col("box_b")).alias("iou")).where(F.col("iou") >= least)
 
 
+def association_pairs(boxes: DataFrame, frame: list[str], least: float, reach: float, size: float = 0.05) -> DataFrame:
+    """frame, a, b, iou, distance of pairs that overlap by at least `least` or whose centres are within reach."""
+    x, y = (lambda b: (b["x1"] + b["x2"]) / 2), (lambda b: (b["y1"] + b["y2"]) / 2)
+    a, b = F.col("box_a"), F.col("box_b")
+    # Cells are met within half the reach on each side, so no pair of near centres is missed.
+    met = box_pairs(boxes, frame, size, reach / 2).select(*frame, "a", "b", box_iou(a, b).alias("iou"), F.sqrt(F.pow(x(a) - x(b), 2) + F.pow(y(a) - y(b), 2)).alias("distance"))
+    return met.where((F.col("iou") >= least) | (F.col("distance") <= reach))
+
+
+def mask_overlaps(left: DataFrame, right: DataFrame, frame: list[str]) -> DataFrame:
+    """frame, a, b, iou of instances of two sets of masks that share a cell. A mask is a long table: frame, id, cell."""
+    l, r = left.select(*frame, F.col("id").alias("a"), "cell").distinct(), right.select(*frame, F.col("id").alias("b"), "cell").distinct()
+    both = l.join(r, [*frame, "cell"]).groupBy(*frame, "a", "b").agg(F.count("*").alias("n"))
+    size = lambda m, k: m.groupBy(*frame, k).agg(F.count("*").alias(f"n_{k}"))
+    return both.join(size(l, "a"), [*frame, "a"]).join(size(r, "b"), [*frame, "b"]).select(*frame, "a", "b", (F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("iou"))
+
+
+def unclaimed(instances: DataFrame, claimed: DataFrame, frame: list[str], most: float) -> DataFrame:
+    """Masks (frame, id, cell) of instances that overlap no claimed one by more than `most`."""
+    hit = mask_overlaps(instances, claimed, frame).where(F.col("iou") > most).select(*frame, F.col("a").alias("id")).distinct()
+    return instances.join(hit, [*frame, "id"], "left_anti")
+
+
+def merge_by_feature(nodes: DataFrame, node: str, feature: str) -> DataFrame:
+    """node, entity: nodes that share an external feature's id are one entity, named by its smallest node; others are their own. A node of several features joins them."""
+    from weft.operators.graph import components
+
+    known = nodes.where(f"{node} is not null").select(F.col(node).alias("node"), F.col(feature).alias("feature")).distinct()
+    # A star for each feature: each node with the feature's smallest.
+    least = known.where("feature is not null").groupBy("feature").agg(F.min("node").alias("src"))
+    stars = known.join(least, "feature").where("node <> src").select("src", F.col("node").alias("dst")).distinct()
+    return components(known.select("node").distinct(), stars).select(F.col("node").alias(node), F.col("component").alias("entity"))
+
+
 def adjacency(boxes: DataFrame, frame: list[str], reach: float = 0.05) -> DataFrame:
     """frame, a, b, distance, weight of pairs whose centres are within reach; weight falls from 1 to 0."""
     x, y = (F.col("box.x1") + F.col("box.x2")) / 2, (F.col("box.y1") + F.col("box.y2")) / 2
@@ -170,9 +204,8 @@ def belief_propagation(unary: DataFrame, pairs: DataFrame, table: DataFrame, rou
         raise ValueError(f"more than {MOST_STATES} states")
     k, at = len(states), {s: i for i, s in enumerate(states)}
     cost = np.ones((k, k))
-    for r in table.collect():
-        if r.s in at and r.t in at:
-            cost[at[r.s], at[r.t]] = r.cost
+    for r in table.where(F.col("s").isin(states) & F.col("t").isin(states)).collect():  # at most MOST_STATES squared
+        cost[at[r.s], at[r.t]] = r.cost
     own = keep(unary.groupBy("var").agg(F.array(*(F.coalesce(F.max(F.when(F.col("state") == s, F.col("x"))), F.lit(float("-inf"))) for s in states)).alias("x")))
     flat = F.array(*(F.lit(-float(np.log(max(1, k)))) for _ in states))
     message = keep(pairs.select("a", "b", F.col("weight").cast("double").alias("weight"), flat.alias("to_b"), flat.alias("to_a"), F.lit(0.0).alias("moved")))

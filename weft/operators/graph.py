@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from weft.sources.tables import forget, keep
 
 
+#: Keys that one node's or component's rows are spread over where many may meet.
+SALTS = 8
+
+
 def canonical(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Distinct edges src < dst; self-loops and rows with a null end drop out, parallel edges keep the largest weight."""
     weight = F.col("w") if "w" in edges.columns else F.lit(1.0)
@@ -105,8 +109,11 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
     while True:
         heard = pairs.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("component"))
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = keep(lower.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        # Only labels that got a lower one themselves lead further; a giant component's label is spread over several keys.
+        salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+        jump = lower.where("component <> node").select(F.col("node").alias("component"), F.col("component").alias("further"), salts)
+        salted = lower.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        step = keep(salted.join(jump, ["component", "salt"], "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
         changed = step.where("component <> old").limit(1).count()
         forget(labels)
         labels = step.select("node", "component")
@@ -135,8 +142,12 @@ def without_top(nodes: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame,
     return left, edges.join(F.broadcast(top.withColumnRenamed("node", "src")), "src", "left_anti").join(F.broadcast(top.withColumnRenamed("node", "dst")), "dst", "left_anti").select("src", "dst", "w")
 
 
-def distances(edges: DataFrame, sources: DataFrame, length: str = "w", cutoff: float | None = None) -> DataFrame:
-    """node, source, distance by relaxation from every source at once; a round looks only at what changed."""
+def distances(edges: DataFrame, sources: DataFrame, length: str = "w", cutoff: float | None = None, nearest: int | None = None, slack: float = 0.0) -> DataFrame:
+    """node, source, distance by relaxation from every source at once; a round looks only at what changed.
+
+    With `nearest`, each node keeps only its so many nearest sources and those at most `slack` farther in every round:
+    exact, as a source that is among a node's nearest is among those of every node on the way.
+    """
     ways = keep(both_ways(edges.select("src", "dst", F.col(length).alias("w"))))
     best = keep(sources.select(F.col("node"), F.col("node").alias("source"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")))
     while True:
@@ -144,7 +155,12 @@ def distances(edges: DataFrame, sources: DataFrame, length: str = "w", cutoff: f
         if cutoff is not None:
             step = step.where(F.col("distance") <= cutoff)
         merged = best.select("node", "source", "distance", F.lit(True).alias("old")).unionByName(step.withColumn("old", F.lit(False)))
-        now = keep(merged.groupBy("node", "source").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old"), F.col("distance"))).alias("had")).select("node", "source", "distance", (F.col("had").isNull() | (F.col("distance") < F.col("had"))).alias("fresh")))
+        now = merged.groupBy("node", "source").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old"), F.col("distance"))).alias("had")).select("node", "source", "distance", (F.col("had").isNull() | (F.col("distance") < F.col("had"))).alias("fresh"))
+        if nearest is not None:
+            ranked = now.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("distance", "source")))
+            limit = F.max(F.when(F.col("r") <= nearest, F.col("distance"))).over(Window.partitionBy("node"))
+            now = ranked.withColumn("limit", limit).where(F.col("distance") <= F.col("limit") + slack).drop("r", "limit")
+        now = keep(now)
         forget(best)
         best = now
         if not best.where("fresh").limit(1).count():
@@ -208,6 +224,39 @@ def fluid(nodes: DataFrame, edges: DataFrame, steps: int, dt: float = 0.01, stif
     return state.select("node", "rho"), flow.select("src", "dst", "u")
 
 
+def fluid_components(nodes: DataFrame, edges: DataFrame, steps: int, dt: float = 0.01, stiffness: float = 0.5, drag: float = 0.8, viscosity: float = 0.15, floor: float = 1e-12) -> DataFrame:
+    """node, part, rho after some steps of a fluid of several parts on a graph, with an unknown rest (part null) that doesn't move.
+
+    nodes: node, part, rho, phi, one row for each node and part, and part null for the rest (phi unread);
+    a node's rho sum to one. Each part flows like fluid(); then all are floored and scaled at each node
+    so that they sum to one again. All parts go through the same joins, keyed by (node, part).
+    """
+    state = keep(nodes.where("part is not null").select("node", "part", F.col("rho").cast("double").alias("rho"), F.col("phi").cast("double").alias("phi")))
+    rest = keep(nodes.where("part is null").select("node", F.col("rho").cast("double").alias("unknown")))
+    plain = keep(edges.select("src", "dst", F.col("length").cast("double").alias("length")))
+    deg = keep(plain.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("deg")))
+    flow = keep(plain.join(state.select(F.col("node").alias("src"), "part"), "src").select("src", "dst", "part", "length", F.lit(0.0).alias("u")))
+    ends = lambda v: F.explode(F.array(F.struct(F.col("src").alias("node"), (-F.col(v)).alias("x")), F.struct(F.col("dst").alias("node"), F.col(v).alias("x")))).alias("e")
+    inflow = lambda rows, v: rows.select("part", ends(v)).groupBy(F.col("e.node").alias("node"), "part").agg(F.sum("e.x").alias("x"))
+    for _ in range(steps):
+        mean = inflow(flow, "u").join(deg, "node").select("node", "part", (F.col("x") / F.col("deg")).alias("mean"))
+        at = state.join(mean, ["node", "part"], "left").select("node", "part", "rho", (stiffness * F.col("rho") + F.col("phi")).alias("head"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+        a, b = (at.select(F.col("node").alias(s), "part", F.col("rho").alias(f"rho_{s}"), F.col("head").alias(f"head_{s}"), F.col("mean").alias(f"mean_{s}")) for s in ("src", "dst"))
+        smooth = F.col("mean_dst") - F.col("mean_src") - 2 * F.col("u")
+        u = F.col("u") + dt * (-(F.col("head_dst") - F.col("head_src")) / F.col("length") - drag * F.col("u") + viscosity * smooth)
+        moved = keep(flow.join(a, ["src", "part"]).join(b, ["dst", "part"]).select("src", "dst", "part", "length", u.alias("u"), ((F.col("rho_src") + F.col("rho_dst")) / 2 * u).alias("flux")))
+        raw = state.join(inflow(moved, "flux").withColumnRenamed("x", "gain"), ["node", "part"], "left").select("node", "part", "phi", F.greatest(F.col("rho") + dt * F.coalesce("gain", F.lit(0.0)), F.lit(floor)).alias("rho"))
+        held = rest.select("node", F.greatest("unknown", F.lit(floor)).alias("unknown"))
+        total = raw.groupBy("node").agg(F.sum("rho").alias("s")).join(held, "node").select("node", "unknown", (F.col("s") + F.col("unknown")).alias("s"))
+        total = keep(total)
+        now = keep(raw.join(total, "node").select("node", "part", (F.col("rho") / F.col("s")).alias("rho"), "phi"))
+        left = keep(total.select("node", (F.col("unknown") / F.col("s")).alias("unknown")))
+        for old in (state, flow, rest, total):
+            forget(old)
+        state, rest, flow = now, left, moved.select("src", "dst", "part", "length", "u")
+    return state.select("node", "part", "rho").unionByName(rest.select("node", F.lit(None).cast(dict(state.dtypes)["part"]).alias("part"), F.col("unknown").alias("rho")))
+
+
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """side ('shared', 'only_left', 'only_right'), n: how the edges of two graphs agree."""
     marked = left.select("src", "dst", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("src", "dst", F.lit(0).alias("l"), F.lit(1).alias("r")))

@@ -8,6 +8,8 @@ dimensions, categories) are sums, made map-side first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +48,16 @@ def gram(queries: DataFrame, rows: DataFrame, kind: str | object, id_col: str =
     """i, j, k: kernel of each query against each row.
 
     kind names one of KERNELS or is a function of two matrices. Null vectors and vectors of
-    another length than the first query's are left out; ids may repeat; empty tables give none.
+    another length than the first query's are left out; ids (whole numbers or strings) may repeat;
+    empty tables give none.
     """
     spark, fn = rows.sparkSession, KERNELS[kind] if isinstance(kind, str) else kind
-    known = queries.where(f"{vec_col} is not null").select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"))
-    source = rows.where(f"{vec_col} is not null").select(F.col(id_col).cast("long").alias("j"), F.col(vec_col).cast("array<double>").alias("v"))
+    id_type = "string" if dict(rows.dtypes)[id_col] == "string" else "long"
+    known = queries.where(f"{vec_col} is not null").select(F.col(id_col).cast(id_type).alias("i"), F.col(vec_col).cast("array<double>").alias("v"))
+    source = rows.where(f"{vec_col} is not null").select(F.col(id_col).cast(id_type).alias("j"), F.col(vec_col).cast("array<double>").alias("v"))
 
     def against(ids, matrix):
-        shared = spark.sparkContext.broadcast((np.array(ids, "int64"), np.array(matrix)))
+        shared = spark.sparkContext.broadcast((np.array(ids, object if id_type == "string" else "int64"), np.array(matrix)))
 
         def run(batches):
             import pyarrow as pa
@@ -67,9 +71,9 @@ def gram(queries: DataFrame, rows: DataFrame, kind: str | object, id_col: str =
                     if not len(part):
                         continue
                     k = fn(q, _vectors(part.column(1)), **params)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(part))), pa.array(np.tile(part.column(0).to_numpy(), len(own))), pa.array(k.ravel())], names=["i", "j", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(part))), pa.array(np.tile(part.column(0).to_numpy(zero_copy_only=False), len(own))), pa.array(k.ravel())], names=["i", "j", "k"])
 
-        return source.mapInArrow(run, "i long, j long, k double")
+        return source.mapInArrow(run, f"i {id_type}, j {id_type}, k double")
 
     out, ids, matrix = None, [], []
     for r in known.toLocalIterator():
@@ -81,7 +85,7 @@ def gram(queries: DataFrame, rows: DataFrame, kind: str | object, id_col: str =
             ids, matrix = [], []
     if ids:
         out = against(ids, matrix) if out is None else out.unionByName(against(ids, matrix))
-    return out if out is not None else source.select(F.lit(0).cast("long").alias("i"), "j", F.lit(0.0).alias("k")).where(F.lit(False))
+    return out if out is not None else source.select(F.lit(0).cast(id_type).alias("i"), "j", F.lit(0.0).alias("k")).where(F.lit(False))
 
 
 def moment_kernels(rows: DataFrame, group: str, vec_col: str = "vec") -> DataFrame:
@@ -153,25 +157,41 @@ def prototypes(rows: DataFrame, label: str, vec_col: str = "vec") -> DataFrame:
 def classify(rows: DataFrame, protos: DataFrame, id_col: str, vec_col: str, least: float = 0.5, unsure: float = 0.75) -> DataFrame:
     """id, label, similarity, status of the nearest prototype by cosine; first label wins ties.
 
-    status is 'known' from `unsure` on, 'uncertain' from `least` on, else 'unknown'.
+    status is 'known' from `unsure` on, 'uncertain' from `least` on, else 'unknown'. Prototypes go out in blocks
+    of BLOCK; with more than one block each row keeps the best of each, and then of all.
     """
-    found = sorted((r.label, r.vec) for r in protos.select("label", "vec").toLocalIterator())
-    labels, matrix = [r[0] for r in found], [r[1] for r in found]
-    if not labels:
-        return rows.select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("similarity"), F.lit("unknown").alias("status"))
+    spark = rows.sparkSession
+    source = rows.where(f"{vec_col} is not null").select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
-    def run(batches):
-        import pyarrow as pa
+    def near(labels, matrix):
+        shared = spark.sparkContext.broadcast((np.array(labels), np.array(matrix)))
 
-        q = np.array(matrix)
-        for batch in batches:
-            x = _vectors(batch.column(1))
-            k = _cosine(q, x)
-            best = k.argmax(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(labels)[best], pa.int32()), pa.array(k[best, np.arange(len(best))])], names=["id", "label", "similarity"])
+        def run(batches):
+            import pyarrow as pa
 
-    near = rows.where(f"{vec_col} is not null").select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, label int, similarity double")
-    return near.withColumn("status", status(F.col("similarity"), least, unsure))
+            own, q = shared.value
+            for batch in batches:
+                k = _cosine(q, _vectors(batch.column(1)))
+                best = k.argmax(0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own[best], pa.int32()), pa.array(k[best, np.arange(len(best))])], names=["id", "label", "similarity"])
+
+        return source.mapInArrow(run, "id long, label int, similarity double")
+
+    found, labels, matrix = [], [], []
+    for r in protos.select("label", "vec").orderBy("label").toLocalIterator():
+        labels.append(r.label), matrix.append(r.vec)
+        if len(labels) == BLOCK:
+            found.append(near(labels, matrix))
+            labels, matrix = [], []
+    if labels:
+        found.append(near(labels, matrix))
+    if not found:
+        return source.select("id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("similarity"), F.lit("unknown").alias("status"))
+    best = found[0]
+    if len(found) > 1:
+        every = reduce(DataFrame.unionByName, found)
+        best = every.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("label")).alias("first"))).alias("m")).select("id", (-F.col("m.first")).alias("label"), "m.similarity")
+    return best.withColumn("status", status(F.col("similarity"), least, unsure))
 
 
 def status(similarity: Column, least: float, unsure: float) -> Column:
@@ -185,14 +205,29 @@ def distributions(rows: DataFrame, key: str, category: str, weight: Column | Non
     return counts.join(totals, key).select(key, category, (F.col("n") / F.col("total")).alias("p"))
 
 
+#: Categories that distributions compared as vectors may have.
+MOST_CATEGORIES = 10_000
+
+
 def hellinger(queries: DataFrame, all_rows: DataFrame, key: str, category: str) -> DataFrame:
     """a, b, affinity, hellinger, fisher_rao of each query key with every key that shares a category.
 
-    The queries' distributions are a stated set and small beside all rows; where Spark measures
-    them under its broadcast threshold they are broadcast, else both sides meet on the category.
+    Categories are a dimension of checked size: each key's distribution becomes one vector over them, and
+    the queries, a stated set, meet all vectors in blocks, so no category gathers its keys. Affinities
+    within 1e-9 of one are one, as sums of rounded shares can't tell them apart.
     """
-    left = queries.select(F.col(key).alias("a"), category, F.col("p").alias("pa"))
-    right = all_rows.select(F.col(key).alias("b"), category, F.col("p").alias("pb"))
-    affinity = left.join(right, category).groupBy("a", "b").agg(F.sum(F.sqrt(F.col("pa") * F.col("pb"))).alias("affinity"))
-    bounded = F.least(F.col("affinity"), F.lit(1.0))
-    return affinity.select("a", "b", "affinity", F.sqrt(1 - bounded).alias("hellinger"), (2 * F.acos(bounded)).alias("fisher_rao"))
+    names = [r[0] for r in all_rows.select(category).where(F.col(category).isNotNull()).distinct().orderBy(category).limit(MOST_CATEGORIES + 1).collect()]
+    if len(names) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories")
+    place = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))) if names else F.lit(None)
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        cells = rows.where(F.col(category).isin(names)).select(F.col(key).alias("id"), place[F.col(category)].alias("at"), "p")
+        held = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "p"))).alias("m"))
+        return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
+
+    if not names:
+        empty = all_rows.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("affinity")).where(F.lit(False))
+    else:
+        empty = gram(vectors(queries), vectors(all_rows), "hellinger").where("k > 0").select(F.col("i").alias("a"), F.col("j").alias("b"), F.when(F.col("k") >= 1 - 1e-9, 1.0).otherwise(F.col("k")).alias("affinity"))
+    return empty.select("a", "b", "affinity", F.sqrt(1 - F.col("affinity")).alias("hellinger"), (2 * F.acos("affinity")).alias("fisher_rao"))

@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.sources.tables import forget, keep
+
 
 def _moments(rows: DataFrame, lam: np.ndarray, c: int) -> tuple[float, np.ndarray, np.ndarray]:
     x = F.col("lq")
@@ -30,7 +32,8 @@ def _moments(rows: DataFrame, lam: np.ndarray, c: int) -> tuple[float, np.ndarra
 def fit(rows: DataFrame, features: list[Column], targets: list[float], log_q: Column | None = None, rounds: int = 50, tol: float = 1e-10) -> np.ndarray:
     """Multipliers for which the means of the features meet the targets. Raises if a target can't be met."""
     c = len(features)
-    flat = rows.select((F.lit(0.0) if log_q is None else log_q).alias("lq"), *(f.cast("double").alias(f"f{i}") for i, f in enumerate(features))).dropna().cache()
+    flat = rows.select((F.lit(0.0) if log_q is None else log_q).alias("lq"), *(f.cast("double").alias(f"f{i}") for i, f in enumerate(features))).dropna()
+    flat = keep(flat)
     try:
         ends = flat.agg(*(F.min(f"f{i}").alias(f"a{i}") for i in range(c)), *(F.max(f"f{i}").alias(f"b{i}") for i in range(c))).first()
         for i, t in enumerate(targets):
@@ -53,7 +56,7 @@ def fit(rows: DataFrame, features: list[Column], targets: list[float], log_q: Co
             lam = trial
         return lam
     finally:
-        flat.unpersist()
+        forget(flat)
 
 
 def distribution(rows: DataFrame, features: list[Column], lam, log_q: Column | None = None) -> DataFrame:
@@ -72,6 +75,37 @@ def entropy(weighted: DataFrame) -> DataFrame:
     return weighted.agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0))).alias("entropy"))
 
 
+def draw_with_replacement(weighted: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+    """draw (0 to n - 1) and the id it fell on, in proportion to p: hashed uniforms looked up in the running sum of p in order of id.
+
+    Rows are sorted over ranges; the driver sees one sum for each range. The draws, one number each,
+    are made in every task from the seed, and each row takes those that fall between its ends.
+    """
+    ordered = keep(weighted.where("p > 0").select(id_col, F.col("p").cast("double").alias("p")).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col).withColumn("part", F.spark_partition_id()))
+    sums = sorted((r.part, r.s) for r in ordered.groupBy("part").agg(F.sum("p").alias("s")).collect())
+    ends = np.cumsum([s for _, s in sums])
+    begins = {part: float(end - s) for (part, s), end in zip(sums, ends)}
+    total = float(ends[-1]) if len(ends) else 0.0
+    w = Window.partitionBy("part").orderBy(id_col)
+    up_to = F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    spans = ordered.withColumn("high", up_to).withColumn("low", F.coalesce(F.lag("high").over(w), F.lit(0.0))).select(id_col, "part", "low", "high")
+
+    def run(batches):
+        import pyarrow as pa
+
+        u = np.sort(np.random.default_rng(seed).random(n)) * total
+        for batch in batches:
+            begin = np.array([begins[p] for p in batch.column(1).to_pylist()])
+            low, high = begin + batch.column(2).to_numpy(), begin + batch.column(3).to_numpy()
+            high = np.where(high >= total * (1 - 1e-12), np.inf, high)
+            first, last = np.searchsorted(u, low, side="left"), np.searchsorted(u, high, side="left")
+            many = last - first
+            number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+            yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0).take(pa.array(np.repeat(np.arange(len(many)), many)))], names=["draw", id_col])
+
+    return spans.mapInArrow(run, f"draw long, {id_col} {dict(weighted.dtypes)[id_col]}")
+
+
 def draw(weighted: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """n draws without replacement in proportion to p: the n smallest of -ln(u) / p with a hashed uniform, so no running sum over all rows."""
     u = (F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(2**52)) + 0.5) / float(2**52)
@@ -105,8 +139,6 @@ def best_candidate(scored: DataFrame, id_col: str, score: str, turn: int, eps: f
 
     Only ties with the top are ordered, by a window over those rows.
     """
-    from pyspark.sql import Window
-
     top = scored.agg(F.max(score).alias("top"))
     tied = scored.crossJoin(F.broadcast(top)).where(F.abs(F.col(score) - F.col("top")) <= eps * F.greatest(F.lit(1.0), F.abs("top"))).drop("top")
     w = Window.orderBy(id_col)

@@ -150,10 +150,11 @@ def network_neighbours(buildings: DataFrame, road_nodes: DataFrame, roads: DataF
     from weft.operators.graph import distances
 
     snapped = keep(within(buildings, road_nodes, snap).groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", "b")).alias("m")).select("id", F.col("m.b").alias("node"), F.col("m.distance").alias("off")))
-    way = distances(roads, snapped.select("node").distinct(), "w", cutoff)
-    a = snapped.select(F.col("id").alias("query"), F.col("node").alias("source"), F.col("off").alias("off_a"))
-    b = snapped.select("id", "node", F.col("off").alias("off_b"))
-    pairs = way.join(a, "source").join(b, "node").where("query <> id").select("query", "id", (F.col("distance") + F.col("off_a") + F.col("off_b")).alias("distance"))
+    # The k buildings nearest to one of its own lie at a node's k + 1 nearest sources, or as much farther as a snap may differ.
+    way = distances(roads, snapped.select("node").distinct(), "w", cutoff, nearest=k + 1, slack=snap)
+    a = snapped.select(F.col("id").alias("query"), "node", F.col("off").alias("off_a"))
+    b = snapped.select("id", F.col("node").alias("source"), F.col("off").alias("off_b"))
+    pairs = way.join(a, "node").join(b, "source").where("query <> id").select("query", "id", (F.col("distance") + F.col("off_a") + F.col("off_b")).alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query", "id", "rank", "distance")
 
 

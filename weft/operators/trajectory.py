@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.grouped import chunked, large_groups, map_groups, numbered
+from weft.sources.tables import keep
+
 
 def shares_in_time(rows: DataFrame, key: str, t: Column, category: str, categories: list[str]) -> DataFrame:
     """key, t, shares: one array of category shares for each key and time; a diagonal kernel for each snapshot."""
@@ -77,18 +82,32 @@ def fixed_point_state(segs: DataFrame, key: str, tol: float, window: int) -> Dat
     return state.join(steps, key)
 
 
-def interpolate(samples: DataFrame, grid: DataFrame, key: str, t: str, value: str) -> DataFrame:
+#: Rows of one key in one task; longer series are cut along time.
+SERIES_ROWS = 1_000_000
+
+
+def interpolate(samples: DataFrame, grid: DataFrame, key: str, t: str, value: str, rows: int = SERIES_ROWS) -> DataFrame:
     """key, t, value of each grid time: linear between the samples around it, the end's value beyond an end.
 
     Samples and grid are one sorted sequence for each key, so the as-of lookup is a window and
-    not a range join. Repeated sample times count by their mean.
+    not a range join. Repeated sample times count by their mean. Keys of more than `rows` rows are cut
+    into pieces; each piece knows the last sample before it and the first after it.
     """
     once = samples.where(f"{t} is not null and {value} is not null").groupBy(key, F.col(t).cast("double").alias("t")).agg(F.avg(value).alias("v"))
     both = once.select(key, "t", "v", F.lit(0).alias("asked")).unionByName(grid.select(key, F.col(t).cast("double").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("asked")))
-    w = Window.partitionBy(key).orderBy("t", "asked")
-    past, next_ = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    many = keep(large_groups(both, key, rows))
+    none = F.lit(None).cast("struct<t:double,v:double>")
+    pieces = both.withColumn("piece", F.lit(0).cast("long")).withColumns({"before": none, "after": none})
     at = F.when(F.col("v").isNotNull(), F.struct(F.col("t").alias("t"), F.col("v").alias("v")))
-    near = both.withColumn("a", F.last(at, True).over(past)).withColumn("b", F.first(at, True).over(next_)).where("asked = 1")
+    if not many.isEmpty():
+        long = numbered(both.join(many.select(key), key), key, ["t", "asked"]).withColumn("piece", F.floor(F.col("rn") / rows)).drop("rn")
+        ends = long.groupBy(key, "piece").agg(F.max(at).alias("last"), F.min(at).alias("first"))
+        over = Window.partitionBy(key).orderBy("piece")
+        known = ends.select(key, "piece", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+        pieces = pieces.join(many.select(key), key, "left_anti").unionByName(long.join(known, [key, "piece"]))
+    w = Window.partitionBy(key, "piece").orderBy("t", "asked")
+    past, next_ = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    near = pieces.withColumn("a", F.coalesce(F.last(at, True).over(past), F.col("before"))).withColumn("b", F.coalesce(F.first(at, True).over(next_), F.col("after"))).where("asked = 1")
     share = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     blend = F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull() | (F.col("b.t") == F.col("a.t")), F.col("a.v")).otherwise((1 - share) * F.col("a.v") + share * F.col("b.v"))
     return near.select(key, "t", blend.alias("value"))
@@ -110,30 +129,29 @@ def first_crossing(rows: DataFrame, key: str, t: str, value: str, share: float =
     return ranked.join(limit, key).groupBy(key).agg(F.first("threshold").alias("threshold"), F.min(F.when(F.col(value) < F.col("threshold"), F.col(t))).alias("first_t"))
 
 
-def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float, start: float = 0.0) -> DataFrame:
+def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float, start: float = 0.0, bound: int = SERIES_ROWS) -> DataFrame:
     """key, order, value, smooth: exponential smoothing s = (1 - alpha) s + alpha x, from `start`.
 
     The recurrence has no window form that is stable in floating point, so each key's series is
-    folded in order; keys are cut from sorted partitions.
+    folded in order; keys are cut from sorted partitions. A series of more than `bound` rows is cut into
+    chunks that begin so far ahead (a tenth of the bound, at least 45 / alpha rows) that what lies before has no weight left.
     """
-    import numpy as np
-
-    from weft.operators.grouped import map_groups
-
     kind = dict(rows.dtypes)
+    flat = rows.where(f"{key} is not null and {order} is not null and {value} is not null").select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    cut = chunked(flat, "k", ["o", "x"], max(bound, math.ceil(450 / alpha))).withColumn("group", F.concat_ws("\x1f", "k", F.col("chunk").cast("string")))
 
     def run(part, starts):
-        x = part.column("x").to_numpy()
+        x, core = part.column("x").to_numpy(), part.column("core").to_numpy()
         out = np.empty(len(x))
         for a, b in zip(starts[:-1], starts[1:]):
             s = start
             for i in range(a, b):
                 s = (1 - alpha) * s + alpha * x[i]
                 out[i] = s
-        return {"k": part.column("k").combine_chunks(), "o": part.column("o").combine_chunks(), "x": x, "smooth": out}
+        mine = np.flatnonzero(core)
+        return {"k": part.column("k").combine_chunks().take(mine), "o": part.column("o").combine_chunks().take(mine), "x": x[mine], "smooth": out[mine]}
 
-    flat = rows.where(f"{key} is not null and {order} is not null and {value} is not null").select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
-    return map_groups(flat, "k", ["o", "x"], run, f"k string, o {kind[order]}, x double, smooth double").select(F.col("k").cast(kind[key]).alias(key), F.col("o").alias(order), F.col("x").alias(value), "smooth")
+    return map_groups(cut, "group", ["o", "x"], run, f"k string, o {kind[order]}, x double, smooth double").select(F.col("k").cast(kind[key]).alias(key), F.col("o").alias(order), F.col("x").alias(value), "smooth")
 
 
 def largest_drop(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -161,3 +179,16 @@ def running_share(rows: DataFrame, key: str, order: str, value: str) -> DataFram
     w = Window.partitionBy(key)
     run, total = F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.sum(value).over(w)
     return rows.withColumn("running", run).withColumn("share", F.when(total != 0, F.col("running") / total).otherwise(0.0))
+
+
+def sample_windows(rows: DataFrame, key: str, order: str, width: int, stride: int) -> DataFrame:
+    """rows with win (0, 1, ...), each row once for every window of `width` samples, a `stride` apart, that holds it; a key's last, incomplete windows are left out.
+
+    Samples are numbered by key and time; each is handed to its windows, so overlapping windows need no self-join.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    at = rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("_all", F.count("*").over(Window.partitionBy(key)))
+    first = F.greatest(F.lit(0), F.ceil((F.col("_n") - (width - 1)) / stride)).cast("int")
+    last = F.least(F.floor(F.col("_n") / stride), F.floor((F.col("_all") - width) / stride)).cast("int")
+    held = at.where(F.col("_all") >= width).withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    return held.withColumn("win", F.explode(F.sequence("_first", "_last"))).drop("_n", "_all", "_first", "_last")

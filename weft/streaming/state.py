@@ -75,15 +75,28 @@ def track_frames(frames: DataFrame, every: int = 30, threshold: float = 0.5, win
 
 
 def track_frames_batch(frames: DataFrame, every: int = 30, threshold: float = 0.5, window: int = 5, tol: float = 1e-2) -> DataFrame:
-    """The same over a finished table."""
+    """The same over a finished table, by windows, so that a long key is sorted (and spilled) but never held in one process.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker = FrameTracker(every, threshold, window, tol)
-        rows = [(r.key, r.frame, *tracker.push(r.vec)) for r in pdf.sort_values("frame").itertuples(index=False)]
-        return pd.DataFrame(rows, columns=["key", "frame", "novelty", "keyframe", "since", "stability", "phase"])
+    Every frame whose novelty reaches the threshold starts the count anew, so the others are keyframes at whole multiples
+    of every + 1 after the last such frame, or after the first.
+    """
+    from pyspark.sql import Window
+
+    from weft.operators.trajectory import array_distance
 
+    w = Window.partitionBy("key").orderBy("frame")
     flat = frames.where("key is not null and vec is not null").select(F.col("key").cast("string").alias("key"), F.col("frame").cast("long").alias("frame"), F.col("vec").cast("array<double>").alias("vec"))
-    return flat.groupBy("key").applyInPandas(run, FRAME_SCHEMA)
+    d = flat.withColumn("n", F.row_number().over(w) - 1).withColumn("novelty", F.coalesce(array_distance(F.lag("vec").over(w), F.col("vec")), F.lit(0.0)))
+    fresh = F.when((F.col("n") == 0) | (F.col("novelty") >= threshold), F.col("n"))
+    d = d.withColumn("since", (F.col("n") - F.max(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0))) % (every + 1)).withColumn("d", F.when(F.col("n") > 0, F.col("novelty")))
+    recent = w.rowsBetween(1 - window, 0)
+    d = d.withColumn("rise", F.when(F.col("n") > 1, F.col("novelty") - F.lag("novelty").over(w)))
+    d = d.withColumn("top", F.max("rise").over(w.rowsBetween(2 - window, 0))) if window > 1 else d.withColumn("top", F.lit(0.0))
+    d = d.withColumns({"have": F.count("d").over(recent), "low": F.count(F.when(F.col("d") < tol, 1)).over(recent), "mean": F.avg("d").over(recent)})
+    full = F.col("have") == window
+    stability = F.when(full, F.greatest(F.lit(0.0), 1 - F.col("mean") / tol)).otherwise(0.0)
+    phase = F.when(~full, "insufficient_data").when(F.col("low") == window, "stable_fp").when(F.coalesce("top", F.lit(0.0)) <= 0, "transient").otherwise("oscillating")
+    return d.select("key", "frame", "novelty", (F.col("since") == 0).alias("keyframe"), F.col("since").cast("long").alias("since"), stability.alias("stability"), phase.alias("phase"))
 
 
 def running_prototypes(labelled: DataFrame) -> DataFrame:
