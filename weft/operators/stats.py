@@ -104,14 +104,15 @@ def spectrum_distances(spectra: DataFrame, group: str) -> DataFrame:
     return a.join(b, "rank").where("a < b").groupBy("a", "b").agg(F.greatest(1 - F.sum(F.least("pa", "pb")), F.lit(0.0)).alias("tv"))
 
 
-def autoregression(rows: DataFrame, key: str, t: str, values: list[str], dt: float, ridge: float = 0.0) -> DataFrame:
+def autoregression(rows: DataFrame, key: str, t: str | list[str], values: list[str], dt: float, ridge: float = 0.0) -> DataFrame:
     """key, n, drift: row-major matrix (M - I) / dt of the least-squares map x(t+1) = M x(t), by sums of products and one small solve.
 
     drift is an array of d*d numbers, null where the map isn't determined.
     """
     d = len(values)
-    w = Window.partitionBy(key).orderBy(t)
-    ahead = rows.dropna(subset=[key, t, *values]).select(key, *(F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(values)), *(F.lead(F.col(v).cast("double")).over(w).alias(f"y{i}") for i, v in enumerate(values))).where("y0 is not null")
+    order = [t] if isinstance(t, str) else t
+    w = Window.partitionBy(key).orderBy(*order)
+    ahead = rows.dropna(subset=[key, *order, *values]).select(key, *(F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(values)), *(F.lead(F.col(v).cast("double")).over(w).alias(f"y{i}") for i, v in enumerate(values))).where("y0 is not null")
     gram = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(d) for j in range(d)]
     cross = [F.sum(F.col(f"y{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i in range(d) for j in range(d)]
     sums = ahead.groupBy(key).agg(F.count("*").alias("n"), *gram, *cross).select(key, "n", F.array(*(f"g{i}_{j}" for i in range(d) for j in range(d))).alias("g"), F.array(*(f"c{i}_{j}" for i in range(d) for j in range(d))).alias("c"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions import coding, geodesy, indices, information, modes, motion, novelty, physics, shapes
-from weft.operators import fusion, graph, kernels, maxcal, raster, stats, trajectory
+from weft.operators import fusion, graph, kernels, maxcal, raster, spatial, stats, trajectory
 from weft.sources.tables import keep, table
 
 QUERIES: dict = {}
@@ -132,20 +132,19 @@ def prototype_classify(spark: SparkSession, root: str) -> DataFrame:
 
 
 _P = "with n as (select {k}, {c}, count(*) n from {t} where {k} is not null and {c} is not null group by all), p as (select {k}, {c}, n / sum(n) over (partition by {k}) p from n) "
-_HELLINGER = "select a, b, round(s, 6) affinity, round(sqrt(1 - least(s, 1)), 5) hellinger, round(2 * acos(least(s, 1)), 5) fisher_rao from (select x.{k} a, y.{k} b, sum(sqrt(x.p * y.p)) s from p x join p y using ({c}) where {w} group by all) where s < 0.999999"
+_HELLINGER = "select a, b, round(s, 6) affinity, round(sqrt(1 - s), 5) hellinger, round(2 * acos(s), 5) fisher_rao from (select x.{k} a, y.{k} b, case when sum(sqrt(x.p * y.p)) >= 1 - 1e-9 then 1 else sum(sqrt(x.p * y.p)) end s from p x join p y using ({c}) where {w} group by all)"
 
 
 @query(_P.format(k="user_id", c="event_type", t="events") + _HELLINGER.format(k="user_id", c="event_type", w="x.user_id % 100 = 0"))
 def label_hellinger(spark: SparkSession, root: str) -> DataFrame:
-    p = kernels.distributions(table(spark, root, "events"), "user_id", "event_type")
-    # Next to 1 the angle's last digits are noise of the sum.
-    return rounded(rounded(kernels.hellinger(p.where("user_id % 100 = 0"), p, "user_id", "event_type").where("affinity < 0.999999"), 6, "affinity"), 5, "hellinger", "fisher_rao")
+    p = keep(kernels.distributions(table(spark, root, "events"), "user_id", "event_type"))
+    return rounded(rounded(kernels.hellinger(p.where("user_id % 100 = 0"), p, "user_id", "event_type"), 6, "affinity"), 5, "hellinger", "fisher_rao")
 
 
-@query(_P.format(k="source", c="lang", t="documents") + _HELLINGER.format(k="source", c="lang", w="x.source < y.source"))
+@query(_P.format(k="source", c="lang", t="documents") + _HELLINGER.format(k="source", c="lang", w="x.source <= y.source"))
 def hellinger_sources(spark: SparkSession, root: str) -> DataFrame:
     p = keep(kernels.distributions(table(spark, root, "documents"), "source", "lang"))
-    return rounded(rounded(kernels.hellinger(p, p, "source", "lang").where("a < b and affinity < 0.999999"), 6, "affinity"), 5, "hellinger", "fisher_rao")
+    return rounded(rounded(kernels.hellinger(p, p, "source", "lang").where("a <= b"), 6, "affinity"), 5, "hellinger", "fisher_rao")
 
 
 # ---- trajectories over events ----
@@ -185,14 +184,15 @@ def fixed_point_state(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""with o as (select user_id, epoch(ts) / 86400 t, avg(value) v from events where ts is not null and value is not null group by all),
-d as (select distinct cast(date_diff('day', date '1970-01-01', cast(ts as date)) as double) t from events where ts is not null),
-g as (select user_id, t from (select distinct user_id from o), d),
+g as (select user_id, cast(unnest(range(cast(floor(min(t)) as bigint), cast(ceil(max(t)) as bigint) + 1)) as double) t from o group by user_id),
 a as (select g.user_id, g.t, o.t t0, o.v v0 from g asof left join o on g.user_id = o.user_id and g.t >= o.t),
 b as (select g.user_id, g.t, o.t t1, o.v v1 from g asof left join o on g.user_id = o.user_id and g.t <= o.t)
-select user_id, t, round(case when t0 is null then v1 when t1 is null or t1 = t0 then v0 else v0 + (t - t0) / (t1 - t0) * (v1 - v0) end, 4) value from a join b using (user_id, t)""")
+select user_id, t, round(case when t0 is null then v1 when t1 is null or t1 = t0 then v0 else v0 + (t - t0) / (t1 - t0) * (v1 - v0) end, 4) value from a join b using (user_id, t) where user_id is not null""")
 def asof_interpolate(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "events").where("ts is not null and value is not null").select("user_id", (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 86_400e6).alias("t"), "value", F.unix_date(F.to_date("ts")).cast("double").alias("day"))
-    grid = e.select("user_id").distinct().join(e.select(F.col("day").alias("t")).distinct())
+    """Values of each user at the midnights from the one before its first event to the one after its last."""
+    e = table(spark, root, "events").where("user_id is not null and ts is not null and value is not null").select("user_id", (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 86_400e6).alias("t"), "value")
+    span = e.groupBy("user_id").agg(F.floor(F.min("t")).alias("first"), F.ceil(F.max("t")).alias("last"))
+    grid = span.select("user_id", F.explode(F.sequence("first", "last")).alias("t"))
     return rounded(trajectory.interpolate(e, grid, "user_id", "t", "value"), 4, "value")
 
 
@@ -220,10 +220,12 @@ def temporal_links(spark: SparkSession, root: str) -> DataFrame:
     return links.groupBy("user_id", "a_scene", "b_scene").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""with s as (select distinct state_id, run_id, t, v from rover_states where run_id is not null and t is not null and v is not null and abs(v) <= 100),
+w as (select run_id, t, v, list(v) over (partition by run_id order by t, v, state_id rows between 149 preceding and current row) l from s)
+select run_id, t, v, round(list_sum([0.3 * x * power(0.7, len(l) - n) for x, n in l]), 6) + 0.0 smooth from w""")
 def speed_smoothing(spark: SparkSession, root: str) -> DataFrame:
-    """Exponential smoothing of each run's speed in order of time; a recurrence, so without SQL."""
-    states = table(spark, root, "rover_states").select("state_id", "run_id", "t", "v").where("not isnan(v)").distinct()
+    """Exponential smoothing of each run's possible speeds in order of time; in SQL by the weights of the last 150 readings, as older ones weigh below 1e-23."""
+    states = table(spark, root, "rover_states").select("state_id", "run_id", "t", "v").where("abs(v) <= 100").distinct()
     return rounded(trajectory.ema(states, "run_id", "t", "v", 0.3), 6, "smooth")
 
 
@@ -317,11 +319,15 @@ def assembly_reward(spark: SparkSession, root: str) -> DataFrame:
     return rounded(stats.reward(table(spark, root, "supplier"), "s_suppkey", F.abs("s_acctbal"), F.col("s_nationkey")), 6, "reward")
 
 
-@query()
+@query("""with s as (select distinct state_id, run_id, t, v, omega from rover_states where run_id is not null and t is not null and abs(v) <= 100 and abs(omega) <= 100),
+p as (select run_id, v, omega, lead(v) over w v1, lead(omega) over w o1 from s window w as (partition by run_id order by t, state_id)),
+g as (select run_id, count(*) n, sum(v * v) + 1e-9 a, sum(v * omega) b, sum(omega * omega) + 1e-9 d, sum(v1 * v) vv, sum(v1 * omega) vo, sum(o1 * v) ov, sum(o1 * omega) oo from p where v1 is not null group by run_id)
+select run_id, n, round(((vv * d - vo * b) / (a * d - b * b) - 1) / 0.1, 5) + 0.0 a00, round((vo * a - vv * b) / (a * d - b * b) / 0.1, 5) + 0.0 a01, round((ov * d - oo * b) / (a * d - b * b) / 0.1, 5) + 0.0 a10, round(((oo * a - ov * b) / (a * d - b * b) - 1) / 0.1, 5) + 0.0 a11 from g""")
 def rover_dynamics(spark: SparkSession, root: str) -> DataFrame:
-    """Linear dynamics of (v, omega) of each run by least squares; a small solve, so without SQL."""
-    rows = table(spark, root, "rover_states").select("state_id", "run_id", "t", "v", "omega").where("not isnan(v) and not isnan(omega)").distinct()
-    return stats.autoregression(rows, "run_id", "t", ["v", "omega"], 0.1, 1e-9)
+    """Linear dynamics of (v, omega) of each run by least squares, the drift matrix as four columns."""
+    rows = table(spark, root, "rover_states").select("state_id", "run_id", "t", "v", "omega").where("abs(v) <= 100 and abs(omega) <= 100").distinct()
+    d = stats.autoregression(rows, "run_id", ["t", "state_id"], ["v", "omega"], 0.1, 1e-9)
+    return rounded(d.select("run_id", "n", *(F.col("drift")[k].alias(f"a{k // 2}{k % 2}") for k in range(4))), 5, "a00", "a01", "a10", "a11")
 
 
 # ---- columns ----
@@ -360,11 +366,14 @@ def landauer_table(spark: SparkSession, root: str) -> DataFrame:
     return rounded(rounded(o.select("o_orderkey", physics.nats_to_bits(nats).alias("bits"), F.log10(physics.landauer_joules(nats)).alias("log_joules"), seen["log10_ratio"].alias("log10_ratio"), seen["regime"].alias("regime")), 6, "bits", "log_joules"), 4, "log10_ratio")
 
 
-@query("""with n as (select distinct node_id, (region.geo_bbox.south + region.geo_bbox.north) / 2 lat, (region.geo_bbox.west + region.geo_bbox.east) / 2 lon from scene_nodes where region.geo_bbox.west is not null and region.geo_bbox.west <> 0),
+@query("""with b as (select node_id, region.geo_bbox g, list_filter(region.geo_polygon, lambda v: v is not null and v.lon is not null and v.lat is not null) p from scene_nodes where node_id is not null),
+k as (select *, g.west is not null and g.south is not null and g.east is not null and g.north is not null and not (g.west = 0 and g.south = 0 and g.east = 0 and g.north = 0) boxed from b),
+n as (select distinct node_id, case when boxed then (g.south + g.north) / 2 else (list_min([v.lat for v in p]) + list_max([v.lat for v in p])) / 2 end lat, case when boxed then (g.west + g.east) / 2 else (list_min([v.lon for v in p]) + list_max([v.lon for v in p])) / 2 end lon from k where boxed or len(p) > 0),
 r as (select node_id, radians(lat) p, radians(lon) q, lon, lat, 6378137.0 / sqrt(1 - 0.0066943799901413165 * power(sin(radians(lat)), 2)) n from n)
 select node_id, round((n + 100) * cos(p) * cos(q), 3) x, round((n + 100) * cos(p) * sin(q), 3) y, round((n * (1 - 0.0066943799901413165) + 100) * sin(p), 3) z, cast(floor((lon + 180) / 6) as int) % 60 + 1 zone, round(lat, 5) lat_back, round(lon, 5) lon_back from r""")
 def geodesy_frames(spark: SparkSession, root: str) -> DataFrame:
-    n = table(spark, root, "scene_nodes").where("region.geo_bbox.west is not null and region.geo_bbox.west <> 0").select("node_id", ((F.col("region.geo_bbox.south") + F.col("region.geo_bbox.north")) / 2).alias("lat"), ((F.col("region.geo_bbox.west") + F.col("region.geo_bbox.east")) / 2).alias("lon")).distinct()
+    """Each placed node (by its box, else its ring) in geocentric coordinates and back, and its zone."""
+    n = spatial.locate(table(spark, root, "scene_nodes"), "node_id", F.col("region.geo_bbox"), F.col("region.geo_polygon")).withColumnRenamed("id", "node_id")
     at = n.withColumn("e", geodesy.to_ecef(F.col("lat"), F.col("lon"), F.lit(100.0))).withColumn("g", geodesy.from_ecef(F.col("e.x"), F.col("e.y"), F.col("e.z")))
     return rounded(rounded(at.select("node_id", "e.x", "e.y", "e.z", geodesy.utm_zone(F.col("lon")).alias("zone"), F.col("g.lat").alias("lat_back"), F.col("g.lon").alias("lon_back")), 3, "x", "y", "z"), 5, "lat_back", "lon_back")
 
@@ -401,7 +410,7 @@ def mode_fixed_points(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _claims(spark, root):
-    nodes = table(spark, root, "scene_nodes").groupBy("node_id").agg(F.first(F.struct("sg_idx", "claims")).alias("n")).select("node_id", "n.sg_idx", "n.claims")
+    nodes = table(spark, root, "scene_nodes").groupBy("node_id").agg(F.max_by(F.struct("sg_idx", "claims"), F.coalesce("ingested_at", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))).alias("n")).select("node_id", "n.sg_idx", "n.claims")
     return fusion.claims_of(nodes, "node_id", "sg_idx")
 
 
@@ -499,10 +508,17 @@ def degree_capped(spark: SparkSession, root: str) -> DataFrame:
     return fusion.capped_degree(adj, 2).select("frame", "a", "b")
 
 
-@query()
+_CLUSTERS = ", o as (select *, (x2 - x1) * (y2 - y1) area, row_number() over (partition by sg_idx order by (x2 - x1) * (y2 - y1) desc, node_id) r from b), "
+
+
+@query(_BOXES.replace("with ", "with recursive ", 1) + _CLUSTERS + """s(sg_idx, r, anchors, node_id, cluster) as (select sg_idx, r, [{'id': node_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}], node_id, node_id from o where r = 1 union all
+select sg_idx, r, case when best > 0.05 then anchors else list_append(anchors, {'id': node_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) end, node_id, case when best > 0.05 then anchors[list_position(ious, best)].id else node_id end from (select *, list_max(ious) best from (
+ select o.*, s.anchors, [case when least(o.x2, a.x2) > greatest(o.x1, a.x1) and least(o.y2, a.y2) > greatest(o.y1, a.y1) and (o.x2 - o.x1) * (o.y2 - o.y1) + (a.x2 - a.x1) * (a.y2 - a.y1) - (least(o.x2, a.x2) - greatest(o.x1, a.x1)) * (least(o.y2, a.y2) - greatest(o.y1, a.y1)) > 0
+   then (least(o.x2, a.x2) - greatest(o.x1, a.x1)) * (least(o.y2, a.y2) - greatest(o.y1, a.y1)) / ((o.x2 - o.x1) * (o.y2 - o.y1) + (a.x2 - a.x1) * (a.y2 - a.y1) - (least(o.x2, a.x2) - greatest(o.x1, a.x1)) * (least(o.y2, a.y2) - greatest(o.y1, a.y1))) else 0.0 end for a in s.anchors] ious
+ from s join o on s.sg_idx = o.sg_idx and o.r = s.r + 1))) select sg_idx, node_id claim_id, cluster from s""")
 def claim_clusters(spark: SparkSession, root: str) -> DataFrame:
-    """Nodes of each scene clustered greedily by overlap; order-dependent, so without SQL."""
-    b = _boxes(spark, root).select("sg_idx", F.col("id").alias("claim_id"), "box", ((F.col("box.x2") - F.col("box.x1")) * (F.col("box.y2") - F.col("box.y1"))).alias("area"))
+    """Nodes of each scene clustered greedily by overlap, from the largest."""
+    b = _boxes(spark, root).where("sg_idx is not null").select("sg_idx", F.col("id").alias("claim_id"), "box", ((F.col("box.x2") - F.col("box.x1")) * (F.col("box.y2") - F.col("box.y1"))).alias("area"))
     return fusion.cluster_claims(b, ["sg_idx"], 0.05)
 
 
@@ -613,9 +629,21 @@ def shortest_distances(spark: SparkSession, root: str) -> DataFrame:
     return graph.distances(_ring(spark, root), spark.range(1).select(F.col("id").alias("node")))
 
 
-@query()
+def _fluid_sql(steps: int) -> str:
+    """The fluid's steps unrolled: velocities and densities of one step from those of the one before."""
+    sql = _RING + ", g as (select src, dst, 1.0::double len from e), deg as (select i node, d from d), r0 as (select n_nationkey::bigint node, 1.0::double / 25 rho, n_regionkey / 5.0::double + 1.2 * n_nationkey / 25.0::double - 0.9 * 0.2::double phi from nation), u0 as (select src, dst, len, 0.0::double u from g)"
+    for k in range(steps):
+        sql += f""", m{k} as (select node, sum(x) / any_value(d) nu from (select src node, -u x from u{k} union all select dst, u from u{k}) join deg using (node) group by node),
+u{k + 1} as (select u.src, u.dst, u.len, u.u + 0.01 * (-((0.5 * b.rho + b.phi) - (0.5 * a.rho + a.phi)) / u.len - 0.8 * u.u + 0.15 * (q.nu - p.nu - 2 * u.u)) u, a.rho ra, b.rho rb from u{k} u join r{k} a on a.node = u.src join r{k} b on b.node = u.dst join m{k} p on p.node = u.src join m{k} q on q.node = u.dst),
+f{k} as (select node, sum(x) gain from (select src node, -(ra + rb) / 2 * u x from u{k + 1} union all select dst, (ra + rb) / 2 * u from u{k + 1}) group by node),
+t{k} as (select node, greatest(rho + 0.01 * coalesce(gain, 0), 1e-12) rho, phi from r{k} left join f{k} using (node)),
+r{k + 1} as (select node, rho / (select sum(rho) from t{k}) rho, phi from t{k})"""
+    return sql + f" select node, round(rho, 8) rho from r{steps}"
+
+
+@query(_fluid_sql(3))
 def fluid_step(spark: SparkSession, root: str) -> DataFrame:
-    """Three steps of the fluid on a ring of nations; iterative, tested against NumPy."""
+    """Three steps of the fluid on a ring of nations."""
     n = table(spark, root, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.lit(1 / 25).alias("rho"), (F.col("n_regionkey") / 5).alias("loss"), (F.col("n_nationkey") / 25).alias("cost"), F.lit(0.2).alias("info"))
     return rounded(graph.fluid(n, _ring(spark, root).select("src", "dst", F.lit(1.0).alias("length")), 3)[0], 8, "rho")
 
@@ -662,9 +690,12 @@ def drainage_network(spark: SparkSession, root: str) -> DataFrame:
     return raster.drainage_edges(d, keep(raster.channels(raster.flow_accumulation(d), 12)))
 
 
-@query()
+@query(_GRID + _ACC + """, ch as (select r, c, row_number() over (order by n, r, c) k from acc where n >= 12),
+feed as (select b.k, list(a.k) filter (a.k is not null) u from ch b left join (t join ch a on a.r = t.r and a.c = t.c) on t.r2 = b.r and t.c2 = b.c group by b.k),
+s(k, o) as (select 0::bigint, []::int[] union all select feed.k, list_append(s.o, case when len(coalesce(u, [])) = 0 then 1 else list_max([s.o[x] for x in u]) + case when len([x for x in u if s.o[x] = list_max([s.o[y] for y in u])]) >= 2 then 1 else 0 end end) from s join feed on feed.k = s.k + 1)
+select 'valley' raster_id, r, c, (select o from s order by k desc limit 1)[k] strahler from ch""")
 def strahler_order(spark: SparkSession, root: str) -> DataFrame:
-    """Stream order of the channels; layered, tested against a small fixture."""
+    """Stream order of the channels."""
     d = keep(raster.flow_direction(raster.valley_grid(spark, 40, 36)))
     ch = keep(raster.channels(raster.flow_accumulation(d), 12))
     return raster.strahler(ch, raster.drainage_edges(d, ch))
@@ -673,12 +704,20 @@ def strahler_order(spark: SparkSession, root: str) -> DataFrame:
 # ---- choices under constraints ----
 
 
-@query()
+def _maxcal_sql(rounds: int) -> str:
+    """Newton's steps on the dual unrolled: each takes mean and variance under the weights of the one before."""
+    sql = "with o as (select o_orderkey, ln(o_totalprice) f from orders), g as (select avg(f) + 0.2 goal, avg(f) mid from o), l0 as (select 0.0::double l)"
+    for k in range(rounds):
+        sql += f", m{k} as (select sum(exp(-l * (f - mid)) * f) / sum(exp(-l * (f - mid))) m, sum(exp(-l * (f - mid)) * f * f) / sum(exp(-l * (f - mid))) s from o, g, l{k}), l{k + 1} as (select l + (m - goal) / (s - m * m) l from l{k}, m{k}, g)"
+    return sql + f", e as (select o_orderkey, exp(-l * (f - mid)) w from o, g, l{rounds}) select o_orderkey, round(w / (select sum(w) from e), 11) p from e"
+
+
+@query(_maxcal_sql(12))
 def maxcal_fit(spark: SparkSession, root: str) -> DataFrame:
-    """Least-biased weights of orders whose mean log price is above the plain mean; iterative, tested for met constraints."""
+    """Least-biased weights of orders whose mean log price is above the plain mean."""
     o = table(spark, root, "orders").select("o_orderkey", F.ln("o_totalprice").alias("f"))
     target = o.agg(F.avg("f")).first()[0] + 0.2
-    return maxcal.distribution(o, [F.col("f")], maxcal.fit(o, [F.col("f")], [target])).select("o_orderkey", "p")
+    return rounded(maxcal.distribution(o, [F.col("f")], maxcal.fit(o, [F.col("f")], [target])).select("o_orderkey", "p"), 11, "p")
 
 
 @query("""with s as (select s_suppkey, s_acctbal / 1000 - case when s_nationkey in (1, 2, 3) then 2 else 0 end score from supplier), t as (select *, row_number() over (order by s_suppkey) - 1 r, count(*) over () n from s where abs(score - (select max(score) from s)) <= 1e-6 * greatest(1, abs((select max(score) from s))))
@@ -688,8 +727,13 @@ def best_candidate(spark: SparkSession, root: str) -> DataFrame:
     return rounded(maxcal.best_candidate(s, "s_suppkey", "score", 7), 5, "score")
 
 
-@query()
+@query("""with recursive n as (select tile_id, node_id, max(area) area, cast(min(sg_idx) as varchar) bucket from scene_nodes where area is not null and tile_id is not null and node_id is not null group by all),
+o as (select *, 1.0 + area * 100 cost, row_number() over (partition by tile_id order by area desc, node_id) r from n),
+s(tile_id, r, spent, used, kept, node_id, area, bucket, cost, taken) as (select tile_id, 0::bigint, 0.0::double, []::varchar[], 0, null::varchar, null::double, null::varchar, null::double, false from (select distinct tile_id from o) union all
+select tile_id, r, case when ok then spent + cost else spent end, case when ok then list_append(used, coalesce(bucket, '<none>')) else used end, kept + case when ok then 1 else 0 end, node_id, area, bucket, cost, ok from (
+ select o.*, s.spent, s.used, s.kept, s.kept < 5 and len([x for x in s.used if x = coalesce(o.bucket, '<none>')]) < 2 and s.spent + o.cost <= 10.0 ok from s join o on o.tile_id = s.tile_id and o.r = s.r + 1 where s.kept < 5))
+select tile_id, node_id, area, bucket, cost from s where taken""")
 def budgeted_pick(spark: SparkSession, root: str) -> DataFrame:
-    """Greedy choice of nodes to ask about in each tile, under a budget; order-dependent, so without SQL."""
-    n = table(spark, root, "scene_nodes").where("area is not null and tile_id is not null").groupBy("tile_id", "node_id").agg(F.max("area").alias("area"), F.min("sg_idx").cast("string").alias("bucket"))
+    """Greedy choice of nodes to ask about in each tile, under a budget."""
+    n = table(spark, root, "scene_nodes").where("area is not null and tile_id is not null and node_id is not null").groupBy("tile_id", "node_id").agg(F.max("area").alias("area"), F.min("sg_idx").cast("string").alias("bucket"))
     return maxcal.budgeted_pick(n.withColumn("cost", 1.0 + F.col("area") * 100), "tile_id", "node_id", "area", "bucket", "cost", 2, 10.0, 5)
