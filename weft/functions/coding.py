@@ -93,3 +93,50 @@ def prompt_of(labels: Column) -> Column:
 
 def labels_of(prompt: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(prompt, F.lit("")), r"\."), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def quaternion_of(r: Column) -> Column:
+    """Unit quaternion x, y, z, w (w not negative) of a rotation matrix given as nine numbers, row by row.
+
+    The part that is surely large is found first; the others follow from sums and differences across the diagonal.
+    """
+    m = lambda i, j: r[3 * i + j]
+    four = {"x": 1 + m(0, 0) - m(1, 1) - m(2, 2), "y": 1 - m(0, 0) + m(1, 1) - m(2, 2), "z": 1 - m(0, 0) - m(1, 1) + m(2, 2), "w": 1 + m(0, 0) + m(1, 1) + m(2, 2)}
+    across = {"xw": m(2, 1) - m(1, 2), "yw": m(0, 2) - m(2, 0), "zw": m(1, 0) - m(0, 1), "xy": m(0, 1) + m(1, 0), "xz": m(0, 2) + m(2, 0), "yz": m(1, 2) + m(2, 1)}
+    top = F.greatest(*four.values())
+    out = None
+    for k in "wxyz":
+        parts = [four[k] if c == k else across["".join(sorted(c + k, key="xyzw".index))] for c in "xyzw"]
+        size = F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2] + parts[3] * parts[3])
+        sign = F.when(parts[3] < 0, -1.0).otherwise(1.0)
+        made = F.array(*(p / size * sign for p in parts))
+        out = F.when(four[k] == top, made) if out is None else out.when(four[k] == top, made)
+    return out
+
+
+def rotation_of(q: Column) -> Column:
+    """Nine numbers, row by row, of a quaternion x, y, z, w; one of no length is no turn."""
+    size = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    x, y, z, w = (F.when(size > 1e-12, q[k] / size).otherwise(1.0 if k == 3 else 0.0) for k in range(4))
+    return F.array(1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y))
+
+
+def quantise_quaternion(q: Column) -> Column:
+    """Components as whole numbers of 1 / 32767."""
+    return F.transform(q, lambda x: F.bround(_clip(x, -1.0, 1.0) * 32767).cast("int"))
+
+
+def quantise_translation(t: Column, step: float = 1e-3) -> Column:
+    """Components as 32-bit whole numbers of a step."""
+    return F.transform(t, lambda x: F.bround(_clip(x / step, -(2**31) + 1, 2**31 - 1)).cast("int"))
+
+
+def spectrum_bytes(code: Column, top: Column) -> Column:
+    """Coefficients as one byte each, 128 in the middle, in steps of top / 127, in hex."""
+    return F.array_join(F.transform(code, lambda c: F.lpad(F.lower(F.hex((F.bround(_clip(c / F.when(top > 0, top).otherwise(1.0), -1.0, 1.0) * 127) + 128).cast("int"))), 2, "0")), "")
+
+
+def bytes_spectrum(text: Column, top: Column) -> Column:
+    """The coefficients back."""
+    at = F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1)
+    return F.when(F.length(text) > 0, F.transform(at, lambda i: (F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 127 * top)).otherwise(F.array().cast("array<double>"))

@@ -60,3 +60,9 @@ def solid_volume(scale: tuple, shape: tuple) -> float:
     (a, b, c), (e1, e2) = scale, shape
     beta = lambda p, q: math.exp(math.lgamma(p) + math.lgamma(q) - math.lgamma(p + q))
     return 2 * a * b * c * e1 * e2 * beta(e1 / 2 + 1, e1) * beta(e2 / 2, e2 / 2)
+
+
+def solid_box(centre: Column, scale: Column, rotation: Column) -> Column:
+    """Struct low, high: the box along the axes around a turned solid's own box; half its sides are |R| times the scale."""
+    half = [sum((F.abs(rotation[3 * i + j]) * scale[j] for j in range(1, 3)), F.abs(rotation[3 * i]) * scale[0]) for i in range(3)]
+    return F.struct(F.array(*(centre[i] - half[i] for i in range(3))).alias("low"), F.array(*(centre[i] + half[i] for i in range(3))).alias("high"))

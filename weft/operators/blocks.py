@@ -615,3 +615,190 @@ def weakening_sweep(edges: DataFrame, key: str, weak: str, factors: list[float])
     names = scaled.select("block", key, "factor").distinct()
     summary = state.groupBy("block").agg(F.max(F.when(F.col("mode") == 1, F.col("eigenvalue"))).alias("fiedler"), (F.ln(F.sum("h")) - F.sum(F.col("h") * F.ln("h")) / F.sum("h")).alias("entropy"), F.min(F.when(F.col("eigenvalue") > 1e-8, -F.col("curvature"))).alias("gap"))
     return names.join(summary, "block").drop("block")
+
+
+def _boundaries(tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, edges (smaller node first) and the boundary maps of edges and faces of a triangle mesh."""
+    tri = np.unique(np.sort(tri, 1), axis=0)
+    edges = np.unique(np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [0, 2]]]), axis=0)
+    nodes = np.unique(edges)
+    _check(max(len(nodes), len(edges), len(tri)))
+    at = {tuple(e): i for i, e in enumerate(edges.tolist())}
+    d1, d2 = np.zeros((len(nodes), len(edges))), np.zeros((len(edges), len(tri)))
+    for i, (u, v) in enumerate(edges):
+        d1[np.searchsorted(nodes, u), i], d1[np.searchsorted(nodes, v), i] = -1, 1
+    for i, (u, v, w) in enumerate(tri.tolist()):
+        d2[at[u, v], i], d2[at[v, w], i], d2[at[u, w], i] = 1, 1, -1
+    return nodes, edges, d1, d2
+
+
+def mesh_laplacians(faces: DataFrame, key: str) -> DataFrame:
+    """key, rank (0 nodes, 1 edges, 2 faces), mode, eigenvalue of each triangle mesh's Laplacians; the number of zeros is the Betti number of that rank."""
+
+    def run(pdf):
+        _, _, d1, d2 = _boundaries(pdf[["a", "b", "c"]].to_numpy())
+        out = []
+        for rank, lap in enumerate((d1 @ d1.T, d1.T @ d1 + d2 @ d2.T, d2.T @ d2)):
+            values = np.maximum(np.linalg.eigvalsh(lap), 0)
+            out.append(pd.DataFrame({"rank": rank, "mode": np.arange(len(values)), "eigenvalue": values}))
+        return pd.concat(out)
+
+    return per_block(faces, key, run, "rank int, mode long, eigenvalue double")
+
+
+def mesh_flow_parts(flows: DataFrame, faces: DataFrame, key: str) -> DataFrame:
+    """key, src, dst, gradient, curl, harmonic of each mesh's edge signal w (src < dst, positive from src to dst): a potential's differences, circulation round faces, and circulation round holes. Edges of the mesh without a signal carry 0."""
+    both = flows.select(key, "src", "dst", "w", F.lit(None).cast("long").alias("c")).unionByName(faces.select(key, F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.0).alias("w"), F.col("c").cast("long").alias("c")))
+
+    def run(pdf):
+        nodes, edges, d1, d2 = _boundaries(pdf[pdf.c.notna()][["src", "dst", "c"]].to_numpy().astype("int64"))
+        at = {tuple(e): i for i, e in enumerate(edges.tolist())}
+        f = np.zeros(len(edges))
+        for r in pdf[pdf.c.isna()].itertuples(index=False):
+            if (r.src, r.dst) in at:
+                f[at[r.src, r.dst]] = r.w
+        gradient = d1.T @ np.linalg.lstsq(d1.T, f, rcond=None)[0]
+        curl = d2 @ np.linalg.lstsq(d2, f - gradient, rcond=None)[0]
+        return pd.DataFrame({"src": edges[:, 0], "dst": edges[:, 1], "gradient": gradient, "curl": curl, "harmonic": f - gradient - curl})
+
+    return per_block(both, key, run, "src long, dst long, gradient double, curl double, harmonic double")
+
+
+def residual_share(parts: DataFrame, key: str) -> DataFrame:
+    """key, residual: share of a flow's energy that no potential explains, of edge_decomposition(); 0 for no flow."""
+    f = F.col("gradient") + F.col("harmonic")
+    return parts.groupBy(key).agg(F.when(F.sum(f * f) > 1e-12, F.sum(F.col("harmonic") * F.col("harmonic")) / F.sum(f * f)).otherwise(0.0).alias("residual"))
+
+
+def coupling_entropy(jacobians: DataFrame, key: str = "kernel_id") -> DataFrame:
+    """key, n, entropy: mean over rows of the entropy of a row's shares off the diagonal (i, j, k by size); a row without any couples evenly."""
+    cells = jacobians.where("i <> j").groupBy(key, "i").agg(F.sum(F.abs("k")).alias("s"), F.sum(F.when(F.col("k") != 0, F.abs("k") * F.ln(F.abs("k"))).otherwise(0.0)).alias("e"))
+    n = jacobians.groupBy(key).agg((F.max("i") + 1).alias("n"))
+    rows = jacobians.select(key, "i").distinct().join(n, key).join(cells, [key, "i"], "left")
+    each = F.when(F.coalesce("s", F.lit(0.0)) < 1e-15, F.ln(F.greatest(F.col("n") - 1, F.lit(1)).cast("double"))).otherwise(F.ln("s") - F.col("e") / F.col("s"))
+    return rows.groupBy(key).agg(F.max("n").alias("n"), F.avg(F.when(F.col("n") < 2, 0.0).otherwise(each)).alias("entropy"))
+
+
+def fit_riccati(systems: DataFrame, key: str, n: int, rounds: int = 50) -> DataFrame:
+    """key, p, residual, rounds: gain of each system by Newton's steps on the residual, each a linear equation solved by its Kronecker form; for systems whose closed form fails. Starts from a stabilising multiple of one."""
+
+    def run(pdf):
+        row = pdf.iloc[0]
+        a, b, q, r = (np.reshape(np.array(row[c], float), (n, n)) for c in "abqr")
+        s, eye = b @ np.linalg.inv(r) @ b.T, np.eye(n)
+        p = (np.linalg.norm(a, 2) + 1) * 2 * np.linalg.pinv(s)
+        p = (p + p.T) / 2
+        rest, k = np.inf, 0
+        for k in range(1, rounds + 1):
+            closed = a - s @ p
+            p = np.linalg.solve(np.kron(closed.T, eye) + np.kron(eye, closed.T), -(q + p @ s @ p).ravel()).reshape(n, n)
+            p = (p + p.T) / 2
+            rest = float(np.linalg.norm(a.T @ p + p @ a - p @ s @ p + q))
+            if rest < 1e-11 * max(1.0, float(np.linalg.norm(q))):
+                break
+        return pd.DataFrame({"p": [p.ravel().tolist()], "residual": [rest], "rounds": [k]})
+
+    return per_block(systems, key, run, "p array<double>, residual double, rounds int")
+
+
+def fit_posed_solids(points: DataFrame, key: str) -> DataFrame:
+    """key, centre, rotation (nine numbers, row by row), a, b, c, e1, e2, loss: superquadric of each point set in its own principal axes, the longest first; see fit_solids."""
+
+    def pose(pdf):
+        p = pdf[["x", "y", "z"]].to_numpy(float)
+        centre = p.mean(0)
+        _, axes = np.linalg.eigh(np.cov((p - centre).T) + 1e-12 * np.eye(3))
+        axes = axes[:, ::-1] * np.where(axes[:, ::-1][np.abs(axes[:, ::-1]).argmax(0), range(3)] < 0, -1, 1)
+        if np.linalg.det(axes) < 0:
+            axes[:, 2] *= -1
+        local = (p - centre) @ axes
+        return pd.DataFrame({"x": local[:, 0], "y": local[:, 1], "z": local[:, 2], "centre": [centre.tolist()] * len(p), "rotation": [axes.ravel().tolist()] * len(p)})
+
+    from weft.sources.tables import keep
+
+    posed = keep(per_block(points, key, pose, "x double, y double, z double, centre array<double>, rotation array<double>"))
+    frames = posed.groupBy(key).agg(F.first("centre").alias("centre"), F.first("rotation").alias("rotation"))
+    return frames.join(fit_solids(posed.select(key, "x", "y", "z"), key), key)
+
+
+def fit_trees(points: DataFrame, key: str, radius: float = 0.4, cell: float = 0.1) -> DataFrame:
+    """key, trunk_x, trunk_y, trunk_base, trunk_height, trunk_radius, trunk_points, crown_x, crown_y, crown_z, crown_a, crown_b, crown_c: a tree as an upright trunk and an ellipsoid crown.
+
+    The trunk stands where upright columns of cells are filled over the greatest height; its points are those
+    within the largest radius of that axis below the crown, which begins where points leave that radius. The
+    crown's half axes are those of an ellipsoid with the second moments of the other points. No random choice.
+    """
+
+    def run(pdf):
+        p = pdf[["x", "y", "z"]].to_numpy(float)
+        at = np.floor(p / cell).astype(int)
+        filled = np.unique(at, axis=0)
+        columns, heights = np.unique(filled[:, :2], axis=0, return_counts=True)
+        best = columns[heights == heights.max()]
+        axis = (best[np.lexsort((best[:, 1], best[:, 0]))[0]] + 0.5) * cell
+        for _ in range(5):  # the axis moves to the middle of what stands around it
+            near = np.hypot(*(p[:, :2] - axis).T) <= radius
+            axis = np.median(p[near, :2], axis=0) if near.any() else axis
+        off = np.hypot(*(p[:, :2] - axis).T)
+        wide = p[off > radius, 2]
+        top = np.quantile(wide, 0.02) if len(wide) else p[:, 2].max() + 1
+        trunk = (off <= radius) & (p[:, 2] < top)
+        stem, crown = (p[trunk] if trunk.sum() >= 3 else p), (p[~trunk] if (~trunk).sum() >= 3 else p)
+        low, high = np.quantile(stem[:, 2], [0.05, 0.95])
+        middle = crown.mean(0)
+        axes = np.sqrt(5 * np.maximum(crown.var(0), 1e-12))
+        return pd.DataFrame([[*axis, low, high - low, float(np.quantile(np.hypot(*(stem[:, :2] - axis).T), 0.9)), int(trunk.sum()), *middle, *axes]], columns=["trunk_x", "trunk_y", "trunk_base", "trunk_height", "trunk_radius", "trunk_points", "crown_x", "crown_y", "crown_z", "crown_a", "crown_b", "crown_c"])
+
+    doubles = ", ".join(f"{c} double" for c in ("trunk_x", "trunk_y", "trunk_base", "trunk_height", "trunk_radius"))
+    return per_block(points, key, run, f"{doubles}, trunk_points long, crown_x double, crown_y double, crown_z double, crown_a double, crown_b double, crown_c double")
+
+
+def compress_large(points: DataFrame, modes: int, landmarks: int = 1_000, near: int = 3, neighbours: int = 8, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """Coefficients (modes by three) of one mesh or cloud of any size (id, x, y, z) in smooth modes, and relative distortion, by Nystroem's extension.
+
+    A bounded sample of landmarks (at most MOST_NODES, by hash of the id) makes a neighbour graph whose
+    lowest modes are found densely; every point takes the weighted mean of its nearest landmarks'
+    modes. Products of modes and positions are summed in each task, so only numbers of modes squared
+    reach the driver, and no point is shuffled.
+    """
+    from weft.operators.sets import subsample
+
+    n = _check(landmarks)
+    marks = subsample(points.where("x is not null and y is not null and z is not null"), "id", n, seed).select("x", "y", "z").toPandas().to_numpy(float)
+    n, k = len(marks), min(modes, len(marks))
+    d = np.sqrt(np.maximum((marks**2).sum(1)[:, None] + (marks**2).sum(1) - 2 * marks @ marks.T, 0))
+    np.fill_diagonal(d, np.inf)
+    sigma = max(float(np.median(d.min(1))) if n > 1 else 1.0, 1e-12)
+    w = np.zeros((n, n))
+    for i in range(n):
+        for j in np.argsort(d[i], kind="stable")[: min(neighbours, n - 1)]:
+            w[i, j] = w[j, i] = math.exp(-d[i, j] ** 2 / (2 * sigma**2))
+    low = np.linalg.eigh(np.diag(w.sum(1)) - w)[1][:, :k]
+    shared = points.sparkSession.sparkContext.broadcast((marks, low))
+
+    def sums(batches):
+        import pyarrow as pa
+
+        own, modes_of = shared.value
+        total = np.zeros((k + 4, k + 4))
+        for batch in batches:
+            p = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            for a in range(0, len(p), 4_096):
+                x = p[a : a + 4_096]
+                gap = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (own**2).sum(1) - 2 * x @ own.T, 0))
+                pick = np.argsort(gap, axis=1, kind="stable")[:, : min(near, len(own))]
+                weight = 1 / (np.take_along_axis(gap, pick, 1) + 1e-9)
+                phi = (modes_of[pick] * weight[:, :, None]).sum(1) / weight.sum(1, keepdims=True)
+                row = np.concatenate([phi, x, np.ones((len(x), 1))], 1)
+                total += row.T @ row
+        i, j = np.divmod(np.arange(total.size), k + 4)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "s"])
+
+    known = points.where("x is not null and y is not null and z is not null").select(*(F.col(c).cast("double").alias(c) for c in "xyz"))
+    total = np.zeros((k + 4, k + 4))
+    for r in known.mapInArrow(sums, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        total[r.i, r.j] = r.s
+    gram, cross, square, mean, count = total[:k, :k], total[:k, k : k + 3], np.trace(total[k : k + 3, k : k + 3]), total[k : k + 3, k + 3], total[k + 3, k + 3]
+    code = np.linalg.lstsq(gram, cross, rcond=None)[0]
+    error, spread = max(0.0, square - 2 * (code * cross).sum() + (code * (gram @ code)).sum()), square - (mean**2).sum() / max(count, 1)
+    return code, points.sparkSession.createDataFrame([(int(count), k, float(math.sqrt(error / spread)) if spread > 0 else 0.0)], "points long, modes long, distortion double")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.sources.tables import dimension
+
 
 def stage_summary(rows: DataFrame, stage: str, value: str) -> DataFrame:
     """stage, n, mean, std (0 for one value), median."""
@@ -128,8 +130,13 @@ def autoregression(rows: DataFrame, key: str, t: str | list[str], values: list[s
     return sums.select(key, "n", solve("g", "c").alias("drift"))
 
 
-def label_distribution(rows: DataFrame, key: str, label: str, weight: Column) -> DataFrame:
-    """key, label, p: weighted share of each label."""
+def label_distribution(rows: DataFrame, key: str, label: str, weight: Column, vocabulary: DataFrame | None = None) -> DataFrame:
+    """key, label, p: weighted share of each label; with a vocabulary (label) only its labels count, and each key has all of them, at 0 too."""
+    if vocabulary is not None:
+        names = vocabulary.select(F.col("label").alias(label)).distinct()
+        every = rows.where(f"{key} is not null").select(key).distinct().join(dimension(names))
+        held = every.join(rows.groupBy(key, label).agg(F.sum(weight).alias("_w")), [key, label], "left")
+        return label_distribution(held, key, label, F.coalesce("_w", F.lit(0.0)))
     w = Window.partitionBy(key)
     sums = rows.where(f"{key} is not null and {label} is not null").groupBy(key, label).agg(F.sum(weight).alias("w"))
     return sums.select(key, label, F.when(F.sum("w").over(w) > 0, F.col("w") / F.sum("w").over(w)).otherwise(0.0).alias("p"))
@@ -149,3 +156,60 @@ def reward(rows: DataFrame, key: str, complexity: Column, visits: Column, weight
     tops = base.agg(F.max("c").alias("mc"), F.max("v").alias("mv"))
     blend = base.join(F.broadcast(tops)).select(key, (weight * F.col("c") / (F.col("mc") + eps) + (1 - weight) * F.col("v") / (F.col("mv") + eps)).alias("r"))
     return blend.join(F.broadcast(blend.agg(F.max("r").alias("m")))).select(key, (F.col("r") / (F.col("m") + eps)).alias("reward"))
+
+
+def driven_autoregression(rows: DataFrame, key: str, order: list[str], values: list[str], inputs: list[str], dt: float, ridge: float = 1e-8) -> DataFrame:
+    """key, n, drift, gain: (M - I) / dt and G / dt of the least-squares map x(t+1) = M x(t) + G u(t), as arrays row by row, by sums of products and one small solve."""
+    d, m = len(values), len(inputs)
+    w = Window.partitionBy(key).orderBy(*order)
+    known = rows.dropna(subset=[key, *order, *values, *inputs])
+    x = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate([*values, *inputs])]
+    ahead = known.select(key, *x, *(F.lead(F.col(c).cast("double")).over(w).alias(f"y{i}") for i, c in enumerate(values))).where("y0 is not null")
+    gram = F.array(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(d + m) for j in range(d + m)))
+    cross = F.array(*(F.sum(F.col(f"y{i}") * F.col(f"x{j}")) for i in range(d) for j in range(d + m)))
+    sums = ahead.groupBy(key).agg(F.count("*").alias("n"), gram.alias("g"), cross.alias("c"))
+
+    @F.pandas_udf("struct<drift:array<double>,gain:array<double>>")
+    def solve(g: pd.Series, c: pd.Series) -> pd.DataFrame:
+        drift, gain = [], []
+        for a, b in zip(g, c):
+            theta = np.linalg.solve(np.reshape(a, (d + m, d + m)) + ridge * np.eye(d + m), np.reshape(b, (d, d + m)).T).T
+            drift.append(((theta[:, :d] - np.eye(d)) / dt).ravel().tolist()), gain.append((theta[:, d:] / dt).ravel().tolist())
+        return pd.DataFrame({"drift": drift, "gain": gain})
+
+    return sums.select(key, "n", solve("g", "c").alias("s")).select(key, "n", "s.drift", "s.gain")
+
+
+class Moments:
+    """Update, merge and finish of weighted moments, as expressions: what any other aggregate of this shape offers."""
+
+    @staticmethod
+    def update(value: Column, weight: Column) -> list[Column]:
+        """Aggregates of a group's rows: n, weight, mean, m2."""
+        w, wx, wxx = F.sum(weight), F.sum(weight * value), F.sum(weight * value * value)
+        return [F.count(value).alias("n"), w.alias("weight"), (wx / w).alias("mean"), F.greatest(F.lit(0.0), wxx - wx * wx / w).alias("m2")]
+
+    @staticmethod
+    def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
+        return merge_moments(parts, keys)
+
+    @staticmethod
+    def finish() -> list[Column]:
+        """Columns of merged rows: mean, variance (0 below two values)."""
+        return [F.col("mean"), F.when(F.col("n") < 2, 0.0).otherwise(F.col("m2") / F.greatest(F.col("weight") - 1, F.lit(1e-12))).alias("variance")]
+
+
+def sliding_covariance(rows: DataFrame, key: str, order: str, channel: str, value: str, width: int, stride: int) -> DataFrame:
+    """key, win, a, b, cov: unbiased covariance of channels a <= b, each divided by its own overall scatter, in windows of `width` samples a `stride` apart, means taken out in each; incomplete windows are left out.
+
+    rows: one value for each key, order and channel. A sample's place is its rank among the key's distinct orders.
+    """
+    from weft.operators.trajectory import sample_windows
+
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    scale = known.groupBy(key, channel).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    z = known.join(scale, [key, channel]).select(key, order, F.col(channel).alias("c"), ((F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).alias("z"))
+    wide = z.groupBy(key, order).agg(F.map_from_entries(F.collect_list(F.struct("c", "z"))).alias("z"))
+    held = sample_windows(wide, key, order, width, stride)
+    cells = held.select(key, "win", F.explode("z").alias("a", "za"), "z").select(key, "win", "a", "za", F.explode("z").alias("b", "zb")).where("a <= b")
+    return cells.groupBy(key, "win", "a", "b").agg(F.covar_samp("za", "zb").alias("cov"))

@@ -125,3 +125,80 @@ def call_back(stream: DataFrame, on_batch, checkpoint: str, once: bool = True):
     """Runs a function on every micro-batch; with once, on what is there now."""
     writer = stream.writeStream.foreachBatch(lambda df, n: on_batch(df, n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def store_keyframes(frames: DataFrame, most: int) -> DataFrame:
+    """key, frame, stored: the frames that each key's store holds after each micro-batch's keyframes came in; beyond `most` the smallest goes.
+
+    frames: key, frame, vec, keyframes only. State is the stored frames and their vectors, `most` at the most.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[float]] = {}
+        if state.exists:
+            kept, sizes, flat_values = state.get
+            ends = np.cumsum(sizes)
+            held = {f: list(flat_values[e - n : e]) for f, n, e in zip(kept, sizes, ends)}
+        for pdf in batches:
+            held |= {int(f): list(v) for f, v in zip(pdf["frame"], pdf["vec"])}
+        held = {f: held[f] for f in sorted(held)[-most:]}
+        state.update((list(held), [len(v) for v in held.values()], [float(x) for v in held.values() for x in v]))
+        yield pd.DataFrame({"key": key[0], "frame": list(held), "stored": len(held)})
+
+    flat = frames.where("key is not null and frame is not null and vec is not null").select(F.col("key").cast("string").alias("key"), F.col("frame").cast("long").alias("frame"), F.col("vec").cast("array<double>").alias("vec"))
+    return flat.groupBy("key").applyInPandasWithState(step, "key string, frame long, stored int", "frames array<long>, sizes array<int>, vecs array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def stored_keyframes(frames: DataFrame, most: int) -> DataFrame:
+    """What a store holds in the end, over a finished table: each key's `most` largest frames."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("key").orderBy(F.desc("frame"))
+    return frames.where("key is not null and frame is not null and vec is not null").dropDuplicates(["key", "frame"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+
+
+def analyse_rotations(rotations: DataFrame, modes: int, inputs: int, warm_up: int = 6, state_cost: float = 0.5, input_cost: float = 1.0, ridge: float = 1e-6) -> DataFrame:
+    """key, rotation, status ('warmup', 'fitted', 'degraded'), residual, gain (row by row): drift and input map of each key's log weights from all rotations so far, and the Riccati gain that they ask for.
+
+    rotations: key, rotation, t, h (array of weights), u (array of inputs). State is the sums of products
+    that the fit needs, the last row and the first, so it doesn't grow with the rotations.
+    """
+    from weft.operators.blocks import solve_riccati
+
+    size = modes + inputs
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            n, first, last, begun, ended, gram, cross = state.get
+            gram, cross = np.reshape(gram, (size, size)), np.reshape(cross, (modes, size))
+        else:
+            n, first, last, begun, ended, gram, cross = 0, [], [], 0.0, 0.0, np.zeros((size, size)), np.zeros((modes, size))
+        rows = []
+        for row in pd.concat(list(batches)).sort_values("rotation").itertuples(index=False):
+            h = np.log(np.maximum(np.asarray(row.h, float), 1e-12))
+            first = list(h) if n == 0 else first
+            x = h - np.asarray(first)
+            if n:
+                gram += np.outer(last, last)
+                cross += np.outer(x, last)
+            begun = row.t if n == 0 else begun
+            n, ended, last = n + 1, row.t, [*x, *map(float, row.u)]
+            if n < warm_up:
+                rows.append((key[0], row.rotation, "warmup", None, None))
+                continue
+            dt = (ended - begun) / (n - 1) if ended > begun else 1.0
+            theta = np.linalg.solve(gram + ridge * np.eye(size), cross.T).T
+            a, b = (theta[:, :modes] - np.eye(modes)) / dt, theta[:, modes:] / dt
+            q, r = state_cost * np.eye(modes), input_cost * np.eye(inputs)
+            try:
+                p = solve_riccati(a, b, q, r)
+                rest = float(np.linalg.norm(a.T @ p + p @ a - p @ b @ np.linalg.inv(r) @ b.T @ p + q))
+            except np.linalg.LinAlgError:
+                p, rest = np.full((modes, modes), np.nan), float("inf")
+            rows.append((key[0], row.rotation, "fitted" if rest < 1e-6 else "degraded", rest, p.ravel().tolist()))
+        state.update((n, list(map(float, first)), list(map(float, last)), float(begun), float(ended), gram.ravel().tolist(), cross.ravel().tolist()))
+        yield pd.DataFrame(rows, columns=["key", "rotation", "status", "residual", "gain"])
+
+    kept = "n long, first array<double>, last array<double>, begun double, ended double, gram array<double>, cross array<double>"
+    flat = rotations.where("key is not null and h is not null and u is not null").select(F.col("key").cast("string").alias("key"), F.col("rotation").cast("long").alias("rotation"), F.col("t").cast("double").alias("t"), F.col("h").cast("array<double>").alias("h"), F.col("u").cast("array<double>").alias("u"))
+    return flat.groupBy("key").applyInPandasWithState(step, "key string, rotation long, status string, residual double, gain array<double>", kept, "append", GroupStateTimeout.NoTimeout)
