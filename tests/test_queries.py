@@ -35,8 +35,10 @@ def test_against_sql(spark, duck, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, data, name):
+    """Queries that SQL can't express give rows, without repeats, and no column of unknown type; what is in them is tested with their operators."""
     df = QUERIES[name](spark, data)
-    assert df.count() >= 0
+    rows = df.count()
+    assert 0 < rows == df.distinct().count()
     assert all(kind != "void" for _, kind in df.dtypes)
 
 

@@ -126,6 +126,13 @@ def coarsen(cells: DataFrame, bin_size: int) -> DataFrame:
     return cells.groupBy("raster_id", F.floor(F.col("r") / bin_size).alias("r"), F.floor(F.col("c") / bin_size).alias("c")).agg(F.count("*").alias("n"), F.avg("z").alias("z"))
 
 
+def coarsen_edges(edges: DataFrame, bin_size: int) -> DataFrame:
+    """raster_id, r, c, r2, c2, n, w: edges between cells as edges between square bins, parallel ones counted and their w added up; edges within a bin drop out."""
+    at = lambda c: F.floor(F.col(c) / bin_size).alias(c)
+    binned = edges.select("raster_id", at("r"), at("c"), at("r2"), at("c2"), "w").where("r <> r2 or c <> c2")
+    return binned.groupBy("raster_id", "r", "c", "r2", "c2").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+
+
 def terrain_edges(cells: DataFrame, eight: bool = False) -> DataFrame:
     """raster_id, r, c, r2, c2, drop: neighbouring cells once each, 4 or 8 connected."""
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if eight else [])]

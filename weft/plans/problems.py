@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,26 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return nested.ring_vertices(nested.flatten_scenes(table(spark, root, "scene_raw")))
 
 
+def p1_roots(spark: SparkSession, root: str) -> DataFrame:
+    """Each arrival of a scene: the record, its place in it, and the scene's identity."""
+    t = nested.flatten_scenes(table(spark, root, "scene_raw"))
+    return t.roots.select("rec_id", "ordinal", F.lower(F.hex("oid")).alias("scene"))
+
+
+def p1_bridge(spark: SparkSession, root: str) -> DataFrame:
+    """Each occurrence of an object in a distinct parent: the parent's kind and identity, role, place and the child's identity."""
+    t = nested.flatten_scenes(table(spark, root, "scene_raw"))
+    name = lambda c: F.lower(F.hex(c)).alias(c.removesuffix("_oid"))
+    kinds = [t.bridge(k).select(F.lit(k).alias("kind"), name("parent_oid"), "role", "ordinal", name("child_oid")) for k in ("scene", "node", "region", "claim")]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def p1_vertices(spark: SparkSession, root: str) -> DataFrame:
+    """Each vertex of each distinct ring with its coordinates."""
+    t = nested.flatten_scenes(table(spark, root, "scene_raw"))
+    return t.vertices.select(F.lower(F.hex("oid")).alias("ring"), "vertex_no", "lon", "lat")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Nodes within 30 m of each other, and the survey zones that hold a node."""
     points = spatial.locate(table(spark, root, "scene_nodes"), "node_id", F.col("region.geo_bbox"), F.col("region.geo_polygon"))
@@ -43,6 +65,12 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_grid(spark, root).where("state <> 'observed'").select("session_id", "period_start")
 
 
+def p4_observed(spark: SparkSession, root: str) -> DataFrame:
+    """Periods of each session that have readings, with their mean."""
+    seen = p4_grid(spark, root).where("state = 'observed'")
+    return seen.select("session_id", "period_start", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
 def p5_flags(spark: SparkSession, root: str) -> DataFrame:
     """Implausible readings of power, speed and turn rate, with the reason."""
     power = power_readings(spark, root, "limit_watts").select(
@@ -64,7 +92,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return p5_flags(spark, root).select("src", "row_id", "field")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_flags": p5_flags}
+QUERIES = {"p1_found": p1_found, "p1_roots": p1_roots, "p1_bridge": p1_bridge, "p1_vertices": p1_vertices, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid, "p4_observed": p4_observed, "p5_found": p5_found, "p5_flags": p5_flags}
 SQL: dict[str, str] = {
     "p3_found": """
 with b as (select node_id, region.geo_bbox g, region.geo_polygon p from scene_nodes),
@@ -82,6 +110,12 @@ e as (select zone_id, p[i].lon x1, p[i].lat y1, p[i % len(p) + 1].lon x2, p[i %
 poly as (select node_id, zone_id from loc join e on (y1>lat)<>(y2>lat) and lon < (x2-x1)*(lat-y1)/(y2-y1)+x1 group by all having count(*)%2=1),
 box as (select node_id, zone_id from loc, z where coalesce(len(p),0)<3 and not (g.west=0 and g.south=0 and g.east=0 and g.north=0) and lon between least(g.west,g.east) and greatest(g.west,g.east) and lat between least(g.south,g.north) and greatest(g.south,g.north))
 select distinct 'near' kind, x left_id, y right_id from near union all select distinct 'inside', node_id, zone_id from (select * from poly union select * from box)
+""",
+    "p4_observed": """
+with r as (select sample_id, session_id, interval_s i, cast(floor(epoch_us("timestamp") / (interval_s * 1000000.0)) as bigint) k, min(power_watts) x
+  from power_samples join power_monitors using (monitor_id)
+  where "timestamp" >= timestamp '2031-03-03' and "timestamp" < timestamp '2031-03-31' and power_watts is not null and not isnan(power_watts) and session_id is not null and interval_s > 0 group by all)
+select session_id, cast(k * i as bigint) period_start, round(avg(x), 5) + 0.0 value from r group by session_id, i, k
 """,
     "p4_found": """
 with v as (select session_id, interval_s i, cast(floor(epoch_us("timestamp") / (interval_s * 1000000.0)) as bigint) k

@@ -43,8 +43,17 @@ def read_positions(spark: SparkSession, path: str, header: bool = False, schema:
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """feature_no, geometry type, ring of lon/lat and properties (JSON) of the features of GeoJSON files."""
+    return _features(spark.read.option("wholetext", True).text(path))
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with one collection of features a line, which are split between tasks."""
+    return _features(spark.read.text(path))
+
+
+def _features(texts: DataFrame) -> DataFrame:
     kind = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:string>>"
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", kind).alias("j")).select(F.posexplode("j.features").alias("feature_no", "f"))
+    rows = texts.select(F.from_json("value", kind).alias("j")).select(F.posexplode("j.features").alias("feature_no", "f"))
     ring = F.when(F.col("f.geometry.type") == "Polygon", F.from_json("f.geometry.coordinates", "array<array<array<double>>>")[0])
     return rows.select("feature_no", F.col("f.geometry.type").alias("type"), F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))).alias("ring"), F.col("f.properties").alias("properties"))
 
