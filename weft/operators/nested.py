@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +153,8 @@ _NUMERIC = frozenset(("score", "area", "bbox", "geo_bbox", "viewport", "weight",
 
 def _number(value):
     """Numbers written as text become numbers, at any depth, so that both ways of writing hash alike."""
+    if type(value) is float:
+        return value
     if isinstance(value, str) or isinstance(value, int) and not isinstance(value, bool):
         try:
             return float(value)
@@ -165,12 +168,15 @@ def _number(value):
     return value
 
 
-def _identity(kind: str, own: str | None, attrs: str, children) -> bytes:
-    h = blake2b(f"{kind}\x00{'' if own is None else '=' + own}\x00{attrs}\x00".encode("utf-8", "surrogatepass"), digest_size=16)
-    for c in children:
-        h.update(c["role"].encode())
-        h.update(c["oid"])
-    return h.digest()
+#: Roles as they enter identities.
+_ROLES = {r: r.encode() for r in ("ring", "region", "claim", "node", "edge")}
+#: Attributes in one way of writing; made once, as json.dumps would make an encoder for each object.
+_write = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+
+
+def _identity(kind: str, own: str | None, attrs: str, children: list[tuple]) -> bytes:
+    head = f"{kind}\x00{'' if own is None else '=' + own}\x00{attrs}\x00".encode("utf-8", "surrogatepass")
+    return blake2b(head + b"".join([_ROLES[c[0]] + c[2] for c in children]), digest_size=16).digest()
 
 
 def in_steps(numbers: list[float]) -> list[int] | None:
@@ -179,7 +185,7 @@ def in_steps(numbers: list[float]) -> list[int] | None:
         steps = [round(x * STEPS) for x in numbers]
     except (ValueError, OverflowError):
         return None
-    return steps if all(-(2**31) <= i < 2**31 and i / STEPS == x for i, x in zip(steps, numbers)) else None
+    return steps if steps and min(steps) >= -(2**31) and max(steps) < 2**31 and [i / STEPS for i in steps] == numbers else None
 
 
 class MerkleStore:
@@ -207,7 +213,7 @@ class MerkleStore:
             steps = in_steps(numbers)
             self.seen.add(oid)
             self.rows.append(("ring", oid, None, None, None, numbers if steps is None else None, n, None, None, steps))
-        children.append({"role": "ring", "ordinal": 0, "oid": oid, "n_vertices": n, "id": None})
+        children.append(("ring", 0, oid, n, None))
         return n
 
     def object(self, kind: str, value: dict, own: str | None, children: list, skip: tuple, n_vertices=None, sg_idx=None) -> tuple[bytes, str | None]:
@@ -215,9 +221,11 @@ class MerkleStore:
             if value.get(key) is not None:
                 own = str(value[key])
                 break
-        own = own if own is None else own.encode("utf-8", "replace").decode()  # half a surrogate pair is no text
-        rest = {k: _number(v) if k in _NUMERIC else v for k, v in value.items() if k not in skip and v is not None}
-        attrs = json.dumps(rest, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "replace").decode()
+        if own is not None and not own.isascii():
+            own = own.encode("utf-8", "replace").decode()  # half a surrogate pair is no text
+        attrs = _write({k: _number(v) if k in _NUMERIC else v for k, v in value.items() if v is not None and k not in skip})
+        if not attrs.isascii():
+            attrs = attrs.encode("utf-8", "replace").decode()
         oid = _identity(kind, own, attrs, children)
         self.put(kind, oid, own, sg_idx, attrs, None, n_vertices, children)
         return oid, own
@@ -226,7 +234,7 @@ class MerkleStore:
         children: list = []
         n = self.ring(value.get("geo_polygon"), children)
         oid, own = self.object(kind, value, own, children, skip, n)
-        into.append({"role": kind, "ordinal": ordinal, "oid": oid, "n_vertices": n, "id": own})
+        into.append((kind, ordinal, oid, n, own))
 
     def node(self, value: dict, own: str | None) -> tuple[bytes, str | None]:
         children: list = []
@@ -250,12 +258,12 @@ class MerkleStore:
         children: list = []
         for i, (key, node) in enumerate(members(value["nodes"], _ID_KEYS["node"])):
             oid, own = self.node(node, key)
-            children.append({"role": "node", "ordinal": i, "oid": oid, "n_vertices": None, "id": own})
+            children.append(("node", i, oid, None, own))
         edges = _text_to_json(value.get("edges"))
         for i, edge in enumerate(edges if isinstance(edges, list) else []):
             if isinstance(edge, dict):
                 oid, _ = self.object("edge", edge, None, [], ())
-                children.append({"role": "edge", "ordinal": i, "oid": oid, "n_vertices": None, "id": None})
+                children.append(("edge", i, oid, None, None))
         return self.object("scene", {**value, "sg_idx": sg_idx}, None, children, ("nodes", "edges"), None, sg_idx)[0]
 
 
@@ -266,10 +274,18 @@ def _batches(source, size: int = 20_000):
     schema = to_arrow_schema(_entry_type())
     store = MerkleStore()
 
+    def children_of(lists):
+        """Children as one flat table and where each object's begin."""
+        starts = np.concatenate([[0], np.cumsum([len(c) if c else 0 for c in lists])]).astype("int32")
+        kind = schema.field("children").type
+        flat = list(zip(*(c for group in lists if group for c in group))) or [()] * kind.value_type.num_fields
+        parts = [pa.array(v, kind.value_type.field(k).type) for k, v in enumerate(flat)]
+        return pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(parts, fields=list(kind.value_type)), type=kind)
+
     def flush():
         cols = list(zip(*store.rows)) or [()] * len(schema)
         store.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+        return pa.RecordBatch.from_arrays([children_of(c) if f.name == "children" else pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
     for batch in source:
         for rec, idx, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -279,7 +295,7 @@ def _batches(source, size: int = 20_000):
             kids = []
             try:
                 for i, scene in enumerate(scenes_in(parsed)):
-                    kids.append({"role": "scene", "ordinal": i, "oid": store.scene(scene, idx), "n_vertices": None, "id": None})
+                    kids.append(("scene", i, store.scene(scene, idx), None, None))
             except RecursionError:  # nested beyond what can be walked: unreadable
                 continue
             store.rows.append(("root", None, None, None, None, None, None, kids, rec, None))
