@@ -168,6 +168,8 @@ def _number(value):
     return value
 
 
+#: Kinds of rows as numbers: files are written by kind, and numbers need no other order for that than the one that removes repeats.
+KINDS = {k: i for i, k in enumerate(("root", "scene", "node", "region", "claim", "ring", "edge"))}
 #: Roles as they enter identities.
 _ROLES = {r: r.encode() for r in ("ring", "region", "claim", "node", "edge")}
 #: Attributes in one way of writing; made once, as json.dumps would make an encoder for each object.
@@ -201,7 +203,7 @@ class MerkleStore:
             if len(self.seen) >= self.bound:  # repeats between two fillings are removed by the shuffle
                 self.seen.clear()
             self.seen.add(oid)
-            self.rows.append((kind, oid, *rest, None, None))
+            self.rows.append((KINDS[kind], oid, *rest, None, None))
 
     def ring(self, value, children: list) -> int:
         numbers = ring_of(value)
@@ -212,7 +214,7 @@ class MerkleStore:
         if oid not in self.seen:
             steps = in_steps(numbers)
             self.seen.add(oid)
-            self.rows.append(("ring", oid, None, None, None, numbers if steps is None else None, n, None, None, steps))
+            self.rows.append((KINDS["ring"], oid, None, None, None, numbers if steps is None else None, n, None, None, steps))
         children.append(("ring", 0, oid, n, None))
         return n
 
@@ -298,7 +300,7 @@ def _batches(source, size: int = 20_000):
                     kids.append(("scene", i, store.scene(scene, idx), None, None))
             except RecursionError:  # nested beyond what can be walked: unreadable
                 continue
-            store.rows.append(("root", None, None, None, None, None, None, kids, rec, None))
+            store.rows.append((KINDS["root"], None, None, None, None, None, None, kids, rec, None))
             if len(store.rows) >= size:
                 yield flush()
     yield flush()
@@ -309,18 +311,23 @@ def _entry_type():
     from pyspark.sql import types as T
 
     child = T.StructType([T.StructField("role", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("oid", T.BinaryType()), T.StructField("n_vertices", T.IntegerType()), T.StructField("id", T.StringType())])
-    kinds = [("kind", T.StringType()), ("oid", T.BinaryType()), ("id", T.StringType()), ("sg_idx", T.IntegerType()), ("attrs", T.StringType()), ("ring", T.ArrayType(T.DoubleType())), ("n_vertices", T.IntegerType()), ("children", T.ArrayType(child)), ("rec_id", T.LongType()), ("steps", T.ArrayType(T.IntegerType()))]
+    kinds = [("kind", T.IntegerType()), ("oid", T.BinaryType()), ("id", T.StringType()), ("sg_idx", T.IntegerType()), ("attrs", T.StringType()), ("ring", T.ArrayType(T.DoubleType())), ("n_vertices", T.IntegerType()), ("children", T.ArrayType(child)), ("rec_id", T.LongType()), ("steps", T.ArrayType(T.IntegerType()))]
     return T.StructType([T.StructField(a, b) for a, b in kinds])
 
 
 @dataclass
 class NestedTables:
-    """The flat tables. objects holds each distinct object once; the rest are views of it."""
+    """The flat tables. stored holds each distinct object once, by the number of its kind; the rest are views of it."""
 
-    entries: DataFrame
+    stored: DataFrame
+
+    @property
+    def entries(self) -> DataFrame:
+        """Everything stored, kinds by name."""
+        return self.stored.withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1))
 
     def _kind(self, kind: str) -> DataFrame:
-        return self.entries.where(F.col("kind") == kind)
+        return self.stored.where(F.col("kind") == KINDS[kind])
 
     @property
     def roots(self) -> DataFrame:
@@ -373,7 +380,8 @@ def flatten_scenes(raw: DataFrame, rec: str = "rec_id", sg_idx: str = "sg_idx",
     parsed = source.mapInArrow(_batches, _entry_type())
     # A root has no identity, it is an arrival: a number of its own keeps it apart from all others, whatever its record id.
     keyed = parsed.withColumn("oid", F.coalesce("oid", F.concat(F.lit("root"), F.monotonically_increasing_id().cast("string")).cast("binary")))
-    return NestedTables(keep(keyed.dropDuplicates(["oid"]), "kind"))
+    # Repeats between tasks are few, so rows are sorted once, after the shuffle: by kind and identity, which is also the order they are written in.
+    return NestedTables(keep(keyed.repartition(F.col("oid")).dropDuplicates(["kind", "oid"]), "kind"))
 
 
 def ring_vertices(tables: NestedTables) -> DataFrame:
