@@ -324,6 +324,30 @@ def test_belief_propagation_on_a_tree(spark):
         assert [got[n, k] for k in range(3)] == pytest.approx(v.tolist(), abs=1e-6)
 
 
+def test_belief_propagation_in_frames(spark):
+    rnd = np.random.default_rng(6)
+    cost = [[0, 0.5, 1], [0.5, 0, 1], [1, 1, 0]]
+    rows, links, alone = [], [], {}
+    for f in range(4):
+        names = [f"{f}{c}" for c in "abcd"]
+        unary = {n: rnd.normal(size=3) for n in names}
+        pairs = [(names[0], names[1], 0.7), (names[1], names[2], 1.2), (names[1], names[3], 0.4)]
+        rows += [(f if f < 3 else None, n, k, float(x)) for n, v in unary.items() for k, x in enumerate(v)]
+        links += [(f if f < 3 else None, *p) for p in pairs]
+        alone |= brute_marginals(unary, pairs if f < 3 else [], cost)  # without a frame there are no pairs
+    links += [(0, "0a", "0a", 5.0), (0, "0a", "nobody", 5.0), (1, "0a", "1a", 5.0)]
+    u = spark.createDataFrame(rows, "frame int, var string, state int, x double")
+    p = spark.createDataFrame(links, "frame int, a string, b string, weight double")
+    t = spark.createDataFrame([(i, j, float(cost[i][j])) for i in range(3) for j in range(3)], "s int, t int, cost double")
+    for most in (100, 3):  # beyond the bound frames go through tables
+        known = p if most == 100 else p.where("b <> 'nobody' and (frame <> 1 or a <> '0a')")
+        got = {(r["var"], r.state): r.p for r in fusion.belief_propagation_in_frames(u, known, t, rounds=14, damping=0.0, tol=1e-9, most=most).collect()}
+        assert len(got) == 48
+        for n, v in alone.items():
+            assert [got[n, k] for k in range(3)] == pytest.approx(v.tolist(), abs=1e-6)
+    assert fusion.belief_propagation_in_frames(u.limit(0), p, t).count() == 0
+
+
 def test_rounds_that_end_before_the_tolerance_are_reported(spark):
     u = spark.createDataFrame([(n, k, float(k * (n == "a"))) for n in "abc" for k in range(2)], "var string, state int, x double")
     p = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "a string, b string, weight double")
@@ -335,7 +359,7 @@ def test_rounds_that_end_before_the_tolerance_are_reported(spark):
         fusion.belief_propagation(u, p, t)
 
 
-@pytest.mark.parametrize("name, operator", [("loopy_bp", "belief_propagation"), ("source_weights", "fit_sources")])
+@pytest.mark.parametrize("name, operator", [("loopy_bp", "belief_propagation_in_frames"), ("source_weights", "fit_sources")])
 def test_registered_iterations_run_the_default_rounds(spark, data, monkeypatch, name, operator):
     import __spark_entry__ as entry
 

@@ -190,6 +190,102 @@ def capped_degree(edges: DataFrame, cap: int) -> DataFrame:
     return top.select("frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("frame", "a", "b", "weight").count().where("count = 2").drop("count")
 
 
+def _states_and_costs(unary: DataFrame, table: DataFrame) -> tuple[list, np.ndarray]:
+    """The states in order, at most MOST_STATES, and the costs between them; pairs that the table lacks cost one."""
+    states = sorted(r[0] for r in unary.select("state").distinct().limit(MOST_STATES + 1).collect())
+    if len(states) > MOST_STATES:
+        raise ValueError(f"more than {MOST_STATES} states")
+    at, cost = {s: i for i, s in enumerate(states)}, np.ones((len(states), len(states)))
+    for r in table.where(F.col("s").isin(states) & F.col("t").isin(states)).collect():
+        cost[at[r.s], at[r.t]] = r.cost
+    return states, cost
+
+
+def _new_messages(at_a, at_b, to_b, to_a, weight, cost, damping):
+    """Messages of each pair after one round, and by how much they moved: from the beliefs at both ends without what came back from the other."""
+    out, moved = [], np.zeros(len(weight))
+    for belief, back, old, potential in ((at_a, to_a, to_b, cost), (at_b, to_b, to_a, cost.T)):
+        told = belief - back
+        new = np.empty_like(old)
+        for i in range(0, len(weight), 4_096):
+            x = told[i : i + 4_096, :, None] - weight[i : i + 4_096, None, None] * potential
+            top = x.max(1, keepdims=True)
+            y = np.log(np.exp(x - top).sum(1)) + top[:, 0]
+            y = damping * old[i : i + 4_096] + (1 - damping) * (y - _log_total(y))
+            new[i : i + 4_096] = y - _log_total(y)
+        moved = np.maximum(moved, np.abs(new - old).max(1, initial=0))
+        out.append(new)
+    return out[0], out[1], moved
+
+
+#: Variables of one frame whose messages one worker may pass; larger frames go through tables.
+FRAME_VARIABLES = 20_000
+
+
+def belief_propagation_in_frames(unary: DataFrame, pairs: DataFrame, table: DataFrame, rounds: int = 30, damping: float = 0.5, tol: float = 1e-4, most: int = FRAME_VARIABLES) -> DataFrame:
+    """var, state, p, as belief_propagation() gives it, where pairs lie within frames: one shuffle brings a frame's variables and pairs together, and its rounds are one task's.
+
+    unary: frame, var, state, x; pairs: frame, a, b, weight. A frame's rounds end when none of its own messages
+    moves by more than tol. Frames of more than `most` variables, and variables without a frame, go
+    through belief_propagation(). Pairs of unknown variables, self-pairs and pairs of two frames say nothing.
+    """
+    from weft.operators.grouped import large_groups, map_groups
+
+    states, cost = _states_and_costs(unary, table)
+    k = len(states)
+    if not k:
+        return unary.select("var", "state", F.lit(0.0).alias("p")).where(F.lit(False))
+    own = keep(unary.groupBy("frame", "var").agg(F.array(*(F.coalesce(F.max(F.when(F.col("state") == s, F.col("x"))), F.lit(float("-inf"))) for s in states)).alias("x")))
+    large = keep(large_groups(own.where("frame is not null"), "frame", most))
+    some = not large.isEmpty()
+    inside = own.where("frame is not null").join(large.select("frame"), "frame", "left_anti") if some else own.where("frame is not null")
+    none = F.lit(None)
+    rows = inside.select(F.col("frame").cast("string").alias("frame"), F.col("var").alias("a"), none.cast("string").alias("b"), "x", none.cast("double").alias("weight")).unionByName(
+        pairs.where("a <> b").select(F.col("frame").cast("string").alias("frame"), "a", "b", none.cast("array<double>").alias("x"), F.col("weight").cast("double").alias("weight"))
+    )
+
+    def run(part, starts):
+        names, others = (part.column(c).to_numpy() for c in ("a", "b"))
+        weights = part.column("weight").to_numpy()
+        x, known = part.column("x").combine_chunks(), part.column("b").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        take, out, late = [], [], []
+        for s, e in zip(starts[:-1], starts[1:]):
+            at = s + np.flatnonzero(known[s:e])
+            if not len(at):
+                continue
+            place = {v: i for i, v in enumerate(names[at].tolist())}
+            base = np.array(x.take(at).to_pylist(), float)
+            edges = [(place[names[i]], place[others[i]], weights[i]) for i in s + np.flatnonzero(~known[s:e]) if names[i] in place and others[i] in place]
+            a, b, w = (np.array(c) for c in zip(*edges)) if edges else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            to_b = to_a = np.full((len(w), k), -np.log(k))
+            belief, moved = base, np.zeros(0)
+            for _ in range(rounds):
+                if not len(w):
+                    break
+                to_b, to_a, moved = _new_messages(belief[a], belief[b], to_b, to_a, w, cost, damping)
+                belief = base.copy()
+                np.add.at(belief, b, to_b), np.add.at(belief, a, to_a)
+                if moved.max() < tol:
+                    break
+            share = np.exp(belief - belief.max(1, keepdims=True))
+            take.append(at)
+            out.append(share / share.sum(1, keepdims=True))
+            late.append(np.full(len(at), bool(len(w)) and moved.max() >= tol))
+        picked = np.concatenate(take) if take else np.zeros(0, int)
+        return {"var": names[picked], "p": list(np.concatenate(out)) if out else [], "late": np.concatenate(late) if late else []}
+
+    solved = keep(map_groups(rows, "frame", ["a"], run, "var string, p array<double>, late boolean"))
+    left = solved.where("late").count()
+    if left:
+        warnings.warn(f"belief_propagation_in_frames: messages to {left} variables still move by {tol:.0e} or more after {rounds} rounds", RuntimeWarning, stacklevel=2)
+    found = solved.select("var", F.explode(F.arrays_zip(F.array(*map(F.lit, states)).alias("state"), F.col("p").alias("p"))).alias("e")).select("var", "e.state", "e.p").where("p > 0")
+    rest = unary.where("frame is null") if not some else unary.join(large.select("frame"), "frame", "left_semi").unionByName(unary.where("frame is null"), allowMissingColumns=True)
+    if not some and rest.isEmpty():
+        return found
+    known = pairs.where("a <> b").join(large.select("frame"), "frame", "left_semi").select("a", "b", "weight")
+    return found.unionByName(belief_propagation(rest.select("var", "state", "x"), known, table, rounds, damping, tol))
+
+
 def belief_propagation(unary: DataFrame, pairs: DataFrame, table: DataFrame, rounds: int = 30, damping: float = 0.5, tol: float = 1e-4) -> DataFrame:
     """var, state, p: marginals by loopy sum-product in logs, all messages at once, damped.
 
@@ -199,13 +295,8 @@ def belief_propagation(unary: DataFrame, pairs: DataFrame, table: DataFrame, rou
     MOST_STATES; a round is one aggregation by variable and a join for each end, and rounds end when
     no message moves by more than tol. It warns if they still do after the last.
     """
-    states = sorted(r[0] for r in unary.select("state").distinct().limit(MOST_STATES + 1).collect())
-    if len(states) > MOST_STATES:
-        raise ValueError(f"more than {MOST_STATES} states")
-    k, at = len(states), {s: i for i, s in enumerate(states)}
-    cost = np.ones((k, k))
-    for r in table.where(F.col("s").isin(states) & F.col("t").isin(states)).collect():  # at most MOST_STATES squared
-        cost[at[r.s], at[r.t]] = r.cost
+    states, cost = _states_and_costs(unary, table)
+    k = len(states)
     own = keep(unary.groupBy("var").agg(F.array(*(F.coalesce(F.max(F.when(F.col("state") == s, F.col("x"))), F.lit(float("-inf"))) for s in states)).alias("x")))
     flat = F.array(*(F.lit(-float(np.log(max(1, k)))) for _ in states))
     message = keep(pairs.select("a", "b", F.col("weight").cast("double").alias("weight"), flat.alias("to_b"), flat.alias("to_a"), F.lit(0.0).alias("moved")))
@@ -213,20 +304,8 @@ def belief_propagation(unary: DataFrame, pairs: DataFrame, table: DataFrame, rou
     @F.pandas_udf("struct<to_b:array<double>,to_a:array<double>,moved:double>")
     def exchange(at_a: pd.Series, at_b: pd.Series, to_b: pd.Series, to_a: pd.Series, weight: pd.Series) -> pd.DataFrame:
         a, b, mb, ma = (np.stack(c.to_list()) if len(c) else np.zeros((0, k)) for c in (at_a, at_b, to_b, to_a))
-        w = weight.to_numpy()
-        out, moved = [], np.zeros(len(w))
-        for belief, back, old, potential in ((a, ma, mb, cost), (b, mb, ma, cost.T)):
-            told = belief - back
-            new = np.empty_like(old)
-            for i in range(0, len(w), 4_096):
-                x = told[i : i + 4_096, :, None] - w[i : i + 4_096, None, None] * potential
-                top = x.max(1, keepdims=True)
-                y = np.log(np.exp(x - top).sum(1)) + top[:, 0]
-                y = damping * old[i : i + 4_096] + (1 - damping) * (y - _log_total(y))
-                new[i : i + 4_096] = y - _log_total(y)
-            moved = np.maximum(moved, np.abs(new - old).max(1, initial=0))
-            out.append(list(new))
-        return pd.DataFrame({"to_b": out[0], "to_a": out[1], "moved": moved})
+        new_b, new_a, moved = _new_messages(a, b, mb, ma, weight.to_numpy(), cost, damping)
+        return pd.DataFrame({"to_b": list(new_b), "to_a": list(new_a), "moved": moved})
 
     def beliefs(m: DataFrame) -> DataFrame:
         heard = m.select(F.col("b").alias("var"), F.col("to_b").alias("m")).unionByName(m.select(F.col("a").alias("var"), F.col("to_a").alias("m")))

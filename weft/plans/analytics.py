@@ -533,12 +533,12 @@ def loopy_bp(spark: SparkSession, root: str) -> DataFrame:
     """Fused category of each node after messages between neighbours of its scene; iterative, so without SQL."""
     c = keep(_claims(spark, root))
     cats = keep(_categories(c))
-    unary = keep(fusion.posteriors(c, fusion.confusion_prior(c, cats), None, ["node_id"], cats).select(F.col("node_id").alias("var"), F.col("cat").alias("state"), F.col("log_score").alias("x")))
-    pairs = fusion.adjacency(_boxes(spark, root), ["sg_idx"], 0.15).select("a", "b", "weight")
-    known = unary.select("var").distinct()
-    pairs = keep(pairs.join(known.select(F.col("var").alias("a")), "a", "left_semi").join(known.select(F.col("var").alias("b")), "b", "left_semi"))
+    scenes = c.select("node_id", F.col("sg_idx").alias("frame")).distinct()
+    unary = fusion.posteriors(c, fusion.confusion_prior(c, cats), None, ["node_id"], cats).join(scenes, "node_id")
+    unary = keep(unary.select("frame", F.col("node_id").alias("var"), F.col("cat").alias("state"), F.col("log_score").alias("x")))
+    pairs = fusion.adjacency(_boxes(spark, root), ["sg_idx"], 0.15).select(F.col("sg_idx").alias("frame"), "a", "b", "weight")
     d = fusion.category_distances(cats.select("cat", F.substring("cat", 1, 1).alias("super"))).select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("d").alias("cost"))
-    return rounded(fusion.argmax(fusion.belief_propagation(unary, pairs, keep(d)), ["var"], "p", "state"), 5, "p")
+    return rounded(fusion.argmax(fusion.belief_propagation_in_frames(unary, pairs, keep(d)), ["var"], "p", "state"), 5, "p")
 
 
 # ---- graphs ----
