@@ -17,8 +17,6 @@ which rows support a cell, don't depend on where the clock is cut.
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,45 +72,48 @@ def factorise(values: np.ndarray, seen: np.ndarray, rank: int = RANK, ridge: flo
     return level[:, None] + (u @ v.T) * spread**0.5
 
 
-def local_levels(values: np.ndarray, seen: np.ndarray, reach: int = REACH, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-    """Middle of up to `nearest` observed cells on each side within reach, the cell itself left out, and how many they are; NaN without any."""
+def local_levels(values: np.ndarray, seen: np.ndarray, reach: int = REACH, nearest: int = NEAREST, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Middle of up to `nearest` observed cells on each side within reach, the cell itself left out, and how many they are; NaN without any. Only wanted cells, if given, are worked out."""
     n, m = values.shape
     level, count = np.full((n, m), np.nan), np.zeros((n, m), int)
-    at, steps = np.arange(m), np.arange(nearest)
+    steps = np.arange(nearest)
     for i in range(n):
         known = np.flatnonzero(seen[i])
-        if not len(known):
+        at = np.arange(m) if wanted is None else np.flatnonzero(wanted[i])
+        if not len(known) or not len(at):
             continue
         before, after = np.searchsorted(known, at, side="left"), np.searchsorted(known, at, side="right")
         picks = np.concatenate([before[:, None] - 1 - steps, after[:, None] + steps], axis=1)
         inside = (picks >= 0) & (picks < len(known))
         where = known[np.clip(picks, 0, len(known) - 1)]
         inside &= np.abs(where - at[:, None]) <= reach
-        near = np.where(inside, values[i, where], np.nan)
-        some = inside.any(1)
-        count[i] = inside.sum(1)
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore", RuntimeWarning)
-            level[i, some] = np.nanmedian(near[some], axis=1)
+        near = np.sort(np.where(inside, values[i, where], np.nan), axis=1)  # unknown ones come last
+        have = inside.sum(1)
+        row = np.arange(len(at))
+        middle = (near[row, np.maximum(have - 1, 0) // 2] + near[row, np.minimum(have // 2, 2 * nearest - 1)]) / 2
+        count[i, at], level[i, at] = have, np.where(have > 0, middle, np.nan)
     return level, count
 
 
-def complete(values: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The fit of every cell of a block, and which cells have enough support for it.
+def complete(values: np.ndarray, seen: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The fit of every cell of a block, or at least of the wanted ones, and which cells have enough support for it.
 
     Near observed cells of its row a cell is their local level plus the low-rank term of what
     that leaves; far from any it's the row's level plus the low-rank term of the row's whole course.
+    Only columns that several rows share have such terms.
     """
-    local, count = local_levels(values, seen)
-    shared, near = seen.sum(0) >= COLUMN_SUPPORT, count >= ROW_SUPPORT
+    shared = seen.sum(0) >= COLUMN_SUPPORT
+    local, count = local_levels(values, seen, wanted=None if wanted is None else wanted | (seen & shared[None, :]))
+    near = count >= ROW_SUPPORT
     far = ~near & (seen.sum(1) >= ROW_SUPPORT)[:, None] & shared[None, :]
     fit = np.where(np.isnan(local), 0.0, local)
     if shared.any():
-        rest = np.where(seen & near, values - fit, 0.0)
+        told = seen & near & shared[None, :]
+        rest = np.where(told, values - fit, 0.0)
         # A spike must not turn the factors: what is left of a cell counts up to three times the row's usual.
-        usual = np.array([1.4826 * np.median(np.abs(r[s])) if s.any() else 0.0 for r, s in zip(rest, seen)])[:, None]
-        fit = fit + np.where(shared[None, :], factorise(np.clip(rest, -3 * usual, 3 * usual), seen & shared[None, :]), 0.0)
-        if (far & ~seen).any():
+        usual = np.array([1.4826 * np.median(np.abs(r[s])) if s.any() else 0.0 for r, s in zip(rest, told)])[:, None]
+        fit = fit + np.where(shared[None, :], factorise(np.clip(rest, -3 * usual, 3 * usual), told), 0.0)
+        if (far & (~seen if wanted is None else wanted)).any():
             fit = np.where(near, fit, factorise(values, seen))
     return fit, near | far
 
@@ -140,7 +141,7 @@ def _fill(part, starts):
         i, j = np.nonzero(mine & ~seen)
         if not len(i):
             continue
-        fit, enough = complete(values, seen)
+        fit, enough = complete(values, seen, mine & ~seen)
         supported = enough[i, j]
         who.append(rows[i])
         when.append(at[j] * int(interval[a]))
