@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import coding, filters, shapes
-from weft.operators import blocks, fusion, graph, maxcal, priors, sets, stats, trajectory
-from weft.sources import files
+from weft.operators import blocks, fusion, graph, maxcal, priors, raster, sets, stats, trajectory
+from weft.sources import files, tables
 from weft.streaming.state import analyse_rotations, store_keyframes, stored_keyframes
 
 
@@ -395,3 +395,53 @@ def test_rotations(spark, tmp_path):
     got = spark.table("rotations").orderBy("rotation").collect()
     assert [r.status for r in got[:6]] == ["warmup"] * 5 + [got[5].status] and got[-1].status == "fitted"
     assert np.allclose(got[-1].gain, blocks.solve_riccati(a, b, 0.5 * np.eye(2), np.eye(2)).ravel(), atol=1e-3)
+
+
+# ---- hooks, generators, kept tables ----
+
+
+def test_segmenter_hook(spark):
+    images = spark.createDataFrame([(1, [0.1, 0.9]), (2, [0.2, 0.3])], "img long, px array<double>")
+
+    def bright(pdf, prompt):
+        rows = [(i, f"{prompt}-{k}", k) for i, px in zip(pdf["img"], pdf["px"]) for k, v in enumerate(px) if v > 0.25]
+        return type(pdf)(rows, columns=["img", "id", "cell"])
+
+    got = fusion.segment(images, bright, "img long, id string, cell long", "lamp")
+    assert {tuple(r) for r in got.collect()} == {(1, "lamp-1", 1), (2, "lamp-1", 1)}
+
+
+def test_budget_of_expressions(spark):
+    rows = spark.createDataFrame([("t", i, float(i), i % 2) for i in range(8)], "tile string, id int, area double, side int")
+    got = maxcal.budgeted_pick(rows, "tile", "id", F.col("area") * 2, F.col("side").cast("string"), F.lit(1.0), 1, 9.0, 5)
+    assert got.columns == rows.columns and {r.id for r in got.collect()} == {7, 6}
+
+
+def test_generators(spark):
+    z = {(r.r, r.c): r.z for r in raster.crater_grid(spark, 41, 41, 10.0, 5.0, 1.0).collect()}
+    assert z[20, 20] == pytest.approx(-5, abs=0.01) and z[20, 30] == pytest.approx(1, abs=0.01) and abs(z[0, 0]) < 0.05
+    cells = raster.branching_grid(spark, 40, 31, 3)
+    d = raster.flow_direction(cells)
+    wet = raster.channels(raster.flow_accumulation(d), 60)
+    assert {(0, 15), (5, 15), (39 - 9, 15)} <= {(r.r, r.c) for r in wet.collect()} and wet.where("c <> 15").count() > 10
+
+
+def test_kept_tables_go_with_their_scope(spark):
+    import os
+
+    outer = tables.keep(spark.range(3).toDF("id"))
+    with tables.scope():
+        inner = tables.keep(spark.range(5).toDF("id"))
+        path = tables.kept_path(inner).removeprefix("file:")
+        assert inner.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path) and outer.count() == 3
+
+
+def test_many_kernels_are_not_compared_all_with_all(spark, monkeypatch):
+    from weft.operators import kernels
+
+    monkeypatch.setattr(kernels, "MOST_KERNELS", 2)
+    rows = spark.createDataFrame([(str(k), 0, 0, 1.0) for k in range(3)], "kernel_id string, i long, j long, k double")
+    with pytest.raises(ValueError):
+        kernels.hs_distances(rows)
+    assert kernels.hs_distances(rows.where("kernel_id < 2")).count() == 1

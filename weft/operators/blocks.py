@@ -445,6 +445,9 @@ def alignment(kernels: DataFrame) -> DataFrame:
     """a, b, cka of each pair of kernels of one size: linear alignment after double centring, by window means and sums."""
     from pyspark.sql import Window
 
+    from weft.operators.kernels import few_kernels
+
+    few_kernels(kernels)
     rows, cols, all_ = Window.partitionBy("kernel_id", "i"), Window.partitionBy("kernel_id", "j"), Window.partitionBy("kernel_id")
     centred = kernels.withColumn("c", F.col("k") - F.avg("k").over(rows) - F.avg("k").over(cols) + F.avg("k").over(all_))
     own = centred.groupBy("kernel_id").agg(F.sum(F.col("c") * F.col("c")).alias("s"))

@@ -104,6 +104,20 @@ def association_pairs(boxes: DataFrame, frame: list[str], least: float, reach: f
     return met.where((F.col("iou") >= least) | (F.col("distance") <= reach))
 
 
+def segment(images: DataFrame, segmenter, schema: str, prompt: str | None = None) -> DataFrame:
+    """Instances that a caller's segmenter finds in images: a function of a pandas table of images and a prompt that gives a table of the schema.
+
+    It runs over Arrow batches where the images lie; anything that it loads should be held by itself
+    between calls, as a worker process sees many batches.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield segmenter(pdf, prompt)
+
+    return images.mapInPandas(run, schema)
+
+
 def mask_overlaps(left: DataFrame, right: DataFrame, frame: list[str]) -> DataFrame:
     """frame, a, b, iou of instances of two sets of masks that share a cell. A mask is a long table: frame, id, cell."""
     l, r = left.select(*frame, F.col("id").alias("a"), "cell").distinct(), right.select(*frame, F.col("id").alias("b"), "cell").distinct()

@@ -197,7 +197,11 @@ def chebyshev_mix(matrix: DataFrame, values: DataFrame, second: float, rounds: i
     return now.select("node", (F.col("v") * 2).alias("v"))
 
 
-def fluid(nodes: DataFrame, edges: DataFrame, steps: int, dt: float = 0.01, stiffness: float = 0.5, drag: float = 0.8, viscosity: float = 0.15, weights: tuple = (1.0, 1.2, 0.9), floor: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+# The fluid's time step, stiffness, drag, viscosity, weights of loss, cost and information, and least density.
+DT, STIFFNESS, DRAG, VISCOSITY, WEIGHTS, FLOOR = 0.01, 0.5, 0.8, 0.15, (1.0, 1.2, 0.9), 1e-12
+
+
+def fluid(nodes: DataFrame, edges: DataFrame, steps: int, dt: float = DT, stiffness: float = STIFFNESS, drag: float = DRAG, viscosity: float = VISCOSITY, weights: tuple = WEIGHTS, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
     """Densities node, rho and velocities src, dst, u of a fluid on a graph after some steps, all edges at once (Jacobi).
 
     nodes: node, rho, loss, cost, info; edges: src < dst, length. Velocity follows the
@@ -224,7 +228,7 @@ def fluid(nodes: DataFrame, edges: DataFrame, steps: int, dt: float = 0.01, stif
     return state.select("node", "rho"), flow.select("src", "dst", "u")
 
 
-def fluid_components(nodes: DataFrame, edges: DataFrame, steps: int, dt: float = 0.01, stiffness: float = 0.5, drag: float = 0.8, viscosity: float = 0.15, floor: float = 1e-12) -> DataFrame:
+def fluid_components(nodes: DataFrame, edges: DataFrame, steps: int, dt: float = DT, stiffness: float = STIFFNESS, drag: float = DRAG, viscosity: float = VISCOSITY, floor: float = FLOOR) -> DataFrame:
     """node, part, rho after some steps of a fluid of several parts on a graph, with an unknown rest (part null) that doesn't move.
 
     nodes: node, part, rho, phi, one row for each node and part, and part null for the rest (phi unread);

@@ -133,11 +133,22 @@ def hs_norm(kernel: DataFrame) -> DataFrame:
     return kernel.groupBy("kernel_id").agg((F.max("i") + 1).alias("n"), (F.sqrt(F.sum(F.col("k") * F.col("k"))) / F.sqrt(F.max("i") + 1)).alias("norm"))
 
 
+#: Kernels that may be compared all with all.
+MOST_KERNELS = 5_000
+
+
+def few_kernels(kernel: DataFrame) -> None:
+    if kernel.select("kernel_id").distinct().limit(MOST_KERNELS + 1).count() > MOST_KERNELS:
+        raise ValueError(f"more than {MOST_KERNELS} kernels aren't compared all with all: state which are queries and use gram()")
+
+
 def hs_distances(kernel: DataFrame) -> DataFrame:
     """a, b, distance of each pair a < b of kernels of the same size.
 
-    Kernels are few by nature (one each group or frame); cells meet by one join on (i, j).
+    Kernels are few by nature (one each group or frame) and their number is checked, as pairs grow with its
+    square; cells meet by one join on (i, j).
     """
+    few_kernels(kernel)
     left, right = kernel.select(F.col("kernel_id").alias("a"), "i", "j", F.col("k").alias("ka")), kernel.select(F.col("kernel_id").alias("b"), "i", "j", F.col("k").alias("kb"))
     d = F.col("ka") - F.col("kb")
     return left.join(right, ["i", "j"]).where("a < b").groupBy("a", "b").agg((F.sqrt(F.sum(d * d)) / F.sqrt(F.max("i") + 1)).alias("distance"))

@@ -112,13 +112,19 @@ def draw(weighted: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     return weighted.where("p > 0").withColumn("race", -F.ln(u) / F.col("p")).orderBy("race", id_col).limit(n).drop("race")
 
 
-def budgeted_pick(candidates: DataFrame, frame: str, id_col: str, value: str, bucket: str, cost: str, per_bucket: int, budget: float, most: int) -> DataFrame:
+def budgeted_pick(candidates: DataFrame, frame: str, id_col: str, value: str | Column, bucket: str | Column, cost: str | Column, per_bucket: int, budget: float, most: int) -> DataFrame:
     """Greedy pick within each frame by value: a candidate whose bucket is full or that would overrun the budget is skipped, and the next is tried.
 
-    Greedy in order, so a frame's candidates (bounded) are one worker's.
+    value, bucket and cost are columns' names or the caller's own expressions. Greedy in order, so a frame's
+    candidates (bounded) are one worker's.
     """
     import pandas as pd
 
+    given = {"_value": value, "_bucket": bucket, "_cost": cost}
+    schema = candidates.schema
+    candidates = candidates.withColumns({k: v if isinstance(v, Column) else F.col(v) for k, v in given.items()})
+    value, bucket, cost = given
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         spent, used, keep = 0.0, {}, []
         for row in pdf.sort_values([value, id_col], ascending=[False, True]).to_dict("records"):
@@ -129,9 +135,9 @@ def budgeted_pick(candidates: DataFrame, frame: str, id_col: str, value: str, bu
                 used[b] = used.get(b, 0) + 1
                 spent += row[cost]
                 keep.append(row)
-        return pd.DataFrame(keep, columns=pdf.columns)
+        return pd.DataFrame(keep, columns=pdf.columns)[schema.names]
 
-    return candidates.groupBy(frame).applyInPandas(run, candidates.schema)
+    return candidates.groupBy(frame).applyInPandas(run, schema)
 
 
 def best_candidate(scored: DataFrame, id_col: str, score: str, turn: int, eps: float = 1e-6) -> DataFrame:

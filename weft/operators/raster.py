@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,8 +145,6 @@ def terrain_edges(cells: DataFrame, eight: bool = False) -> DataFrame:
 
 def circle_votes(edges: DataFrame, radii: list[int], angles: int = 64) -> DataFrame:
     """raster_id, r, c, radius, votes: how many edge cells vote for each centre and radius."""
-    import math
-
     shifts = sorted({(k, round(k * math.sin(2 * math.pi * a / angles)), round(k * math.cos(2 * math.pi * a / angles))) for k in radii for a in range(angles)})
     spread = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, a, b in shifts))).alias("s")
     return edges.select("raster_id", "r", "c", spread).groupBy("raster_id", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("s.k").alias("radius")).agg(F.count("*").alias("votes"))
@@ -157,9 +157,36 @@ def valley_grid(spark, rows: int, columns: int, raster_id: str = "valley") -> Da
 
 
 def crater_grid(spark, rows: int, columns: int, radius: float, depth: float, rim: float, raster_id: str = "crater") -> DataFrame:
-    """A round crater with a raised rim in a plain, with a small seeded roughness."""
+    """A bowl whose depth falls with the square of the distance from its middle, inside a rim that dies away outwards, with a small seeded roughness."""
     cells = spark.range(rows * columns).select(F.lit(raster_id).alias("raster_id"), F.floor(F.col("id") / columns).cast("int").alias("r"), (F.col("id") % columns).cast("int").alias("c"))
-    d = F.sqrt(F.pow(F.col("r") - rows // 2, 2) + F.pow(F.col("c") - columns // 2, 2))
-    ring = rim * F.exp(-F.pow((d - radius) / (0.1 * radius), 2))
+    d = F.sqrt(F.pow(F.col("r") - rows // 2, 2) + F.pow(F.col("c") - columns // 2, 2)) / radius
     rough = (F.pmod(F.xxhash64("r", "c"), F.lit(1000)) / 1000 - 0.5) * 0.01
-    return cells.withColumn("z", F.when(d < radius * 0.8, -depth).when(d <= radius * 1.2, ring).otherwise(0.0) + rough)
+    return cells.withColumn("z", F.when(d < 1, rim - (depth + rim) * (1 - d * d)).otherwise(rim * F.exp(-4 * (d - 1))) + rough)
+
+
+def branching_grid(spark, rows: int, columns: int, branches: int, raster_id: str = "branching") -> DataFrame:
+    """A slope down to row 0 with a main channel along the middle column and side channels that join it from both sides, `branches` in all; a cell lies higher the farther it is from the nearest channel."""
+    cells = spark.range(rows * columns).select(F.lit(raster_id).alias("raster_id"), F.floor(F.col("id") / columns).cast("int").alias("r"), (F.col("id") % columns).cast("int").alias("c"))
+    off = F.abs(F.col("c") - columns // 2)
+    near = off.cast("double")
+    for k in range(branches):
+        mouth = rows * (k + 1) // (branches + 1)  # a side channel climbs by one row a column away from the main one
+        side = (F.col("c") >= columns // 2) if k % 2 else (F.col("c") <= columns // 2)
+        near = F.least(near, F.when(side, F.abs(F.col("r") - mouth - off) / 2).otherwise(near))
+    return cells.withColumn("z", F.col("r") * 0.1 + off * 0.05 + near * 0.5 + (F.col("r") * columns + F.col("c")) * 1e-6)
+
+
+def ring_landscape(spark, n: int) -> DataFrame:
+    """node, loss, cost, info of n places round a ring: loss is least opposite node 0, cost rises once round, information comes in three bumps."""
+    turn = 2 * math.pi * F.col("id") / n
+    return spark.range(n).select(F.col("id").alias("node"), ((1 + F.cos(turn)) / 2).alias("loss"), (F.col("id") / n).alias("cost"), ((1 + F.sin(3 * turn)) / 2).alias("info"))
+
+
+def drifting_field(spark, side: int, steps: int, bumps: int = 3) -> DataFrame:
+    """t, x, y, value of bumps that move over a square grid of places in time and fade."""
+    cells = spark.range(side * side * steps).select(F.floor(F.col("id") / (side * side)).cast("int").alias("t"), (F.floor(F.col("id") / side) % side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
+    value = F.lit(0.0)
+    for k in range(bumps):
+        cx, cy = side * (k + 1) / (bumps + 1) + F.col("t") * 0.1 * (k + 1), side * (bumps - k) / (bumps + 1) - F.col("t") * 0.05 * k
+        value = value + F.exp(-(F.pow(F.col("x") - cx, 2) + F.pow(F.col("y") - cy, 2)) / (2 * (k + 1.0) ** 2) - 0.02 * F.col("t"))
+    return cells.withColumn("value", value)

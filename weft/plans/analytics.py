@@ -657,23 +657,36 @@ def edge_audit(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- rasters, on a surface that both sides generate ----
 
-_GRID = """with recursive z as (select r, c, (40 - r) * 0.5::double + abs(c - 18) * 0.3::double + ((r * 7 + c * 13) % 11) * 0.01::double + (r * 36 + c) * 1e-6::double z from (select cast(i // 36 as int) r, cast(i % 36 as int) c from range(40 * 36) t(i))),
+def _surface(rows: str, cells: str) -> str:
+    """The surface of valley_grid() with 36 columns and so many rows, from a table of cell numbers i."""
+    return f"z as (select r, c, ({rows} - r) * 0.5::double + abs(c - 18) * 0.3::double + ((r * 7 + c * 13) % 11) * 0.01::double + (r * 36 + c) * 1e-6::double z from (select cast(i // 36 as int) r, cast(i % 36 as int) c from {cells}))"
+
+
+_FLOWS = """,
 o(d, dr, dc) as (values (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)),
 f as (select a.r, a.c, o.d, (a.z - b.z) / case when dr <> 0 and dc <> 0 then sqrt(2.0) else 1.0 end s from z a, o join z b on b.r = a.r + o.dr and b.c = a.c + o.dc),
 k as (select r, c, d from (select *, row_number() over (partition by r, c order by s desc, d) n from f where s > 0) where n = 1),
 t as (select k.r, k.c, k.r + o.dr r2, k.c + o.dc c2 from k join o using (d)) """
+#: A surface that grows with the tables, 40 rows for every hundred suppliers, and one of 40 rows.
+_ROWS = "(select 40 * greatest(1, count(*) // 100) from supplier)"
+_GRID = f"with recursive hh as (select {_ROWS} n), " + _surface("(select n from hh)", "(select unnest(range(36 * n)) i from hh)") + _FLOWS
+_SMALL_GRID = "with recursive " + _surface("40", "range(1440) t(i)") + _FLOWS
+
 
+def _valley(spark, root):
+    suppliers = table(spark, root, "supplier").count()
+    return raster.valley_grid(spark, 40 * max(1, suppliers // 100), 36)
 
-@query("""with z as (select r, c, (40 - r) * 0.5::double + abs(c - 18) * 0.3::double + ((r * 7 + c * 13) % 11) * 0.01::double + (r * 36 + c) * 1e-6::double z from (select cast(i // 36 as int) r, cast(i % 36 as int) c from range(40 * 36) t(i))),
-g as (select r, c, z, lag(z) over x l, lead(z) over x h, lag(z) over y u, lead(z) over y d from z window x as (partition by r order by c), y as (partition by c order by r))
+
+@query(_GRID + """, g as (select r, c, z, lag(z) over x l, lead(z) over x h, lag(z) over y u, lead(z) over y d from z window x as (partition by r order by c), y as (partition by c order by r))
 select 'valley' raster_id, r, c, round(sqrt(power(case when l is null then h - z when h is null then z - l else (h - l) / 2 end, 2) + power(case when u is null then d - z when d is null then z - u else (d - u) / 2 end, 2)), 7) slope from g""")
 def raster_slope(spark: SparkSession, root: str) -> DataFrame:
-    return rounded(raster.slope(raster.valley_grid(spark, 40, 36)), 7, "slope")
+    return rounded(raster.slope(_valley(spark, root)), 7, "slope")
 
 
 @query(_GRID + "select 'valley' raster_id, z.r, z.c, round(z.z, 6) z, coalesce(k.d, -1) direction from z left join k on z.r = k.r and z.c = k.c")
 def d8_direction(spark: SparkSession, root: str) -> DataFrame:
-    return rounded(raster.flow_direction(raster.valley_grid(spark, 40, 36)), 6, "z")
+    return rounded(raster.flow_direction(_valley(spark, root)), 6, "z")
 
 
 _ACC = ", up(r, c, r2, c2) as (select r, c, r, c from z union all select up.r, up.c, t.r2, t.c2 from up join t on up.r2 = t.r and up.c2 = t.c), acc as (select r2 r, c2 c, count(*) n from up group by all) "
@@ -681,21 +694,21 @@ _ACC = ", up(r, c, r2, c2) as (select r, c, r, c from z union all select up.r, u
 
 @query(_GRID + _ACC + "select 'valley' raster_id, r, c, n accumulation from acc")
 def flow_accumulation(spark: SparkSession, root: str) -> DataFrame:
-    return raster.flow_accumulation(keep(raster.flow_direction(raster.valley_grid(spark, 40, 36))))
+    return raster.flow_accumulation(keep(raster.flow_direction(_valley(spark, root))))
 
 
 @query(_GRID + _ACC + "select 'valley' raster_id, t.r, t.c, t.r2, t.c2 from t join acc a on a.r = t.r and a.c = t.c join acc b on b.r = t.r2 and b.c = t.c2 where a.n >= 12 and b.n >= 12")
 def drainage_network(spark: SparkSession, root: str) -> DataFrame:
-    d = keep(raster.flow_direction(raster.valley_grid(spark, 40, 36)))
+    d = keep(raster.flow_direction(_valley(spark, root)))
     return raster.drainage_edges(d, keep(raster.channels(raster.flow_accumulation(d), 12)))
 
 
-@query(_GRID + _ACC + """, ch as (select r, c, row_number() over (order by n, r, c) k from acc where n >= 12),
+@query(_SMALL_GRID + _ACC + """, ch as (select r, c, row_number() over (order by n, r, c) k from acc where n >= 12),
 feed as (select b.k, list(a.k) filter (a.k is not null) u from ch b left join (t join ch a on a.r = t.r and a.c = t.c) on t.r2 = b.r and t.c2 = b.c group by b.k),
 s(k, o) as (select 0::bigint, []::int[] union all select feed.k, list_append(s.o, case when len(coalesce(u, [])) = 0 then 1 else list_max([s.o[x] for x in u]) + case when len([x for x in u if s.o[x] = list_max([s.o[y] for y in u])]) >= 2 then 1 else 0 end end) from s join feed on feed.k = s.k + 1)
 select 'valley' raster_id, r, c, (select o from s order by k desc limit 1)[k] strahler from ch""")
 def strahler_order(spark: SparkSession, root: str) -> DataFrame:
-    """Stream order of the channels."""
+    """Stream order of the channels of a surface of fixed size, as its rounds grow with the longest channel."""
     d = keep(raster.flow_direction(raster.valley_grid(spark, 40, 36)))
     ch = keep(raster.channels(raster.flow_accumulation(d), 12))
     return raster.strahler(ch, raster.drainage_edges(d, ch))

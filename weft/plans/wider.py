@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import coding, filters, geodesy, indices, information, modes, novelty, physics, shapes
 from weft.operators import fusion, graph, kernels, maxcal, places, priors, raster, sets, stats, trajectory
-from weft.plans.analytics import _boxes, _BOXES, _GRID, _Q, _vectors, query, rounded
+from weft.plans.analytics import _boxes, _BOXES, _Q, _SMALL_GRID, _vectors, query, rounded
 from weft.sources import files
 from weft.sources.tables import keep, shared_folder, table
 
@@ -49,7 +49,7 @@ def nearest_segments(spark: SparkSession, root: str) -> DataFrame:
     return rounded(places.nearest_segments(_parts(spark, root), _segment_table(spark, root), 3.0), 5, "distance")
 
 
-@query(_GRID + ", p as (select p_partkey id, (p_partkey * 37 % 1000) / 25.0::double lon, (p_partkey * 91 % 997) / 25.0::double lat from part) select id, lon, lat, round(z, 6) z from p join z on r = floor(40 - lat) and c = floor(lon)")
+@query(_SMALL_GRID + ", p as (select p_partkey id, (p_partkey * 37 % 1000) / 25.0::double lon, (p_partkey * 91 % 997) / 25.0::double lat from part) select id, lon, lat, round(z, 6) z from p join z on r = floor(40 - lat) and c = floor(lon)")
 def raster_lookup(spark: SparkSession, root: str) -> DataFrame:
     p = table(spark, root, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1000 / 25.0).alias("lon"), (F.col("p_partkey") * 91 % 997 / 25.0).alias("lat"))
     return rounded(places.raster_lookup(p, raster.valley_grid(spark, 40, 36), 0.0, 40.0, 1.0), 6, "z")
@@ -373,18 +373,18 @@ def gram_of_a_function(spark: SparkSession, root: str) -> DataFrame:
 _SHIFTS = sorted({(k, round(k * math.sin(2 * math.pi * a / 16)), round(k * math.cos(2 * math.pi * a / 16))) for k in (3, 5) for a in range(16)})
 
 
-@query(_GRID + f", e as (select r, c from z where (r * 7 + c * 13) % 11 = 0), s(k, a, b) as (values {', '.join(map(str, _SHIFTS))}) select 'valley' raster_id, e.r + s.a r, e.c + s.b c, s.k radius, count(*) votes from e, s group by all")
+@query(_SMALL_GRID + f", e as (select r, c from z where (r * 7 + c * 13) % 11 = 0), s(k, a, b) as (values {', '.join(map(str, _SHIFTS))}) select 'valley' raster_id, e.r + s.a r, e.c + s.b c, s.k radius, count(*) votes from e, s group by all")
 def circle_votes(spark: SparkSession, root: str) -> DataFrame:
     cells = raster.valley_grid(spark, 40, 36).where((F.col("r") * 7 + F.col("c") * 13) % 11 == 0)
     return raster.circle_votes(cells, [3, 5], 16)
 
 
-@query(_GRID + "select 'valley' raster_id, cast(r // 4 as bigint) r, cast(c // 4 as bigint) c, count(*) n, round(avg(z), 10) z from z group by all")
+@query(_SMALL_GRID + "select 'valley' raster_id, cast(r // 4 as bigint) r, cast(c // 4 as bigint) c, count(*) n, round(avg(z), 10) z from z group by all")
 def coarsened_raster(spark: SparkSession, root: str) -> DataFrame:
     return rounded(raster.coarsen(raster.valley_grid(spark, 40, 36), 4), 10, "z")
 
 
-@query(_GRID + "select 'valley' raster_id, r // 4 r, c // 4 c, r2 // 4 r2, c2 // 4 c2, count(*) n, round(sum(s), 5) w from (select t.r, t.c, t.r2, t.c2, f.s from t join k on k.r = t.r and k.c = t.c join f on f.r = t.r and f.c = t.c and f.d = k.d) where r // 4 <> r2 // 4 or c // 4 <> c2 // 4 group by all")
+@query(_SMALL_GRID + "select 'valley' raster_id, r // 4 r, c // 4 c, r2 // 4 r2, c2 // 4 c2, count(*) n, round(sum(s), 5) w from (select t.r, t.c, t.r2, t.c2, f.s from t join k on k.r = t.r and k.c = t.c join f on f.r = t.r and f.c = t.c and f.d = k.d) where r // 4 <> r2 // 4 or c // 4 <> c2 // 4 group by all")
 def coarsened_edges(spark: SparkSession, root: str) -> DataFrame:
     """Flows between bins of four by four cells, parallel ones added up with their falls."""
     d = keep(raster.flow_direction(raster.valley_grid(spark, 40, 36)))
@@ -394,7 +394,7 @@ def coarsened_edges(spark: SparkSession, root: str) -> DataFrame:
     return rounded(raster.coarsen_edges(flows, 4), 5, "w")
 
 
-@query(_GRID + "select 'valley' raster_id, a.r, a.c, b.r r2, b.c c2, round(a.z - b.z, 6) as \"drop\" from z a join z b on (b.r = a.r and b.c = a.c + 1) or (b.r = a.r + 1 and b.c - a.c in (-1, 0, 1))")
+@query(_SMALL_GRID + "select 'valley' raster_id, a.r, a.c, b.r r2, b.c c2, round(a.z - b.z, 6) as \"drop\" from z a join z b on (b.r = a.r and b.c = a.c + 1) or (b.r = a.r + 1 and b.c - a.c in (-1, 0, 1))")
 def terrain_edges(spark: SparkSession, root: str) -> DataFrame:
     return rounded(raster.terrain_edges(raster.valley_grid(spark, 40, 36), True), 6, "drop")
 
@@ -545,3 +545,16 @@ def array_packets(spark: SparkSession, root: str) -> DataFrame:
     c = _counts(spark, root)
     packed = files.pack_arrays(c.withColumn("share", F.transform("n", lambda x: x / F.aggregate("n", F.lit(0.0), lambda a, y: a + y))), "user_id", ["n", "share"])
     return rounded(files.unpack_archives(packed, "user_id").select("user_id", "name", F.size("data").alias("size"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total")), 6, "total")
+
+
+@query("""with c as (select i, i // 30 r, i % 30 c, abs(i % 30 - 15) f from range(1200) t(i)),
+n as (select r, c, f, least(f::double, case when c <= 15 then abs(r - 10 - f) / 2.0::double else f end, case when c >= 15 then abs(r - 20 - f) / 2.0::double else f end, case when c <= 15 then abs(r - 30 - f) / 2.0::double else f end) near from c)
+select 'grid' what, r a, c b, 0 t, round(r * 0.1 + f * 0.05 + near * 0.5 + (r * 30 + c) * 1e-6, 7) v from n
+union all select 'ring', i, 0, 0, round((1 + cos(2 * pi() * i / 20)) / 2 + 10 * i / 20 + 100 * (1 + sin(6 * pi() * i / 20)) / 2, 7) from range(20) t(i)
+union all select 'field', i % 12, i // 12 % 12, i // 144, round(exp(-(power(i % 12 - (4 + i // 144 * 0.1), 2) + power(i // 12 % 12 - 8, 2)) / 2 - 0.02 * (i // 144)) + exp(-(power(i % 12 - (8 + i // 144 * 0.2), 2) + power(i // 12 % 12 - (4 - i // 144 * 0.05), 2)) / 8 - 0.02 * (i // 144)), 7) from range(720) t(i)""")
+def generated_surfaces(spark: SparkSession, root: str) -> DataFrame:
+    """The generators' surfaces: branching channels, a landscape round a ring, and a field that drifts."""
+    grid = raster.branching_grid(spark, 40, 30, 3).select(F.lit("grid").alias("what"), F.col("r").alias("a"), F.col("c").alias("b"), F.lit(0).alias("t"), F.col("z").alias("v"))
+    ring = raster.ring_landscape(spark, 20).select(F.lit("ring").alias("what"), F.col("node").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("t"), (F.col("loss") + 10 * F.col("cost") + 100 * F.col("info")).alias("v"))
+    field = raster.drifting_field(spark, 12, 5, 2).select(F.lit("field").alias("what"), F.col("x").alias("a"), F.col("y").alias("b"), "t", F.col("value").alias("v"))
+    return rounded(grid.unionByName(ring).unionByName(field), 7, "v")

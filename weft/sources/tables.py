@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,18 @@ def release(count: int = 0) -> None:
         drop(_KEPT.pop(0))
 
 
+@contextmanager
+def scope():
+    """Kept tables written within are deleted at the end: for a caller that has written a query's rows and needs nothing of it any more."""
+    before = len(_KEPT)
+    try:
+        yield
+    finally:
+        for entry in _KEPT[before:]:
+            drop(entry)
+        del _KEPT[before:]
+
+
 def drop(entry: tuple[SparkSession, str]) -> None:
     spark, path = entry
     try:
