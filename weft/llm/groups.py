@@ -21,6 +21,8 @@ from weft.sources.tables import forget, keep
 PARTITION_ROWS = 1_000_000
 #: Forests merged into one at each level.
 FAN_IN = 8
+#: Keys that the members of one root are spread over when roots are looked up.
+SALTS = 8
 
 _STAR = "node string, root string"
 
@@ -91,8 +93,11 @@ def _exchange(forest: DataFrame, parts: int, run) -> DataFrame:
     """Merging by pointer jumping, for forests too large for one partition. Exact; ends when each node has one root that is nobody's child."""
     while True:
         merged = keep(forest.repartition(parts, "node").mapInArrow(run, _STAR).distinct())
-        up = merged.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("above"))
-        jumped = keep(merged.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        # A giant group's root is one key for all its members: they are spread over several.
+        salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+        up = merged.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("above")).select("root", "above", salts)
+        salted = merged.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        jumped = keep(salted.join(up, ["root", "salt"], "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
         left = jumped.agg(F.count(F.when(F.col("moved"), 1)).alias("moved"), F.count("*").alias("rows"), F.countDistinct("node").alias("nodes")).first()
         forget(forest)
         # A node's other roots have to stay linked after the jump: each is kept as a row of its own.

@@ -29,7 +29,7 @@ HELD, BLOCKS = 2, 16
 #: Characters of texts that wait for one another where the blocks of items are more than a worker holds.
 WAITING_CHARS = 64_000_000
 
-# Letters of other scripts that look like Latin letters.
+# Letters of other scripts that a reader takes for Latin ones; a choice of this module.
 _LOOKS_LIKE = {
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "г": "r", "п": "n",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y", "μ": "u", "ζ": "z",
