@@ -6,13 +6,18 @@ they are examples of fixed size, as blocks are.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.operators import blocks, graph
+from weft.operators import blocks, fusion, graph, maxcal
 from weft.plans.analytics import _MOMENTS, _moments, _RING, _ring, query, rounded
 from weft.plans.wider import _COUNTS, _counts
-from weft.sources.tables import keep, shared_folder, table
+from weft.sources import files
+from weft.sources.tables import keep, shared_folder, table, write_bytes
 from weft.streaming import state
 
 # ---- paths: eigenvalues 2 - 2 cos(pi k / n), eigenvectors cosines ----
@@ -309,8 +314,6 @@ def _streamed(spark: SparkSession, rows: DataFrame, order: str, batches: int, ru
 @query(_TRACK)
 def frames_streamed(spark: SparkSession, root: str) -> DataFrame:
     """The same frames through the stateful stream operator, in two micro-batches."""
-    import uuid
-
     t = _streamed(spark, keep(_frames(spark, root)), "frame", 2, lambda s: state.track_frames(s, every=10, threshold=0.5, window=5, tol=0.01), "append", f"frames_{uuid.uuid4().hex}")
     return rounded(rounded(t.withColumn("stable", F.col("phase") == "stable_fp").drop("phase"), 7, "novelty"), 5, "stability")
 
@@ -324,8 +327,6 @@ def keyframe_store(spark: SparkSession, root: str) -> DataFrame:
 @query("select label::varchar label, count(*) n, round(avg(embedding[1]::double), 7) + 0.0 v0, round(avg(embedding[64]::double), 7) + 0.0 v63 from embeddings where label is not null and embedding is not null group by label")
 def prototypes_streamed(spark: SparkSession, root: str) -> DataFrame:
     """Running means of each label's vectors from a stream, the last of each label."""
-    import uuid
-
     e = keep(table(spark, root, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vec")))
     t = _streamed(spark, e, "vec_id", 3, lambda s: state.running_prototypes(s.select("label", "vec")), "update", f"prototypes_{uuid.uuid4().hex}")
     last = t.groupBy("label").agg(F.max(F.struct("n", "vec")).alias("m")).select("label", "m.n", F.col("m.vec")[0].alias("v0"), F.col("m.vec")[63].alias("v63"))
@@ -336,3 +337,198 @@ def prototypes_streamed(spark: SparkSession, root: str) -> DataFrame:
 def windowed_moments(spark: SparkSession, root: str) -> DataFrame:
     w = state.windowed_moments(table(spark, root, "events").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "6 hours")
     return rounded(rounded(w.select("event_type", F.unix_timestamp("window.start").alias("start"), "n", "mean", "variance"), 7, "mean"), 6, "variance")
+
+
+@query("select 0.0::double + round((-0.5 + sqrt(0.25 + 0.5 * 4)) / 4, 3) gain, 'fitted' status")
+def rotation_analyser(spark: SparkSession, root: str) -> DataFrame:
+    """The last gain that the rotation-driven analyser finds for a known scalar system, x + (-0.5 x + 2 u): its Riccati equation has a closed answer."""
+    x, rows = 0.0, []
+    for n in range(60):
+        u = 0.1 * np.sin(n * 1.7)
+        rows.append(("r", n, float(n), [float(np.exp(x))], [float(u)]))
+        x = x - 0.5 * x + 2 * u
+    frames = keep(spark.createDataFrame(rows, "key string, rotation long, t double, h array<double>, u array<double>"))
+    t = _streamed(spark, frames, "rotation", 3, lambda s: state.analyse_rotations(s, 1, 1, ridge=1e-9), "append", f"rotations_{uuid.uuid4().hex}")
+    last = t.agg(F.max(F.struct("rotation", "status", "gain")).alias("m"))
+    return rounded(last.select(F.col("m.gain")[0].alias("gain"), "m.status"), 3, "gain")
+
+
+@query("select count(*) n, count(distinct event_type) kinds from events")
+def callbacks(spark: SparkSession, root: str) -> DataFrame:
+    """A function called with every micro-batch, which here keeps its rows."""
+    name = f"callbacks_{uuid.uuid4().hex}"
+    source, out = f"{shared_folder(spark)}/weft-{name}", f"{shared_folder(spark)}/weft-{name}-out"
+    events = table(spark, root, "events").select("event_id", "event_type")
+    events.repartition(3).write.mode("overwrite").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    state.call_back(stream, lambda df, n: df.write.mode("append").parquet(out), f"{shared_folder(spark)}/weft-{name}-log").awaitTermination()
+    return spark.read.schema(events.schema).parquet(out).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"))
+
+
+# ---- files ----
+
+
+@query("select s_suppkey, 'edges' as \"name\", '<i4' kind, 2 * (1 + s_suppkey % 4) size, (power(s_suppkey % 4 + 1, 2))::double total from supplier union all select s_suppkey, 'weights', '<f8', 1 + s_suppkey % 4, round(s_acctbal * (1 + s_suppkey % 4), 4) from supplier union all select s_suppkey, 'positions', '<f4', 2, 1.5 from supplier")
+def graph_streams(spark: SparkSession, root: str) -> DataFrame:
+    """Small graphs packed as stream files and unpacked."""
+
+    @F.pandas_udf("binary")
+    def pack(key: pd.Series, weight: pd.Series) -> pd.Series:
+        out = []
+        for k, w in zip(key, weight):
+            n = 1 + k % 4
+            edges = np.stack([np.arange(n), np.arange(n) + 1], 1).astype("<i4")
+            out.append(files.pack_stream({"nodes": n + 1, "modes": 0}, {"edges": edges, "weights": np.full(n, w), "positions": np.array([[0.5, 1.0]], "<f4")}))
+        return pd.Series(out)
+
+    s = table(spark, root, "supplier").select("s_suppkey", pack("s_suppkey", "s_acctbal").alias("packet"))
+    return rounded(files.unpack_streams(s, "s_suppkey").select("s_suppkey", "name", "kind", F.size("data").alias("size"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total")), 4, "total")
+
+
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _square_tile(x: int, y: int, size: int) -> bytes:
+    """A vector tile with one layer of extent 4096 and one square."""
+    zig = lambda n: 2 * n if n >= 0 else -2 * n - 1
+    held = lambda number, body: _varint(number << 3 | 2) + _varint(len(body)) + body
+    geometry = b"".join(map(_varint, [9, zig(x), zig(y), 26, zig(size), zig(0), zig(0), zig(size), zig(-size), zig(0), 15]))
+    return held(3, held(1, b"places") + held(2, _varint(3 << 3) + _varint(3) + held(4, geometry)) + _varint(5 << 3) + _varint(4096))
+
+
+@query("select 3 zoom_level, s_suppkey::int tile_column, (s_suppkey % 5)::int tile_row, 'places' layer, 4 points, round((s_suppkey * 3 % 2048 + 50) / 4096.0::double, 8) x, round((s_suppkey * 5 % 2048 + 50) / 4096.0::double, 8) y from supplier")
+def tile_files(spark: SparkSession, root: str) -> DataFrame:
+    """Vector tiles written to a tile file (SQLite) and read again with their features' middles.
+
+    Such a file needs a folder that executors share as a file system; elsewhere the tiles are decoded from the table.
+    """
+    keys = sorted(r[0] for r in table(spark, root, "supplier").select("s_suppkey").limit(100_001).collect())
+    if len(keys) > 100_000:
+        raise ValueError("one tile file of more than 100,000 tiles isn't written on the driver")
+    rows = [(3, int(k), int(k) % 5, _square_tile(k * 3 % 2048, k * 5 % 2048, 100)) for k in keys]
+    folder = shared_folder(spark)
+    if folder.startswith("file:"):
+        import sqlite3
+
+        path = f"{folder.removeprefix('file://').removeprefix('file:')}/tiles-{uuid.uuid4().hex}.mbtiles"
+        with sqlite3.connect(path) as db:
+            db.execute("create table tiles (zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")
+            db.executemany("insert into tiles values (?, ?, ?, ?)", rows)
+        db.close()
+        tiles = files.read_tiles(spark, path)
+    else:
+        tiles = spark.createDataFrame(rows, "zoom_level int, tile_column int, tile_row int, tile_data binary")
+    middle = lambda c: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[c]) / F.size("ring")
+    return rounded(files.tile_features(tiles).select("zoom_level", "tile_column", "tile_row", "layer", F.size("ring").alias("points"), middle("x").alias("x"), middle("y").alias("y")), 8, "x", "y")
+
+
+@query("select i // 7 r, i % 7 c, round((i // 7 * 20) / 255.0::double, 7) red, round((i % 7 * 30) / 255.0::double, 7) green, round(i / 255.0::double, 7) blue from range(63) t(i)")
+def image_pixels(spark: SparkSession, root: str) -> DataFrame:
+    """A picture written as PNG and decoded by Spark's image source."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = b"".join(b"\0" + bytes(v for c in range(7) for v in (r * 20, c * 30, r * 7 + c)) for r in range(9))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    path = f"{shared_folder(spark)}/weft-image-{uuid.uuid4().hex}"
+    write_bytes(spark, f"{path}/a.png", png)
+    return rounded(files.read_images(spark, path).select("r", "c", "red", "green", "blue"), 7, "red", "green", "blue")
+
+
+@query("select k channel, case k when 0 then 'EEG' else 'EMG' end label, i::bigint sample, round(i / 10.0::double, 6) t, round(((i * (k + 3) % 200 - 100) + 32768) / 65535.0::double * 200 - 100, 6) value from range(0, 30) s(i), range(0, 2) c(k)")
+def sleep_recordings(spark: SparkSession, root: str) -> DataFrame:
+    """A recording of two channels in European Data Format as a long table."""
+    pad = lambda t, n: str(t).ljust(n).encode()
+    columns = [("EEG", "EMG"), ("", ""), ("uV", "uV"), (-100, -100), (100, 100), (-32768, -32768), (32767, 32767), ("", ""), (10, 10), ("", "")]
+    head = pad("0", 8) + pad("", 160) + pad("01.01.31", 8) + pad("00.00.00", 8) + pad(768, 8) + pad("", 44) + pad(3, 8) + pad(1, 8) + pad(2, 4) + b"".join(pad(v, w) for vs, w in zip(columns, (16, 80, 8, 8, 8, 8, 8, 80, 8, 32)) for v in vs)
+    body = np.array([[[(i * (k + 3)) % 200 - 100 for i in range(n * 10, n * 10 + 10)] for k in range(2)] for n in range(3)], "<i2").tobytes()
+    path = f"{shared_folder(spark)}/weft-edf-{uuid.uuid4().hex}"
+    write_bytes(spark, f"{path}/a.edf", head + body)
+    return rounded(files.read_edf(spark, path).select("channel", "label", "sample", "t", "value"), 6, "t", "value")
+
+
+@query("select 'n' || n_nationkey id, 'node' what, n_name v from nation union all select 'n' || n_nationkey || '-r' || n_regionkey, 'edge', n_regionkey::varchar from nation")
+def graphml_files(spark: SparkSession, root: str) -> DataFrame:
+    """Nations and their regions written as GraphML and read again."""
+    from xml.sax.saxutils import escape
+
+    rows = table(spark, root, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").limit(10_000).collect()
+    nodes = "".join(f'<node id="n{r[0]}"><data key="k0">{escape(r[1])}</data></node>' for r in rows)
+    edges = "".join(f'<edge source="n{r[0]}" target="r{r[2]}"><data key="k1">{r[2]}</data></edge>' for r in rows)
+    text = f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="k0" for="node" attr.name="name"/><key id="k1" for="edge" attr.name="region"/><graph>{nodes}{edges}</graph></graphml>'
+    path = f"{shared_folder(spark)}/weft-graphml-{uuid.uuid4().hex}"
+    write_bytes(spark, f"{path}/a.graphml", text.encode())
+    n, e = files.read_graphml(spark, path)
+    return n.select("id", F.lit("node").alias("what"), F.col("data")["name"].alias("v")).unionByName(e.select(F.concat_ws("-", "src", "dst").alias("id"), F.lit("edge").alias("what"), F.col("data")["region"].alias("v")))
+
+
+# ---- choices and fits whose answers are known ----
+
+
+@query("select 5000 draws, 5000 numbers, 0 strangers, true skewed")
+def draws_with_replacement(spark: SparkSession, root: str) -> DataFrame:
+    """Draws of customers in proportion to their balance: as many as asked for, none without weight, and the richer half more often."""
+    c = table(spark, root, "customer").select("c_custkey", F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("p"))
+    d = keep(maxcal.draw_with_replacement(c, "c_custkey", 5_000, 11)).join(c, "c_custkey")
+    half = c.agg(F.percentile_approx("p", 0.5)).first()[0]
+    return d.agg(F.count("*").alias("draws"), F.countDistinct("draw").alias("numbers"), F.count(F.when(F.col("p") <= 0, 1)).alias("strangers"), (F.count(F.when(F.col("p") > half, 1)) > 3_000).alias("skewed"))
+
+
+@query("select r_regionkey g, round(2 + r_regionkey / 2.0::double, 2) a, round(1.5::double, 2) b, round(1.0::double, 2) c, 1.0::double e1, 1.0::double e2 from region")
+def solid_fits(spark: SparkSession, root: str) -> DataFrame:
+    """Ellipsoids found again from points on them."""
+    turns = spark.range(24 * 12).select((2 * np.pi * (F.col("id") % 24 + 0.5) / 24).alias("u"), (np.pi * (F.floor(F.col("id") / 24) + 0.5) / 12).alias("v"))
+    r = table(spark, root, "region").select(F.col("r_regionkey").alias("g"))
+    p = r.join(turns).select("g", ((2 + F.col("g") / 2) * F.cos("u") * F.sin("v")).alias("x"), (1.5 * F.sin("u") * F.sin("v")).alias("y"), F.cos("v").alias("z"))
+    return rounded(blocks.fit_solids(p, "g").select("g", "a", "b", "c", "e1", "e2"), 2, "a", "b", "c", "e1", "e2")
+
+
+@query("select 's' m, 1.0::double birth, 1.5::double death")
+def persistence_1d(spark: SparkSession, root: str) -> DataFrame:
+    """A square of two triangles: its side closes a loop that the diagonal's faces fill; a hollow tetrahedron of equal sides has none that lasts."""
+    rows = [("s", 0, 1, 2, 1.0, 1.0, 1.5), ("s", 0, 2, 3, 1.5, 1.0, 1.0)] + [("h", a, b, c, 1.0, 1.0, 1.0) for a, b, c in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]
+    return blocks.persistence_1d(spark.createDataFrame(rows, "m string, a long, b long, c long, ab double, bc double, ca double"), "m")
+
+
+@query(f"with {_COUNTS} select user_id, array_to_string([lpad(printf('%x', cast(round_even(greatest(-1, least(1, x / list_max(n))) * 127, 0) + 128 as int)), 2, '0') for x in n], '') bytes, round(list_sum([abs(x - round_even(x / list_max(n) * 127, 0) / 127 * list_max(n)) for x in n]), 7) lost from d")
+def spectrum_bytes(spark: SparkSession, root: str) -> DataFrame:
+    """Each user's counts as one byte a number, and what that loses."""
+    from weft.functions import coding
+
+    top = F.array_max("n")
+    c = _counts(spark, root).withColumn("bytes", coding.spectrum_bytes(F.col("n"), top)).withColumn("back", coding.bytes_spectrum(F.col("bytes"), top))
+    lost = F.aggregate(F.zip_with("n", "back", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
+    return rounded(c.select("user_id", "bytes", lost.alias("lost")), 7, "lost")
+
+
+@query("select img, count(*) instances, sum(size)::bigint pixels from (select s_nationkey img, s_suppkey, 2 + s_suppkey % 3 size from supplier where s_suppkey % 4 <> 0) group by img")
+def segmenter(spark: SparkSession, root: str) -> DataFrame:
+    """Instances from a caller's segmenter over a table of images, here rows of bright and dark numbers."""
+    s = table(spark, root, "supplier").select("s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.sequence(F.lit(1), 2 + F.col("s_suppkey") % 3)).otherwise(F.array().cast("array<bigint>")).alias("px"))
+
+    def bright(pdf: pd.DataFrame, prompt: str | None) -> pd.DataFrame:
+        rows = [(img, f"{prompt}-{k}", int(cell)) for img, k, px in zip(pdf["s_nationkey"], pdf["s_suppkey"], pdf["px"]) for cell in px]
+        return pd.DataFrame(rows, columns=["img", "id", "cell"])
+
+    found = fusion.segment(s, bright, "img int, id string, cell long", "lamp")
+    return found.groupBy("img").agg(F.countDistinct("id").alias("instances"), F.count("*").alias("pixels"))
+
+
+_CHAIN = "u as (select s_suppkey f, v, st, ((s_suppkey * 7 + v * 3 + st * 5) % 11) / 4.0::double x from supplier, range(0, 3) a(v), range(0, 3) b(st)), j as (select a.f, a.st sa, b.st sb, c.st sc, exp(a.x + b.x + c.x - 0.8 * abs(a.st - b.st) / 2.0 - 0.5 * abs(b.st - c.st) / 2.0) w from u a join u b on a.f = b.f and a.v = 0 and b.v = 1 join u c on c.f = a.f and c.v = 2), m as (select f, 0 v, sa st, sum(w) w from j group by all union all select f, 1, sb, sum(w) from j group by all union all select f, 2, sc, sum(w) from j group by all) "
+
+
+@query(f"with {_CHAIN} select f || '-' || v as \"var\", st::varchar state, round(w / sum(w) over (partition by f, v), 5) p from m")
+def belief_on_chains(spark: SparkSession, root: str) -> DataFrame:
+    """Marginals of chains of three variables by messages, against all 27 joint states."""
+    s = table(spark, root, "supplier").select(F.col("s_suppkey").alias("frame"))
+    name = lambda v: F.concat_ws("-", F.col("frame").cast("string"), v.cast("string") if not isinstance(v, str) else F.lit(v))
+    u = s.withColumn("v", F.explode(F.array(*map(F.lit, range(3))))).withColumn("st", F.explode(F.array(*map(F.lit, range(3)))))
+    unary = u.select("frame", name(F.col("v")).alias("var"), F.col("st").cast("string").alias("state"), ((F.col("frame") * 7 + F.col("v") * 3 + F.col("st") * 5) % 11 / 4).alias("x"))
+    pairs = s.select("frame", name("0").alias("a"), name("1").alias("b"), F.lit(0.8).alias("weight")).unionByName(s.select("frame", name("1").alias("a"), name("2").alias("b"), F.lit(0.5).alias("weight")))
+    cost = spark.createDataFrame([(str(i), str(j), abs(i - j) / 2) for i in range(3) for j in range(3)], "s string, t string, cost double")
+    return rounded(fusion.belief_propagation_in_frames(unary, pairs, cost, rounds=100, tol=1e-12), 5, "p")

@@ -229,21 +229,26 @@ def unpack_stream(data: bytes) -> tuple[dict, dict[str, np.ndarray]]:
     return dict(zip(("nodes", "rows", "columns", "beta0", "beta1", "modes"), numbers), has_cells=bool(flags & 1)), arrays
 
 
-def read_streams(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, kind, shape, data (array of doubles) of every array of the graph stream files under a path; files that aren't whole give no rows."""
+def unpack_streams(packets: DataFrame, key: str, packet: str = "packet") -> DataFrame:
+    """key, name, kind, shape, data (array of doubles) of every array of graph stream files held in a column; those that aren't whole give no rows."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for file, content in zip(pdf["path"], pdf["content"]):
+            for k, content in zip(pdf[key], pdf[packet]):
                 try:
-                    _, arrays = unpack_stream(bytes(content))
+                    _, arrays = unpack_stream(bytes(content or b""))
                 except ValueError:
                     continue
-                rows += [(file, name, a.dtype.str, list(a.shape), a.astype(float).ravel().tolist()) for name, a in arrays.items()]
-            yield pd.DataFrame(rows, columns=["path", "name", "kind", "shape", "data"])
+                rows += [(k, name, a.dtype.str, list(a.shape), a.astype(float).ravel().tolist()) for name, a in arrays.items()]
+            yield pd.DataFrame(rows, columns=[key, "name", "kind", "shape", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, kind string, shape array<int>, data array<double>")
+    return packets.select(key, packet).mapInPandas(run, f"{key} {dict(packets.dtypes)[key]}, name string, kind string, shape array<int>, data array<double>")
+
+
+def read_streams(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, kind, shape, data of every array of the graph stream files under a path; see unpack_streams."""
+    return unpack_streams(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "content")
 
 
 def unpack_archives(packets: DataFrame, key: str, packet: str = "packet") -> DataFrame:

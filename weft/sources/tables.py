@@ -38,6 +38,16 @@ def _remove_own(app: str) -> None:
     shutil.rmtree(_OWN_FOLDER[app].removeprefix("file://"), ignore_errors=True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file on any file system that the session knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def keep(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
