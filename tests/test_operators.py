@@ -259,7 +259,7 @@ def test_strahler(spark):
     flows = [(0, 0, 1, 1), (0, 2, 1, 1), (1, 1, 2, 1), (2, 0, 3, 1), (2, 1, 3, 1), (2, 3, 3, 3), (2, 4, 3, 3), (3, 1, 4, 2), (3, 3, 4, 2)]
     edges = spark.createDataFrame([("s", *f) for f in flows], "raster_id string, r int, c int, r2 int, c2 int")
     cells = edges.select("raster_id", "r", "c").union(edges.select("raster_id", "r2", "c2")).distinct()
-    got = {(r.r, r.c): r.strahler for r in raster.strahler(cells, edges, 1).collect()}
+    got = {(r.r, r.c): r.strahler for r in raster.strahler(cells, edges).collect()}
     assert got == {(0, 0): 1, (0, 2): 1, (1, 1): 2, (2, 0): 1, (2, 1): 2, (3, 1): 2, (2, 3): 1, (2, 4): 1, (3, 3): 2, (4, 2): 3}
 
 

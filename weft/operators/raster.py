@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,28 +100,37 @@ def drainage_edges(directed: DataFrame, channel: DataFrame) -> DataFrame:
     return downstream(directed).join(cells, ["raster_id", "r", "c"], "left_semi").join(cells.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2")), ["raster_id", "r2", "c2"], "left_semi").select("raster_id", "r", "c", "r2", "c2")
 
 
-def strahler(channel: DataFrame, edges: DataFrame, layers: int = 4) -> DataFrame:
+def _downstream_of(seeds: DataFrame, cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of the cells that are seeds or lie downstream of one, by doubling as in flow_accumulation()."""
+    cell = ["raster_id", "r", "c"]
+    state = keep(cells.select(*cell).join(seeds.select(*cell, F.lit(True).alias("hit")), cell, "left").join(edges, cell, "left").select(*cell, F.coalesce("hit", F.lit(False)).alias("hit"), "r2", "c2"))
+    while not state.where("r2 is not null").isEmpty():
+        told = state.where("hit and r2 is not null").select("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c"), F.lit(True).alias("told")).distinct()
+        further = state.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("r2").alias("r4"), F.col("c2").alias("c4"))
+        now = keep(state.join(told, cell, "left").join(further, ["raster_id", "r2", "c2"], "left").select(*cell, (F.col("hit") | F.coalesce("told", F.lit(False))).alias("hit"), F.col("r4").alias("r2"), F.col("c4").alias("c2")))
+        forget(state)
+        state = now
+    return state.where("hit").select(*cell)
+
+
+def strahler(channel: DataFrame, edges: DataFrame) -> DataFrame:
     """raster_id, r, c, strahler: 1 at heads; where the largest upstream order meets itself, one more, else the largest.
 
-    A cell is settled once all its upstream cells are; some layers are settled between two writes.
+    Order by order: a cell's order is above s just if it lies at or below a meeting of two cells whose own is at
+    least s. So there are as many passes as orders (the logarithm of the number of heads at most), each
+    over the cells that the one before found, and rounds of a pass are the logarithm of the longest channel.
     """
     cell = ["raster_id", "r", "c"]
-    edges = keep(edges)
-    ups = edges.groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.count("*").alias("ups"))
-    state = keep(channel.select(*cell).join(ups, cell, "left").select(*cell, F.coalesce("ups", F.lit(0).cast("long")).alias("ups"), F.when(F.col("ups").isNull(), 1).alias("strahler")))
+    members, links, order = keep(channel.select(*cell).distinct()), keep(edges.select(*cell, "r2", "c2")), 1
+    found = [members.withColumn("strahler", F.lit(1))]
     while True:
-        now = state
-        for _ in range(layers):
-            told = now.where("strahler is not null").join(edges, cell).groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c"), F.col("strahler").alias("s")).agg(F.count("*").alias("n"))
-            best = told.groupBy("raster_id", "r", "c").agg(F.sum("n").alias("heard"), F.max(F.struct("s", "n")).alias("top"))
-            order = F.when(F.col("heard") == F.col("ups"), F.col("top.s") + F.when(F.col("top.n") >= 2, 1).otherwise(0))
-            now = now.join(best, cell, "left").select(*cell, "ups", F.coalesce("strahler", order).alias("strahler"))
-        now = keep(now)
-        left, before = now.where("strahler is null").count(), state.where("strahler is null").count()
-        forget(state)
-        state = now
-        if left == 0 or left == before:
-            return state.select(*cell, "strahler")
+        meetings = keep(links.groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.count("*").alias("n")).where("n >= 2").select(*cell))
+        if meetings.isEmpty():
+            return reduce(DataFrame.unionByName, found).groupBy(*cell).agg(F.max("strahler").alias("strahler"))
+        order += 1
+        members = _downstream_of(meetings, members, links)
+        found.append(members.withColumn("strahler", F.lit(order)))
+        links = keep(links.join(members, cell, "left_semi"))
 
 
 def coarsen(cells: DataFrame, bin_size: int) -> DataFrame:
