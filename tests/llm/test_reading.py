@@ -1,9 +1,8 @@
-from collections import Counter
-
+import numpy as np
 import pytest
 
 from weft.llm.queries import QUERIES
-from weft.llm.reading import covering_ranks, document_features, everyday_words, features, prose, reading_bands, vocabulary
+from weft.llm.reading import counted, covering_ranks, document_features, everyday_words, features, prose, reading_bands, vocabulary
 
 EASY = "The dog is in the park and it is big. We can see the sun. It was a hot day. "
 HARD = "The administrative considerations regarding environmental infrastructure demonstrate that the comprehensive evaluation of contemporary methodologies is fundamentally interdependent with the organisational responsibilities of the participating institutions. "
@@ -14,22 +13,22 @@ def docs(spark, rows):
 
 
 def test_covering_ranks():
-    rank = {"the": 1, "dog": 5, "axiom": 90}
-    assert covering_ranks(Counter(the=6, dog=3, axiom=1), rank, (0.6, 0.61)) == [1, 5]
-    assert covering_ranks(Counter(the=6, dog=3, axiom=1), rank, (0.61, 1.0)) == [5, 90]
-    assert covering_ranks(Counter(the=6), rank, (0.1, 0.2, 1.0)) == [1, 1, 1]
-    assert covering_ranks(Counter(), rank, (0.5, 0.6)) == [0, 0]
+    doc, rank, count = np.array([2, 0, 0, 2, 0, 3]), np.array([1.0, 1, 90, 7, 5, 4]), np.array([6.0, 6, 1, 1, 3, 2])
+    core, wide = covering_ranks(doc, rank, count, 5, (0.6, 0.61))
+    assert core.tolist() == [1, 0, 1, 4, 0] and wide.tolist() == [5, 0, 1, 4, 0]
+    assert covering_ranks(doc, rank, count, 5, (1.0,))[0].tolist() == [90, 0, 7, 4, 0]
+    assert covering_ranks(*(np.zeros(0, k) for k in (int, float, float)), 2, (0.5,))[0].tolist() == [0, 0]
 
 
 def test_everyday_words(spark):
-    d = docs(spark, [(1, "a b c"), (2, "a b"), (3, "a <i>d</i>"), (4, "z z z"), (5, None)]).select("doc_id", "text").where("text is not null")
-    ratings = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (3, 1), (4, None), (9, 1)], "doc_id long, band int")
+    d = counted(docs(spark, [(1, "a b c"), (2, "a b"), (3, "a <i>d</i>"), (4, "z z z"), (5, None), (6, "!!")]).select("doc_id", "text").where("text is not null"))
+    ratings = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (3, 1), (4, None), (6, 1), (9, 1)], "doc_id long, band int")
     assert everyday_words(d, ratings, 0.6) == {"a", "b"} and everyday_words(d, ratings, 0.3) == {"a", "b", "c", "d"}
     assert everyday_words(d, ratings.where("band > 9")) == frozenset()
 
 
 def test_vocabulary_ranks_share_ties(spark):
-    got = {r.word: (r.n, r["rank"]) for r in vocabulary(docs(spark, [(1, "a a a b b c c d"), (2, None), (3, "D <b>e</b>")]).select("doc_id", "text")).collect()}
+    got = {r.word: (r.n, r["rank"]) for r in vocabulary(counted(docs(spark, [(1, "a a a b b c c d"), (2, ""), (3, "D <b>e</b>")]).select("doc_id", "text"))).collect()}
     assert got == {"a": (3, 1), "b": (2, 4), "c": (2, 4), "d": (2, 4), "e": (1, 5)}
 
 
@@ -43,7 +42,7 @@ def test_bands(spark):
 
 
 def test_joining_ranks_gives_the_same(spark):
-    d = docs(spark, [(1, EASY * 4), (2, HARD * 2), (3, "!!!"), (4, EASY + HARD)]).select("doc_id", "text")
+    d = counted(docs(spark, [(1, EASY * 4), (2, HARD * 2), (3, "!!!"), (4, EASY + HARD)]).select("doc_id", "text"))
     ranks = vocabulary(d)
     a, b = ({r.doc_id: r.asDict() for r in document_features(d, ranks, frozenset(("the", "is")), most=m).collect()} for m in (10**6, 0))
     assert a == b and a[3]["core_rank"] == a[3]["wide_rank"] == 0 and a[1]["common"] > a[2]["common"] > 0
@@ -62,7 +61,7 @@ def test_empty_tables(spark):
 
 
 def test_prose_needs_words(spark):
-    d = docs(spark, [(1, "the dog is in the park " * 8), (2, "the dog is in the park " * 9)]).select("doc_id", "text")
+    d = counted(docs(spark, [(1, "the dog is in the park " * 8), (2, "the dog is in the park " * 9)]).select("doc_id", "text"))
     assert [r.doc_id for r in prose(document_features(d, vocabulary(d), frozenset(("the", "in"))), 0.1).collect()] == [2]
 
 

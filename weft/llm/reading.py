@@ -1,29 +1,30 @@
 """Reading level of running English text.
 
-One pass counts the corpus's words; a word's rank is the number of words at least as
-frequent. A second pass reads each text's features: the smallest frequency-ranked
-vocabularies that cover fixed shares of its words, the complexity of its sentences
-(words, and letters a word, of the middle sentence), and what tells running English
-from logs, code, tables and other languages. What English looks like is learned from the
-rated texts, which are English prose: the words that stand in many of them, and how
-large a share these make up. Calibration and banding are SQL over the features: from
-the rated documents the middle of each feature in each band and the usual distance
-from it, robust against wrong ratings; a document gets the band that it is nearest to,
-every feature counting alike.
+One pass reads each text: the complexity of its sentences (words, and letters a word, of
+the middle sentence), what tells prose from logs, code and tables, and its words with
+their counts, which are kept. The rest works on the counts: a word's rank is the number
+of words at least as frequent in the corpus, and a text's ranks are the smallest
+frequency-ranked vocabularies that cover fixed shares of its words. What English looks
+like is learned from the rated texts, which are English prose: the words that stand in
+many of them, and how large a share these make up. Calibration and banding are SQL over
+the features: from the rated documents the middle of each feature in each band and the
+usual distance from it, robust against wrong ratings; a document gets the band that it
+is nearest to, every feature counting alike.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from weft.llm.leaks import without_markup
-from weft.sources.tables import keep
+from weft.sources.tables import forget, keep
 
 #: Shares of a document's words that its vocabularies must cover: the core of the text, and nearly all of it.
 COVERS = (0.6, 0.8)
@@ -44,15 +45,15 @@ _MOSTLY = 0.82
 _RULER = re.compile(r"([^\w\s])\1{3,}|\d[\d.,:]*")
 _SENTENCE_END = re.compile(r"[.!?]+[\"”’)\]]*(?=\s|$)")
 
-FEATURES = "doc_id long, n_words int, common double, sentence_like double, sentence_words double, sentence_letters double, core_rank double, wide_rank double, words array<string>, counts array<int>"
+COUNTED = "doc_id long, n_words int, sentence_like double, sentence_words double, sentence_letters double, words array<string>, counts array<int>"
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(text: str, everyday: frozenset[str] = frozenset()) -> dict:
-    """Everything about one text but its vocabulary ranks."""
+def features(text: str) -> dict:
+    """What one text says without the corpus, and its words' counts."""
     plain = without_markup(text)[0]
     words: list[str] = []
     like = total = 0
@@ -78,111 +79,112 @@ def features(text: str, everyday: frozenset[str] = frozenset()) -> dict:
         if k >= 3 and (size + line.count(" ") >= _MOSTLY * len(line) or size + line.count(" ") >= _MOSTLY * len(_RULER.sub("", line))):
             like += k
     counts = Counter(words)
-    common = sum(counts[w] for w in everyday & counts.keys()) / total if total else 0.0
     tokens = plain.split()
     n_words = len(tokens) - sum(1 for t in [t for t in tokens if not t[0].isalnum()] if not _LETTER.search(t))
     middle = lambda v: float((sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2) if v else 0.0
-    return {"n_words": n_words, "common": common, "sentence_like": like / total if total else 0.0, "sentence_words": middle(lengths), "sentence_letters": middle(letters), "counts": counts}
+    return {"n_words": n_words, "sentence_like": like / total if total else 0.0, "sentence_words": middle(lengths), "sentence_letters": middle(letters), "counts": counts}
 
 
-def covering_ranks(counts: Counter, rank: dict[str, int], covers: tuple[float, ...]) -> list[float]:
-    """For each share, ascending, the smallest rank such that words up to it make up the share; 0 for a text without words."""
-    total, seen, out = sum(counts.values()), 0, []
-    needs = [math.ceil(c * total - 1e-9) for c in covers]
-    for r, c in sorted((rank[w], c) for w, c in counts.items()):
-        seen += c
-        while len(out) < len(needs) and seen >= needs[len(out)]:
-            out.append(float(r))
-        if len(out) == len(needs):
-            return out
-    return [0.0] * len(covers)
+def covering_ranks(doc: np.ndarray, rank: np.ndarray, count: np.ndarray, n: int, covers: tuple[float, ...]) -> list[np.ndarray]:
+    """For each share, of each of n texts the smallest rank such that words up to it make up the share, from text number, rank and count of each word; 0 for a text without words."""
+    order = np.lexsort((rank, doc))
+    doc, rank, count = doc[order], rank[order], count[order]
+    total = np.bincount(doc, count, n)
+    seen = np.cumsum(count) - (np.cumsum(total) - total)[doc]
+    out = []
+    for cover in covers:
+        need = np.ceil(cover * total - 1e-9)[doc]
+        reached = (seen >= need) & (seen - count < need)  # the one word of a text that closes the share
+        found = np.zeros(n)
+        found[doc[reached]] = rank[reached]
+        out.append(found)
+    return out
 
 
-def everyday_words(docs: DataFrame, ratings: DataFrame, share: float = EVERYDAY, most: int = RATED_TEXTS) -> frozenset[str]:
-    """Words that stand in at least that share of the rated texts (docs: doc_id, text). At most 1 / share times a text's distinct words, so few."""
-    rated = ratings.where("band is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, the features of each text (doc_id, text) and its distinct words with their counts: the only pass over texts."""
 
-    def each(batches):
+    def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        schema = to_arrow_schema(kind)
         for batch in batches:
-            counts, n = Counter(), 0
-            for t in batch.column(1):
-                words = set(words_of(without_markup(t.as_py())[0]))
-                counts.update(words)
-                n += bool(words)
-            yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], names=["word", "n"])
+            for a in range(0, len(batch), 1_000):
+                rows = []
+                for doc, t in zip(batch.column(0).slice(a, 1_000).to_pylist(), batch.column(1).slice(a, 1_000)):
+                    f = features(t.as_py())
+                    counts = f.pop("counts")
+                    rows.append((doc, *f.values(), list(counts), list(counts.values())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    found = keep(docs.join(F.broadcast(rated), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    texts = found.where("word is null").agg(F.sum("n")).first()[0] or 0
-    return frozenset(r.word for r in found.where(F.col("word").isNotNull() & (F.col("n") >= share * texts)).collect())
+    kind = _parse_datatype_string(COUNTED)
+    return docs.mapInArrow(run, COUNTED)
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """word, n, rank of the whole corpus; rank is the number of words at least as frequent, so ties share one."""
+def _each_word(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("doc_id", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
 
-    def count(batches):
-        import pyarrow as pa
 
-        def out(counts):
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(1):
-                text = t.as_py()
-                if text:
-                    counts.update(words_of(without_markup(text)[0]))
-                if len(counts) > 500_000:
-                    yield out(counts)
-                    counts = Counter()
-        yield out(counts)
-
-    words = keep(docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+def vocabulary(found: DataFrame) -> DataFrame:
+    """word, n, rank over all counted texts; rank is the number of words at least as frequent, so ties share one."""
+    words = keep(_each_word(found).groupBy("word").agg(F.sum("n").alias("n")))
     # Distinct frequencies are few (below the root of twice the corpus's words), so their running count may be one task's.
     by_n = words.groupBy("n").agg(F.count("*").alias("words"))
-    from pyspark.sql import Window
-
     ranks = by_n.select("n", F.sum("words").over(Window.orderBy(F.col("n").desc())).alias("rank"))
     return keep(words.join(ranks, "n").select("word", "n", "rank"))
 
 
-def document_features(docs: DataFrame, ranks: DataFrame, everyday: frozenset[str], covers: tuple[float, float] = COVERS, most: int = VOCABULARY) -> DataFrame:
-    """doc_id and features of each text, vocabulary ranks included."""
-    small = ranks.count() <= most
-    shared = docs.sparkSession.sparkContext.broadcast({r.word: r["rank"] for r in ranks.select("word", "rank").toLocalIterator()}) if small else None
+def everyday_words(found: DataFrame, ratings: DataFrame, share: float = EVERYDAY, most: int = RATED_TEXTS) -> frozenset[str]:
+    """Words that stand in at least that share of the rated texts, of counted ones. At most 1 / share times a text's distinct words, so few."""
+    rated = ratings.where("band is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = keep(found.join(F.broadcast(rated), "doc_id", "left_semi").where(F.size("words") > 0).select("doc_id", "words", "counts"))
+    n = texts.count()
+    return frozenset(r.word for r in _each_word(texts).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= share * n).select("word").collect())
 
-    def run(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        rank = shared.value if small else None
-        schema = to_arrow_schema(kind)
-        for batch in batches:
-            rows = []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                f = features(t.as_py(), everyday)
-                counts = f.pop("counts")
-                core, wide = covering_ranks(counts, rank, covers) if small else (None, None)
-                rows.append({"doc_id": doc, **f, "core_rank": core, "wide_rank": wide, "words": None if small else list(counts), "counts": None if small else list(counts.values())})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    from pyspark.sql.types import _parse_datatype_string
-
-    kind = _parse_datatype_string(FEATURES)
-    found = docs.mapInArrow(run, FEATURES)
-    if small:
-        return found.drop("words", "counts")
-    found = keep(found)
-    each = found.select("doc_id", F.explode_outer(F.arrays_zip("words", "counts")).alias("w")).select("doc_id", "w.words", "w.counts")
-    ranked = each.join(ranks.select(F.col("word").alias("words"), "rank"), "words", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "counts"))).alias("r"), F.sum("counts").alias("n"))
+def document_features(found: DataFrame, ranks: DataFrame, everyday: frozenset[str], covers: tuple[float, float] = COVERS, most: int = VOCABULARY) -> DataFrame:
+    """doc_id and features of each counted text, share of everyday words and vocabulary ranks included.
+
+    Ranks are looked up in each task where the vocabulary is small enough to be broadcast, else joined.
+    """
+    plain = ["doc_id", "n_words", "sentence_like", "sentence_words", "sentence_letters"]
+    if ranks.count() <= most:
+        words = ranks.select("word", "rank").toArrow()
+        shared = found.sparkSession.sparkContext.broadcast((words["word"].to_pylist(), words["rank"].to_numpy(), everyday))
+
+        def run(batches):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            known, rank, common = shared.value
+            lookup, is_common = pa.array(known, pa.string()), np.array([w in common for w in known], bool)
+            for batch in batches:
+                own, counts = batch.column(len(plain)), batch.column(len(plain) + 1)
+                sizes = pc.list_value_length(own).to_numpy(zero_copy_only=False)
+                doc, count = np.repeat(np.arange(len(own)), sizes), counts.flatten().to_numpy().astype(float)
+                at = pc.index_in(own.flatten(), value_set=lookup).to_numpy(zero_copy_only=False).astype("int64")  # every word is in the vocabulary
+                total = np.bincount(doc, count, len(own))
+                share = np.bincount(doc, count * is_common[at], len(own)) / np.maximum(total, 1)
+                extra = [share, *covering_ranks(doc, rank[at].astype(float), count, len(own), covers)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(plain))), *map(pa.array, extra)], names=[*plain, "common", "core_rank", "wide_rank"])
+
+        return found.select(*plain, "words", "counts").mapInArrow(run, "doc_id long, n_words int, sentence_like double, sentence_words double, sentence_letters double, common double, core_rank double, wide_rank double")
+
+    # Repeated documents have one id; each row is a text of its own.
+    numbered = keep(found.withColumn("row", F.monotonically_increasing_id()))
+    each = numbered.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    is_common = F.col("word").isin(*everyday) if everyday else F.lit(False)
+    ranked = each.join(ranks.select("word", "rank"), "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("r"), F.sum("n").alias("total"), F.sum(F.when(is_common, F.col("n")).otherwise(0)).alias("common"))
+
     def reached(cover: float) -> Column:
-        enough = F.ceil(F.lit(cover) * F.col("n") - 1e-9)
+        enough = F.ceil(F.lit(cover) * F.col("total") - 1e-9)
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("rank"))
-        step = lambda a, x: F.struct((a["seen"] + x["counts"]).alias("seen"), F.coalesce(a["rank"], F.when(a["seen"] + x["counts"] >= enough, x["rank"].cast("double"))).alias("rank"))
-        return F.coalesce(F.aggregate("r", start, step)["rank"], F.lit(0.0))
+        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["rank"], F.when(a["seen"] + x["n"] >= enough, x["rank"].cast("double"))).alias("rank"))
+        return F.aggregate("r", start, step)["rank"]
 
-    return found.drop("words", "counts", "core_rank", "wide_rank").join(ranked.select("doc_id", reached(covers[0]).alias("core_rank"), reached(covers[1]).alias("wide_rank")), "doc_id")
+    told = ranked.select("row", (F.col("common") / F.col("total")).alias("common"), reached(covers[0]).alias("core_rank"), reached(covers[1]).alias("wide_rank"))
+    return numbered.select("row", *plain).join(told, "row", "left").drop("row").fillna(0.0, ["common", "core_rank", "wide_rank"])
 
 
 #: The scale's features, as SQL over document_features.
@@ -219,7 +221,9 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", t
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("band").cast("int").alias("band"))
-    found = keep(document_features(source, vocabulary(source), everyday_words(source, rated), covers, most))
+    texts = keep(counted(source))
+    found = keep(document_features(texts, vocabulary(texts), everyday_words(texts, rated), covers, most))
+    forget(texts)
     spark = docs.sparkSession
     told = keep(spark.sql(_RATED, features=found, ratings=rated))
     middle = keep(spark.sql(_MIDDLE, rated=told, most=MOST_BANDS + 1))
