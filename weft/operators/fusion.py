@@ -215,18 +215,35 @@ def _states_and_costs(unary: DataFrame, table: DataFrame) -> tuple[list, np.ndar
     return states, cost
 
 
-def _new_messages(at_a, at_b, to_b, to_a, weight, cost, damping):
+#: Bytes of factors that a worker holds for the pairs of one batch; beyond, they are worked out anew in each round.
+FACTOR_BYTES = 256_000_000
+
+
+def _factors(weight: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """exp(-weight * cost) of each pair, both ways, if they are few and none is so small that it may vanish."""
+    if len(weight) * cost.size * 16 > FACTOR_BYTES or not len(weight) or float(np.abs(weight).max() * np.abs(cost).max()) > 300:
+        return None
+    there = np.exp(-weight[:, None, None] * cost)
+    return there, there.transpose(0, 2, 1)
+
+
+def _new_messages(at_a, at_b, to_b, to_a, weight, cost, damping, factors=None):
     """Messages of each pair after one round, and by how much they moved: from the beliefs at both ends without what came back from the other."""
     out, moved = [], np.zeros(len(weight))
-    for belief, back, old, potential in ((at_a, to_a, to_b, cost), (at_b, to_b, to_a, cost.T)):
+    for way, (belief, back, old, potential) in enumerate(((at_a, to_a, to_b, cost), (at_b, to_b, to_a, cost.T))):
         told = belief - back
         new = np.empty_like(old)
         for i in range(0, len(weight), 4_096):
-            x = told[i : i + 4_096, :, None] - weight[i : i + 4_096, None, None] * potential
-            top = x.max(1, keepdims=True)
-            y = np.log(np.exp(x - top).sum(1)) + top[:, 0]
-            y = damping * old[i : i + 4_096] + (1 - damping) * (y - _log_total(y))
-            new[i : i + 4_096] = y - _log_total(y)
+            part = slice(i, i + 4_096)
+            if factors is not None:
+                top = told[part].max(1, keepdims=True)
+                y = np.log(np.matmul(np.exp(told[part] - top)[:, None, :], factors[way][part])[:, 0]) + top
+            else:
+                x = told[part, :, None] - weight[part, None, None] * potential
+                peak = x.max(1, keepdims=True)
+                y = np.log(np.exp(x - peak).sum(1)) + peak[:, 0]
+            y = damping * old[part] + (1 - damping) * (y - _log_total(y))
+            new[part] = y - _log_total(y)
         moved = np.maximum(moved, np.abs(new - old).max(1, initial=0))
         out.append(new)
     return out[0], out[1], moved
@@ -260,33 +277,47 @@ def belief_propagation_in_frames(unary: DataFrame, pairs: DataFrame, table: Data
 
     def run(part, starts):
         names, others = (part.column(c).to_numpy() for c in ("a", "b"))
-        weights = part.column("weight").to_numpy()
         x, known = part.column("x").combine_chunks(), part.column("b").combine_chunks().is_null().to_numpy(zero_copy_only=False)
-        take, out, late = [], [], []
-        for s, e in zip(starts[:-1], starts[1:]):
-            at = s + np.flatnonzero(known[s:e])
-            if not len(at):
-                continue
-            place = {v: i for i, v in enumerate(names[at].tolist())}
-            base = np.array(x.take(at).to_pylist(), float)
-            edges = [(place[names[i]], place[others[i]], weights[i]) for i in s + np.flatnonzero(~known[s:e]) if names[i] in place and others[i] in place]
-            a, b, w = (np.array(c) for c in zip(*edges)) if edges else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-            to_b = to_a = np.full((len(w), k), -np.log(k))
-            belief, moved = base, np.zeros(0)
-            for _ in range(rounds):
-                if not len(w):
-                    break
-                to_b, to_a, moved = _new_messages(belief[a], belief[b], to_b, to_a, w, cost, damping)
-                belief = base.copy()
-                np.add.at(belief, b, to_b), np.add.at(belief, a, to_a)
-                if moved.max() < tol:
-                    break
-            share = np.exp(belief - belief.max(1, keepdims=True))
-            take.append(at)
-            out.append(share / share.sum(1, keepdims=True))
-            late.append(np.full(len(at), bool(len(w)) and moved.max() >= tol))
-        picked = np.concatenate(take) if take else np.zeros(0, int)
-        return {"var": names[picked], "p": list(np.concatenate(out)) if out else [], "late": np.concatenate(late) if late else []}
+        frame = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        at, link = np.flatnonzero(known), np.flatnonzero(~known)
+        if not len(at):
+            return {"var": [], "p": [], "late": []}
+        codes = pd.factorize(np.concatenate([names, others[link]]))[0].astype("int64")
+        wide = codes.max() + 1
+        keys = frame[at] * wide + codes[at]
+        order = np.argsort(keys, kind="stable")
+
+        def place(wanted):
+            """Number of the variable of each frame and name, -1 if there is none."""
+            pos = np.minimum(np.searchsorted(keys[order], wanted), len(order) - 1)
+            return np.where(keys[order[pos]] == wanted, order[pos], -1)
+
+        a, b = place(frame[link] * wide + codes[link]), place(frame[link] * wide + codes[len(names) :])
+        good = (a >= 0) & (b >= 0) & (a != b)
+        a, b, w, of = a[good], b[good], part.column("weight").to_numpy()[link][good], frame[link][good]
+        base = x.take(at).flatten().to_numpy().reshape(-1, k)
+        belief, late, mine = base.copy(), np.zeros(len(starts) - 1, bool), frame[at]
+        to_b = to_a = np.full((len(w), k), -np.log(k))
+        factors = _factors(w, cost)
+        # All frames of the batch go together; a frame whose messages rest is left as it is.
+        for turn in range(rounds):
+            if not len(w):
+                break
+            to_b, to_a, moved = _new_messages(belief[a], belief[b], to_b, to_a, w, cost, damping, factors)
+            most_moved = np.zeros(len(late))
+            np.maximum.at(most_moved, of, moved)
+            active = np.zeros(len(late), bool)
+            active[of] = True
+            touched = active[mine]
+            belief[touched] = base[touched]
+            np.add.at(belief, b, to_b), np.add.at(belief, a, to_a)
+            go_on = most_moved[of] >= tol
+            late = most_moved >= tol if turn == rounds - 1 else late
+            if not go_on.all():
+                a, b, w, of, to_b, to_a = (v[go_on] for v in (a, b, w, of, to_b, to_a))
+                factors = factors and tuple(f[go_on] for f in factors)
+        share = np.exp(belief - belief.max(1, keepdims=True))
+        return {"var": names[at], "p": list(share / share.sum(1, keepdims=True)), "late": late[mine]}
 
     solved = keep(map_groups(rows, "frame", ["a"], run, "var string, p array<double>, late boolean"))
     left = solved.where("late").count()
