@@ -17,7 +17,7 @@ from weft.operators import blocks, fusion, graph, maxcal
 from weft.plans.analytics import _MOMENTS, _moments, _RING, _ring, query, rounded
 from weft.plans.wider import _COUNTS, _counts
 from weft.sources import files
-from weft.sources.tables import keep, shared_folder, table, write_bytes
+from weft.sources.tables import dimension, keep, shared_folder, table, write_bytes
 from weft.streaming import state
 
 # ---- paths: eigenvalues 2 - 2 cos(pi k / n), eigenvectors cosines ----
@@ -305,10 +305,10 @@ def _streamed(spark: SparkSession, rows: DataFrame, order: str, batches: int, ru
     for k in range(batches):
         low = (ends[0] or 0) + k * width
         rows.where((F.col(order) >= low) & (F.col(order) < low + width)).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = run(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return keep(spark.table(name))
+    told = run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    write = lambda df, n: df.write.mode("append").parquet(f"{path}-out")
+    told.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{path}-out")
 
 
 @query(_TRACK)
@@ -400,16 +400,14 @@ def _square_tile(x: int, y: int, size: int) -> bytes:
     return held(3, held(1, b"places") + held(2, _varint(3 << 3) + _varint(3) + held(4, geometry)) + _varint(5 << 3) + _varint(4096))
 
 
-@query("select 3 zoom_level, s_suppkey::int tile_column, (s_suppkey % 5)::int tile_row, 'places' layer, 4 points, round((s_suppkey * 3 % 2048 + 50) / 4096.0::double, 8) x, round((s_suppkey * 5 % 2048 + 50) / 4096.0::double, 8) y from supplier")
+@query("select 3 zoom_level, n_nationkey::int tile_column, (n_nationkey % 5)::int tile_row, 'places' layer, 4 points, round((n_nationkey * 311 % 2048 + 50) / 4096.0::double, 8) x, round((n_nationkey * 523 % 2048 + 50) / 4096.0::double, 8) y from nation")
 def tile_files(spark: SparkSession, root: str) -> DataFrame:
-    """Vector tiles written to a tile file (SQLite) and read again with their features' middles.
+    """Vector tiles, one for each nation, written to a tile file (SQLite) and read again with their features' middles.
 
     Such a file needs a folder that executors share as a file system; elsewhere the tiles are decoded from the table.
     """
-    keys = sorted(r[0] for r in table(spark, root, "supplier").select("s_suppkey").limit(100_001).collect())
-    if len(keys) > 100_000:
-        raise ValueError("one tile file of more than 100,000 tiles isn't written on the driver")
-    rows = [(3, int(k), int(k) % 5, _square_tile(k * 3 % 2048, k * 5 % 2048, 100)) for k in keys]
+    keys = sorted(r[0] for r in dimension(table(spark, root, "nation").select("n_nationkey")).collect())
+    rows = [(3, int(k), int(k) % 5, _square_tile(k * 311 % 2048, k * 523 % 2048, 100)) for k in keys]
     folder = shared_folder(spark)
     if folder.startswith("file:"):
         import sqlite3
@@ -457,7 +455,7 @@ def graphml_files(spark: SparkSession, root: str) -> DataFrame:
     """Nations and their regions written as GraphML and read again."""
     from xml.sax.saxutils import escape
 
-    rows = table(spark, root, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").limit(10_000).collect()
+    rows = dimension(table(spark, root, "nation").select("n_nationkey", "n_name", "n_regionkey")).orderBy("n_nationkey").collect()
     nodes = "".join(f'<node id="n{r[0]}"><data key="k0">{escape(r[1])}</data></node>' for r in rows)
     edges = "".join(f'<edge source="n{r[0]}" target="r{r[2]}"><data key="k1">{r[2]}</data></edge>' for r in rows)
     text = f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="k0" for="node" attr.name="name"/><key id="k1" for="edge" attr.name="region"/><graph>{nodes}{edges}</graph></graphml>'
