@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weft.operators.grid import COLUMNS, complete, factorise, local_levels, regular_grid
+from weft.operators.grid import COLUMNS, common_course, complete, factorise, local_levels, regular_grid
 
 SCHEMA = "source string, interval int, reading_id long, micros long, x double, k string"
 
@@ -116,3 +116,14 @@ def test_local_levels():
     assert count[0].tolist() == [2, 3, 4, 3, 2, 2, 1]
     fit, enough = complete(v, seen)
     assert enough.all() and fit[0, 6] == 3.0
+
+
+def test_sources_without_a_common_course_get_nothing_from_each_other():
+    rnd = np.random.default_rng(5)
+    seen = rnd.random((6, 250)) > 0.2
+    noise = rnd.normal(size=seen.shape)
+    assert np.abs(common_course(noise, seen)).mean() < 0.1
+    shape, gain = rnd.normal(size=250), rnd.normal(size=6) + 2
+    rest = gain[:, None] * shape + 0.1 * noise
+    off = (common_course(rest, seen) - rest)[~seen]
+    assert np.sqrt((off**2).mean()) < 0.4 * rest.std()

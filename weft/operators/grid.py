@@ -95,12 +95,31 @@ def local_levels(values: np.ndarray, seen: np.ndarray, reach: int = REACH, neare
     return level, count
 
 
+def common_course(rest: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Low-rank fit of what levels leave of the seen cells, as far as it can be trusted.
+
+    Two halves of the cells, as on a chessboard, are each foretold from the other; the fit of all is
+    scaled by how much of the cells such forecasts explain (0 to 1). Sources that merely run at the same time
+    so get nothing from each other. A spike must not turn the factors: a cell counts up to three times its row's usual.
+    """
+    usual = np.array([1.4826 * np.median(np.abs(r[s])) if s.any() else 0.0 for r, s in zip(rest, seen)])[:, None]
+    rest = np.where(seen, np.clip(rest, -3 * usual, 3 * usual), 0.0)
+    white = np.add.outer(np.arange(rest.shape[0]), np.arange(rest.shape[1])) % 2 == 0
+    foretold = np.zeros(rest.shape)
+    for half in (white, ~white):
+        foretold = np.where(seen & ~half, factorise(rest, seen & half), foretold)
+    told = float((foretold * rest)[seen].sum())
+    if told <= 0:
+        return np.zeros(rest.shape)
+    return factorise(rest, seen) * min(1.0, told / float((foretold[seen] ** 2).sum()))
+
+
 def complete(values: np.ndarray, seen: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The fit of every cell of a block, or at least of the wanted ones, and which cells have enough support for it.
 
     Near observed cells of its row a cell is their local level plus the low-rank term of what
     that leaves; far from any it's the row's level plus the low-rank term of the row's whole course.
-    Only columns that several rows share have such terms.
+    Only columns that several rows share have such terms; see common_course().
     """
     shared = seen.sum(0) >= COLUMN_SUPPORT
     local, count = local_levels(values, seen, wanted=None if wanted is None else wanted | (seen & shared[None, :]))
@@ -109,12 +128,10 @@ def complete(values: np.ndarray, seen: np.ndarray, wanted: np.ndarray | None = N
     fit = np.where(np.isnan(local), 0.0, local)
     if shared.any():
         told = seen & near & shared[None, :]
-        rest = np.where(told, values - fit, 0.0)
-        # A spike must not turn the factors: what is left of a cell counts up to three times the row's usual.
-        usual = np.array([1.4826 * np.median(np.abs(r[s])) if s.any() else 0.0 for r, s in zip(rest, told)])[:, None]
-        fit = fit + np.where(shared[None, :], factorise(np.clip(rest, -3 * usual, 3 * usual), told), 0.0)
+        fit = fit + np.where(shared[None, :], common_course(values - fit, told), 0.0)
         if (far & (~seen if wanted is None else wanted)).any():
-            fit = np.where(near, fit, factorise(values, seen))
+            level = np.array([np.median(v[s]) if s.any() else 0.0 for v, s in zip(values, seen)])[:, None]
+            fit = np.where(near, fit, level + common_course(values - level, seen))
     return fit, near | far
 
 
