@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import coding, geodesy, information, modes, motion, novelty, physics, shapes
 from weft.operators import blocks, fusion, graph, kernels, maxcal, raster, stats, trajectory
+from weft.sources import tables
 
 
 def one(spark, *columns):
@@ -263,6 +264,26 @@ def test_strahler(spark):
     assert got == {(0, 0): 1, (0, 2): 1, (1, 1): 2, (2, 0): 1, (2, 1): 2, (3, 1): 2, (2, 3): 1, (2, 4): 1, (3, 3): 2, (4, 2): 3}
 
 
+@pytest.fixture
+def kept_plans(monkeypatch):
+    """The plans of the tables that raster operators keep."""
+    plans, real = [], raster.keep
+    monkeypatch.setattr(raster, "keep", lambda df, *by: (plans.append(plan_of(df)), real(df, *by))[1])
+    return plans
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strahler_builds_no_cells_on_the_driver(spark, kept_plans):
+    """However small Spark takes them for: a valley of 864,000 cells is a few MB as a file."""
+    d = tables.keep(raster.flow_direction(raster.valley_grid(spark, 40, 36)))
+    wet = tables.keep(raster.channels(raster.flow_accumulation(d), 12))
+    raster.strahler(wet, raster.drainage_edges(d, wet))
+    assert sum("Join" in p for p in kept_plans) > 5 and not any("Broadcast" in p for p in kept_plans)
+
+
 def test_curvature_of_a_bowl(spark):
     cells = spark.createDataFrame([("b", r, c, float((r - 4) ** 2 + (c - 4) ** 2)) for r in range(9) for c in range(9)], "raster_id string, r int, c int, z double")
     got = {(r.r, r.c): r.planform for r in raster.curvature(cells).collect()}

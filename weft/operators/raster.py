@@ -41,25 +41,31 @@ def curvature(cells: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     return second.select("raster_id", "r", "c", (F.col("zxx") + F.col("zyy")).alias("planform"), (bend / square).alias("profile"))
 
 
-def _neighbours(cells: DataFrame) -> DataFrame:
-    """Each cell handed to its eight neighbours: one row for each direction from which a neighbour can look at it."""
-    handed = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc")) for d, (dr, dc) in enumerate(OFFSETS)))).alias("o")
-    return cells.select("raster_id", "r", "c", "z", handed).select("raster_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.d").alias("d"), F.col("z").alias("zn"))
+def _by_cell(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join of tables that may both have a row for each cell: by sorting, never broadcast.
+
+    Cells compress so well, and generated ones are estimated so low, that Spark would take a table of
+    millions of them for a small one and build it on the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
 
 
 def flow_direction(cells: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     """raster_id, r, c, z, direction: code of the steepest fall, the first of equals; -1 for a pit or a flat.
 
     A fall is over dx for a neighbour in the row, dy in the column, and dx times root two on the diagonal.
+    Each cell is handed to itself and to its eight neighbours, one row for each direction from which a
+    neighbour can look at it, and all that a cell sees meets in one aggregation, without a join.
     """
     known = cells.where("z is not null and not isnan(z)")
-    length = F.lit(dy)
-    for d, (dr, dc) in enumerate(OFFSETS):
-        if dc:
-            length = F.when(F.col("d") == d, dx * (2**0.5 if dr else 1.0)).otherwise(length)
-    seen = known.join(_neighbours(known), ["raster_id", "r", "c"], "left").withColumn("fall", (F.col("z") - F.col("zn")) / length)
-    best = F.max(F.when(F.col("fall") > 0, F.struct(F.col("fall"), (-F.col("d")).alias("d"))))
-    return seen.groupBy("raster_id", "r", "c").agg(F.first("z").alias("z"), F.coalesce(-best["d"], F.lit(-1)).alias("direction"))
+    places = [(None, 0, 0), *((d, -dr, -dc) for d, (dr, dc) in enumerate(OFFSETS))]
+    handed = F.explode(F.array(*(F.struct(F.lit(d).cast("int").alias("d"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for d, dr, dc in places))).alias("o")
+    given = known.select("raster_id", "r", "c", "z", handed).select("raster_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.d").alias("d"), "z")
+    seen = given.groupBy("raster_id", "r", "c").agg(F.min(F.when(F.col("d").isNull(), F.col("z"))).alias("z"), *(F.min(F.when(F.col("d") == d, F.col("z"))).alias(f"z{d}") for d in range(8))).where("z is not null")
+    falls = seen.select("raster_id", "r", "c", "z", *(((F.col("z") - F.col(f"z{d}")) / F.lit((dx * (2**0.5 if dr else 1.0)) if dc else dy)).alias(f"fall{d}") for d, (dr, dc) in enumerate(OFFSETS)))
+    steepest = F.greatest(*(f"fall{d}" for d in range(8)))
+    first = F.coalesce(*(F.when(F.col(f"fall{d}") == F.col("fall"), F.lit(d)) for d in range(8)))
+    return falls.withColumn("fall", steepest).select("raster_id", "r", "c", "z", F.coalesce(F.when(F.col("fall") > 0, first), F.lit(-1)).alias("direction"))
 
 
 def downstream(directed: DataFrame) -> DataFrame:
@@ -78,14 +84,14 @@ def flow_accumulation(directed: DataFrame) -> DataFrame:
     cell is v. So rounds are the logarithm of the longest path, and each is an aggregation.
     """
     cell = ["raster_id", "r", "c"]
-    state = keep(directed.select(*cell, F.lit(1).cast("long").alias("a")).join(downstream(directed), cell, "left"))
+    state = keep(_by_cell(directed.select(*cell, F.lit(1).cast("long").alias("a")), downstream(directed), cell, "left"))
     while True:
         moving = state.where("r2 is not null")
         if moving.isEmpty():
             return state.select(*cell, F.col("a").alias("accumulation"))
         gained = moving.groupBy("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.sum("a").alias("more"))
         further = state.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("r2").alias("r4"), F.col("c2").alias("c4"))
-        now = keep(state.join(gained, cell, "left").join(further, ["raster_id", "r2", "c2"], "left").select(*cell, (F.col("a") + F.coalesce("more", F.lit(0).cast("long"))).alias("a"), F.col("r4").alias("r2"), F.col("c4").alias("c2")))
+        now = keep(_by_cell(_by_cell(state, gained, cell, "left"), further, ["raster_id", "r2", "c2"], "left").select(*cell, (F.col("a") + F.coalesce("more", F.lit(0).cast("long"))).alias("a"), F.col("r4").alias("r2"), F.col("c4").alias("c2")))
         forget(state)
         state = now
 
@@ -97,17 +103,19 @@ def channels(accumulated: DataFrame, least: int) -> DataFrame:
 def drainage_edges(directed: DataFrame, channel: DataFrame) -> DataFrame:
     """raster_id, r, c, r2, c2 of channel cells that flow to channel cells."""
     cells = channel.select("raster_id", "r", "c")
-    return downstream(directed).join(cells, ["raster_id", "r", "c"], "left_semi").join(cells.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2")), ["raster_id", "r2", "c2"], "left_semi").select("raster_id", "r", "c", "r2", "c2")
+    starting = _by_cell(downstream(directed), cells, ["raster_id", "r", "c"], "left_semi")
+    return _by_cell(starting, cells.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2")), ["raster_id", "r2", "c2"], "left_semi").select("raster_id", "r", "c", "r2", "c2")
 
 
 def _downstream_of(seeds: DataFrame, cells: DataFrame, edges: DataFrame) -> DataFrame:
     """Those of the cells that are seeds or lie downstream of one, by doubling as in flow_accumulation()."""
     cell = ["raster_id", "r", "c"]
-    state = keep(cells.select(*cell).join(seeds.select(*cell, F.lit(True).alias("hit")), cell, "left").join(edges, cell, "left").select(*cell, F.coalesce("hit", F.lit(False)).alias("hit"), "r2", "c2"))
+    marked = _by_cell(cells.select(*cell), seeds.select(*cell, F.lit(True).alias("hit")), cell, "left")
+    state = keep(_by_cell(marked, edges, cell, "left").select(*cell, F.coalesce("hit", F.lit(False)).alias("hit"), "r2", "c2"))
     while not state.where("r2 is not null").isEmpty():
         told = state.where("hit and r2 is not null").select("raster_id", F.col("r2").alias("r"), F.col("c2").alias("c"), F.lit(True).alias("told")).distinct()
         further = state.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("r2").alias("r4"), F.col("c2").alias("c4"))
-        now = keep(state.join(told, cell, "left").join(further, ["raster_id", "r2", "c2"], "left").select(*cell, (F.col("hit") | F.coalesce("told", F.lit(False))).alias("hit"), F.col("r4").alias("r2"), F.col("c4").alias("c2")))
+        now = keep(_by_cell(_by_cell(state, told, cell, "left"), further, ["raster_id", "r2", "c2"], "left").select(*cell, (F.col("hit") | F.coalesce("told", F.lit(False))).alias("hit"), F.col("r4").alias("r2"), F.col("c4").alias("c2")))
         forget(state)
         state = now
     return state.where("hit").select(*cell)
@@ -130,7 +138,7 @@ def strahler(channel: DataFrame, edges: DataFrame) -> DataFrame:
         order += 1
         members = _downstream_of(meetings, members, links)
         found.append(members.withColumn("strahler", F.lit(order)))
-        links = keep(links.join(members, cell, "left_semi"))
+        links = keep(_by_cell(links, members, cell, "left_semi"))
 
 
 def coarsen(cells: DataFrame, bin_size: int) -> DataFrame:
