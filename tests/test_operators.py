@@ -284,6 +284,12 @@ def test_strahler_builds_no_cells_on_the_driver(spark, kept_plans):
     assert sum("Join" in p for p in kept_plans) > 5 and not any("Broadcast" in p for p in kept_plans)
 
 
+def test_drainage_builds_no_cells_on_the_driver(spark):
+    d = tables.keep(raster.flow_direction(raster.valley_grid(spark, 40, 36)))
+    plan = plan_of(raster.drainage_edges(d, tables.keep(raster.channels(raster.flow_accumulation(d), 12))))
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def test_curvature_of_a_bowl(spark):
     cells = spark.createDataFrame([("b", r, c, float((r - 4) ** 2 + (c - 4) ** 2)) for r in range(9) for c in range(9)], "raster_id string, r int, c int, z double")
     got = {(r.r, r.c): r.planform for r in raster.curvature(cells).collect()}
