@@ -290,6 +290,13 @@ def test_drainage_builds_no_cells_on_the_driver(spark):
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
 
 
+def test_accumulation_builds_no_cells_on_the_driver(spark, kept_plans):
+    d = raster.flow_direction(raster.valley_grid(spark, 40, 36))
+    assert "Join" not in plan_of(d)
+    raster.flow_accumulation(tables.keep(d))
+    assert len(kept_plans) > 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in kept_plans)
+
+
 def test_curvature_of_a_bowl(spark):
     cells = spark.createDataFrame([("b", r, c, float((r - 4) ** 2 + (c - 4) ** 2)) for r in range(9) for c in range(9)], "raster_id string, r int, c int, z double")
     got = {(r.r, r.c): r.planform for r in raster.curvature(cells).collect()}
