@@ -90,6 +90,47 @@ def test_neighbours_along_roads(spark):
     assert got[100, 1] == (101, 13.0) and got[102, 1] == (101, 13.0) and got[101, 1] == (100, 13.0)
 
 
+def test_road_neighbours_of_crowded_nodes(spark, tmp_path):
+    """Two nodes equally far, whose distances differ in the last bits only: ids decide, however many are at the node that comes first by those bits."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    keys = [2, 50, 225, 400, *range(85 + 175 * 10, 85 + 175 * 60, 175)]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, k // 5) for k in range(25)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    c = duckdb.connect()
+    for t in ("supplier", "nation"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {tuple(r) for r in entry.queries()["road_neighbours"](spark, str(tmp_path)).select("query", "id", "rank", "distance").collect()}
+    assert got == set(c.sql(entry.oracle_sql()["road_neighbours"]).fetchall()) and {i for q, i, *_ in got if q == 2} == {50, 225, 400}
+
+
+def test_only_foremost_neighbours_are_joined(spark):
+    """Two places of 200 houses each: as many rows as answers ask for are handed to a house, not all other houses."""
+    nodes = frame(spark, np.array([[0.0, 0.0], [10.0, 0.0]]))
+    roads = spark.createDataFrame([(0, 1, 10.0)], "src long, dst long, w double")
+    spots = np.array([[10.0 * (i % 2), 0.001 * (i // 2)] for i in range(400)])
+    near = places.network_neighbours(frame(spark, spots), nodes, roads, 2, 50.0, 5.0)
+    d = np.array([[abs(p[0] - q[0]) + p[1] + q[1] for q in spots] for p in spots]) + np.where(np.eye(400), np.inf, 0)
+    got = {(r.query, r["rank"]): (r.id, r.distance) for r in near.collect()}
+    assert len(got) == 800
+    for i in range(400):
+        assert [got[i, k][0] for k in (1, 2)] == np.argsort(d[i], kind="stable")[:2].tolist() and got[i, 2][1] == pytest.approx(np.sort(d[i])[1])
+    assert most_rows(near._jdf.queryExecution().executedPlan()) <= 400 * 4
+
+
+def most_rows(plan):
+    """Of a plan that has run: the rows that its largest join gave."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return most_rows(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return most_rows(plan.plan())
+    own = plan.metrics().get("numOutputRows")
+    below = plan.children()
+    return max([own.get().value() if "Join" in plan.nodeName() and own.isDefined() else 0, *(most_rows(below.apply(i)) for i in range(below.size()))])
+
+
 def test_required_modes(spark):
     m = spark.createDataFrame([("g", i, float(s), i == 3) for i, s in enumerate([5, 4, 3, 0])], "g string, mode int, score double, must boolean")
     assert [r.mode for r in places.required_modes(m, "g", "mode", "score", F.col("must"), 2).orderBy("rank").collect()] == [3, 0]

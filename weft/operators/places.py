@@ -145,16 +145,36 @@ def match_traits(points: DataFrame, traits: DataFrame, tol: float) -> DataFrame:
     return points.join(near, "id", "left").withColumn("trait", F.col("m.b")).withColumn("imputed", F.col("m").isNull()).drop("m")
 
 
-def network_neighbours(buildings: DataFrame, road_nodes: DataFrame, roads: DataFrame, k: int, cutoff: float, snap: float) -> DataFrame:
-    """query, id, rank, distance: k nearest buildings along roads: each building is snapped to its nearest road node, distances run over roads up to a cutoff, both snaps included."""
+def _foremost(rows: DataFrame, key: str, value: str, k: int, margin: float) -> DataFrame:
+    """Of each key's rows (id, value): all that may be among its k smallest by value and id once something is added to
+    every value and the sums are rounded. So values up to `margin` above the k-th stay, and of equal values the k smallest ids.
+    """
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(value, "id"))).where(F.col("r") <= k)
+    limit = first.groupBy(key).agg((F.max(value) + margin).alias("limit"))
+    near = rows.join(limit, key).where(F.col(value) <= F.col("limit")).drop("limit")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy(key, value).orderBy("id"))).where(F.col("r") <= k).drop("r")
+
+
+def network_neighbours(buildings: DataFrame, road_nodes: DataFrame, roads: DataFrame, k: int, cutoff: float, snap: float, digits: int | None = None) -> DataFrame:
+    """query, id, rank, distance: k nearest buildings along roads: each building is snapped to its nearest road node, distances run over roads up to a cutoff, both snaps included.
+
+    With `digits`, distances are rounded before they are ranked. Buildings at one node see the others in the same
+    order, so each node's foremost are found once, from the foremost at each source, and never all pairs.
+    """
     from weft.operators.graph import distances
 
     snapped = keep(within(buildings, road_nodes, snap).groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", "b")).alias("m")).select("id", F.col("m.b").alias("node"), F.col("m.distance").alias("off")))
+    # Sums that differ by more stay apart, whatever rounding does to them.
+    margin = (0.0 if digits is None else 2.0 * 10.0**-digits) + 1e-14 * (cutoff + 2 * snap)
     # The k buildings nearest to one of its own lie at a node's k + 1 nearest sources, or as much farther as a snap may differ.
-    way = distances(roads, snapped.select("node").distinct(), "w", cutoff, nearest=k + 1, slack=snap)
-    a = snapped.select(F.col("id").alias("query"), "node", F.col("off").alias("off_a"))
-    b = snapped.select("id", F.col("node").alias("source"), F.col("off").alias("off_b"))
-    pairs = way.join(a, "node").join(b, "source").where("query <> id").select("query", "id", (F.col("distance") + F.col("off_a") + F.col("off_b")).alias("distance"))
+    way = distances(roads, snapped.select("node").distinct(), "w", cutoff, nearest=k + 1, slack=snap + margin)
+    at_source = keep(_foremost(snapped.select("id", F.col("node").alias("source"), "off"), "source", "off", k + 1, margin))
+    reached = way.join(at_source, "source").select("node", "id", (F.col("distance") + F.col("off")).alias("far"))
+    # A query may itself be among its node's foremost: k + 1 leave k others.
+    foremost = keep(_foremost(reached, "node", "far", k + 1, margin))
+    total = F.col("far") + F.col("off_a")
+    asked = snapped.select(F.col("id").alias("query"), "node", F.col("off").alias("off_a"))
+    pairs = asked.join(foremost, "node").where("query <> id").select("query", "id", (total if digits is None else F.round(total, digits)).alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query", "id", "rank", "distance")
 
 

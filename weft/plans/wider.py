@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import coding, filters, geodesy, indices, information, modes, novelty, physics, shapes
@@ -78,9 +78,7 @@ def road_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The three suppliers nearest to each along roads between nations; places are rounded so that both engines break ties alike."""
     nodes = table(spark, root, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") * 10.0).alias("x"), F.lit(0.0).alias("y"))
     homes = table(spark, root, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), (F.col("s_suppkey") % 25 * 10.0 + F.col("s_suppkey") % 7 * 0.3).alias("x"), (F.col("s_suppkey") % 5 * 0.3).alias("y"))
-    near = places.network_neighbours(homes, nodes, _road_edges(spark, root), 40, 3.0, 4.0).withColumn("distance", F.round("distance", 9))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where("rank <= 3")
-    return rounded(ranked, 6, "distance")
+    return rounded(places.network_neighbours(homes, nodes, _road_edges(spark, root), 3, 3.0, 4.0, digits=9), 6, "distance")
 
 
 _SOLIDS = [{"id": "ball", "centre": (20.0, 30.0, 0.0), "scale": (25.0, 25.0, 25.0), "shape": (1.0, 1.0)}, {"id": "egg", "centre": (60.0, 60.0, 5.0), "scale": (30.0, 20.0, 10.0), "shape": (1.0, 1.0)}]
