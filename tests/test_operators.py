@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import coding, geodesy, information, modes, motion, novelty, physics, shapes
 from weft.operators import blocks, fusion, graph, kernels, maxcal, raster, stats, trajectory
+from weft.plans import analytics
 from weft.sources import tables
 
 
@@ -290,6 +291,23 @@ def test_drainage_builds_no_cells_on_the_driver(spark):
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
 
 
+def nodes_run(spark, query, root):
+    """Node names of all plans of a query as they ran, after adaptive execution planned them anew."""
+    sc, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    sc.listenerBus().waitUntilEmpty(30_000)
+    before = {x.executionId() for x in listed(store.executionsList())}
+    getattr(analytics, query)(spark, root).collect()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return [n.name() for x in listed(store.executionsList()) if x.executionId() not in before for n in listed(store.planGraph(x.executionId()).allNodes())]
+
+
+def test_drainage_as_run_broadcasts_nothing(spark, data):
+    """1,440 cells are far below Spark's threshold, and yet every join sorts."""
+    names = nodes_run(spark, "drainage_network", data)
+    assert names.count("SortMergeJoin") > 10 and not any("Broadcast" in n for n in names)
+
+
 def test_accumulation_builds_no_cells_on_the_driver(spark, kept_plans):
     d = raster.flow_direction(raster.valley_grid(spark, 40, 36))
     assert "Join" not in plan_of(d)
