@@ -315,6 +315,11 @@ def test_accumulation_builds_no_cells_on_the_driver(spark, kept_plans):
     assert len(kept_plans) > 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in kept_plans)
 
 
+def test_accumulation_as_run_broadcasts_nothing(spark, data):
+    names = nodes_run(spark, "flow_accumulation", data)
+    assert names.count("SortMergeJoin") > 10 and not any("Broadcast" in n for n in names)
+
+
 def test_curvature_of_a_bowl(spark):
     cells = spark.createDataFrame([("b", r, c, float((r - 4) ** 2 + (c - 4) ** 2)) for r in range(9) for c in range(9)], "raster_id string, r int, c int, z double")
     got = {(r.r, r.c): r.planform for r in raster.curvature(cells).collect()}
